@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, neardup, topk
+from tidemark.llm import chat, neardup, packing, tokenfile, topk
+from tidemark.llm.tables import new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +34,26 @@ def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op5_exact_topk": op5_exact_topk, "op7_embedding_neardup": op7_embedding_neardup}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of up to 4096 ids."""
+    packed = packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents and reads the files back."""
+    path = new_path(spark, "token-ids")
+    tokenfile.write_token_ids(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfile.read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op3_packing": op3_packing,
+    "op5_exact_topk": op5_exact_topk,
+    "op6_token_file": op6_token_file,
+    "op7_embedding_neardup": op7_embedding_neardup,
+}
 
 ORACLE_SQL = {
     "op1_chat_format": r"""
