@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, neardup, packing, tokenfile, topk
+from tidemark.llm import bpe, chat, neardup, packing, tokenfile, topk
 from tidemark.llm.tables import new_path
 
 
@@ -47,12 +47,18 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded, as digests."""
+    return bpe.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_packing": op3_packing,
     "op5_exact_topk": op5_exact_topk,
     "op6_token_file": op6_token_file,
     "op7_embedding_neardup": op7_embedding_neardup,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL = {
