@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, neardup, packing, tokenfile, topk
+from tidemark.llm import bpe, chat, langid, neardup, packing, quality, tokenfile, topk
+from tidemark.llm.sampling import held_out
 from tidemark.llm.tables import new_path
 
 
@@ -47,6 +48,20 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.learn(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learnt from labels that are not held out."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, _read(spark, sf_dir, "labels"))
+    return quality.assess(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded, as digests."""
     return bpe.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
@@ -55,9 +70,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_packing": op3_packing,
+    "op4_language_id": op4_language_id,
     "op5_exact_topk": op5_exact_topk,
     "op6_token_file": op6_token_file,
     "op7_embedding_neardup": op7_embedding_neardup,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
