@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import hasher, mix, pieces, text_bytes
+from tidemark.llm.tables import small_batches
 
 #: The pre-token pattern of this family of vocabularies (fixed value).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -192,6 +193,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, mean: int = 256, digests: boo
     copied as it is, other columns are ignored, and an empty table gives an empty result. mean: mean
     bytes of a chunk, a power of two. What is remembered is bounded and changes no result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import U, hasher, mix, pieces, text_bytes, words
 from tidemark.llm.sampling import bounded, held_out
-from tidemark.llm.tables import written
+from tidemark.llm.tables import small_batches, written
 
 UNKNOWN = "und"
 MARK = "▁"
@@ -238,6 +238,7 @@ def identify(docs: DataFrame, model: Model, sure: int = 48, doc_id: str = "doc_i
     posterior probability under equal priors, with the evidence counted as that of at most sure bytes:
     characters depend on each other, so the plain posterior would be too certain.
     """
+    small_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
     schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     letters = kept.withColumn("score", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))

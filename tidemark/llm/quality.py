@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import text_bytes
 from tidemark.llm.sampling import bounded, held_out
+from tidemark.llm.tables import small_batches
 
 CHUNK, LEVEL = 2048, 3
 
@@ -118,6 +119,7 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 def assess(docs: DataFrame, model: Model, text: str = "text", digits: int = 6) -> DataFrame:
     """score (0 to 1, higher: label 1 likelier) besides all columns of docs; a column of this name is
     replaced. Null and empty texts get the score of a text that tells nothing."""
+    small_batches(docs.sparkSession)
     kept = docs.drop("score")
     names = kept.columns
     at = names.index(text)

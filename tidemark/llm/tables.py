@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds what a Python worker gets at once by bytes, as rows may hold very long texts: lowers the
+    session's spark.sql.execution.arrow.maxBytesPerBatch where it is larger, and never raises it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key)) or 1 << 31) > size:
+        spark.conf.set(key, str(size))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

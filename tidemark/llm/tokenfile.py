@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.tables import small_batches
 from tidemark.llm.tokens import encoded
 
 FILE = "part int, first long, n_ids long, block_ids int, width int, planes string, docs binary, counts binary, sizes array<int>, data binary"
@@ -58,6 +59,7 @@ def write_token_ids(
     kept, in the order of a hash of their text; other columns are ignored; an empty table gives an
     empty file table.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("h"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
