@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, langid, neardup, packing, quality, tokenfile, topk
+from tidemark.llm import bpe, chat, jaccard, langid, neardup, packing, quality, tokenfile, topk
 from tidemark.llm.sampling import held_out
 from tidemark.llm.tables import new_path
 
@@ -35,6 +35,11 @@ def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all documents at a Jaccard similarity of 0.9 of 3-word shingles."""
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of up to 4096 ids."""
     packed = packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -69,6 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_exact_topk": op5_exact_topk,
