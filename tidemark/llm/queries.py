@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, jaccard, langid, neardup, packing, quality, tokenfile, topk
+from tidemark.llm import bpe, chat, jaccard, langid, neardup, packing, quality, suffixes, tokenfile, topk
 from tidemark.llm.sampling import held_out
 from tidemark.llm.tables import new_path
 
@@ -60,6 +60,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes strings of 400 bytes that occur more than once in all documents."""
+    return suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document, learnt from labels that are not held out."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,6 +85,7 @@ QUERIES = {
     "op5_exact_topk": op5_exact_topk,
     "op6_token_file": op6_token_file,
     "op7_embedding_neardup": op7_embedding_neardup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
