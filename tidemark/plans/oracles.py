@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans.queries import BEFORE, LAST, MONTH, D
+from tidemark.plans.queries import LAST, MONTH, D
 
 _DAYS = "d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE user_id IS NOT NULL)"
 _E = "e AS (SELECT event_id, user_id, event_type AS host, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS device_id FROM events)"
