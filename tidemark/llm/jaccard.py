@@ -248,10 +248,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     centre = lists.groupBy("g").agg(F.count("*").alias("centre"))
     lists = written(lists.join(centre, "g"), "lists")
 
-    # sets of the classes that meet another one, in a list or within their group
-    several = members.groupBy("g").agg(F.min("c").alias("rep"), F.count("*").alias("k"))
-    met = lists.select("g").distinct().join(members, "g").select("c").unionByName(members.join(several.where("k > 1"), "g").select("c"))
-    needed = classes.join(met, "c", "left_semi").select("c", "low")
+    several = written(members.groupBy("g").agg(F.min("c").alias("rep"), F.count("*").alias("k")), "groups")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,11 +256,17 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
             for i, j in pieces(bounds):
                 x, at = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], width)
                 raw = memoryview(x.tobytes())
-                yield pa.RecordBatch.from_arrays([*_sums(x, at), pa.array([raw[8 * s : 8 * e] for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["n", "s1", "s2", "set"])
-
-    lows = needed.select("low").distinct()
-    texts = rows.join(lows, rows["id"].eqNullSafe(lows["low"])).select("text").mapInArrow(packed, "n int, s1 long, s2 long, set binary").withColumn("c", F.xxhash64("n", "s1", "s2"))
-    sets = written(texts.join(needed.select("c"), "c", "left_semi").groupBy("c").agg(F.any_value("set").alias("set")), "sets")
+                own = pa.array([raw[8 * s : 8 * e] for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), *_sums(x, at), own], ["c", "n", "s1", "s2", "set"])
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Sets of the classes of pairs, from the texts of their smallest ids. A text of such an id that is of
+        another class is left out; one that is there twice only repeats links."""
+        met = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
+        lows = classes.join(met, "c", "left_semi").select("c", "low")
+        texts = rows.join(lows, rows["id"].eqNullSafe(lows["low"])).select("text", "c")
+        got = texts.mapInArrow(packed, "c long, n int, s1 long, s2 long, set binary")
+        return written(got.where(F.xxhash64("n", "s1", "s2") == F.col("c")).select("c", "set"), "sets")
 
     # first the first class of each group with that of the most central group of a list, and with its own group
     best = lists.groupBy("token").agg(F.max(F.struct("centre", "g", "n", "p")).alias("h"))
@@ -271,7 +274,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     star = star.where("least(n, h.n) >= need AND least(n - p, h.n - h.p) >= need").select(F.least("g", "h.g").alias("a"), F.greatest("g", "h.g").alias("b")).distinct()
     star = star.join(several.select(F.col("g").alias("a"), F.col("rep").alias("x")), "a").join(several.select(F.col("g").alias("b"), F.col("rep").alias("y")), "b")
     own = members.join(several.where("k > 1"), "g").where("c <> rep").select(F.col("c").alias("x"), F.col("rep").alias("y"))
-    links = written(_similar(star.select("x", "y").unionByName(own), sets, percent), "links")
+    first = written(star.select("x", "y").unionByName(own), "pairs")
+    links = written(_similar(first, sets_of(first), percent), "links")
     comp = written(components(links), "components")
 
     # then all pairs that are not connected by then; a group that isn't in one component stands for itself
@@ -291,7 +295,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     wide = left.join(x, "a").join(y, "b").where("cx <> cy").select("x", "y")
     apart = of_group.where("apart").select(F.col("g").alias("a"))
     inside = x.join(apart, "a").join(y.withColumnRenamed("b", "a"), "a").where("x < y AND cx <> cy").select("x", "y")
-    more = _similar(wide.unionByName(inside), sets, percent)
+    rest = written(wide.unionByName(inside), "pairs")
+    more = _similar(rest, sets_of(rest), percent)
 
     final = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.select("c", "low").join(final.withColumnRenamed("node", "c"), "c", "left").select("c", "low", F.coalesce("component", "c").alias("k"))
