@@ -341,7 +341,8 @@ def _distinct(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), pa.array([k for _, k in n.values()], pa.int64())], ["c", "t", "copies"])
 
     keyed = rows.select(F.md5(F.col("t").cast("binary")).alias("c"), "t").mapInArrow(counted, "c string, t string, copies long")
-    buckets = max(12, keyed.rdd.getNumPartitions())
+    # fewer buckets than shuffle partitions would be dealt anew by every join
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keyed.rdd.getNumPartitions())
     name = f"texts_{uuid.uuid4().hex}"
     once = keyed.repartition(buckets, "c").groupBy("c").agg(F.sum("copies").alias("copies"), F.first("t").alias("t"))
     once.write.bucketBy(buckets, "c").option("path", new_path(spark, "texts")).saveAsTable(name)
