@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import U, hasher, mix, pieces, text_bytes, words
-from tidemark.llm.tables import components, small_batches, written
+from tidemark.llm.tables import components, dropped, small_batches, written
 
 #: Cells of the counting sketch, a power of two: its size, and so that of the broadcast, is fixed.
 CELLS = 1 << 22
 BLOCK = 1 << 16
+#: Bits of the map that keeps texts nobody asks for out of a shuffle, a power of two; fixed like CELLS.
+BITS = 1 << 26
 #: Rows of a list that are compared in a task with rows of the same or of another part of the list.
 PART = 1024
 
@@ -82,7 +84,7 @@ def _sketch(rows: DataFrame, width: int) -> np.ndarray:
             data, bounds = text_bytes(b.column(0))
             for i, j in pieces(bounds):
                 x, _ = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], width)
-                np.add(total, np.bincount(_cell(x), minlength=CELLS), out=total, casting="unsafe")
+                np.add.at(total, _cell(x), 1)
         if not total.any():
             return
         press = zstandard.ZstdCompressor(level=1)
@@ -107,6 +109,35 @@ def _sketch(rows: DataFrame, width: int) -> np.ndarray:
     return out
 
 
+def _asked_for(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (id, text) without most of those whose id is not in ids, by a bit for each hash of an id. The map has a
+    fixed size, so at a very large size it lets more through; the join that follows decides."""
+    spark = rows.sparkSession
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, x in zip(b["block"], b["bits"], strict=True):
+                bits = np.zeros(BLOCK, bool)
+                bits[np.asarray(x)] = True
+                yield pd.DataFrame({"block": [k], "bits": [np.packbits(bits).tobytes()]})
+
+    h = F.pmod(F.xxhash64("id"), F.lit(BITS)).cast("int")
+    got = ids.select(h.alias("h")).select(F.shiftright("h", BLOCK.bit_length() - 1).alias("block"), F.col("h").bitwiseAND(BLOCK - 1).alias("bit"))
+    blocks = got.groupBy("block").agg(F.collect_set("bit").alias("bits")).mapInPandas(packed, "block int, bits binary")
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in blocks.toLocalIterator():
+        bits[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(2).to_numpy()
+            keep = pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["id", "text"])
+
+    return rows.select("id", "text", h.alias("h")).mapInArrow(kept, "id long, text string")
+
+
 def _sums(x: np.ndarray, at: np.ndarray) -> list[pa.Array]:
     """Sizes of sets and two sums of hashes of their members, which together name a set."""
     sums = [np.append(U(0), np.cumsum(mix(x + U(k)), dtype=U)) for k in (11, 12)]
@@ -244,10 +275,11 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
         g = g.assign(size=np.repeat(size, size))
         return g[g["size"] > 1] if (size > 1).any() else None
 
-    lists = written(spread.repartition("token").sortWithinPartitions("token").mapInPandas(_runs(shared, ["token"]), "g long, n int, p int, token long, size int"), "lists")
-    centre = lists.groupBy("g").agg(F.count("*").alias("centre"))
-    lists = written(lists.join(centre, "g"), "lists")
+    bare = written(spread.repartition("token").sortWithinPartitions("token").mapInPandas(_runs(shared, ["token"]), "g long, n int, p int, token long, size int"), "lists")
+    lists = written(bare.join(bare.groupBy("g").agg(F.count("*").alias("centre")), "g"), "lists")
+    dropped(spark, bare)
 
+    kept: list[DataFrame] = []
     several = written(members.groupBy("g").agg(F.min("c").alias("rep"), F.count("*").alias("k")), "groups")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +296,11 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
         another class is left out; one that is there twice only repeats links."""
         met = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
         lows = classes.join(met, "c", "left_semi").select("c", "low")
-        texts = rows.join(lows, rows["id"].eqNullSafe(lows["low"])).select("text", "c")
+        some = _asked_for(rows, lows.select(F.col("low").alias("id")))
+        texts = some.join(lows, some["id"].eqNullSafe(lows["low"])).select("text", "c")
         got = texts.mapInArrow(packed, "c long, n int, s1 long, s2 long, set binary")
-        return written(got.where(F.xxhash64("n", "s1", "s2") == F.col("c")).select("c", "set"), "sets")
+        kept.append(written(got.where(F.xxhash64("n", "s1", "s2") == F.col("c")).select("c", "set"), "sets"))
+        return kept[-1]
 
     # first the first class of each group with that of the most central group of a list, and with its own group
     best = lists.groupBy("token").agg(F.max(F.struct("centre", "g", "n", "p")).alias("h"))
@@ -298,9 +332,13 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     rest = written(wide.unionByName(inside), "pairs")
     more = _similar(rest, sets_of(rest), percent)
 
-    final = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    final = written(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
     named = classes.select("c", "low").join(final.withColumnRenamed("node", "c"), "c", "left").select("c", "low", F.coalesce("component", "c").alias("k"))
     lowest = named.groupBy("k").agg(F.min("low").alias("component_id"))
-    by_class = named.join(lowest, "k").select("c", "component_id")
-    got = signed.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).alias("c")).join(by_class, "c", "left")
+    by_class = written(named.join(lowest, "k").select("c", "component_id"), "classes")
+    narrow = written(signed.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).alias("c")), "classes")
+    # what the result doesn't read goes now
+    for used in (signed, classes, several, first, links, comp, known, rest, final, lists, *kept):
+        dropped(spark, used)
+    got = narrow.join(by_class, "c", "left")
     return got.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

@@ -28,7 +28,7 @@ MARK = "▁"
 SEGMENT = 32
 #: Probability of a character that is no piece, and what every piece is counted besides its sightings.
 STRAY, BESIDES = 1e-7, 0.02
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 
 
 def vocabulary(path: str) -> list[str]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import U, hasher, mix, pieces, text_bytes
-from tidemark.llm.tables import new_path, small_batches, written
+from tidemark.llm.tables import dropped, new_path, small_batches, written
 
 GRAM = 64
 #: Groups of more occurrences are split by what their windows have in common: so many places of the
@@ -204,25 +204,41 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
         for b in batches:
             data, bounds = text_bytes(b.column(1))
             for i, j in pieces(bounds):
-                n, h, q, lo, hi = anchors(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], length)
+                n, h, *places = anchors(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], length)
+                o = np.lexsort((places[0], h, n))
+                n, h = n[o], h[o]
+                first = np.flatnonzero(np.append(True, (n[1:] != n[:-1]) | (h[1:] != h[:-1]))) if len(n) else np.zeros(0, np.int64)
                 own = (bounds[i : j + 1] - bounds[i])[n]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(n)), pa.array(h.view(np.int64)), *(pa.array((x - own).astype(np.int32)) for x in (q, lo, hi))], ["c", "h", "q", "lo", "hi"])
+                spots = np.stack([x[o] - own for x in places], axis=1).astype(np.int32).ravel()
+                ends = pa.array(3 * np.append(first, len(n)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(n[first])), pa.array(h[first].view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(spots))], ["c", "h", "spots"])
 
-    met = long.select("c", "t").mapInArrow(found, "c string, h long, q int, lo int, hi int").repartition("h").sortWithinPartitions("h")
+    # a text's occurrences of an anchor travel as one row: place, first and last window of each
+    met = long.select("c", "t").mapInArrow(found, "c string, h long, spots array<int>").repartition("h").sortWithinPartitions("h")
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose h another row has, with the number of these rows."""
-        held: pa.Table | None = None
+        """Rows of anchors with more than one occurrence, and how many these are. A group beyond HOT is let
+        through as it comes, so at most HOT rows are held."""
+        held, hot = None, None
         for b in batches:
-            b = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
-            h = b.column("h").to_numpy()
-            end = int(np.searchsorted(h, h[-1])) if len(h) else 0
-            yield from _sized(b.slice(0, end), h[:end])
-            held = b.slice(end)
-        if held is not None and len(held):
-            yield from _sized(held, held.column("h").to_numpy())
-
-    seen = written(met.mapInArrow(several, "c string, h long, q int, lo int, hi int, size int").groupBy("c").agg(F.collect_list(F.struct("h", "q", "lo", "hi", "size")).alias("a")), "anchors")
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            if not len(t):
+                continue
+            h = t.column("h").to_numpy()
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            size = np.add.reduceat(np.diff(t.column("spots").combine_chunks().offsets.to_numpy()) // 3, first)
+            size[h[first] == hot] = HOT + 1
+            if size[-1] > HOT:
+                end, hot, held = len(t), h[-1], None
+            else:
+                end, held = first[-1], t.slice(first[-1])
+            yield from _sized(t, np.repeat(size, np.diff(np.append(first, len(h)))), end)
+        if held is not None:
+            n = np.diff(held.column("spots").combine_chunks().offsets.to_numpy()).sum() // 3
+            yield from _sized(held, np.full(len(held), HOT + 1 if held.column("h")[0].as_py() == hot else n), len(held))
+
+    seen = written(met.mapInArrow(several, "c string, h long, spots array<int>, size long").groupBy("c").agg(F.collect_list(F.struct("h", "spots", "size")).alias("a")), "anchors")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Bytes around each anchor; equal ones of a batch go once, and are known to repeat."""
@@ -232,7 +248,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
             out: list[list] = []
             for c, t, found_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 raw, a = t.as_buffer().to_pybytes(), found_.values
-                for h, q, lo, hi, size in zip(*(a.field(i).to_pylist() for i in range(5)), strict=True):
+                each = ((h, *spots[k : k + 3], size) for h, spots, size in zip(*(a.field(i).to_pylist() for i in range(3)), strict=True) for k in range(0, len(spots), 3))
+                for h, q, lo, hi, size in each:
                     for key, x, y in _split(raw, h, q, lo, hi, length) if size > HOT else ((h, lo, hi),):
                         ctx = raw[x : y + length]
                         row = [key, c, x, q - x, False, len(ctx), ctx]
@@ -244,6 +261,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[k : k + 4096], strict=True), schema, strict=True)], schema=schema)
 
     around = written(long.join(seen, "c").select("c", "t", "a").mapInArrow(contexts, "k long, c string, lo int, at int, known boolean, len int, ctx binary"), "contexts")
+    dropped(spark, seen)
     # occurrences that had an equal one in their batch: all their bytes repeat
     whole = around.where("known").select("c", F.col("lo").alias("s"), (F.col("lo") + F.col("len")).alias("e"))
     together = around.where("ctx IS NOT NULL").repartition("k").sortWithinPartitions("k")
@@ -278,7 +296,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
             yield out(held)
 
     spans = together.mapInPandas(marked, "c string, s int, e int")
-    per = spans.unionByName(whole).groupBy("c").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    per = written(spans.unionByName(whole).groupBy("c").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    dropped(spark, around)
     judged = texts.join(per, "c", "left").select("c", "t", "copies", "spans")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,13 +318,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("c")).join(result, "c").drop("c")
 
 
-def _sized(b: pa.Table, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    count = np.diff(np.append(first, len(h)))
-    size = np.repeat(count, count)
-    keep = np.flatnonzero(size > 1)
+def _sized(t: pa.Table, size: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
+    keep = np.flatnonzero(size[:end] > 1)
     if len(keep):
-        yield from b.take(pa.array(keep)).append_column("size", pa.array(size[keep].astype(np.int32))).combine_chunks().to_batches()
+        yield from t.take(pa.array(keep)).append_column("size", pa.array(size[keep].astype(np.int64))).combine_chunks().to_batches()
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

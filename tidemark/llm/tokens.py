@@ -12,7 +12,7 @@ import pyarrow as pa
 from tidemark.llm.kernels import U, hasher, pieces, text_bytes, words
 
 #: Words remembered by a worker; then it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 
 
 class WordIds:
