@@ -58,6 +58,27 @@ def test_hot_groups_are_split(spark, monkeypatch):
     check(spark, some_texts(2, "abcdefgh "))
 
 
+def test_one_core_in_many_documents(spark, monkeypatch):
+    """No group above HOT is brought together, however many documents share the bytes it is split by."""
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, other = word(330), word(150)
+    texts = [word(60 + i % 7) + passage + word(70) for i in range(60)]
+    texts += [x[:45] + passage + y[-50:] for x, y in zip(texts, texts[1:])] + [word(80) + other + word(80), other + word(9)]
+    plain, limit = suffixes.repeated, 12
+
+    def watched(contexts, at, count, length):
+        assert count.max(initial=0) <= limit, count.max()
+        return plain(contexts, at, count, length)
+
+    monkeypatch.setattr(suffixes, "HOT", limit)
+    monkeypatch.setattr(suffixes, "TOGETHER", 32)
+    monkeypatch.setattr(suffixes, "repeated", watched)
+    check(spark, texts, parts=40)
+    monkeypatch.setattr(suffixes, "FLAGS", 64)  # small groups share a flag with large ones
+    check(spark, texts, parts=40)
+
+
 def test_edges(spark):
     line = "a common line of some words that every one has, over and over again, for more than a hundred bytes.\n"
     check(spark, [None, "", "x" * 99, "x" * 100, "y" * 100, "y" * 100, "z" * 3000, line * 30, line, "head " + line + "tail", "é" * 50, "q" + "é" * 50, "u" * 99, "u" * 99])

@@ -7,6 +7,10 @@ suffixes that begin at the anchor are sorted by a mergesort whose comparisons ta
 prefix polynomial hashes for the common extension, and so are the reversed beginnings that end there.
 Neighbours' common extensions, verified byte by byte, then tell for each window which others agree with it to the
 right and to the left. Texts that are equal as a whole are looked at once.
+
+Groups of very many occurrences are split by the bytes that neighbouring windows share. Those that are
+as large even then are not brought together at all: their windows are counted one by one, by a 128-bit hash
+of all their bytes (texts are told apart by one of this size too).
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ GRAM = 64
 HOT, STEP = 2048, 32
 #: Occurrences sorted at once, unless one group has more.
 TOGETHER = 4096
+#: Bits of the map of groups that are above HOT when split, a power of two; fixed, so at a very large size other
+#: groups are taken for such, and their windows are counted too.
+FLAGS = 1 << 20
 
 
 def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -264,7 +271,39 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     dropped(spark, seen)
     # occurrences that had an equal one in their batch: all their bytes repeat
     whole = around.where("known").select("c", F.col("lo").alias("s"), (F.col("lo") + F.col("len")).alias("e"))
-    together = around.where("ctx IS NOT NULL").repartition("k").sortWithinPartitions("k")
+    flag = F.pmod(F.xxhash64("k"), F.lit(FLAGS))
+    large = around.where("ctx IS NOT NULL").groupBy("k").count().where(F.col("count") > HOT).select(flag.alias("flag"))
+    large = written(large.groupBy(F.expr("flag div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(flag % 64 AS int)))").alias("bits")), "large")
+    each = around.where("ctx IS NOT NULL").withColumn("flag", flag)
+    each = each.join(F.broadcast(large), F.expr("flag div 64 = word"), "left").withColumn("large", F.expr("getbit(coalesce(bits, 0L), cast(flag % 64 AS int)) = 1"))
+    together = each.where("NOT large").select(around.columns).repartition("k").sortWithinPartitions("k")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows by their hash; one that comes again goes without it, and both are known to repeat."""
+        for whole_batch in batches:
+            for k in range(0, whole_batch.num_rows, TOGETHER):
+                b = whole_batch.slice(k, TOGETHER)
+                first: dict[bytes, int] = {}
+                keys, texts_, starts, known = [], [], [], []
+                for c, lo, ctx in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    for i in range(len(ctx) - length + 1):
+                        w = hashlib.blake2b(ctx[i : i + length], digest_size=16).digest()
+                        n = first.setdefault(w, len(keys))
+                        again = n < len(keys)
+                        known.append(again)
+                        known[n] = again
+                        keys.append(None if again else w)
+                        texts_.append(c)
+                        starts.append(lo + i)
+                out = [pa.array(keys, pa.binary()), pa.array(texts_, pa.string()), pa.array(starts, pa.int32()), pa.array(known, pa.bool_())]
+                for j in range(0, len(keys), 1 << 14):
+                    yield pa.RecordBatch.from_arrays([x.slice(j, 1 << 14) for x in out], ["w", "c", "s", "known"])
+
+    single = written(each.where("large").select("c", "lo", "ctx").mapInArrow(windows, "w binary, c string, s int, known boolean"), "windows")
+    often = single.where("w IS NOT NULL").groupBy("w").count().where(F.col("count") > 1).select("w")
+    counted = single.where("known").select("c", "s").unionByName(single.where("NOT known").join(often, "w", "left_semi").select("c", "s"))
+    # windows fewer than GRAM bytes apart overlap, so what lies between them goes as well
+    counted = counted.groupBy("c", F.expr(f"s div {GRAM}")).agg(F.min("s").alias("s"), (F.max("s") + length).alias("e")).select("c", "s", "e")
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -296,8 +335,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
             yield out(held)
 
     spans = together.mapInPandas(marked, "c string, s int, e int")
-    per = written(spans.unionByName(whole).groupBy("c").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    dropped(spark, around)
+    per = written(spans.unionByName(whole).unionByName(counted).groupBy("c").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    for used in (around, large, single):
+        dropped(spark, used)
     judged = texts.join(per, "c", "left").select("c", "t", "copies", "spans")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
