@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from tidemark.llm import jaccard
 from tidemark.llm.queries import QUERIES
 
@@ -82,6 +84,35 @@ def test_groups_of_one_prefix(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_only_near_classes_become_pairs(spark, monkeypatch):
+    """Classes of one prefix and size, and of two groups that meet, that agree in nothing but the prefix."""
+    monkeypatch.setattr(jaccard, "PART", 8)
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    bodies = [" ".join(["s t", *rnd.sample(words, 22 + k % 2)]) for k in range(40)]
+    texts = ["r1 r2 r3 " + x for x in bodies] + [x for x in bodies for _ in range(50)]  # the bodies' shingles are the common ones
+    near = "r1 r2 r3 " + bodies[0].rsplit(" ", 1)[0] + " "
+    rows = list(enumerate(texts + [near + "other", near + "last"]))
+    plain, pairs = jaccard._similar, []
+
+    def watched(some, sets, percent):
+        pairs.append(some.count())
+        return plain(some, sets, percent)
+
+    monkeypatch.setattr(jaccard, "_similar", watched)
+    check(spark, rows)
+    assert pairs[0] <= 2 * len(bodies) + 10 and pairs[1] <= 10, pairs
+
+
+def test_parities_bound_the_difference():
+    rnd = np.random.default_rng(0)
+    for n, m, both in ((3, 4, 3), (50, 60, 40), (900, 1000, 890)):
+        x = rnd.integers(0, 2**63, n + m - both).astype(np.uint64)
+        sets = np.concatenate([x[:n], x[n - both :]])
+        a, b = (np.frombuffer(v.as_py(), np.uint8) for v in jaccard._parities(sets, np.array([0, n, n + m])))
+        assert 0 < np.bitwise_count(a ^ b).sum() <= n + m - 2 * both
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]

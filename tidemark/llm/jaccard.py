@@ -5,7 +5,9 @@ counting sketch of fixed size, then by hash. Two sets that are similar enough sh
 first |set| - ceil(t |set|) + 1 of each, the prefix (Chaudhuri et al., 2006), at places that still allow
 the overlap (Xiao et al., 2008). Equal sets are one class; classes of one size and prefix are one group
 (Bouros et al., 2012). Groups meet in the lists of the shingles of their prefixes; a pair of groups that
-passes the filters is expanded to its classes, whose shingles are compared.
+passes the filters is expanded to its classes. These are compared in place, in blocks of fixed size, by
+parities of their shingles, which bound the difference of two sets from below; only pairs within what the
+threshold allows become rows, and their shingles are compared.
 
 Only what connects is wanted, so lists are walked twice: first each group with the most central group of
 the list only, then all pairs that are not connected by then. A group of copies thus costs in proportion
@@ -33,6 +35,8 @@ BLOCK = 1 << 16
 BITS = 1 << 26
 #: Rows of a list that are compared in a task with rows of the same or of another part of the list.
 PART = 1024
+#: Cells of the parities of a set.
+FOLD = 512
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +148,17 @@ def _sums(x: np.ndarray, at: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.diff(at), pa.int32()), *(pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums)]
 
 
+def _parities(x: np.ndarray, at: np.ndarray) -> pa.Array:
+    """For each set the cells with an odd number of its members. A member of one set only changes one cell, so two
+    sets differ in at least as many members as in cells."""
+    n = len(at) - 1
+    odd = np.bincount(np.repeat(np.arange(n), np.diff(at)) * FOLD + (x & U(FOLD - 1)).astype(np.int64), minlength=n * FOLD) & 1
+    ends = np.arange(n + 1, dtype=np.int32) * (FOLD // 8)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.packbits(odd.astype(bool)))])
+
+
 def _signatures(rows: DataFrame, common, width: int, percent: int) -> DataFrame:
-    """id, n, two sums of hashes of the set, and its prefix in the total order."""
+    """id, n, two sums of hashes of the set, its parities, and its prefix in the total order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = common.value
@@ -163,12 +176,13 @@ def _signatures(rows: DataFrame, common, width: int, percent: int) -> DataFrame:
                     [
                         b.column(0).slice(i, j - i),
                         *_sums(x, at),
+                        _parities(x, at),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[o][keep].view(np.int64))),
                     ],
-                    ["id", "n", "s1", "s2", "prefix"],
+                    ["id", "n", "s1", "s2", "odd", "prefix"],
                 )
 
-    return rows.mapInArrow(run, "id long, n int, s1 long, s2 long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, n int, s1 long, s2 long, odd binary, prefix array<long>")
 
 
 def _runs(fn, names: list[str]):
@@ -200,23 +214,30 @@ def _runs(fn, names: list[str]):
     return run
 
 
+def _couples(g: pd.DataFrame, names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of rows that agree in names, over rows that are sorted by them."""
+    new = np.ones(len(g), bool)
+    new[1:] = False
+    for x in (g[c].to_numpy() for c in names):
+        new[1:] |= x[1:] != x[:-1]
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(g)))
+    for k in range(1, int(size.max())):  # rows k apart in a run, for all runs at once
+        live = size > k
+        start, size = start[live], size[live]
+        a = np.repeat(start, size - k) + (np.arange((size - k).sum()) - np.repeat(np.cumsum(size - k) - (size - k), size - k))
+        yield a, a + k
+
+
 def _pairs(percent: int):
     """Pairs of groups within runs of (token, i, j) that lie in different components and pass the size
     and place filters."""
 
     def of(g: pd.DataFrame) -> pd.DataFrame | None:
-        token, i, j = (g[c].to_numpy() for c in ("token", "i", "j"))
+        i, j = (g[c].to_numpy() for c in ("i", "j"))
         n, p, comp, part, ids = (g[c].to_numpy(np.int64) for c in ("n", "p", "comp", "part", "g"))
-        new = np.ones(len(g), bool)
-        new[1:] = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(g)))
         out = []
-        for k in range(1, int(size.max())):  # rows k apart in a run, for all runs at once
-            live = size > k
-            start, size = start[live], size[live]
-            a = np.repeat(start, size - k) + (np.arange((size - k).sum()) - np.repeat(np.cumsum(size - k) - (size - k), size - k))
-            b = a + k
+        for a, b in _couples(g, ["token", "i", "j"]):
             need = least(n[a], n[b], percent)
             ok = (comp[a] != comp[b]) & (np.minimum(n[a] - p[a], n[b] - p[b]) >= need) & (np.minimum(n[a], n[b]) >= need) & ((i[a] == j[a]) | (part[a] != part[b]))
             out.append((ids[a[ok]], ids[b[ok]]))
@@ -226,6 +247,30 @@ def _pairs(percent: int):
     return _runs(of, ["token", "i", "j"])
 
 
+def _near(percent: int):
+    """Pairs of classes of two sides within runs of (a, b, i, j) that lie in different components and whose parities
+    differ in no more cells than similar sets may differ in members."""
+
+    def of(g: pd.DataFrame) -> pd.DataFrame | None:
+        a, b, i, j, side, c, comp, n = (g[x].to_numpy(np.int64) for x in ("a", "b", "i", "j", "side", "c", "comp", "n"))
+        odd = np.frombuffer(b"".join(g["odd"]), U).reshape(len(g), -1)
+        once = (a == b) & (i == j)  # both sides have the same classes
+        out = []
+        for x, y in _couples(g, ["a", "b", "i", "j"]):
+            ok = (side[x] != side[y]) & (comp[x] != comp[y])
+            x, y = x[ok], y[ok]
+            x, y = np.where(side[x] == 0, x, y), np.where(side[x] == 0, y, x)
+            room = n[x] + n[y] - 2 * least(n[x], n[y], percent)
+            ok = (~once[x] | (c[x] < c[y])) & (np.abs(n[x] - n[y]) <= room)
+            x, y, room = x[ok], y[ok], room[ok]
+            ok = np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64) <= room
+            out.append((c[x[ok]], c[y[ok]]))
+        x, y = (np.concatenate(x) for x in zip(*out)) if out else (c[:0], c[:0])
+        return pd.DataFrame({"x": x, "y": y}) if len(x) else None
+
+    return _runs(of, ["a", "b", "i", "j"])
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (x, y) of classes those whose sets are similar, as a, b."""
     left = pairs.select("x", "y").join(sets.select(F.col("c").alias("x"), F.col("set").alias("p")), "x")
@@ -260,7 +305,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     common = spark.sparkContext.broadcast(_sketch(rows, width))
     signed = written(_signatures(rows, common, width, percent).withColumn("c", F.xxhash64("n", "s1", "s2")), "signatures")
-    classes = signed.where("n > 0").groupBy("c").agg(F.min("id").alias("low"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    classes = signed.where("n > 0").groupBy("c").agg(F.min("id").alias("low"), F.any_value("n").alias("n"), F.any_value("odd").alias("odd"), F.any_value("prefix").alias("prefix"))
     classes = written(classes.withColumn("g", F.xxhash64("n", "prefix")), "classes")
     members = classes.select("g", "c")
 
@@ -280,7 +325,9 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     dropped(spark, bare)
 
     kept: list[DataFrame] = []
-    several = written(members.groupBy("g").agg(F.min("c").alias("rep"), F.count("*").alias("k")), "groups")
+    # different sets of one size can be similar only if the overlap may be less than the size
+    able = F.expr(f"cast(ceil({2 * percent} * n / {100 + percent}) as int) < n").alias("able")
+    several = written(classes.groupBy("g").agg(F.min("c").alias("rep"), F.count("*").alias("k"), F.any_value("n").alias("n")).select("g", "rep", "k", able), "groups")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,13 +354,13 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     star = lists.join(best, "token").where("g <> h.g").withColumn("need", F.expr(f"cast(ceil({percent} * (n + h.n) / {100 + percent}) as int)"))
     star = star.where("least(n, h.n) >= need AND least(n - p, h.n - h.p) >= need").select(F.least("g", "h.g").alias("a"), F.greatest("g", "h.g").alias("b")).distinct()
     star = star.join(several.select(F.col("g").alias("a"), F.col("rep").alias("x")), "a").join(several.select(F.col("g").alias("b"), F.col("rep").alias("y")), "b")
-    own = members.join(several.where("k > 1"), "g").where("c <> rep").select(F.col("c").alias("x"), F.col("rep").alias("y"))
+    own = members.join(several.where("k > 1 AND able"), "g").where("c <> rep").select(F.col("c").alias("x"), F.col("rep").alias("y"))
     first = written(star.select("x", "y").unionByName(own), "pairs")
     links = written(_similar(first, sets_of(first), percent), "links")
     comp = written(components(links), "components")
 
     # then all pairs that are not connected by then; a group that isn't in one component stands for itself
-    known = written(members.join(comp.withColumnRenamed("node", "c"), "c", "left").select("g", "c", F.coalesce("component", "c").alias("comp")), "known")
+    known = written(classes.select("g", "c", "n", "odd").join(comp.withColumnRenamed("node", "c"), "c", "left").select("g", "c", "n", "odd", F.coalesce("component", "c").alias("comp")), "known")
     of_group = known.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).select("g", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g")).alias("comp"), (F.col("low") != F.col("high")).alias("apart"))
     marked = lists.join(of_group, "g")
     mixed = marked.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("lo <> hi").select("token", "parts")
@@ -324,12 +371,16 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
         .select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "g", "n", "p", "comp")
     )
     left = work.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInPandas(_pairs(percent), "a long, b long").distinct()
-    x = known.select(F.col("g").alias("a"), F.col("c").alias("x"), F.col("comp").alias("cx"))
-    y = known.select(F.col("g").alias("b"), F.col("c").alias("y"), F.col("comp").alias("cy"))
-    wide = left.join(x, "a").join(y, "b").where("cx <> cy").select("x", "y")
-    apart = of_group.where("apart").select(F.col("g").alias("a"))
-    inside = x.join(apart, "a").join(y.withColumnRenamed("b", "a"), "a").where("x < y AND cx <> cy").select("x", "y")
-    rest = written(wide.unionByName(inside), "pairs")
+    # the classes of two groups, or of one that is not in one component, meet in parts of both
+    inside = of_group.where("apart").join(several.where("able"), "g").select(F.col("g").alias("a"), F.col("g").alias("b"))
+    parts = F.ceil(F.col("k") / PART).cast("int")
+    meet = left.unionByName(inside).join(several.select(F.col("g").alias("a"), parts.alias("pa")), "a").join(several.select(F.col("g").alias("b"), parts.alias("pb")), "b")
+    names = ["a", "b", "i", "j", "side", "c", "comp", "n", "odd"]
+    own_part = lambda of: F.expr(f"cast(pmod(xxhash64(c), {of}) as int)")
+    x = meet.join(known.withColumnRenamed("g", "a"), "a").withColumn("i", own_part("pa")).withColumn("j", F.expr("explode(sequence(if(a = b, i, 0), pb - 1))")).withColumn("side", F.lit(0))
+    y = meet.join(known.withColumnRenamed("g", "b"), "b").withColumn("j", own_part("pb")).withColumn("i", F.expr("explode(sequence(0, if(a = b, j, pa - 1)))")).withColumn("side", F.lit(1))
+    blocks = x.select(names).unionByName(y.select(names)).repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j")
+    rest = written(blocks.mapInPandas(_near(percent), "x long, y long"), "pairs")
     more = _similar(rest, sets_of(rest), percent)
 
     final = written(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
