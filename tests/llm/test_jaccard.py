@@ -84,6 +84,25 @@ def test_groups_of_one_prefix(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_no_list_is_gathered_in_a_task(spark, monkeypatch):
+    """Only parts of lists and of groups reach a Python task in whole runs."""
+    monkeypatch.setattr(jaccard, "PART", 8)
+    plain = jaccard._runs
+
+    def watched(fn, names):
+        def small(g):
+            assert g.groupby(names).size().max() <= 40, names
+            return fn(g)
+
+        return plain(small, names)
+
+    monkeypatch.setattr(jaccard, "_runs", watched)
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    bodies = [" ".join(rnd.sample(words, 24)) for _ in range(45)]
+    check(spark, list(enumerate(["r1 r2 r3 " + x for x in bodies] + [x for x in bodies for _ in range(50)])))
+
+
 def test_only_near_classes_become_pairs(spark, monkeypatch):
     """Classes of one prefix and size, and of two groups that meet, that agree in nothing but the prefix."""
     monkeypatch.setattr(jaccard, "PART", 8)

@@ -313,14 +313,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     groups = classes.groupBy("g").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     spread = groups.select("g", "n", F.posexplode("prefix").alias("p", "token"))
 
-    def shared(g: pd.DataFrame) -> pd.DataFrame | None:
-        t = g["token"].to_numpy()
-        new = np.append(True, t[1:] != t[:-1])
-        size = np.diff(np.append(np.flatnonzero(new), len(t)))
-        g = g.assign(size=np.repeat(size, size))
-        return g[g["size"] > 1] if (size > 1).any() else None
-
-    bare = written(spread.repartition("token").sortWithinPartitions("token").mapInPandas(_runs(shared, ["token"]), "g long, n int, p int, token long, size int"), "lists")
+    often = spread.groupBy("token").count().where(F.col("count") > 1).select("token")
+    bare = written(spread.join(often, "token", "left_semi").select("g", "n", "p", "token"), "lists")
     lists = written(bare.join(bare.groupBy("g").agg(F.count("*").alias("centre")), "g"), "lists")
     dropped(spark, bare)
 
