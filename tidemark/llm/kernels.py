@@ -61,6 +61,7 @@ class Hasher:
                 self.down = _powers(pow(self.base, -1, 2**64), n)
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
+        """Takes eight bytes a byte, and the powers that stay take sixteen: for pieces, not for whole texts."""
         self._powers(len(data) + 1)
         out = np.zeros(len(data) + 1, U)
         np.cumsum(self.of[data] * self.up[: len(data)], out=out[1:])
@@ -74,6 +75,27 @@ class Hasher:
         n = max(0, len(prefix) - width)
         return (prefix[width:] - prefix[:n]) * self.down[:n]
 
+    def of_ranges(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of ascending ranges that don't overlap, as ranges() gives them, over a piece of data at a time."""
+        if len(data) <= PIECE:
+            return self.ranges(self.prefix(data), start, end)
+        out, i = np.zeros(len(start), U), 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
+            a, z = int(start[i]), int(end[j - 1])
+            if z - a <= PIECE:
+                out[i:j] = self.ranges(self.prefix(data[a:z]), start[i:j] - a, end[i:j] - a)
+            else:  # one range longer than a piece: the sum of its pieces' sums, each moved to its place
+                total = sum(int(self.prefix(data[k : min(z, k + PIECE)])[-1]) * pow(self.base, k - a, 2**64) for k in range(a, z, PIECE))
+                out[i] = mix(np.array([(total + z - a) % 2**64], U))[0]
+            i = j
+        return out
+
+    def each_window(self, data: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+        """First place and mixed hashes of all windows, a piece at a time."""
+        for k in range(0, len(data) - width + 1, PIECE):
+            yield k, mix(self.windows(self.prefix(data[k : k + PIECE + width - 1]), width))
+
 
 def _powers(base: int, n: int) -> np.ndarray:
     out, k = np.ones(n, U), 1
