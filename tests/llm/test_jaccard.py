@@ -128,8 +128,20 @@ def test_parities_bound_the_difference():
     for n, m, both in ((3, 4, 3), (50, 60, 40), (900, 1000, 890)):
         x = rnd.integers(0, 2**63, n + m - both).astype(np.uint64)
         sets = np.concatenate([x[:n], x[n - both :]])
-        a, b = (np.frombuffer(v.as_py(), np.uint8) for v in jaccard._parities(sets, np.array([0, n, n + m])))
-        assert 0 < np.bitwise_count(a ^ b).sum() <= n + m - 2 * both
+        for percent in (90, 60):
+            odd = jaccard.Parities([v.as_py() for v in jaccard._parities(sets, np.array([0, n, n + m]), percent)] + [None])
+            x, y = np.array([0, 0, 2]), np.array([1, 1, 1])
+            assert odd.within(x, y, np.array([n + m - 2 * both, -1, -1])).tolist() == [True, False, True]
+
+
+def test_parities_tell_unlike_sets_apart():
+    rnd = np.random.default_rng(1)
+    for n, m in ((100, 95), (1000, 1030), (20_000, 21_000), (1020, 1030)):
+        for percent in (90, 80):
+            x = rnd.integers(0, 2**63, n + m).astype(np.uint64)
+            odd = jaccard.Parities([v.as_py() for v in jaccard._parities(x, np.array([0, n, n + m]), percent)])
+            room = n + m - 2 * jaccard.least(np.array([n]), np.array([m]), percent)
+            assert not odd.within(np.array([0]), np.array([1]), room).any()
 
 
 def test_query(spark):

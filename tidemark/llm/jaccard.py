@@ -5,7 +5,7 @@ counting sketch of fixed size, then by hash. Two sets that are similar enough sh
 first |set| - ceil(t |set|) + 1 of each, the prefix (Chaudhuri et al., 2006), at places that still allow
 the overlap (Xiao et al., 2008). Equal sets are one class; classes of one size and prefix are one group
 (Bouros et al., 2012). Groups meet in the lists of the shingles of their prefixes; a pair of groups that
-passes the filters is expanded to its classes. These are compared in place, in blocks of fixed size, by
+passes the filters is expanded to its classes. Classes are compared in place, in blocks of fixed size, by
 parities of their shingles, which bound the difference of two sets from below; only pairs within what the
 threshold allows become rows, and their shingles are compared.
 
@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import U, hasher, mix, pieces, text_bytes, words
@@ -34,9 +34,9 @@ BLOCK = 1 << 16
 #: Bits of the map that keeps texts nobody asks for out of a shuffle, a power of two; fixed like CELLS.
 BITS = 1 << 26
 #: Rows of a list that are compared in a task with rows of the same or of another part of the list.
-PART = 1024
-#: Cells of the parities of a set.
-FOLD = 512
+PART = 512
+#: Parities have so many cells at least, and as many times what two sets of one size may differ in.
+FOLD, SPARE = 64, 2.5
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +45,7 @@ def shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarr
     n = len(bounds) - 1
     start, end, text = words(data, bounds)
     h = hasher(3, True)
-    w = h.ranges(h.prefix(data), start, end)
+    w = h.of_ranges(data, start, end)
     k = len(w) - width + 1
     whole = np.zeros(0, U)
     own = np.zeros(0, np.int64)
@@ -113,9 +113,10 @@ def _sketch(rows: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def _asked_for(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows (id, text) without most of those whose id is not in ids, by a bit for each hash of an id. The map has a
-    fixed size, so at a very large size it lets more through; the join that follows decides."""
+def _asked_for(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows (k1, k2, text) without most of those whose key is not in keys, by a bit for each hash of a key, and without those
+    that a task has had already. The map has a fixed size, so at a very large size it lets more through; the join that
+    follows decides."""
     spark = rows.sparkSession
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,8 +126,8 @@ def _asked_for(rows: DataFrame, ids: DataFrame) -> DataFrame:
                 bits[np.asarray(x)] = True
                 yield pd.DataFrame({"block": [k], "bits": [np.packbits(bits).tobytes()]})
 
-    h = F.pmod(F.xxhash64("id"), F.lit(BITS)).cast("int")
-    got = ids.select(h.alias("h")).select(F.shiftright("h", BLOCK.bit_length() - 1).alias("block"), F.col("h").bitwiseAND(BLOCK - 1).alias("bit"))
+    h = F.pmod(F.col("k1"), F.lit(BITS)).cast("int")
+    got = keys.select(h.alias("h")).select(F.shiftright("h", BLOCK.bit_length() - 1).alias("block"), F.col("h").bitwiseAND(BLOCK - 1).alias("bit"))
     blocks = got.groupBy("block").agg(F.collect_set("bit").alias("bits")).mapInPandas(packed, "block int, bits binary")
     bits = np.zeros(BITS // 8, np.uint8)
     for r in blocks.toLocalIterator():
@@ -134,12 +135,15 @@ def _asked_for(rows: DataFrame, ids: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(bits)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: set[tuple[int, int]] = set()
         for b in batches:
-            at = b.column(2).to_numpy()
-            keep = pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["id", "text"])
+            at = b.column(3).to_numpy()
+            keep = np.flatnonzero((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            each = [(i, x) for i, x in zip(keep.tolist(), zip(*(b.column(k).take(pa.array(keep)).to_pylist() for k in (0, 1)), strict=True), strict=True)]
+            new = pa.array([i for i, x in each if x not in had and not had.add(x)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(k).take(new) for k in range(3)], ["k1", "k2", "text"])
 
-    return rows.select("id", "text", h.alias("h")).mapInArrow(kept, "id long, text string")
+    return rows.select("k1", "k2", "text", h.alias("h")).mapInArrow(kept, "k1 long, k2 long, text string")
 
 
 def _sums(x: np.ndarray, at: np.ndarray) -> list[pa.Array]:
@@ -148,22 +152,62 @@ def _sums(x: np.ndarray, at: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.diff(at), pa.int32()), *(pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums)]
 
 
-def _parities(x: np.ndarray, at: np.ndarray) -> pa.Array:
+def _cells(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many cells the parities of sets of n members have: a power of two that grows with what they may differ in."""
+    room = 2 * n - 2 * least(n, n, percent)
+    return np.maximum(FOLD, 1 << np.ceil(np.log2(np.maximum(1, SPARE * room))).astype(np.int64))
+
+
+def _parities(x: np.ndarray, at: np.ndarray, percent: int) -> pa.Array:
     """For each set the cells with an odd number of its members. A member of one set only changes one cell, so two
     sets differ in at least as many members as in cells."""
-    n = len(at) - 1
-    odd = np.bincount(np.repeat(np.arange(n), np.diff(at)) * FOLD + (x & U(FOLD - 1)).astype(np.int64), minlength=n * FOLD) & 1
-    ends = np.arange(n + 1, dtype=np.int32) * (FOLD // 8)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.packbits(odd.astype(bool)))])
+    n = np.diff(at)
+    size = _cells(n, percent)
+    ends = np.append(0, np.cumsum(size))
+    cell = np.repeat(ends[:-1], n) + (x & np.repeat(size - 1, n).astype(U)).astype(np.int64)
+    odd = np.bincount(cell, minlength=ends[-1]) & 1
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd.astype(bool), bitorder="little"))])
+
+
+class Parities:
+    """The parities of some sets, for comparing pairs of them at a time. Where two have different numbers of cells
+    the larger one is folded: its upper half meets the lower."""
+
+    def __init__(self, odd: list[bytes | None]):
+        size = np.array([len(x) if x is not None else 0 for x in odd])
+        self.there, self.size = size > 0, size
+        self.at: dict[int, np.ndarray] = {}
+        self.of: dict[int, np.ndarray] = {}
+        for f in np.unique(size[self.there])[::-1]:  # from the largest on
+            own = np.flatnonzero(size == f)
+            rows = np.frombuffer(b"".join(odd[i] for i in own), U).reshape(len(own), -1)
+            if 2 * f in self.of:
+                more, wide = np.flatnonzero(self.at[2 * f] >= 0), self.of[2 * f]
+                rows, own = np.concatenate([rows, wide[:, : f // 8] ^ wide[:, f // 8 :]]), np.concatenate([own, more[np.argsort(self.at[2 * f][more])]])
+            self.at[f] = np.full(len(size), -1)
+            self.at[f][own] = np.arange(len(own))
+            self.of[f] = rows
+
+    def within(self, x: np.ndarray, y: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Where sets x and y differ in no more cells than room, or can't be compared."""
+        ok = np.ones(len(x), bool)
+        f = np.minimum(self.size[x], self.size[y])
+        f[np.maximum(self.size[x], self.size[y]) > 2 * f] = 0
+        for k in np.unique(f[f > 0]):
+            s = np.flatnonzero(f == k)
+            for i in range(0, len(s), 1 << 14):
+                t = s[i : i + (1 << 14)]
+                ok[t] = np.bitwise_count(self.of[k][self.at[k][x[t]]] ^ self.of[k][self.at[k][y[t]]]).sum(1, dtype=np.int64) <= room[t]
+        return ok
 
 
 def _signatures(rows: DataFrame, common, width: int, percent: int) -> DataFrame:
-    """id, n, two sums of hashes of the set, its parities, and its prefix in the total order."""
+    """id and key of a row, n, two sums of hashes of the set, its parities, and its prefix in the total order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = common.value
         for b in batches:
-            data, bounds = text_bytes(b.column(1))
+            data, bounds = text_bytes(b.column(3))
             for i, j in pieces(bounds):
                 x, at = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], width)
                 n = np.diff(at)
@@ -174,15 +218,15 @@ def _signatures(rows: DataFrame, common, width: int, percent: int) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(i, j - i),
+                        *(b.column(k).slice(i, j - i) for k in range(3)),
                         *_sums(x, at),
-                        _parities(x, at),
+                        _parities(x, at, percent),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[o][keep].view(np.int64))),
                     ],
-                    ["id", "n", "s1", "s2", "odd", "prefix"],
+                    ["id", "k1", "k2", "n", "s1", "s2", "odd", "prefix"],
                 )
 
-    return rows.mapInArrow(run, "id long, n int, s1 long, s2 long, odd binary, prefix array<long>")
+    return rows.select("id", "k1", "k2", "text").mapInArrow(run, "id long, k1 long, k2 long, n int, s1 long, s2 long, odd binary, prefix array<long>")
 
 
 def _runs(fn, names: list[str]):
@@ -230,19 +274,23 @@ def _couples(g: pd.DataFrame, names: list[str]) -> Iterator[tuple[np.ndarray, np
 
 
 def _pairs(percent: int):
-    """Pairs of groups within runs of (token, i, j) that lie in different components and pass the size
-    and place filters."""
+    """Pairs of groups within runs of (token, i, j) that lie in different components and pass the size and place filters.
+    Where both are of one class (odd is there), their parities must allow the pair, too."""
 
     def of(g: pd.DataFrame) -> pd.DataFrame | None:
         i, j = (g[c].to_numpy() for c in ("i", "j"))
         n, p, comp, part, ids = (g[c].to_numpy(np.int64) for c in ("n", "p", "comp", "part", "g"))
+        odd = Parities(g["odd"].tolist())
         out = []
         for a, b in _couples(g, ["token", "i", "j"]):
             need = least(n[a], n[b], percent)
             ok = (comp[a] != comp[b]) & (np.minimum(n[a] - p[a], n[b] - p[b]) >= need) & (np.minimum(n[a], n[b]) >= need) & ((i[a] == j[a]) | (part[a] != part[b]))
-            out.append((ids[a[ok]], ids[b[ok]]))
-        a, b = (np.concatenate(x) for x in zip(*out)) if out else (ids[:0], ids[:0])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates() if len(a) else None
+            a, b, need = a[ok], b[ok], need[ok]
+            ok = odd.within(a, b, n[a] + n[b] - 2 * need)
+            a, b = a[ok], b[ok]
+            out.append((ids[a], ids[b], odd.there[a] & odd.there[b]))
+        a, b, single = (np.concatenate(x) for x in zip(*out)) if out else (ids[:0], ids[:0], ids[:0])
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "single": single.astype(bool)}).drop_duplicates() if len(a) else None
 
     return _runs(of, ["token", "i", "j"])
 
@@ -253,7 +301,7 @@ def _near(percent: int):
 
     def of(g: pd.DataFrame) -> pd.DataFrame | None:
         a, b, i, j, side, c, comp, n = (g[x].to_numpy(np.int64) for x in ("a", "b", "i", "j", "side", "c", "comp", "n"))
-        odd = np.frombuffer(b"".join(g["odd"]), U).reshape(len(g), -1)
+        odd = Parities(g["odd"].tolist())
         once = (a == b) & (i == j)  # both sides have the same classes
         out = []
         for x, y in _couples(g, ["a", "b", "i", "j"]):
@@ -263,7 +311,7 @@ def _near(percent: int):
             room = n[x] + n[y] - 2 * least(n[x], n[y], percent)
             ok = (~once[x] | (c[x] < c[y])) & (np.abs(n[x] - n[y]) <= room)
             x, y, room = x[ok], y[ok], room[ok]
-            ok = np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64) <= room
+            ok = odd.within(x, y, room)
             out.append((c[x[ok]], c[y[ok]]))
         x, y = (np.concatenate(x) for x in zip(*out)) if out else (c[:0], c[:0])
         return pd.DataFrame({"x": x, "y": y}) if len(x) else None
@@ -271,6 +319,19 @@ def _near(percent: int):
     return _runs(of, ["a", "b", "i", "j"])
 
 
+def _allowed(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (x, y) with sizes and parities of both (n, odd and m, even) those whose parities allow them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(k).to_numpy().astype(np.int64) for k in (2, 4))
+            odd, i = Parities(b.column(3).to_pylist() + b.column(5).to_pylist()), np.arange(len(n))
+            keep = pa.array(odd.within(i, i + len(n), n + m - 2 * least(n, m, percent)))
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(keep) for k in (0, 1)], ["x", "y"])
+
+    return pairs.select("x", "y", "n", "odd", "m", "even").mapInArrow(run, "x long, y long")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (x, y) of classes those whose sets are similar, as a, b."""
     left = pairs.select("x", "y").join(sets.select(F.col("c").alias("x"), F.col("set").alias("p")), "x")
@@ -296,32 +357,40 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     the sets of width-word shingles is at least percent in a hundred.
 
     component_id is the smallest doc_id that links reach. Texts without a word (null, empty, white
-    space) have no shingles and link with nothing. Rows with equal sets, repeated rows among them, are linked; a null
-    doc_id takes part, but is no component_id unless it is alone (then null). Other columns are ignored; an
-    empty table gives an empty result. Shingles are compared as 64-bit hashes.
+    space) have no shingles and link with nothing. Rows with equal sets, repeated rows and tied ids among them, are
+    linked; a null doc_id takes part, but is no component_id unless it is alone (then null). A very long text is one set
+    like any other; a task holds the shingles of one such text at a time. Other columns are ignored, whatever their
+    names; an empty table gives an empty result. Sets are told apart by their size and two 64-bit sums, shingles are
+    compared as 64-bit hashes.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = rows.select("id", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64(F.lit(7), "text", "id").alias("k2"))
     common = spark.sparkContext.broadcast(_sketch(rows, width))
-    signed = written(_signatures(rows, common, width, percent).withColumn("c", F.xxhash64("n", "s1", "s2")), "signatures")
-    classes = signed.where("n > 0").groupBy("c").agg(F.min("id").alias("low"), F.any_value("n").alias("n"), F.any_value("odd").alias("odd"), F.any_value("prefix").alias("prefix"))
-    classes = written(classes.withColumn("g", F.xxhash64("n", "prefix")), "classes")
-    members = classes.select("g", "c")
+    signed = written(_signatures(rows, common, width, percent), "signatures")
+    # equal sets are a class, known by the text of its smallest id
+    known_by = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2")).alias("x")
+    classes = signed.where("n > 0").groupBy("n", "s1", "s2").agg(known_by, F.any_value("odd").alias("odd"), F.any_value("prefix").alias("prefix"))
+    classes = classes.select("n", "s1", "s2", F.col("x.id").alias("low"), "x.k1", "x.k2", "odd", "prefix", F.xxhash64("n", "prefix").alias("p1"), F.xxhash64("prefix", F.lit(7), "n").alias("p2"))
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    narrow = written(signed.select("id", "n", "s1", "s2"), "narrow")
+    dropped(spark, signed)
+
+    # classes of one size and prefix are a group, known by its smallest class; different sets of one size can be similar
+    # only if the overlap may be less than the size
+    able = F.expr(f"cast(ceil({2 * percent} * n / {100 + percent}) as int) < n").alias("able")
+    groups = classes.groupBy("p1", "p2").agg(F.min(F.struct("c", "odd")).alias("r"), F.count("*").alias("k"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    groups = written(groups.select(F.col("r.c").alias("g"), "r.odd", "k", "n", able, "p1", "p2", "prefix"), "groups")
+    members = written(classes.select("p1", "p2", "c", F.col("odd").alias("even")).join(groups.where("k > 1").drop("prefix"), ["p1", "p2"]).select("g", "c", "n", "odd", "even", "k", "able"), "members")
 
     # the lists of shingles that two groups have in their prefixes
-    groups = classes.groupBy("g").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     spread = groups.select("g", "n", F.posexplode("prefix").alias("p", "token"))
-
-    often = spread.groupBy("token").count().where(F.col("count") > 1).select("token")
-    bare = written(spread.join(often, "token", "left_semi").select("g", "n", "p", "token"), "lists")
+    of_token = Window.partitionBy("token")
+    bare = written(spread.withColumn("often", F.count("*").over(of_token)).where("often > 1").drop("often"), "lists")
     lists = written(bare.join(bare.groupBy("g").agg(F.count("*").alias("centre")), "g"), "lists")
     dropped(spark, bare)
-
-    kept: list[DataFrame] = []
-    # different sets of one size can be similar only if the overlap may be less than the size
-    able = F.expr(f"cast(ceil({2 * percent} * n / {100 + percent}) as int) < n").alias("able")
-    several = written(classes.groupBy("g").agg(F.min("c").alias("rep"), F.count("*").alias("k"), F.any_value("n").alias("n")).select("g", "rep", "k", able), "groups")
+    used = [classes, groups, members, lists]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,60 +399,68 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
                 x, at = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], width)
                 raw = memoryview(x.tobytes())
                 own = pa.array([raw[8 * s : 8 * e] for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), *_sums(x, at), own], ["c", "n", "s1", "s2", "set"])
+                same = np.all([x.to_numpy() == b.column(k).slice(i, j - i).to_numpy() for k, x in zip((2, 3, 4), _sums(x, at), strict=True)], axis=0)
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i).filter(pa.array(same)), own.filter(pa.array(same))], ["c", "set"])
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """Sets of the classes of pairs, from the texts of their smallest ids. A text of such an id that is of
-        another class is left out; one that is there twice only repeats links."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links among pairs of classes, whose sets come from the texts that the classes are known by."""
         met = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
-        lows = classes.join(met, "c", "left_semi").select("c", "low")
-        some = _asked_for(rows, lows.select(F.col("low").alias("id")))
-        texts = some.join(lows, some["id"].eqNullSafe(lows["low"])).select("text", "c")
-        got = texts.mapInArrow(packed, "c long, n int, s1 long, s2 long, set binary")
-        kept.append(written(got.where(F.xxhash64("n", "s1", "s2") == F.col("c")).select("c", "set"), "sets"))
-        return kept[-1]
+        lows = classes.join(met, "c", "left_semi").select("c", "k1", "k2", "n", "s1", "s2")
+        texts = _asked_for(rows, lows).groupBy("k1", "k2").agg(F.any_value("text").alias("text")).join(lows, ["k1", "k2"])
+        used.append(written(texts.select("text", "c", "n", "s1", "s2").mapInArrow(packed, "c long, set binary"), "sets"))
+        return _similar(pairs, used[-1], percent)
 
     # first the first class of each group with that of the most central group of a list, and with its own group
-    best = lists.groupBy("token").agg(F.max(F.struct("centre", "g", "n", "p")).alias("h"))
-    star = lists.join(best, "token").where("g <> h.g").withColumn("need", F.expr(f"cast(ceil({percent} * (n + h.n) / {100 + percent}) as int)"))
-    star = star.where("least(n, h.n) >= need AND least(n - p, h.n - h.p) >= need").select(F.least("g", "h.g").alias("a"), F.greatest("g", "h.g").alias("b")).distinct()
-    star = star.join(several.select(F.col("g").alias("a"), F.col("rep").alias("x")), "a").join(several.select(F.col("g").alias("b"), F.col("rep").alias("y")), "b")
-    own = members.join(several.where("k > 1 AND able"), "g").where("c <> rep").select(F.col("c").alias("x"), F.col("rep").alias("y"))
-    first = written(star.select("x", "y").unionByName(own), "pairs")
-    links = written(_similar(first, sets_of(first), percent), "links")
+    star = lists.withColumn("h", F.max(F.struct("centre", "g", "n", "p")).over(of_token)).where("g <> h.g").withColumn("need", F.expr(f"cast(ceil({percent} * (n + h.n) / {100 + percent}) as int)"))
+    star = star.where("least(n, h.n) >= need AND least(n - p, h.n - h.p) >= need").select(F.least("g", "h.g").alias("x"), F.greatest("g", "h.g").alias("y")).distinct()
+    star = star.join(groups.select(F.col("g").alias("x"), "n", "odd"), "x").join(groups.select(F.col("g").alias("y"), F.col("n").alias("m"), F.col("odd").alias("even")), "y")
+    own = members.where("able AND c <> g").select(F.col("c").alias("x"), F.col("g").alias("y"), "n", "odd", F.col("n").alias("m"), "even")
+    first = written(_allowed(star.select(own.columns).unionByName(own), percent), "pairs")
+    links = written(linked(first), "links")
     comp = written(components(links), "components")
+    used += [first, links, comp]
 
     # then all pairs that are not connected by then; a group that isn't in one component stands for itself
-    known = written(classes.select("g", "c", "n", "odd").join(comp.withColumnRenamed("node", "c"), "c", "left").select("g", "c", "n", "odd", F.coalesce("component", "c").alias("comp")), "known")
-    of_group = known.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).select("g", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g")).alias("comp"), (F.col("low") != F.col("high")).alias("apart"))
-    marked = lists.join(of_group, "g")
-    mixed = marked.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("lo <> hi").select("token", "parts")
+    found = comp.select(F.col("node").alias("c"), "component")
+    single = groups.where("k = 1").select(F.col("g").alias("c"), "odd").join(found, "c", "left").select(F.col("c").alias("g"), F.coalesce("component", "c").alias("comp"), F.lit(False).alias("apart"), "odd")
+    known = written(members.join(found, "c", "left").select("g", "c", "n", "k", "able", F.col("even").alias("odd"), F.coalesce("component", "c").alias("comp")), "known")
+    several = known.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).select("g", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g")).alias("comp"), (F.col("low") != F.col("high")).alias("apart"), F.lit(None).cast("binary").alias("odd"))
+    of_group = written(single.unionByName(several), "groups")
+    used += [known, of_group]
+    marked = lists.join(of_group.drop("apart", "odd"), "g")
+    parts = F.ceil(F.count("*").over(of_token) / PART).cast("int")
+    mixed = marked.select("*", F.min("comp").over(of_token).alias("lo"), F.max("comp").over(of_token).alias("hi"), parts.alias("parts")).where("lo <> hi")
     work = (
-        marked.join(mixed, "token")
+        mixed.join(of_group.select("g", "odd"), "g")
         .withColumn("part", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "g", "n", "p", "comp")
+        .select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "g", "n", "p", "comp", "odd")
+    )
+    left = written(work.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInPandas(_pairs(percent), "a long, b long, single boolean").distinct(), "pairs")
+    # where a group of several classes takes part, or one that is not in one component, the classes meet in parts of both
+    inside = of_group.where("apart").select(F.col("g").alias("a"), F.col("g").alias("b"))
+    inside = inside.join(groups.where("able").select(F.col("g").alias("a")), "a", "left_semi")
+    of_class = known.select("g", "c", "n", "odd", "comp", "k").unionByName(
+        groups.where("k = 1").join(left.where("NOT single").select(F.explode(F.array("a", "b")).alias("g")).distinct(), "g", "left_semi").join(of_group.select("g", "comp"), "g").select("g", F.col("g").alias("c"), "n", "odd", "comp", "k")
     )
-    left = work.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInPandas(_pairs(percent), "a long, b long").distinct()
-    # the classes of two groups, or of one that is not in one component, meet in parts of both
-    inside = of_group.where("apart").join(several.where("able"), "g").select(F.col("g").alias("a"), F.col("g").alias("b"))
     parts = F.ceil(F.col("k") / PART).cast("int")
-    meet = left.unionByName(inside).join(several.select(F.col("g").alias("a"), parts.alias("pa")), "a").join(several.select(F.col("g").alias("b"), parts.alias("pb")), "b")
+    size = of_class.groupBy("g").agg(F.max(parts).alias("parts"))
+    meet = left.where("NOT single").select("a", "b").unionByName(inside).join(size.select(F.col("g").alias("a"), F.col("parts").alias("pa")), "a").join(size.select(F.col("g").alias("b"), F.col("parts").alias("pb")), "b")
     names = ["a", "b", "i", "j", "side", "c", "comp", "n", "odd"]
     own_part = lambda of: F.expr(f"cast(pmod(xxhash64(c), {of}) as int)")
-    x = meet.join(known.withColumnRenamed("g", "a"), "a").withColumn("i", own_part("pa")).withColumn("j", F.expr("explode(sequence(if(a = b, i, 0), pb - 1))")).withColumn("side", F.lit(0))
-    y = meet.join(known.withColumnRenamed("g", "b"), "b").withColumn("j", own_part("pb")).withColumn("i", F.expr("explode(sequence(0, if(a = b, j, pa - 1)))")).withColumn("side", F.lit(1))
+    x = meet.join(of_class.withColumnRenamed("g", "a"), "a").withColumn("i", own_part("pa")).withColumn("j", F.expr("explode(sequence(if(a = b, i, 0), pb - 1))")).withColumn("side", F.lit(0))
+    y = meet.join(of_class.withColumnRenamed("g", "b"), "b").withColumn("j", own_part("pb")).withColumn("i", F.expr("explode(sequence(0, if(a = b, j, pa - 1)))")).withColumn("side", F.lit(1))
     blocks = x.select(names).unionByName(y.select(names)).repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j")
-    rest = written(blocks.mapInPandas(_near(percent), "x long, y long"), "pairs")
-    more = _similar(rest, sets_of(rest), percent)
+    rest = blocks.mapInPandas(_near(percent), "x long, y long").unionByName(left.where("single").select(F.col("a").alias("x"), F.col("b").alias("y")))
+    rest = written(rest, "pairs")
+    used += [left, rest]
 
-    final = written(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
-    named = classes.select("c", "low").join(final.withColumnRenamed("node", "c"), "c", "left").select("c", "low", F.coalesce("component", "c").alias("k"))
+    final = written(components(found.select(F.col("c").alias("a"), F.col("component").alias("b")).unionByName(linked(rest))), "components")
+    named = classes.select("c", "n", "s1", "s2", "low").join(final.withColumnRenamed("node", "c"), "c", "left").select("n", "s1", "s2", "low", F.coalesce("component", "c").alias("k"))
     lowest = named.groupBy("k").agg(F.min("low").alias("component_id"))
-    by_class = written(named.join(lowest, "k").select("c", "component_id"), "classes")
-    narrow = written(signed.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).alias("c")), "classes")
+    by_class = written(named.join(lowest, "k").select("n", "s1", "s2", "component_id"), "classes")
     # what the result doesn't read goes now
-    for used in (signed, classes, several, first, links, comp, known, rest, final, lists, *kept):
-        dropped(spark, used)
-    got = narrow.join(by_class, "c", "left")
-    return got.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    for x in (*used, final):
+        dropped(spark, x)
+    got = narrow.join(by_class, ["n", "s1", "s2"], "left")
+    return got.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
