@@ -37,7 +37,7 @@ def test_words_give_the_ids_of_the_text(texts):
 def test_cache_that_starts_anew(monkeypatch):
     monkeypatch.setattr("tidemark.llm.tokens.REMEMBERED", 5)
     word_ids.cache_clear()
-    texts = ["one two three four", "five six seven", "one eight nine ten"]
+    texts = ["one two three four", "five six seven", "one eight nine ten", "one two one", "a b c d e f g h", "one two a, b. c d", "one x y", "z one"]
     got = [ids[a:b].tolist() for t in texts for _, _, ids, ends in encoded(pa.array([t]), PATH, 2) for a, b in zip(ends, ends[1:])]
     word_ids.cache_clear()
     assert got == [ids_of(t).tolist() for t in texts]

@@ -20,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import small_batches
+from tidemark.llm.tables import dropped, small_batches, written
 from tidemark.llm.tokens import encoded
 
 FILE = "part int, first long, n_ids long, block_ids int, width int, planes string, docs binary, counts binary, sizes array<int>, data binary"
 
 ARROW = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("block_ids", pa.int32()), ("width", pa.int32()), ("planes", pa.string()), ("docs", pa.binary()), ("counts", pa.binary()), ("sizes", pa.list_(pa.int32())), ("data", pa.binary())])
+#: Bytes of a row group of the tables: what Spark reads at once.
+ROW_GROUP = 8 << 20
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
 
@@ -55,49 +57,59 @@ def write_token_ids(
 ) -> None:
     """Writes the ids of all rows of docs to the file table at path, in ascending order of doc_id.
 
-    A null text is empty (its only id is end_id); a null doc_id comes first; rows of one doc_id are all
-    kept, in the order of a hash of their text; other columns are ignored; an empty table gives an
-    empty file table.
+    Texts are encoded where they lie; only their ids, two bytes each where the vocabulary allows it, are dealt by
+    ranges and sorted. A null text is empty (its only id is end_id); a null doc_id comes first; rows of one doc_id,
+    repeated rows too, are all kept, in the order of a hash of their text; a very long text is encoded in parts and
+    makes one chunk; other columns are ignored, whatever their names; an empty table gives an empty file table.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("h"))
-    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
 
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nth = TaskContext.get().partitionId() << 40  # parts rows that are equal, so that many of them don't make one range
+        for b in batches:
+            for i, j, ids, ends in encoded(b.column(2), tokenizer, end_id):
+                width = 4 if int(ids.max()) >> 16 else 2
+                own = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((ends * width).astype(np.int64)), pa.py_buffer(ids.astype(f"<u{width}"))])
+                at = pa.array(np.arange(nth, nth + j - i))
+                nth += j - i
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[:2]), at, pa.array(np.full(j - i, width, np.int8)), own.cast(pa.binary())], ["doc_id", "h", "at", "width", "ids"])
+
+    known = written(rows.mapInArrow(coded, "doc_id long, h long, at long, width byte, ids binary"), "coded", row_group=ROW_GROUP)
+    ordered = known.repartitionByRange("doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at").select("doc_id", "width", "ids")
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=level)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[int, np.ndarray]] = []
+        n_held = 0
 
         def chunk() -> pa.RecordBatch:
-            nonlocal first
-            ids = np.concatenate([x[2] for x in held])
+            nonlocal first, n_held
+            ids = np.concatenate([x for _, x in held])
             width = 4 if int(ids.max()) >> 24 else 3 if int(ids.max()) >> 16 else 2
-            stored = [press.compress(p) for k in range(0, len(ids), block_ids) for p in shuffled(ids[k : k + block_ids], width, planes)]
-            own = np.concatenate([x[0] for x in held])
+            planes_ = [press.compress(p) for k in range(0, len(ids), block_ids) for p in shuffled(ids[k : k + block_ids], width, planes)]
             row = {
                 "part": [part], "first": [first], "n_ids": [len(ids)], "block_ids": [block_ids], "width": [width], "planes": [planes],
-                "docs": [own.tobytes()], "counts": [np.concatenate([x[1] for x in held]).tobytes()], "sizes": [[len(x) for x in stored]], "data": [b"".join(stored)],
+                "docs": [np.array([d for d, _ in held], np.int64).tobytes()], "counts": [np.array([len(x) for _, x in held], np.int64).tobytes()],
+                "sizes": [[len(x) for x in planes_]], "data": [b"".join(planes_)],
             }
-            first += len(ids)
+            first, n_held = first + len(ids), 0
             held.clear()
             return pa.RecordBatch.from_pydict(row, schema=ARROW)
 
         for b in batches:
-            own = b.column(0).fill_null(NO_ID).to_numpy()
-            for i, j, ids, ends in encoded(b.column(1), tokenizer, end_id):
-                k = i
-                while k < j:
-                    room = chunk_ids - sum(len(x[2]) for x in held)
-                    m = max(k + (not held), i + int(np.searchsorted(ends, ends[k - i] + room, "right")) - 1)
-                    if m > k:
-                        m = min(m, j)
-                        held.append((own[k:m], np.diff(ends[k - i : m - i + 1]), ids[ends[k - i] : ends[m - i]]))
-                        k = m
-                    if k < j:
-                        yield chunk()
+            for d, width, raw in zip(b.column(0).fill_null(NO_ID).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                ids = np.frombuffer(raw.as_buffer(), f"<u{width}").astype(np.uint32)
+                if held and n_held + len(ids) > chunk_ids:
+                    yield chunk()
+                held.append((d, ids))
+                n_held += len(ids)
         if held:
             yield chunk()
 
-    rows.mapInArrow(written, FILE).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(stored, FILE).write.option("compression", "none").option("parquet.block.size", ROW_GROUP).parquet(path)
+    dropped(spark, known)
 
 
 def chunk_ids_of(row: dict) -> np.ndarray:
@@ -117,7 +129,7 @@ def read_token_ids(spark, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian 32-bit), one
     row per document of the file table at path."""
     files = spark.read.schema(FILE).parquet(path)
-    # one row per part, far fewer than documents
+    # one row per part: no more of them than the writer had partitions, whatever the data, so they can be broadcast
     before = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,5 +148,5 @@ def read_token_ids(spark, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    got = files.join(before, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    got = files.join(F.broadcast(before), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
     return got.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

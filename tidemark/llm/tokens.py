@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,15 +12,17 @@ import pyarrow as pa
 
 from tidemark.llm.kernels import U, hasher, pieces, text_bytes, words
 
-#: Words remembered by a worker; then it starts anew.
-REMEMBERED = 800_000
+#: Words remembered by a worker, about 60 bytes each; then those stay that have come again. Most words of a large
+#: corpus are rare, so more memory finds few more of them.
+REMEMBERED = 300_000
+#: Words that the pre-tokenizer leaves whole.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordIds:
     """Ids of texts for a tokenizer that never joins across white space: its normalizer makes
     white space single and its pre-tokenizer drops it, so the ids of a text are those of its words.
-    Words are known by a 64-bit hash; unseen ones go to the tokenizer together, and offsets tell whose
-    ids are whose."""
+    Words are known by a 64-bit hash; unseen ones go to the tokenizer together."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,31 +31,60 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known, self.at = np.zeros(0, U), np.zeros(0, np.int64)  # sorted hashes, and their place in first
         self.first, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def shrink(self) -> None:
+        """Forgets what has not come again."""
+        keep = self.again[self.at]
+        if keep.sum() > REMEMBERED // 2:
+            return self.forget()
+        slots = self.at[keep]
+        n = self.count[slots]
+        ends = np.cumsum(n)
+        self.pool = self.pool[np.repeat(self.first[slots] - (ends - n), n) + np.arange(n.sum())]
+        self.known, self.at, self.first, self.count, self.again = self.known[keep], np.arange(len(n)), ends - n, n, np.zeros(len(n), bool)
 
     def learn(self, hashes: np.ndarray, texts: list[bytes]) -> None:
         """New words, sorted by hash."""
         if len(self.known) + len(hashes) > REMEMBERED:
-            self.forget()
-        ids, counts = [], np.zeros(len(texts), np.int64)
-        for k in range(0, len(texts), 4096):
-            own = [x.decode("utf-8", "replace") for x in texts[k : k + 4096]]
-            starts = np.cumsum([0, *(len(x) + 1 for x in own[:-1])])
-            e = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
-            if e.ids:
-                ids.append(np.array(e.ids, np.uint32))
-                whose = np.searchsorted(starts, np.array(e.offsets, np.int64)[:, 0], "right") - 1
-                counts[k : k + len(own)] = np.bincount(whose, minlength=len(own))
-        first = len(self.pool) + np.cumsum(counts) - counts
+            self.shrink()
+        own = [x.decode("utf-8", "replace") for x in texts]
+        plain = np.array([PLAIN.fullmatch(x) is not None for x in own], bool)
+        ids, counts, order = [], [], [np.flatnonzero(plain), np.flatnonzero(~plain)]
+        for some, of in zip(order, (self._plain, self._any), strict=True):
+            for k in range(0, len(some), 4096):
+                got, n = of([own[i] for i in some[k : k + 4096]])
+                ids.append(got)
+                counts.append(n)
+        order, count = np.concatenate(order), np.concatenate([np.zeros(0, np.int64), *counts])
+        first = np.zeros(len(order), np.int64)
+        first[order] = len(self.pool) + np.cumsum(count) - count
         place = np.searchsorted(self.known, hashes)
         self.at = np.insert(self.at, place, np.arange(len(self.first), len(self.first) + len(hashes)))
         self.known = np.insert(self.known, place, hashes)
-        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, counts])
-        self.pool = np.concatenate([self.pool, *ids])
+        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count[np.argsort(order)]])
+        self.pool, self.again = np.concatenate([self.pool, *ids]), np.append(self.again, np.zeros(len(own), bool))
+
+    def _plain(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters only: each has one id that ends a word, its last."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(own) and ends[-1] == len(ids) else self._any(own)
+
+    def _any(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any words; offsets tell whose ids are whose."""
+        starts = np.cumsum([0, *(len(x) + 1 for x in own[:-1])])
+        e = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
+        whose = np.searchsorted(starts, np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
+        return np.array(e.ids, np.uint32), np.bincount(whose, minlength=len(own))
 
     def _place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
@@ -64,17 +96,16 @@ class WordIds:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
         h = hasher(1)
-        distinct, some, which = np.unique(h.ranges(h.prefix(data), start, end), return_index=True, return_inverse=True)
+        distinct, some, which = np.unique(h.of_ranges(data, start, end), return_index=True, return_inverse=True)
         place, there = self._place(distinct)
-        if not there.all():
-            whole = data.tobytes()
-            new = np.flatnonzero(~there)
-            self.learn(distinct[new], [whole[s:e] for s, e in zip(start[some[new]], end[some[new]], strict=True)])
-            place, there = self._place(distinct)
-            if not there.all():  # it started anew
-                new = np.flatnonzero(~there)
+        self.again[self.at[place[there]]] = True
+        for anew in (False, True):  # what was known may be forgotten meanwhile; then all are learnt together
+            if not there.all():
+                if anew:
+                    self.forget()
+                whole, new = data.tobytes(), np.arange(len(distinct)) if anew else np.flatnonzero(~there)
                 self.learn(distinct[new], [whole[s:e] for s, e in zip(start[some[new]], end[some[new]], strict=True)])
-                place, _ = self._place(distinct)
+                place, there = self._place(distinct)
         own = self.at[place][which]
         n = self.count[own]
         ends = np.cumsum(n)
