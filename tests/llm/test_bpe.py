@@ -45,6 +45,22 @@ def test_any_cut_is_repaired(t, data):
     assert bpe.coder(PATH).text_ids(chunks) == ",".join(map(str, expected(t)[0]))
 
 
+def test_long_pre_tokens_and_repeats():
+    """Chunks stay within their bound, and what goes on over many of them comes out as from the whole text."""
+    for t in ("a" * 2_000_000, "a " * 400_000, "\n" * 300_000, "one line of words, again and again.\n" * 20_000, "é" * 200_000 + "中文" * 50_000, "x" * 70_000 + " y" * 70_000):
+        chunks = cut([t], 256)[0]
+        assert max(len(c.encode()) for c in chunks) <= 256 * bpe.MOST + 3 and "".join(chunks) == t
+        assert bpe.coder(PATH).text_ids(chunks) == ",".join(map(str, expected(t)[0]))
+
+
+def test_memory_of_chunks_is_bounded():
+    held = bpe.Generations(str.upper, 1000)
+    for k in range(6000):
+        assert held[f"{k:04}" * 500][0] == f"{k:04}"[0]
+    assert sum(map(len, held)) + sum(map(len, held.old)) <= 2 * (bpe.HELD + bpe.LONG)
+    assert held["x" * (bpe.LONG + 1)] and "x" * (bpe.LONG + 1) not in held
+
+
 def test_query_and_operator(spark):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(ODD)] + [(None, "a", "")], "doc_id long, text string, ids string")
     got = {r.doc_id: r for r in bpe.encode_decode(df, PATH, mean=16).collect()}

@@ -20,34 +20,40 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kernels import hasher, mix, pieces, text_bytes
+from tidemark.llm.kernels import hasher, pieces, text_bytes
 from tidemark.llm.tables import small_batches
 
 #: The pre-token pattern of this family of vocabularies (fixed value).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WINDOW = 16
-#: Entries of a generation of a cache; two generations are held.
-WORDS, CHUNKS = 250_000, 20_000
+#: Entries and characters of a generation of a cache; two generations are held. Longer keys are not remembered.
+WORDS, CHUNKS, HELD, LONG = 250_000, 20_000, 1 << 23, 1 << 12
+#: A chunk has at most so many times the mean number of bytes.
+MOST = 16
 #: Pre-tokens at the beginning of a chunk at which a join may meet its scan, and the characters
 #: from its start on which the choice of a pre-token can depend.
 HEAD, REACH = 6, 3
 
 
 class Generations(dict):
-    """A dict that forgets what was not used while it filled up once."""
+    """A dict that forgets what was not used while it filled up once, by entries or by characters of the keys."""
 
     def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.old, self.held = make, size, {}, 0
 
     def __missing__(self, key):
+        n = len(key) if isinstance(key, str) else sum(map(len, key))
+        if n > LONG:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        if len(self) >= self.size or self.held > HELD:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = value
+        self.held += n
         return value
 
 
@@ -136,13 +142,18 @@ class Coder:
     def ids(self, chunks: list[str]) -> list[str]:
         """Decimal ids of a text without special tokens, in parts to be joined by commas."""
         out: list[str] = []
-        tail = ""
-        for c in chunks:
+        tail, i = "", 0
+        while i < len(chunks):
+            c = chunks[i]
+            i += 1
             k, e = 0, self.chunks[c]
             if tail:
                 met = self.joins[tail, c]
-                if met is None:  # no agreement yet: scan on into this chunk
-                    e = Chunk(tail + c, self)
+                if met is None:  # no agreement yet: scan on, into as much as the tail holds, so a long pre-token is scanned a few times only
+                    j, n = i, len(c)
+                    while j < len(chunks) and n < len(tail):
+                        n, j = n + len(chunks[j]), j + 1
+                    e, i = Chunk("".join([tail, c, *chunks[i:j]]), self), j
                 else:
                     if met[0]:
                         out.append(met[0])
@@ -172,16 +183,22 @@ def coder(path: str) -> Coder:
 
 
 def cuts(data: np.ndarray, bounds: np.ndarray, mean: int) -> list[np.ndarray]:
-    """For each text the bounds of its chunks in data, at characters' beginnings."""
-    h = hasher(2)
-    w = mix(h.windows(h.prefix(data), WINDOW))
-    at = np.flatnonzero((w & np.uint64(mean - 1)) == 0) + WINDOW
+    """For each text the bounds of its chunks in data, at characters' beginnings. Where no cut comes for MOST
+    times the mean, cuts follow at that distance from the last one."""
+    at = np.concatenate([np.zeros(0, np.int64), *(k + np.flatnonzero((w & np.uint64(mean - 1)) == 0) + WINDOW for k, w in hasher(2).each_window(data, WINDOW))])
     at = at[(at < len(data))]
     at = at[(data[at] & 0xC0) != 0x80]
-    out = []
+    out, most = [], MOST * mean
     lo, hi = np.searchsorted(at, bounds[:-1] + WINDOW), np.searchsorted(at, bounds[1:])
     for i in range(len(bounds) - 1):
-        out.append(np.concatenate([bounds[i : i + 1], at[lo[i] : max(lo[i], hi[i])], bounds[i + 1 : i + 2]]))
+        own = np.concatenate([bounds[i : i + 1], at[lo[i] : max(lo[i], hi[i])], bounds[i + 1 : i + 2]])
+        far = np.flatnonzero(np.diff(own) > most)
+        if len(far):
+            more = np.concatenate([np.arange(own[k] + most, own[k + 1], most) for k in far])
+            for _ in range(3):
+                more = more - ((data[more] & 0xC0) == 0x80)
+            own = np.union1d(own, more)
+        out.append(own)
     return out
 
 
@@ -189,9 +206,11 @@ def encode_decode(docs: DataFrame, tokenizer: str, mean: int = 256, digests: boo
     """doc_id, ids (decimal, joined by commas), n_tokens and decoded, one row per row of docs; with
     digests the SHA-256 of ids and of decoded instead of them.
 
-    A null text is empty and has no ids. Repeated rows are encoded each (from remembered chunks), doc_id is
-    copied as it is, other columns are ignored, and an empty table gives an empty result. mean: mean
-    bytes of a chunk, a power of two. What is remembered is bounded and changes no result.
+    A null or empty text has no ids and decodes to the empty text. Repeated rows are encoded each (from remembered
+    chunks), doc_id is copied as it is (null and tied ids too), other columns are ignored, whatever their names, and an
+    empty table gives an empty result. A very long text is cut into chunks of at most MOST * mean bytes; a pre-token that
+    goes on over many chunks is scanned a few times and encoded whole. mean: mean bytes of a chunk, a power of two
+    from 2 on. What is remembered is bounded by entries and characters and changes no result.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
