@@ -2,9 +2,11 @@
 
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -18,18 +20,28 @@ PROB = np.random.default_rng(5).dirichlet(np.ones(len(PIECES)), 2).T
 
 
 def by_hand(word):
-    """Sum over all ways to cut each segment."""
-    total = np.zeros(2)
-    for s in langid.segments(word):
-        p = np.zeros(2)
-        for cut in itertools.product([0, 1], repeat=len(s) - 1):
-            at = [0, *(i + 1 for i, c in enumerate(cut) if c), len(s)]
-            w = np.ones(2)
-            for x in (s[i:j] for i, j in zip(at, at[1:])):
-                w *= PROB[PIECES.index(x)] if x in PIECES else langid.STRAY if len(x) == 1 else 0
-            p += w
-        total += np.log(p)
-    return total
+    """Sum over all ways to cut a word."""
+    s, total = langid.marked(word), np.zeros(2)
+    for cut in itertools.product([0, 1], repeat=len(s) - 1):
+        at = [0, *(i + 1 for i, c in enumerate(cut) if c), len(s)]
+        w = np.ones(2)
+        for x in (s[i:j] for i, j in zip(at, at[1:])):
+            w *= PROB[PIECES.index(x)] if x in PIECES else langid.STRAY if len(x) == 1 else 0
+        total += w
+    return np.log(total)
+
+
+def in_fractions(word):
+    """The same for long words, by exact fractions."""
+    s = langid.marked(word)
+    out = []
+    for k in range(2):
+        p = {x: Fraction(float(PROB[i, k])) for i, x in enumerate(PIECES)}
+        alpha = [Fraction(1)]
+        for j in range(1, len(s) + 1):
+            alpha.append(sum(alpha[i] * p.get(s[i:j], Fraction(langid.STRAY) if j - i == 1 else 0) for i in range(max(0, j - 3), j)))
+        out.append(math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator))
+    return out
 
 
 @settings(max_examples=40, deadline=None)
@@ -40,6 +52,21 @@ def test_forward_sums_all_segmentations(texts):
         assert np.allclose(x, by_hand(t))
 
 
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="abcéx", min_size=1, max_size=12), st.integers(1, 30)), min_size=1, max_size=5))
+def test_long_words_are_not_cut(parts):
+    texts = [t * n for t, n in parts]
+    model = langid.Model(["p", "q"], PIECES, PROB)
+    for x, t in zip(model.word_scores(texts), texts):
+        assert np.allclose(x, in_fractions(t), rtol=1e-9)
+    for t in texts:
+        for steps, block in ((256, 1 << 16), (6, 12), (9, 27)):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(langid, "STEPS", steps)
+                m.setattr(langid, "BLOCK", block)
+                assert np.allclose(langid.long_score(model.lattice, model.p, langid.marked(t)), in_fractions(t), rtol=1e-9)
+
+
 def test_vocabulary_lookup():
     pieces = langid.vocabulary(PATH)
     lattice = langid.Lattice(pieces)

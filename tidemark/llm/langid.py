@@ -24,8 +24,10 @@ from tidemark.llm.tables import small_batches, written
 
 UNKNOWN = "und"
 MARK = "▁"
-#: Characters of a segment: longer words are scored in segments, so that no probability underflows.
+#: Words of up to so many characters need no rescaling; in learning, longer ones count as words of this size.
 SEGMENT = 32
+#: Longer words up to so many characters are scored together; beyond that each on its own, in blocks.
+TOGETHER, BLOCK, STEPS = 512, 1 << 16, 256
 #: Probability of a character that is no piece, and what every piece is counted besides its sightings.
 STRAY, BESIDES = 1e-7, 0.02
 REMEMBERED = 800_000
@@ -37,7 +39,7 @@ def vocabulary(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     got = (sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return list(dict.fromkeys(x for x in got if 0 < len(x) <= 16))
+    return list(dict.fromkeys(x for x in got if x))
 
 
 class Lattice:
@@ -122,11 +124,85 @@ def forward(lattice: Lattice, p: np.ndarray, texts: list[str]) -> tuple[list[np.
     return alpha, arcs
 
 
+def marked(word: str) -> str:
+    return MARK + word.lower()
+
+
 def segments(word: str) -> list[str]:
-    w = MARK + word.lower()
+    w = marked(word)
     return [w[i : i + SEGMENT] for i in range(0, len(w), SEGMENT)]
 
 
+def padded_scores(lattice: Lattice, p: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Logarithms of the sums over all segmentations, for words of different lengths at a time. Only the sums that a
+    piece can still reach are held, and they are rescaled on the way, so that none underflows."""
+    size = np.array(list(map(len, texts)))
+    n, wide = int(size.max()), lattice.longest + 1
+    c = np.zeros((len(texts), n), U)
+    for row, t in zip(c, texts, strict=True):
+        row[: len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    ring, scale = np.zeros((wide, len(texts), p.shape[1])), np.zeros((len(texts), p.shape[1]))
+    ring[0], out = 1, np.zeros(scale.shape)
+    for i in range(n + 1):
+        now = ring[i % wide].copy()
+        ended = size == i
+        out[ended] = np.log(now[ended]) + scale[ended]
+        ring[i % wide] = 0
+        h = np.zeros(len(texts), U)
+        for k in range(1, min(lattice.longest, n - i) + 1):
+            h = lattice.step(h, c[:, i + k - 1])
+            got = lattice.find(h)
+            if k == 1 or (got < lattice.n).any():
+                ring[(i + k) % wide] += now * _arc(p, got, k, lattice.n)
+        if i % 8 == 7 and i < n:
+            top = ring.max(0)
+            ring /= top
+            scale += np.log(top)
+    return out
+
+
+def long_score(lattice: Lattice, p: np.ndarray, text: str) -> np.ndarray:
+    """The same for one very long word. The sums at a place follow linearly from those at the last few places, so a
+    block's stretches of STEPS characters become matrices all at once, which are then multiplied in order."""
+    wide, n_lang = lattice.longest, p.shape[1]
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U)
+    v, scale = np.zeros((n_lang, wide)), np.zeros(n_lang)  # the sum at place j is in slot j % wide
+    v[:, 0] = 1
+    step = STEPS // wide * wide or wide
+    block = BLOCK // step * step or step
+    for a in range(0, len(c), block):
+        z = min(len(c), a + block)
+        before = min(a, wide - 1)
+        own = c[a - before : z]
+        ending = np.zeros((z - a, wide, n_lang))  # of pieces that end at a + 1, ..., by the slot of their beginning
+        h = np.zeros(len(own), U)
+        for k in range(1, wide + 1):
+            h = lattice.step(h[: len(own) - k + 1], own[k - 1 :])
+            got = lattice.find(h)
+            first = np.arange(a - before, z - k + 1)
+            inside = first + k > a
+            ending[first[inside] + k - a - 1, first[inside] % wide] = _arc(p, got[inside], k, lattice.n)
+        many = (z - a) // step
+        m = np.broadcast_to(np.eye(wide), (many, n_lang, wide, wide)).copy()
+        sums = np.zeros((many, n_lang))
+        part = ending[: many * step].reshape(many, step, wide, n_lang)
+        for j in range(step if many else 0):
+            m[..., (a + j + 1) % wide] = np.einsum("klbs,ksl->klb", m, part[:, j])
+            if j % 16 == 15 or j == step - 1:
+                top = m.max((2, 3))
+                m /= top[:, :, None, None]
+                sums += np.log(top)
+        for k in range(many):
+            v = np.einsum("lb,lbs->ls", v, m[k])
+            top = v.max(1)
+            v, scale = v / top[:, None], scale + np.log(top) + sums[k]
+        for j in range(many * step, z - a):
+            v[:, (a + j + 1) % wide] = np.einsum("ls,sl->l", v, ending[j])
+            top = v.max(1)
+            v, scale = v / top[:, None], scale + np.log(top)
+    return np.log(v[:, len(c) % wide]) + scale
+
+
 def by_length(texts: list[str]) -> Iterator[np.ndarray]:
     size = np.array(list(map(len, texts)))
     for n in np.unique(size):
@@ -149,14 +225,22 @@ class Model:
     def word_scores(self, texts: list[str]) -> np.ndarray:
         """Log-likelihood of words by language."""
         self.ready()
-        parts = [segments(w) for w in texts]
-        flat, whose = [s for x in parts for s in x], np.repeat(np.arange(len(parts)), list(map(len, parts)))
+        own_ = [marked(w) for w in texts]
         out = np.zeros((len(texts), len(self.languages)))
-        for own in by_length(flat):
+        size = np.array(list(map(len, own_)))
+        short = np.flatnonzero(size <= SEGMENT)
+        for own in by_length([own_[i] for i in short]):
             for k in range(0, len(own), 4096):
-                some = own[k : k + 4096]
-                alpha, _ = forward(self.lattice, self.p, [flat[i] for i in some])
-                np.add.at(out, whose[some], np.log(alpha[-1]))
+                some = short[own[k : k + 4096]]
+                alpha, _ = forward(self.lattice, self.p, [own_[i] for i in some])
+                out[some] = np.log(alpha[-1])
+        longer = np.flatnonzero((size > SEGMENT) & (size <= TOGETHER))
+        longer = longer[np.argsort(size[longer], kind="stable")]
+        for k in range(0, len(longer), 256):
+            some = longer[k : k + 256]
+            out[some] = padded_scores(self.lattice, self.p, [own_[i] for i in some])
+        for i in np.flatnonzero(size > TOGETHER):
+            out[i] = long_score(self.lattice, self.p, own_[i])
         return out
 
     def text_scores(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +251,7 @@ class Model:
         if not len(start):
             return np.zeros((n, len(self.languages))), np.zeros(n)
         h = hasher(1)
-        distinct, some, which = np.unique(h.ranges(h.prefix(data), start, end), return_index=True, return_inverse=True)
+        distinct, some, which = np.unique(h.of_ranges(data, start, end), return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
         there = self.known[place] == distinct if len(self.known) else np.zeros(len(distinct), bool)
         scores = np.zeros((len(distinct), len(self.languages)), np.float32)
@@ -185,10 +269,14 @@ class Model:
 
 
 def learn(docs: DataFrame, vocabulary_path: str, per_language: int = 400, rounds: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fits piece probabilities from about per_language rows of each language that are not held out.
+    """Fits piece probabilities from about per_language rows of each language that are not held out (of the most
+    frequent languages, where there are more than sampling.MOST_LABELS).
 
-    Rows with a null text, language or id are left out. Without rows the model has no language.
+    Rows with a null text, language or id are left out; empty texts teach nothing; a very long text is read in its turn and
+    gives one row for each distinct word; repeated rows and ids count each; other columns are ignored. Without rows, or
+    over an empty table, the model has no language.
     """
+    small_batches(docs.sparkSession)
     able = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +311,7 @@ def learn(docs: DataFrame, vocabulary_path: str, per_language: int = 400, rounds
                     some = np.flatnonzero(sums[:-1])
                     yield pd.DataFrame({"k": k, "piece": some, "n": sums[some]})
 
-        got = seen.repartition(8).mapInPandas(expected, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
+        got = seen.repartition("s").mapInPandas(expected, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
         prob = np.full(prob.shape, BESIDES)
         np.add.at(prob, (got["piece"], got["k"]), got["n"])
         prob /= prob.sum(0)
@@ -231,12 +319,13 @@ def learn(docs: DataFrame, vocabulary_path: str, per_language: int = 400, rounds
 
 
 def identify(docs: DataFrame, model: Model, sure: int = 48, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """lang_pred and score besides all columns of docs; columns of these names are replaced.
+    """lang_pred and score besides all columns of docs; columns of these names are replaced, others stay as they are.
 
     lang_pred is the language of the highest log-likelihood over the whole text (ties: the first by
-    name), or und, with score 0, where the text is null or has no letter or nothing was learnt. score is its
-    posterior probability under equal priors, with the evidence counted as that of at most sure bytes:
-    characters depend on each other, so the plain posterior would be too certain.
+    name), or und, with score 0, where the text is null or has no letter (an empty one, too) or nothing was learnt. score is
+    its posterior probability under equal priors, with the evidence counted as that of at most sure bytes:
+    characters depend on each other, so the plain posterior would be too certain. Very long texts and words are scored
+    whole; repeated rows get equal results each; null ids don't matter; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")

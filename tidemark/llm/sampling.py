@@ -14,11 +14,16 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
+#: Labels that are learnt: the most frequent ones.
+MOST_LABELS = 256
+
+
 def bounded(rows: DataFrame, label: str, key: str, about: int) -> DataFrame:
     """About so many rows of each label, or all if there are fewer: those whose hash of key is below the
-    label's share. Labels are counted over all rows; there must be few of them."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
+    label's share. Labels are counted over all rows; of more than MOST_LABELS the most frequent ones are taken
+    (ties: the first by name), so what reaches the driver is bounded however dirty the column is."""
+    often = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.col("count").desc(), label).limit(MOST_LABELS)
     share = F.lit(0)
-    for value, n in counts.items():
+    for value, n in often.collect():
         share = F.when(F.col(label) == F.lit(value), int(min(1.0, about / n) * (1 << 30))).otherwise(share)
     return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share)
