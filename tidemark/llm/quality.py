@@ -13,12 +13,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import text_bytes
 from tidemark.llm.sampling import bounded, held_out
-from tidemark.llm.tables import small_batches
+from tidemark.llm.tables import dropped, small_batches, written
 
 CHUNK, LEVEL = 2048, 3
 
@@ -66,41 +66,48 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = 1500, dictionary: int = 1 << 16, sample_bytes: int = 1 << 21, pull: float = 64.0, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Model:
-    """Fits on about per_label rows of each label that are not held out, half of them for the dictionaries (at
-    most sample_bytes of text for each), half for the curve.
-
-    Labels other than 0 and 1, null texts and ids are left out. Without rows of both labels every score is
-    the share of label 1 among what there is, or 0.5.
+    """Fits on about per_label rows of each label that are not held out. In the order of a hash of their ids they
+    go by turns to the dictionaries (at most sample_bytes of text for each label, which is what reaches the driver; of a
+    very long text what has room) and to the curve.
+
+    Labels other than 0 and 1, null texts and ids are left out; labels of documents that aren't there, too; texts that
+    are empty tell nothing. A document with both labels counts for either; of rows of one id (repeated rows, ties) one
+    counts, that with the smallest hash of its text; other columns are ignored. Without rows of both labels, as over
+    empty tables, every score is the share of label 1 among what there is, or 0.5.
     """
-    able = labels.where(F.col(quality).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("d"), F.col(quality).cast("int").alias("q"))
+    small_batches(docs.sparkSession)
+    able = labels.where(F.col(quality).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("d"), F.col(quality).cast("int").alias("q")).distinct()
     some = bounded(able, "q", "d", per_label)  # at most about 2 * per_label small rows
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    half = F.pmod(F.xxhash64("d", F.lit(7)), F.lit(2))
-    got = texts.join(F.broadcast(some), "d").select("q", half.alias("h"), F.xxhash64("d").alias("o"), "t")
-    # the dictionaries' half comes in chunks up to its bound; the other half as sizes only
-    before = got.where("h = 0").select("q", "o", "t").toPandas().sort_values("o")
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.encode(F.col(text), "UTF-8").alias("t"))
+    # first the sizes only: they tell which rows go where, and how much of them
+    found = texts.select("d", F.octet_length("t").alias("size"), F.xxhash64("t").alias("h")).join(F.broadcast(some), "d").where("size > 0")
+    found = found.groupBy("q", "d").agg(F.min(F.struct("h", "size")).alias("x")).select("q", "d", "x.*")
+    order = F.xxhash64("d", F.lit(7)), F.col("d")
+    dealt = found.withColumn("curve", F.row_number().over(Window.partitionBy("q").orderBy(*order)) % 2 == 0)
+    room = sample_bytes + F.col("size") - F.sum("size").over(Window.partitionBy("q", "curve").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    dealt = written(dealt.withColumn("room", F.least("size", room).cast("int")).where("curve OR room > 0"), "sample")
+
+    def texts_of(some: DataFrame, size: str) -> DataFrame:
+        """q, d and the first size bytes of the texts of these few rows, each once."""
+        own = texts.join(F.broadcast(some.select("q", "d", "h", F.col(size).alias("most"))), "d").where(F.xxhash64("t") == F.col("h"))
+        return own.groupBy("q", "d").agg(F.any_value(F.substring(F.col("t"), F.lit(1), F.col("most"))).alias("t"))
+
     samples: list[list[bytes]] = [[], []]
-    for q in (0, 1):
-        room = sample_bytes
-        for t in before.loc[before["q"] == q, "t"]:
-            raw = t.encode()
-            samples[q] += [raw[i : i + CHUNK] for i in range(0, min(len(raw), room), CHUNK)]
-            room -= len(raw)
-            if room <= 0:
-                break
+    for r in texts_of(dealt.where("NOT curve"), "room").orderBy("q", *order).collect():
+        samples[r["q"]] += [bytes(r["t"][i : i + CHUNK]) for i in range(0, len(r["t"]), CHUNK)]
     if not (samples[0] and samples[1]):
-        n = [len(x) for x in samples]
-        share = n[1] / sum(n) if sum(n) else 0.5
+        n = {r["q"]: r["n"] for r in dealt.groupBy("q").agg(F.count("*").alias("n")).collect()}
+        share = n.get(1, 0) / sum(n.values()) if n else 0.5
         return Model((b"", b""), shift=float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     model = Model(tuple(_dictionary(x, dictionary) for x in samples), pull=pull)
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw = [t.encode() for t in b["t"]]
-            yield pd.DataFrame({"q": b["q"], "diff": [model.differences(x) for x in raw], "size": list(map(len, raw))})
+            yield pd.DataFrame({"q": b["q"], "diff": [model.differences(x) for x in b["t"]], "size": b["t"].map(len)})
 
-    fit = got.where("h = 1").mapInPandas(sizes, "q int, diff long, size long").toPandas()
-    if fit["q"].nunique() < 2:
+    fit = texts_of(dealt.where("curve"), "size").select("q", "t").mapInPandas(sizes, "q int, diff long, size long").toPandas()
+    dropped(docs.sparkSession, dealt)
+    if fit["q"].nunique() < 2:  # one row of a label: the dictionaries' own text tells what there is to tell
         fit = pd.DataFrame({"q": [q for q in (0, 1) for _ in samples[q]], "diff": [model.differences(x) for q in (0, 1) for x in samples[q]], "size": [len(x) for q in (0, 1) for x in samples[q]]})
     good = fit[(fit["q"] == 1) & (fit["size"] > 0)]
     model.usual = float(good["diff"].sum() / max(1, good["size"].sum()))
@@ -118,7 +125,11 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 def assess(docs: DataFrame, model: Model, text: str = "text", digits: int = 6) -> DataFrame:
     """score (0 to 1, higher: label 1 likelier) besides all columns of docs; a column of this name is
-    replaced. Null and empty texts get the score of a text that tells nothing."""
+    replaced, others stay as they are.
+
+    Null and empty texts get the score of a text that tells nothing. A very long text is compressed whole, in chunks;
+    repeated rows and ties get equal scores each; null ids don't matter; an empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
     kept = docs.drop("score")
     names = kept.columns
