@@ -3,8 +3,10 @@
 Integer vectors v get one more component, sqrt(M^2 - |v|^2) with M the largest norm, and queries a
 zero there; then |q - v|^2 = |q|^2 + M^2 - 2 q.v, so the highest scores are the nearest points. Each
 vector is keyed by its nearest pivot and its distance to it; sorted runs of a pivot's keys are
-the annuli, stored as blocks. A block is left out for a query whose k-th best distance so far is
-below |d(q, pivot) - r| for every radius r in it.
+the annuli, stored as blocks, and consecutive blocks are a group that a task holds. Queries, far fewer than vectors,
+travel in blocks: first to the few annuli that are nearest, which bounds the distance of their k-th best; then to every
+group with an annulus that this bound reaches. There the annuli are expanded outwards, and one is left out for a query
+whose k-th best distance so far is below |d(q, pivot) - r| for every radius r in it.
 """
 
 from __future__ import annotations
@@ -13,13 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import written
+from tidemark.llm.tables import dropped, small_batches, written
 from tidemark.llm.vectors import finite, stacked
 
 EXACT = 2.0**53  # doubles hold every integer up to here
+NONE = np.iinfo(np.int64).min
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -28,24 +32,22 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(float) @ b.astype(float).T).astype(np.int64) if most < EXACT else a @ b.T
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best by score, ties to the smaller id."""
-    if len(scores) > k:
-        keep = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
+def _kth(s: np.ndarray, k: int) -> np.ndarray:
+    """The k-th highest of each row; NONE where there are fewer."""
+    return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] >= k else np.full(len(s), NONE)
 
 
 class Space:
-    """Pivots, a bounded sample, and the largest norm, which every task needs."""
+    """Pivots and the largest norm, which every task needs."""
 
-    def __init__(self, sample: np.ndarray, sample_ids: np.ndarray, top: float, n_pivots: int):
-        self.sample, self.ids, self.top, self.pivots = sample, sample_ids, top, sample[:n_pivots].astype(float)
-        self.dim = sample.shape[1]
+    def __init__(self, pivots: np.ndarray, top: float, kind: type):
+        self.top, self.pivots, self.kind, self.dim = top, pivots.astype(float), kind, pivots.shape[1]
         self.lift = np.sqrt(np.maximum(0, top - (self.pivots**2).sum(1)))
         self.slack = 1e-6 * (1 + np.sqrt(top))  # far above the rounding of distances
 
+    def vectors(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, self.kind).reshape(-1, self.dim).astype(np.int64)
+
     def distances(self, v: np.ndarray, query: bool) -> np.ndarray:
         """To every pivot, from vectors or from queries."""
         v = v.astype(float)
@@ -54,33 +56,99 @@ class Space:
         flat = own[:, None] - 2 * v @ self.pivots.T + (self.pivots**2).sum(1)
         return np.sqrt(np.maximum(0, flat) + (up[:, None] - self.lift) ** 2)
 
+    def reach(self, q: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """Distance beyond which no vector scores as high as the k-th."""
+        far = np.sqrt(np.maximum(0, (q.astype(float) ** 2).sum(1) + self.top - 2 * kth.astype(float)))
+        return np.where(kth == NONE, np.inf, far) + self.slack
+
+
+class Best:
+    """The k best of each query of a block, ties to the smaller id."""
+
+    def __init__(self, qids: np.ndarray, floor: np.ndarray, k: int):
+        self.qids, self.floor, self.k, self.n = qids, floor.copy(), k, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, live: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        """Scores of the queries live with the vectors ids."""
+        s = np.where(self.qids[live][:, None] == ids, NONE, s)
+        low = self.floor[live] == NONE  # else the bound is as good as what one annulus gives
+        if low.any():
+            self.floor[live[low]] = _kth(s[low], self.k)
+        row, col = np.nonzero((s >= self.floor[live][:, None]) & (s != NONE))
+        self.parts.append((live[row], ids[col], s[row, col]))
+        self.n += len(row)
+        if self.n > 4 * self.k * len(self.qids):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, id and score of the best; what can't be among them is forgotten."""
+        q, ids, s = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64),) * 3
+        o = np.lexsort((ids, -s, q))
+        q, ids, s = q[o], ids[o], s[o]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        last = nth == self.k - 1
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], s[last])
+        keep = nth < self.k
+        self.parts, self.n = [(q[keep], ids[keep], s[keep])], int(keep.sum())
+        return self.parts[0]
+
+
+def _searched(space: Space, k: int):
+    """For each group in turn: its annuli are held, then the query blocks that follow them are asked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, held = None, []
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if group != r.own:
+                    group, held = r.own, []
+                v, ids = space.vectors(r.vs), np.frombuffer(r.ids, np.int64)
+                if r.kth is None:
+                    held.append((r.pivot, r.low, r.high, ids, v))
+                    continue
+                best = Best(ids, np.frombuffer(r.kth, np.int64), k)
+                d = space.distances(v, True)[:, [x[0] for x in held]]
+                lower = np.maximum(0, np.maximum(d - [x[2] for x in held], [x[1] for x in held] - d))
+                for i in np.argsort(lower.min(0), kind="stable"):  # outwards from the queries
+                    live = np.flatnonzero(lower[:, i] <= space.reach(v, best.floor))
+                    if len(live):
+                        best.add(live, held[i][3], _scores(v[live], held[i][4]))
+                q, vec, s = best.cut()
+                yield pd.DataFrame({"query_id": ids[q], "vec_id": vec, "score": s})
+
+    return run
+
 
 def exact_topk(
-    vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pivots: int = 32, sample: int = 1024, block: int = 1024, queries: int = 256, chain: int = 64, vec_id: str = "vec_id", embedding: str = "embedding"
+    vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pivots: int = 32, block: int = 1024, queries: int = 1024, group_bytes: int = 32 << 20, nearest: int = 4, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors where is_query, the k rows of another
     id with the highest inner product of floor(scale * x), ties to the smaller id.
 
     Rows with a null id, and vectors that are null or hold a null or non-finite component, take no
     part; a shorter vector counts as filled with zeros, an empty one scores 0; repeated rows are
-    separate candidates; other columns are ignored; an empty table gives an empty result. Scores
-    must fit in 64 bits. The sample that gives pivots and first bounds is at most sample rows,
-    the smallest by hash of id; every row is indexed and the result is exact for any sample.
-    block, queries: rows of an annulus and of a query block; chain: annuli searched in a row by a task.
+    separate candidates, and a query row that repeats asks again, with one result for its id; other columns (texts, too)
+    are ignored, whatever their names; an empty table gives an empty result. Scores must fit in 64 bits.
+    Pivots are at most so many rows, the smallest by hash of id; every row is indexed and the result is exact for any
+    pivots. block, queries: rows of an annulus and of a query block; group_bytes: bytes of vectors that a task holds;
+    nearest: annuli of the first bound.
     """
     spark = vectors.sparkSession
-    n_pivots = pivots
+    small_batches(spark)
     v = vectors.where(F.col(vec_id).isNotNull() & finite(embedding)).select(
         F.col(vec_id).cast("long").alias("id"),
         F.transform(embedding, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("q"),
     )
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    top, dim = v.agg(F.max(norm), F.max(F.size("v"))).first()
+    top, dim, most = v.agg(F.max(norm), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    got = v.orderBy(F.xxhash64("id"), "id", "v").limit(sample).collect()
-    space = Space(stacked([r["v"] for r in got], dim, np.int64), np.array([r["id"] for r in got]), top, n_pivots)
+    kind = next(x for x in (np.int16, np.int32, np.int64) if most <= np.iinfo(x).max)
+    got = v.orderBy(F.xxhash64("id"), "id", "v").limit(pivots).collect()
+    space = Space(stacked([r["v"] for r in got], dim, np.int64), top, kind)
+    in_group = max(1, group_bytes // (np.dtype(kind).itemsize * dim * block))
 
     def keyed(query: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,95 +156,76 @@ def exact_topk(
                 x = stacked(b["v"], dim, np.int64)
                 d = space.distances(x, query)
                 near = d.argmin(1)
-                yield pd.DataFrame({"pivot": near.astype(np.int32), "r": d[np.arange(len(x)), near], "id": b["id"], "v": list(map(bytes, x))})
+                yield pd.DataFrame({"pivot": near.astype(np.int32), "r": d[np.arange(len(x)), near], "id": b["id"], "v": list(map(bytes, x.astype(kind)))})
 
         return run
 
     def packed(rows: int):
-        """Consecutive rows of one pivot become blocks."""
+        """Consecutive rows of one pivot become blocks, consecutive blocks groups."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = []
+            held: list[pd.DataFrame] = []
+            part, n = TaskContext.get().partitionId() << 32, 0
 
-            def out(g: pd.DataFrame) -> dict:
-                return {"pivot": g["pivot"].iloc[0], "low": g["r"].iloc[0], "high": g["r"].iloc[-1], "ids": g["id"].to_numpy(np.int64).tobytes(), "vs": b"".join(g["v"])}
+            def out() -> dict:
+                nonlocal n
+                g = pd.concat(held)
+                held.clear()
+                n += 1
+                return {"block": part + n - 1, "own": part + (n - 1) // in_group, "pivot": g["pivot"].iloc[0], "low": g["r"].iloc[0], "high": g["r"].iloc[-1], "ids": g["id"].to_numpy(np.int64).tobytes(), "vs": b"".join(g["v"])}
 
             for b in batches:
-                cut = np.flatnonzero(np.diff(b["pivot"])) + 1
                 done = []
+                cut = np.flatnonzero(np.diff(b["pivot"])) + 1
                 for i, j in zip([0, *cut], [*cut, len(b)], strict=True):
+                    if held and i < j and held[0]["pivot"].iloc[0] != b["pivot"].iloc[i]:
+                        done.append(out())
                     while i < j:
-                        if held and held[0]["pivot"].iloc[0] != b["pivot"].iloc[i]:
-                            done.append(out(pd.concat(held)))
-                            held = []
-                        n = min(j - i, rows - sum(map(len, held)))
-                        held.append(b.iloc[i : i + n])
-                        i += n
+                        m = min(j - i, rows - sum(map(len, held)))
+                        held.append(b.iloc[i : i + m])
+                        i += m
                         if sum(map(len, held)) == rows:
-                            done.append(out(pd.concat(held)))
-                            held = []
-                yield pd.DataFrame(done, columns=["pivot", "low", "high", "ids", "vs"])
+                            done.append(out())
+                yield pd.DataFrame(done, columns=["block", "own", "pivot", "low", "high", "ids", "vs"])
             if held:
-                yield pd.DataFrame([out(pd.concat(held))])
+                yield pd.DataFrame([out()])
 
         return run
 
     def blocks(rows: DataFrame, query: bool, size: int, name: str) -> DataFrame:
         keys = rows.select("id", "v").mapInPandas(keyed(query), "pivot int, r double, id long, v binary")
-        sorted_ = keys.repartitionByRange("pivot", "r", "id").sortWithinPartitions("pivot", "r", "id")
-        made = sorted_.mapInPandas(packed(size), "pivot int, low double, high double, ids binary, vs binary")
-        return written(made.withColumn("block", F.monotonically_increasing_id()), name)
+        ordered = keys.repartitionByRange("pivot", "r", "id").sortWithinPartitions("pivot", "r", "id")
+        return written(ordered.mapInPandas(packed(size), "block long, own long, pivot int, low double, high double, ids binary, vs binary"), name)
 
     data, asked = blocks(v, False, block, "annuli"), blocks(v.where("q"), True, queries, "queries")
 
-    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For a query block and each pivot: the ring that may hold one of the k nearest of a query."""
-        for b in batches:
-            for _, r in b.iterrows():
-                q, ids = np.frombuffer(r["vs"], np.int64).reshape(-1, dim), np.frombuffer(r["ids"], np.int64)
-                s = _scores(q, space.sample).astype(float)
-                s[ids[:, None] == space.ids] = -np.inf
-                kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(q), -np.inf)
-                far = np.sqrt(np.maximum(0, (q.astype(float) ** 2).sum(1) + space.top - 2 * kth)) + space.slack
-                d = space.distances(q, True)
-                yield pd.DataFrame({"qblock": r["block"], "pivot": np.arange(d.shape[1], dtype=np.int32), "inner": (d - far[:, None]).min(0), "outer": (d + far[:, None]).max(0)})
-
-    rings = asked.select("block", "ids", "vs").mapInPandas(bounds, "qblock long, pivot int, inner double, outer double")
-    spans = data.select("block", "pivot", "low", "high")
-    pairs = rings.join(spans, "pivot").where("low <= outer AND high >= inner").select("qblock", "block", F.pmod(F.xxhash64("block"), F.lit(1 << 30)).alias("h"))
-    many = pairs.groupBy("qblock").agg(F.ceil(F.count("*") / chain).alias("n"))
-    chains = pairs.join(many, "qblock").select("qblock", "block", (F.col("h") % F.col("n")).alias("chain"))
-    work = (
-        chains.join(data.select("block", "pivot", "low", "high", "ids", "vs"), "block")
-        .join(asked.select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vs").alias("qvs")), "qblock")
-    )
-
-    def search(g: pd.DataFrame) -> pd.DataFrame:
-        """Expands the annuli outwards from the queries and stops where no query can gain."""
-        q, qids = np.frombuffer(g["qvs"].iloc[0], np.int64).reshape(-1, dim), np.frombuffer(g["qids"].iloc[0], np.int64)
-        d, own = space.distances(q, True), (q.astype(float) ** 2).sum(1)
-        lower = np.maximum(0, np.maximum(d[:, g["pivot"]] - g["high"].to_numpy(), g["low"].to_numpy() - d[:, g["pivot"]]))
-        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
-        far = np.full(len(q), np.inf)
-        for i in np.argsort(lower.min(0), kind="stable"):
-            live = np.flatnonzero(lower[:, i] <= far + space.slack)
-            if not len(live):
-                continue
-            ids = np.frombuffer(g["ids"].iloc[i], np.int64)
-            s = _scores(q[live], np.frombuffer(g["vs"].iloc[i], np.int64).reshape(-1, dim))
-            for row, j in zip(s, live, strict=True):
-                floor = best[j][1][-1] if len(best[j][1]) == k else None
-                new = np.flatnonzero((ids != qids[j]) & ((row >= floor) if floor is not None else True))
-                if len(new):
-                    a, b = np.concatenate([best[j][0], ids[new]]), np.concatenate([best[j][1], row[new]])
-                    keep = _best(a, b, k)
-                    best[j] = a[keep], b[keep]
-                    if len(keep) == k:
-                        far[j] = np.sqrt(max(0.0, own[j] + space.top - 2 * float(b[keep[-1]])))
-        return pd.DataFrame({"query_id": np.repeat(qids, [len(x[0]) for x in best]), "vec_id": np.concatenate([x[0] for x in best]), "score": np.concatenate([x[1] for x in best])})
-
-    found = work.groupBy("qblock", "chain").applyInPandas(search, "query_id long, vec_id long, score long")
-    # a query that repeats in the table is asked once for each of its rows; rows of one id share a result
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    per = found.groupBy("query_id").agg(best.alias("best"))
-    return per.select("query_id", F.posexplode("best").alias("i", "x")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    # the annuli of its own pivot that are nearest to a query block
+    mid = (F.col("low") + F.col("high")) / 2
+    close = asked.select(F.col("block").alias("qblock"), "pivot", mid.alias("r")).join(data.select("block", "pivot", mid.alias("m")), "pivot")
+    nth = F.row_number().over(Window.partitionBy("qblock").orderBy(F.abs(F.col("r") - F.col("m")), "block"))
+    close = close.withColumn("nth", nth).where(F.col("nth") <= nearest).select("qblock", "block")
+    close = asked.select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vs").alias("qvs")).join(close, "qblock", "left").join(data.select("block", "ids", "vs"), "block", "left")
+
+    def bounded(g: pd.DataFrame) -> pd.DataFrame:
+        """For a query block the k-th scores among its nearest annuli, and for each pivot the ring that may hold more."""
+        q, ids = space.vectors(g["qvs"].iloc[0]), np.frombuffer(g["qids"].iloc[0], np.int64)
+        there = g[g["vs"].notna()]
+        s = [np.where(ids[:, None] == np.frombuffer(i, np.int64), NONE, _scores(q, space.vectors(x))) for i, x in zip(there["ids"], there["vs"], strict=True)]
+        kth = _kth(np.concatenate(s, axis=1), k) if s else np.full(len(q), NONE)
+        d, far = space.distances(q, True), space.reach(q, kth)[:, None]
+        return pd.DataFrame({"block": [g["qblock"].iloc[0]], "kth": [kth.tobytes()], "inner": [(d - far).min(0)], "outer": [(d + far).max(0)]})
+
+    bounds = written(close.groupBy("qblock").applyInPandas(bounded, "block long, kth binary, inner array<double>, outer array<double>"), "bounds")
+    rings = bounds.select("block", F.posexplode(F.arrays_zip("inner", "outer")).alias("pivot", "ring")).select("block", "pivot", "ring.*")
+    spans = data.groupBy("own", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    pairs = rings.join(spans, "pivot").where("low <= outer AND high >= inner").select("block", "own").distinct()
+    asks = asked.select("block", "pivot", "low", "high", "ids", "vs").join(bounds.select("block", "kth"), "block").join(pairs, "block")
+    names = ["own", "block", "pivot", "low", "high", "ids", "vs", "kth"]
+    work = data.withColumn("kth", F.lit(None).cast("binary")).select(names).unionByName(asks.select(names))
+    work = work.repartition("own").sortWithinPartitions("own", F.col("kth").isNotNull(), "block")
+    found = written(work.mapInPandas(_searched(space, k), "query_id long, vec_id long, score long"), "found")
+    for x in (data, asked, bounds):
+        dropped(spark, x)
+    # rows of one id share a result
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
