@@ -36,7 +36,7 @@ def test_topk_by_hand(spark):
     rows = vectors()
     df = spark.createDataFrame(rows, SCHEMA)
     got = {}
-    for r in topk.exact_topk(df, F.col("vec_id") % 20 == 0, k=5, pivots=4, sample=16, block=16, queries=4, chain=3).collect():
+    for r in topk.exact_topk(df, F.col("vec_id") % 20 == 0, k=5, pivots=4, block=16, queries=4, group_bytes=700).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     flat = [(i, np.array([math.floor(64 * float(np.float32(v))) for v in x])) for i, x, *_ in rows if i is not None and usable(x)]
     pad = lambda v: np.pad(v, (0, 8 - len(v)))
@@ -65,8 +65,8 @@ def all_pairs(rows):
 def test_near_duplicates_by_hand(spark, monkeypatch):
     rows = [(i, [float(np.float32(v)) if v is not None else None for v in x] if x else x, a, b) for i, x, a, b in vectors()]
     links = all_pairs(rows)
-    for block in (2048, 8):  # also with cells in parts
-        got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), block=block).collect()
+    for block, eights in ((2048, None), (8, None), (64, 2)):  # also with cells in parts
+        got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), block=block, eights=eights).collect()
         found = sum(r.n_links for r in got)
         most = sum(map(len, links))
         assert 0.9 * most <= found <= most
@@ -87,18 +87,31 @@ def test_e8_points_are_nearest():
         assert (((x - y) ** 2).sum(1) <= ((x - y - v) ** 2).sum(1) + 1e-9).all()
 
 
-def test_recall_at_the_threshold():
-    rng = np.random.default_rng(2)
-    u = rng.normal(size=(3000, 64))
+@pytest.mark.parametrize("eights", [1, 2, 3])
+def test_recall_at_the_threshold(eights):
+    u, v = neardup.at_threshold(64, 0.9, 3000)
+    tables = neardup.tables_for(64, 0.9, 2, 2.0, eights)
+    got = neardup.meet(neardup.cells(u, tables, 2, 2.0, eights), neardup.cells(v, tables, 2, 2.0, eights))
+    assert got.mean() > 0.95
+    q = math.acos(0.9) / math.pi
+    apart = math.ceil(neardup.SIGNS * q + neardup.SURE * math.sqrt(neardup.SIGNS * q * (1 - q)))
+    differ = np.bitwise_count(neardup.signs(u) ^ neardup.signs(v)).sum(1, dtype=int)
+    assert (differ <= apart).mean() > 0.999
+
+
+def test_share_of_pairs_falls():
+    """More eights: fewer pairs of unrelated vectors meet, in all tables together."""
+    rng = np.random.default_rng(3)
+    u = rng.normal(size=(2000, 64))
     u /= np.linalg.norm(u, axis=1)[:, None]
-    w = rng.normal(size=u.shape)
-    w -= (w * u).sum(1)[:, None] * u
-    w /= np.linalg.norm(w, axis=1)[:, None]
-    v = 0.9 * u + math.sqrt(1 - 0.81) * w
-    a, b = neardup.cells(u, 5, 2, 2.0), neardup.cells(v, 5, 2, 2.0)
-    one = np.uint64(1)
-    same = ((a[:, :, None] & ~one) == (b[:, None, :] & ~one)) & (((a[:, :, None] | b[:, None, :]) & one) == one)
-    assert same.any((1, 2)).mean() > 0.95
+    share = []
+    for eights in (1, 2, 3):
+        k = neardup.cells(u, neardup.tables_for(64, 0.9, 2, 2.0, eights), 2, 2.0, eights)
+        home = ((k & np.uint64(1)) == 1).ravel()
+        key, n = np.unique((k & ~np.uint64(1)).ravel(), return_inverse=True)
+        homes, all_ = np.bincount(n[home], minlength=len(key)), np.bincount(n, minlength=len(key))
+        share.append((homes * (all_ - homes) + homes * (homes - 1) / 2).sum() / (len(u) * (len(u) - 1) / 2))
+    assert share[0] > 20 * share[1] and share[1] > 5 * share[2], share
 
 
 def test_components(spark):

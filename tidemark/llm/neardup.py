@@ -1,25 +1,37 @@
 """Near-duplicate embeddings by lattice hashing.
 
-Each table projects unit vectors to 8 dimensions with fixed Gaussian numbers and decodes them to the
-nearest point of the E8 lattice (Conway and Sloane, 1982): the cell. A vector is entered in its own
-cell and in the neighbouring cells whose points are next nearest, and it is compared with the
-vectors of a cell where one of the two is at home. Cosines are computed from the whole vectors, so
+Each table projects unit vectors with fixed Gaussian numbers to one or several times 8 dimensions and decodes each
+eight to the nearest point of the E8 lattice (Conway and Sloane, 1982); the points together are the cell. More eights make
+cells smaller, so their number follows that of the vectors, and the number of tables follows from how often two vectors at
+the threshold meet in one. A vector is entered in its own cell and in neighbouring cells, those whose points are next
+nearest, and it is compared with the vectors of a cell where one of the two is at home. Entries travel with the signs of
+some projections only; vectors follow where these leave a pair possible. Cosines are computed from the whole vectors, so
 what is linked is right; what a vector's cells miss is not linked (see the measured recall in the README).
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import components, written
+from tidemark.llm.kernels import U, mix
+from tidemark.llm.tables import components, dropped, small_batches, written
 from tidemark.llm.vectors import finite
 
+#: Numbers of vectors up to which a cell is of one, two, three eights; more beyond.
+EIGHTS = (30_000, 3_000_000, 100_000_000)
+#: Share of the pairs at the threshold that the tables are to bring together.
+RECALL = 0.985
+#: Signs that travel with an entry, and how many standard deviations from what is expected at the threshold they may be.
+SIGNS, SURE = 128, 4.5
+
 
 def _shortest() -> np.ndarray:
     """The 240 shortest vectors of E8."""
@@ -50,35 +62,68 @@ def e8(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(1) <= ((x - b) ** 2).sum(1))[:, None], a, b)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
 def _key(points: np.ndarray, salt: int) -> np.ndarray:
-    h = np.full(points.shape[:-1], salt, np.uint64)
-    for i in range(8):
-        h = _mix(h + (2 * points[..., i]).astype(np.int64).astype(np.uint64) + np.uint64(i + 1))
+    h = np.full(points.shape[:-1], salt, U)
+    for i in range(points.shape[-1]):
+        h = mix(h + (2 * points[..., i]).astype(np.int64).astype(U) + U(i + 1))
     return h
 
 
-def cells(u: np.ndarray, tables: int, probes: int, width: float, seed: int = 11) -> np.ndarray:
+@lru_cache
+def _gauss(seed: int, table: int, dim: int, to: int) -> np.ndarray:
+    return np.random.default_rng([seed, table, dim]).normal(size=(dim, to))
+
+
+def cells(u: np.ndarray, tables: int, probes: int, width: float, eights: int = 1, seed: int = 11) -> np.ndarray:
     """Keys of unit vectors: for each table the home cell, then its probes; the lowest bit marks a home."""
     dim, out = u.shape[1], []
     for t in range(tables):
-        x = u @ np.random.default_rng([seed, t, dim]).normal(size=(dim, 8)) / width
-        y = e8(x)
-        near = np.argsort(-((x - y) @ SHORTEST.T), axis=1, kind="stable")[:, :probes]
-        points = np.concatenate([y[:, None], y[:, None] + SHORTEST[near]], axis=1)
-        h = _key(points, t * 1_000_003 + dim) & ~np.uint64(1)
-        h[:, 0] |= np.uint64(1)
+        x = (u @ _gauss(seed, t, dim, 8 * eights) / width).reshape(len(u), eights, 8)
+        y = e8(x.reshape(-1, 8)).reshape(x.shape)
+        # all neighbours are as far from y, so those are nearest to x that lie in its direction
+        near = np.argsort(-((x - y) @ SHORTEST.T).reshape(len(u), -1), axis=1, kind="stable")[:, :probes]
+        points = np.repeat(y[:, None], 1 + probes, axis=1)
+        rows = np.arange(len(u))
+        for k in range(probes):
+            points[rows, k + 1, near[:, k] // len(SHORTEST)] += SHORTEST[near[:, k] % len(SHORTEST)]
+        h = _key(points.reshape(len(u), 1 + probes, 8 * eights), t * 1_000_003 + dim) & ~U(1)
+        h[:, 0] |= U(1)
         out.append(h)
     return np.concatenate(out, axis=1)
 
 
+def signs(u: np.ndarray, seed: int = 12) -> np.ndarray:
+    """Signs of fixed projections, as 64-bit words."""
+    return np.packbits(u @ _gauss(seed, 0, u.shape[1], SIGNS) > 0, axis=1).view(U)
+
+
+def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of keys of two vectors whether they share a cell where one is at home."""
+    same = ((a[:, :, None] & ~U(1)) == (b[:, None, :] & ~U(1))) & (((a[:, :, None] | b[:, None, :]) & U(1)) == U(1))
+    return same.any((1, 2))
+
+
+def at_threshold(dim: int, cosine: float, n: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors of just this cosine, in random directions."""
+    rng = np.random.default_rng([13, dim])
+    u, w = rng.normal(size=(2, n, dim))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w -= (w * u).sum(1)[:, None] * u
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    return u, cosine * u + math.sqrt(1 - cosine**2) * w
+
+
+def tables_for(dim: int, cosine: float, probes: int, width: float, eights: int) -> int:
+    """Tables that bring together RECALL of the pairs at the threshold."""
+    if dim < 2:
+        return 2
+    u, v = at_threshold(dim, cosine)
+    one = np.mean([meet(cells(u, 1, probes, width, eights, seed), cells(v, 1, probes, width, eights, seed)).mean() for seed in (21, 22)])
+    return max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - min(max(one, 1e-3), 0.999))))
+
+
 def near_duplicates(
-    vectors: DataFrame, cosine: float = 0.9, tables: int = 5, probes: int = 2, width: float = 2.0, block: int = 2048, vec_id: str = "vec_id", embedding: str = "embedding"
+    vectors: DataFrame, cosine: float = 0.9, probes: int = 2, width: float = 2.0, eights: int | None = None, block: int = 2048, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row for each row of vectors.
 
@@ -86,56 +131,121 @@ def near_duplicates(
     between two such parts of a larger cell, links are counted in place: a pair counts in the
     smallest of the cells that it shares, and leaves no row of its own. Vectors that are null, empty
     or zero, or hold a null or non-finite component, and rows with a null id link with nothing and are kept
-    (component_id is their own id). Vectors of different lengths don't link. Repeated rows link with
-    each other. Other columns are ignored; an empty table gives an empty result.
+    (component_id is their own id). Vectors of different lengths don't link. Repeated rows, and rows of one id, link with
+    each other if their vectors do. Other columns (texts, too) are ignored, whatever their names; an empty table gives an
+    empty result. eights: eights of dimensions of a cell; by the number of vectors where it is None.
     """
+    spark = vectors.sparkSession
+    small_batches(spark)
     norm = F.aggregate(embedding, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.when(F.col(vec_id).isNotNull() & finite(embedding) & (norm > 0), F.col(embedding)).alias("v"))
+    v = F.when(F.col(vec_id).isNotNull() & finite(embedding) & (norm > 0), F.col(embedding))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(7), "v")})
     able = rows.where("v IS NOT NULL")
-    classes = written(able.groupBy("v").agg(F.min("id").alias("c"), F.count("*").alias("copies")), "classes")
+    classes = written(able.groupBy("k1", "k2").agg(F.any_value("v").alias("v"), F.min("id").alias("low"), F.count("*").alias("copies")).withColumn("c", F.monotonically_increasing_id()), "classes")
+    n, dims = classes.agg(F.count("*"), F.slice(F.collect_set(F.size("v")), 1, 64)).first()
+    eights = eights or 1 + sum(n > x for x in EIGHTS)
+    known = {d: tables_for(d, cosine, probes, width, eights) for d in dims}  # other lengths get their number where they are met
+    q = math.acos(min(1, max(-1, cosine))) / math.pi
+    apart = math.ceil(SIGNS * q + SURE * math.sqrt(SIGNS * q * (1 - q)))
 
     def entered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for n, g in b.groupby(b["v"].map(len)):
-                x = np.stack(g["v"].to_numpy()).astype(float)
-                keys = cells(x / np.sqrt((x**2).sum(1))[:, None], tables, probes, width).view(np.int64)
-                yield pd.DataFrame({"key": (keys & ~1).ravel(), "home": (keys & 1).ravel().astype(bool), "c": np.repeat(g["c"].to_numpy(), keys.shape[1]), "keys": [x for r in keys for x in [r.tobytes()] * keys.shape[1]]})
-
-    entries = classes.select("c", "v").mapInPandas(entered, "key long, home boolean, c long, keys binary")
-    entries = written(entries, "cells")
-    full = entries.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 AND homes > 0").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    dealt = (
-        entries.join(full, "key")
-        .withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "home", "c", "keys")
-    )
-    work = dealt.join(classes, "c").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            for d, g in b.groupby(b["v"].map(len)):
+                if d not in known:
+                    known[d] = tables_for(d, cosine, probes, width, eights)
+                for k in range(0, len(g), 1024):
+                    some = g.iloc[k : k + 1024]
+                    x = np.stack(some["v"].to_numpy()).astype(float)
+                    x /= np.sqrt((x**2).sum(1))[:, None]
+                    yield pd.DataFrame({"c": some["c"].to_numpy(), "keys": [r.tobytes() for r in cells(x, known[d], probes, width, eights)], "signs": [r.tobytes() for r in signs(x)]})
+
+    hashed = written(classes.select("c", "v").mapInPandas(entered, "c long, keys binary, signs binary"), "cells")
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), 256):
+                some = b.iloc[k : k + 256]
+                keys = [np.frombuffer(x, np.int64) for x in some["keys"]]
+                times, keys = list(map(len, keys)), np.concatenate(keys)
+                yield pd.DataFrame({"key": keys & ~1, "home": (keys & 1).astype(bool), "c": np.repeat(some["c"].to_numpy(), times), "signs": np.repeat(some["signs"].to_numpy(), times)})
+
+    def dealt(entries: DataFrame) -> DataFrame:
+        """Cells with two vectors, one at home, in pairs of parts of at most about block rows."""
+        full = entries.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 AND homes > 0").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+        return (
+            entries.join(full, "key")
+            .withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .drop("parts")
+            .withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+            .drop("other")
+        )
+
+    def in_cells(fn):
+        """Applies fn to each pair of parts of a cell."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: pd.DataFrame | None = None
+            for b in batches:
+                b = b if held is None else pd.concat([held, b], ignore_index=True)
+                k = b[["key", "i", "j"]].to_numpy()
+                cut = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+                out = [fn(b.iloc[s:e]) for s, e in zip([0, *cut[:-1]], cut, strict=True) if e - s > 1] if len(cut) else []
+                held = b.iloc[cut[-1] :] if len(cut) else b
+                if out := [x for x in out if x is not None]:
+                    yield pd.concat(out)
+            if held is not None and len(held) > 1 and (x := fn(held)) is not None:
+                yield x
+
+        return run
+
+    def sides(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+        part, i, j = g["part"].to_numpy(), g["i"].iloc[0], g["j"].iloc[0]
+        left = np.flatnonzero(part == i)
+        return left, left if i == j else np.flatnonzero(part == j), i == j
+
+    def possible(g: pd.DataFrame) -> pd.DataFrame | None:
+        """Entries that have another one in the cell whose signs are near enough."""
+        s, home = np.frombuffer(b"".join(g["signs"]), U).reshape(len(g), -1), g["home"].to_numpy()
+        left, right, one = sides(g)
+        has = np.zeros(len(g), bool)
+        for k in range(0, len(left), 256):
+            a = left[k : k + 256]
+            ok = np.bitwise_count(s[a][:, None] ^ s[right]).sum(2, dtype=np.int64) <= apart
+            ok &= home[a][:, None] | home[right]
+            if one:
+                ok &= a[:, None] != right
+            has[a] |= ok.any(1)
+            has[right] |= ok.any(0)
+        return g.loc[has, ["key", "home", "c"]] if has.any() else None
+
+    entries = hashed.mapInPandas(spread, "key long, home boolean, c long, signs binary")
+    near = dealt(entries).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    near = written(near.select("key", "i", "j", "part", "home", "c", "signs").mapInPandas(in_cells(possible), "key long, home boolean, c long").distinct(), "near")
 
     def linked(g: pd.DataFrame) -> pd.DataFrame | None:
-        x = np.stack(g["v"].to_numpy()).astype(float)
+        """Links of a cell that belong to no smaller one."""
+        left, right, one = sides(g)
+        size = g["v"].map(len).to_numpy()
+        x, home, c = np.zeros((len(g), size.max())), g["home"].to_numpy(), g["c"].to_numpy()
+        for d in np.unique(size):
+            x[size == d, :d] = np.stack(g["v"].to_numpy()[size == d]).astype(float)
         x /= np.sqrt((x**2).sum(1))[:, None]
-        home, part, i, j = g["home"].to_numpy(), g["part"].to_numpy(), g["i"].iloc[0], g["j"].iloc[0]
-        left = np.flatnonzero(part == i)
-        right = left if i == j else np.flatnonzero(part == j)
         a, b = np.nonzero(x[left] @ x[right].T >= cosine)
         a, b = left[a], right[b]
-        ok = (a < b if i == j else a == a) & (home[a] | home[b])
+        ok = ((a < b) | (not one)) & (home[a] | home[b]) & (size[a] == size[b])
         a, b = a[ok], b[ok]
         if not len(a):
             return None
-        c, copies, key = g["c"].to_numpy(), g["copies"].to_numpy(), g["key"].iloc[0]
-        keys = np.stack([np.frombuffer(k, np.int64) for k in g["keys"]])
-        links, root = np.zeros(len(g), np.int64), np.arange(len(g))
-        for s in range(0, len(a), 4096):
-            p, q = keys[a[s : s + 4096]], keys[b[s : s + 4096]]
+        copies, key, keys = g["copies"].to_numpy(), g["key"].iloc[0], [np.frombuffer(k, np.int64) for k in g["keys"]]
+        links, low = np.zeros(len(g), np.int64), c.copy()
+        for s in range(0, len(a), 1024):
+            p, q = (np.stack([keys[i] for i in x[s : s + 1024]]) for x in (a, b))
             same = ((p[:, :, None] & ~1) == (q[:, None, :] & ~1)) & (((p[:, :, None] | q[:, None, :]) & 1) == 1)
-            first = np.where(same.any(2), p & ~1, np.iinfo(np.int64).max).min(1)
-            own = first == key
-            np.add.at(links, a[s : s + 4096][own], copies[b[s : s + 4096][own]])
-            np.add.at(links, b[s : s + 4096][own], copies[a[s : s + 4096][own]])
-        low = c.copy()  # smallest class that the links of this cell reach
-        while True:
+            own = np.where(same.any(2), p & ~1, np.iinfo(np.int64).max).min(1) == key
+            np.add.at(links, a[s : s + 1024][own], copies[b[s : s + 1024][own]])
+            np.add.at(links, b[s : s + 1024][own], copies[a[s : s + 1024][own]])
+        while True:  # the smallest class that the links of this cell reach
             was = low.copy()
             np.minimum.at(low, a, low[b])
             np.minimum.at(low, b, low[a])
@@ -145,23 +255,17 @@ def near_duplicates(
         ends[a] = ends[b] = True
         return pd.DataFrame({"c": c, "links": links, "hub": low})[ends]
 
-    def in_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for b in batches:
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            k = b[["key", "i", "j"]].to_numpy()
-            cut = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-            out = [linked(b.iloc[s:e]) for s, e in zip([0, *cut[:-1]], cut, strict=True) if e - s > 1] if len(cut) else []
-            held = b.iloc[cut[-1] :] if len(cut) else b
-            if out := [x for x in out if x is not None]:
-                yield pd.concat(out)
-        if held is not None and len(held) > 1 and (x := linked(held)) is not None:
-            yield x
-
-    found = written(work.select("key", "i", "j", "part", "home", "c", "keys", "v", "copies").mapInPandas(in_cells, "c long, links long, hub long"), "found")
+    work = dealt(near).join(classes.select("c", "v", "copies"), "c").join(hashed.select("c", "keys"), "c").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = written(work.select("key", "i", "j", "part", "home", "c", "keys", "v", "copies").mapInPandas(in_cells(linked), "c long, links long, hub long"), "found")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("c").alias("a"), F.col("hub").alias("b")))
-    per = classes.join(links, "c", "left").join(comp.withColumnRenamed("node", "c"), "c", "left").select("v", F.coalesce("component", "c").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    return rows.join(per, "v", "left").select(
-        F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.coalesce("component", "id").eqNullSafe(F.col("id")).alias("kept")
-    )
+    named = classes.select("k1", "k2", "c", "low", "copies").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    per = named.join(lowest, "component").join(links, "c", "left").select("k1", "k2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    per = written(per, "classes")
+    for x in (classes, hashed, near, found):
+        dropped(spark, x)
+    # rows of a class that is very large are many short rows of one key: the join may split them
+    ours = able.select("id", "k1", "k2").join(per, ["k1", "k2"]).select("id", "n", "component_id")
+    others = rows.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component_id"))
+    return ours.unionByName(others).select(F.col("id").alias("vec_id"), F.col("n").cast("long").alias("n_links"), "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
