@@ -25,11 +25,16 @@ def brute(texts, length):
         yield len(r), int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
 
-def check(spark, texts, length=100, parts=3):
+def check(spark, texts, length=100, parts=3, shorter=None):
     df = spark.createDataFrame([(i, t, "clash", 0) for i, t in enumerate(texts)], "doc_id long, text string, c string, copies int").repartition(parts)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(df, length).collect()}
+    got = {r.doc_id: r for r in suffixes.remove_repeats(df, length, keep_text=True, shorter=shorter).collect()}
     for i, want in enumerate(brute(texts, length)):
-        assert got[i] == want, (i, got[i][:3], want[:3])
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want, (i, r, want[:3])
+        assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
+    if shorter:
+        assert [got[i].n_repeated for i in range(len(texts))] == [x[1] for x in brute(texts, shorter)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("texts_", "parts_"))]
 
 
 def some_texts(seed, alphabet):
@@ -49,13 +54,35 @@ def some_texts(seed, alphabet):
 
 @pytest.mark.parametrize("alphabet", ["abcdefgh ", "ab", "aé中"])
 def test_random_texts(spark, alphabet):
-    check(spark, some_texts(1, alphabet))
+    check(spark, some_texts(1, alphabet), 160, shorter=100)
+
+
+def test_long_texts_are_searched_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    raw = rng.integers(97, 123, 9000).astype(np.uint8)
+    raw[4000:4700] = raw[1000:1700]
+    raw[8000:8300] = 97
+    whole = suffixes.anchors(raw, np.array([0, 5000, 9000]), 100)
+    monkeypatch.setattr(suffixes, "PIECE", 700)
+    for a, b in zip(whole, suffixes.anchors(raw, np.array([0, 5000, 9000]), 100)):
+        assert (a == b).all()
+
+
+def test_very_long_texts(spark):
+    """Twenty million bytes, with a passage that another document has."""
+    rng = np.random.default_rng(1)
+    raw = rng.integers(97, 123, 20_000_000).astype(np.uint8)
+    other = rng.integers(97, 123, 1000).astype(np.uint8)
+    raw[12_345_678 : 12_346_178] = other[100:600]
+    df = spark.createDataFrame([(1, raw.tobytes().decode()), (2, other.tobytes().decode())], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(df).collect()}
+    assert got == {1: (20_000_000, 500, 1), 2: (1000, 500, 1)}
 
 
 def test_hot_groups_are_split(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", 3)
     monkeypatch.setattr(suffixes, "TOGETHER", 8)
-    check(spark, some_texts(2, "abcdefgh "))
+    check(spark, some_texts(2, "abcdefgh "), 130, shorter=100)
 
 
 def test_one_core_in_many_documents(spark, monkeypatch):

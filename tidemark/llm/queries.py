@@ -61,8 +61,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removes strings of 400 bytes that occur more than once in all documents."""
-    return suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
+    """Removes strings of 400 bytes that occur more than once in all documents. Besides, n_repeated counts the bytes of
+    repeats from 200 bytes on, so that passages of some fifty words are seen, too."""
+    return suffixes.remove_repeats(_read(spark, sf_dir, "documents"), shorter=200)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kernels import U, hasher, mix, pieces, text_bytes
-from tidemark.llm.tables import dropped, new_path, small_batches, written
+from tidemark.llm.kernels import PIECE, U, hasher, mix, pieces, text_bytes
+from tidemark.llm.tables import dropped, new_path, removed, small_batches, written
 
 GRAM = 64
 #: Groups of more occurrences are split by what their windows have in common: so many places of the
@@ -56,7 +56,21 @@ def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of all texts: text number, anchor's hash, its place in data, and the first and last of the
-    windows that have it."""
+    windows that have it. A long text is looked at in pieces that overlap."""
+    out = []
+    for k in range(0, max(1, len(data) - length + 1), PIECE):
+        piece = data[k : k + PIECE + length - 1]
+        inside = np.clip(bounds - k, 0, len(piece))
+        n, h, *places = _anchors(piece, inside, length)
+        out.append((n, h, *(x + k for x in places)))
+    n, h, q, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
+    if len(out) > 1:  # what two pieces share is one
+        cut = np.append(True, (n[1:] != n[:-1]) | (q[1:] != q[:-1]) | (s[1:] != e[:-1] + 1))
+        n, h, q, s, e = n[cut], h[cut], q[cut], s[cut], e[np.append(np.flatnonzero(cut)[1:], len(e)) - 1]
+    return n, h, q, s, e
+
+
+def _anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none.astype(U), none, none, none
@@ -66,19 +80,18 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
     m = sliding(g, span, True)
     ends = bounds[1:]
     text = np.searchsorted(bounds, np.arange(len(m)), "right") - 1
-    fits = np.arange(len(m)) + length <= ends[text]
+    s = np.flatnonzero((text < len(ends)) & (np.arange(len(m)) + length <= ends[np.minimum(text, len(ends) - 1)]))
+    if not len(s):
+        return none, none.astype(U), none, none, none
     # a gram is an anchor if it is as small as the largest minimum of the windows around it
     wide = np.concatenate([np.zeros(span - 1, U), m, np.zeros(span - 1, U)])
     spots = np.flatnonzero(g == sliding(wide, span, False)[: len(g)])
-    s = np.flatnonzero(fits)
     i = np.searchsorted(spots, s)
     todo = np.arange(len(s))
     while len(todo):
         todo = todo[g[spots[i[todo]]] != m[s[todo]]]
         i[todo] += 1
     q = spots[i]
-    if not len(s):
-        return none, none.astype(U), none, none, none
     new = np.append(True, (q[1:] != q[:-1]) | (text[s[1:]] != text[s[:-1]]))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(s)) - 1
@@ -184,7 +197,7 @@ def repeated(contexts: list[bytes], at: np.ndarray, count: np.ndarray, length: i
     return np.split(flat, base[1:]) if n else []
 
 
-def _spans(flags: np.ndarray, first: int, length: int) -> list[tuple[int, int]]:
+def _runs(flags: np.ndarray, first: int, length: int) -> list[tuple[int, int]]:
     """Runs of bytes that the marked windows cover."""
     s = np.flatnonzero(flags)
     if not len(s):
@@ -193,19 +206,74 @@ def _spans(flags: np.ndarray, first: int, length: int) -> list[tuple[int, int]]:
     return [(first + int(s[a]), first + int(s[b]) + length) for a, b in zip(np.append(0, cut + 1), np.append(cut, len(s) - 1), strict=True)]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, shorter: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, one row per row of docs (with keep_text also kept, the
     remaining bytes): every byte goes that lies in a string of length bytes which also starts anywhere else,
-    in this or another row.
+    in this or another row. With shorter also n_repeated, the bytes in strings of so many bytes that also start
+    elsewhere; none of these go.
 
-    A null text is empty. Repeated rows remove each other if they have length bytes. doc_id is copied as
-    it is; other columns are ignored; an empty table gives an empty result.
+    A null text is empty. Repeated rows, and rows of one id, remove each other's bytes if they have length bytes in common.
+    A very long text is searched in overlapping pieces, so its matches are found as in any other. doc_id is copied as
+    it is (null, too); other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    texts = _distinct(rows)
-    long = texts.where(F.octet_length("t") >= length)
+    least = min(length, shorter or length)
+    texts, name = _distinct(rows.where(F.octet_length("t") >= least), "texts")
+    names = [name]
+    found = _spans(texts, least)
+    used = [found]
+    if least < length:  # a longer string that repeats lies in a run of shorter ones
+        runs = texts.select("c", "t").join(found, "c").select("c", "t", F.explode(F.filter("spans", lambda x: x["e"] - x["s"] >= length)).alias("x"))
+        place = F.unhex(F.lpad(F.hex("x.s"), 8, "0"))
+        parts = runs.select(F.concat("c", place).alias("c"), F.substring(F.col("t").cast("binary"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("t"))
+        parts, name = _bucketed(parts, "parts")
+        names.append(name)
+        used.append(_spans(parts, length))
+        at = F.conv(F.hex(F.substring("c", 17, 4)), 16, 10).cast("int")
+        moved = used[-1].select(F.substring("c", 1, 16).alias("c"), at.alias("at"), F.explode("spans").alias("x"))
+        spans = moved.groupBy("c").agg(F.collect_list(F.struct((F.col("x.s") + F.col("at")).alias("s"), (F.col("x.e") + F.col("at")).alias("e"))).alias("spans"))
+        judged = texts.join(spans, "c", "left").join(found.withColumnRenamed("spans", "wide"), "c", "left")
+    else:
+        judged = texts.join(found, "c", "left").withColumn("wide", F.col("spans"))
+    judged = judged.select("c", "t", "copies", "spans", "wide")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list] = [[] for _ in range(7)]
+            for c, t, copies, spans, wide in zip(b.column(0).to_pylist(), b.column(1), *(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                raw = t.as_buffer().to_pybytes()
+                gone, also = ([(x["s"], x["e"]) for x in y or ()] if copies < 2 else [(0, len(raw))] if len(raw) >= n else [] for y, n in ((spans, length), (wide, least)))
+                gone = _merged(gone)
+                left = [(a, z) for a, z in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(raw)], strict=True) if a < z]
+                rest = b"".join(raw[a:z] for a, z in left)
+                for col, v in zip(cols, (c, len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), sum(e - s for s, e in _merged(also)), [{"s": a, "n": z - a} for a, z in left] if gone else None), strict=True):
+                    col.append(v)
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], fields)
+
+    fields = ["c", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "rest"]
+    result = written(judged.mapInArrow(kept, "c binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, rest array<struct<s:int,n:int>>"), "judged")
+    for x in used:
+        dropped(spark, x)
+    for name in names:
+        files = spark.table(name).inputFiles()
+        spark.sql(f"DROP TABLE {name}")
+        removed(spark, files)
+    raw = F.col("t").cast("binary")
+    whole = rows.where(F.octet_length("t") < least).select("doc_id", "t", F.octet_length("t").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), F.lit(0).cast("long").alias("n_repeated"), F.lit(None).cast(result.schema["rest"].dataType).alias("rest"))
+    keyed = rows.where(F.octet_length("t") >= least).select("doc_id", *(["t"] if keep_text else []), _key("t").alias("c"))
+    out = keyed.join(result, "c").drop("c").unionByName(whole if keep_text else whole.drop("t"))
+    # strings of bytes, whatever they are cut to
+    left = F.array_join(F.transform("rest", lambda x: F.substring(F.col("t").cast("binary"), x["s"] + 1, x["n"]).cast("string")), "").cast("binary")
+    more = ["n_repeated"] * (shorter is not None) + [F.when(F.col("rest").isNull(), raw).otherwise(left).alias("kept")] * keep_text
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *more)
+
+
+def _spans(long: DataFrame, length: int) -> DataFrame:
+    """c and spans (s, e) of its bytes that lie in strings of length bytes which also start elsewhere among long (c, t)."""
+    spark = long.sparkSession
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,36 +288,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
                 ends = pa.array(3 * np.append(first, len(n)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(n[first])), pa.array(h[first].view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(spots))], ["c", "h", "spots"])
 
-    # a text's occurrences of an anchor travel as one row: place, first and last window of each
-    met = long.select("c", "t").mapInArrow(found, "c string, h long, spots array<int>").repartition("h").sortWithinPartitions("h")
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of anchors with more than one occurrence, and how many these are. A group beyond HOT is let
-        through as it comes, so at most HOT rows are held."""
-        held, hot = None, None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            if not len(t):
-                continue
-            h = t.column("h").to_numpy()
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            size = np.add.reduceat(np.diff(t.column("spots").combine_chunks().offsets.to_numpy()) // 3, first)
-            size[h[first] == hot] = HOT + 1
-            if size[-1] > HOT:
-                end, hot, held = len(t), h[-1], None
-            else:
-                end, held = first[-1], t.slice(first[-1])
-            yield from _sized(t, np.repeat(size, np.diff(np.append(first, len(h)))), end)
-        if held is not None:
-            n = np.diff(held.column("spots").combine_chunks().offsets.to_numpy()).sum() // 3
-            yield from _sized(held, np.full(len(held), HOT + 1 if held.column("h")[0].as_py() == hot else n), len(held))
-
-    seen = written(met.mapInArrow(several, "c string, h long, spots array<int>, size long").groupBy("c").agg(F.collect_list(F.struct("h", "spots", "size")).alias("a")), "anchors")
+    # a text's occurrences of an anchor travel as one row: place, first and last window of each. Occurrences are counted before
+    # they are dealt, and a join may split those of an anchor that is very common
+    met = written(long.where(F.octet_length("t") >= length).select("c", "t").mapInArrow(found, "c binary, h long, spots array<int>"), "anchors")
+    often = met.groupBy("h").agg(F.sum(F.size("spots") / 3).cast("long").alias("size")).where("size > 1")
+    seen = written(met.join(often, "h").groupBy("c").agg(F.collect_list(F.struct("h", "spots", "size")).alias("a")), "anchors")
+    dropped(spark, met)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Bytes around each anchor; equal ones of a batch go once, and are known to repeat."""
-        schema = pa.schema([("k", pa.int64()), ("c", pa.string()), ("lo", pa.int32()), ("at", pa.int32()), ("known", pa.bool_()), ("len", pa.int32()), ("ctx", pa.binary())])
+        schema = pa.schema([("k", pa.int64()), ("c", pa.binary()), ("lo", pa.int32()), ("at", pa.int32()), ("known", pa.bool_()), ("len", pa.int32()), ("ctx", pa.binary())])
         for b in batches:
             first: dict[tuple[int, bytes], list] = {}
             out: list[list] = []
@@ -267,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
             for k in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[k : k + 4096], strict=True), schema, strict=True)], schema=schema)
 
-    around = written(long.join(seen, "c").select("c", "t", "a").mapInArrow(contexts, "k long, c string, lo int, at int, known boolean, len int, ctx binary"), "contexts")
+    around = written(long.join(seen, "c").select("c", "t", "a").mapInArrow(contexts, "k long, c binary, lo int, at int, known boolean, len int, ctx binary"), "contexts")
     dropped(spark, seen)
     # occurrences that had an equal one in their batch: all their bytes repeat
     whole = around.where("known").select("c", F.col("lo").alias("s"), (F.col("lo") + F.col("len")).alias("e"))
@@ -295,11 +343,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
                         keys.append(None if again else w)
                         texts_.append(c)
                         starts.append(lo + i)
-                out = [pa.array(keys, pa.binary()), pa.array(texts_, pa.string()), pa.array(starts, pa.int32()), pa.array(known, pa.bool_())]
+                out = [pa.array(keys, pa.binary()), pa.array(texts_, pa.binary()), pa.array(starts, pa.int32()), pa.array(known, pa.bool_())]
                 for j in range(0, len(keys), 1 << 14):
                     yield pa.RecordBatch.from_arrays([x.slice(j, 1 << 14) for x in out], ["w", "c", "s", "known"])
 
-    single = written(each.where("large").select("c", "lo", "ctx").mapInArrow(windows, "w binary, c string, s int, known boolean"), "windows")
+    single = written(each.where("large").select("c", "lo", "ctx").mapInArrow(windows, "w binary, c binary, s int, known boolean"), "windows")
     often = single.where("w IS NOT NULL").groupBy("w").count().where(F.col("count") > 1).select("w")
     counted = single.where("known").select("c", "s").unionByName(single.where("NOT known").join(often, "w", "left_semi").select("c", "s"))
     # windows fewer than GRAM bytes apart overlap, so what lies between them goes as well
@@ -320,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
                 some = g.iloc[b0 : ends[to - 1]]
                 flags = repeated(some["ctx"].tolist(), some["at"].to_numpy(np.int64), count[at:to], length)
                 for c, lo, f in zip(some["c"], some["lo"], flags, strict=True):
-                    spans += [(c, s, e) for s, e in _spans(f, lo, length)]
+                    spans += [(c, s, e) for s, e in _runs(f, lo, length)]
                 at = to
             return pd.DataFrame(spans, columns=["c", "s", "e"])
 
@@ -334,34 +382,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
         if held is not None and len(held):
             yield out(held)
 
-    spans = together.mapInPandas(marked, "c string, s int, e int")
-    per = written(spans.unionByName(whole).unionByName(counted).groupBy("c").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    for used in (around, large, single):
-        dropped(spark, used)
-    judged = texts.join(per, "c", "left").select("c", "t", "copies", "spans")
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for c, t, copies, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                raw = t.as_buffer().to_pybytes()
-                gone = _merged([(x["s"], x["e"]) for x in spans or ()] if copies < 2 else [(0, len(raw))] if len(raw) >= length else [])
-                rest = b"".join(raw[a:z] for a, z in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(raw)], strict=True))
-                for col, v in zip(cols, (c, len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest), strict=True):
-                    col.append(v)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)][: 5 + keep_text], names[: 5 + keep_text])
-
-    names = ["c", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    schema = "c string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    result = judged.mapInArrow(kept, schema)
-    return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("c")).join(result, "c").drop("c")
+            out = [[{"s": s, "e": e} for s, e in _merged([(x["s"], x["e"]) for x in y])] for y in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], ["c", "spans"])
 
-
-def _sized(t: pa.Table, size: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
-    keep = np.flatnonzero(size[:end] > 1)
-    if len(keep):
-        yield from t.take(pa.array(keep)).append_column("size", pa.array(size[keep].astype(np.int64))).combine_chunks().to_batches()
+    spans = together.mapInPandas(marked, "c binary, s int, e int")
+    per = spans.unionByName(whole).unionByName(counted).groupBy("c").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    per = written(per.mapInArrow(joined, "c binary, spans array<struct<s:int,e:int>>"), "spans")
+    for used in (around, large, single):
+        dropped(spark, used)
+    return per
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -383,23 +414,32 @@ def _split(raw: bytes, h: int, q: int, lo: int, hi: int, length: int) -> Iterato
         yield int.from_bytes(key, "little", signed=True), max(lo, q - b * STEP - STEP + 1), min(hi, q - b * STEP)
 
 
-def _distinct(rows: DataFrame) -> DataFrame:
-    """c (md5), copies and t, each text once, as a table bucketed by c: later joins on c move no texts.
-    Equal texts of a task are counted before they are sent."""
-    spark = rows.sparkSession
+def _key(t: str) -> Column:
+    """Names a text: its MD5, as bytes."""
+    return F.unhex(F.md5(F.col(t).cast("binary")))
+
+
+def _distinct(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """c, copies and t, each text once, as a bucketed table. Equal texts of a batch are counted before they are sent."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n: dict[str, list[int]] = {}
+            n: dict[bytes, list[int]] = {}
             for i, c in enumerate(b.column(0).to_pylist()):
                 n.setdefault(c, [i, 0])[1] += 1
             some = pa.array([i for i, _ in n.values()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), pa.array([k for _, k in n.values()], pa.int64())], ["c", "t", "copies"])
 
-    keyed = rows.select(F.md5(F.col("t").cast("binary")).alias("c"), "t").mapInArrow(counted, "c string, t string, copies long")
+    return _bucketed(rows.select(_key("t").alias("c"), "t").mapInArrow(counted, "c binary, t string, copies long"), name)
+
+
+def _bucketed(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """rows (c, t, ...) once per c as a table bucketed by c, so that later joins on c move no texts; and its name in
+    the catalog, from which it is to be dropped."""
+    spark = rows.sparkSession
     # fewer buckets than shuffle partitions would be dealt anew by every join
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keyed.rdd.getNumPartitions())
-    name = f"texts_{uuid.uuid4().hex}"
-    once = keyed.repartition(buckets, "c").groupBy("c").agg(F.sum("copies").alias("copies"), F.first("t").alias("t"))
-    once.write.bucketBy(buckets, "c").option("path", new_path(spark, "texts")).saveAsTable(name)
-    return spark.table(name)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    name = f"{name}_{uuid.uuid4().hex}"
+    once = rows.repartition(buckets, "c").groupBy("c").agg(*([F.sum("copies").alias("copies")] if "copies" in rows.columns else []), F.first("t").alias("t"))
+    once.write.bucketBy(buckets, "c").option("parquet.block.size", 32 << 20).option("path", new_path(spark, "texts")).saveAsTable(name)
+    return spark.table(name), name

@@ -42,7 +42,12 @@ def written(df: DataFrame, name: str, row_group: int = 32 << 20) -> DataFrame:
 
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Removes the files of a written table that nothing reads any more."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+    removed(spark, df.inputFiles())
+
+
+def removed(spark: SparkSession, files: list[str]) -> None:
+    """Removes the folders of these files."""
+    for f in {x.rsplit("/", 1)[0] for x in files}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
