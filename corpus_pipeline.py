@@ -47,11 +47,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out strings that occur more than once; what is left of a character that was cut goes too.
     Every document stays, if only with what is left of it."""
-    kept = suffixes.remove_repeats(docs.withColumn("row", F.struct(docs.columns)), length=REPEAT, doc_id="row", keep_text=True)
-    text = F.when(F.col("n_removed") > 0, F.expr("try_validate_utf8(cast(kept AS string))"))
-    cut = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    now = F.when(F.col("n_removed") > 0, F.coalesce(text, cut)).otherwise(F.col("doc_id.text"))
-    out = {c: F.col(f"doc_id.{c}") for c in docs.columns} | {"text": now, "n_chars": F.when(F.col("n_removed") > 0, F.char_length(now).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc_id.n_chars"))}
+    others = [c for c in docs.columns if c != "text"]
+    kept = suffixes.remove_repeats(docs.select(F.struct(*others).alias("row"), "text"), length=REPEAT, doc_id="row", keep_text=True)
+    bytes_ = F.col("kept").cast("string")
+    now = F.when(F.is_valid_utf8(bytes_), bytes_).otherwise(F.replace(F.make_valid_utf8(bytes_), F.lit("\ufffd"), F.lit("")))
+    out = {c: F.col(f"doc_id.{c}") for c in others} | {"text": F.when((F.col("n_removed") > 0) | (F.col("n_bytes") > 0), now)}
     return kept.select([out[c].alias(c) for c in docs.columns])
 
 
