@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.kernels import U, hasher, mix, pieces, text_bytes, words
+from tidemark.llm.kernels import U, couples, hasher, mix, pieces, runs, text_bytes, words
 from tidemark.llm.tables import components, dropped, small_batches, written
 
 #: Cells of the counting sketch, a power of two: its size, and so that of the broadcast, is fixed.
@@ -258,21 +258,6 @@ def _runs(fn, names: list[str]):
     return run
 
 
-def _couples(g: pd.DataFrame, names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of rows that agree in names, over rows that are sorted by them."""
-    new = np.ones(len(g), bool)
-    new[1:] = False
-    for x in (g[c].to_numpy() for c in names):
-        new[1:] |= x[1:] != x[:-1]
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(g)))
-    for k in range(1, int(size.max())):  # rows k apart in a run, for all runs at once
-        live = size > k
-        start, size = start[live], size[live]
-        a = np.repeat(start, size - k) + (np.arange((size - k).sum()) - np.repeat(np.cumsum(size - k) - (size - k), size - k))
-        yield a, a + k
-
-
 def _pairs(percent: int):
     """Pairs of groups within runs of (token, i, j) that lie in different components and pass the size and place filters.
     Where both are of one class (odd is there), their parities must allow the pair, too."""
@@ -282,7 +267,7 @@ def _pairs(percent: int):
         n, p, comp, part, ids = (g[c].to_numpy(np.int64) for c in ("n", "p", "comp", "part", "g"))
         odd = Parities(g["odd"].tolist())
         out = []
-        for a, b in _couples(g, ["token", "i", "j"]):
+        for a, b in couples(*runs([g[c].to_numpy() for c in ("token", "i", "j")])):
             need = least(n[a], n[b], percent)
             ok = (comp[a] != comp[b]) & (np.minimum(n[a] - p[a], n[b] - p[b]) >= need) & (np.minimum(n[a], n[b]) >= need) & ((i[a] == j[a]) | (part[a] != part[b]))
             a, b, need = a[ok], b[ok], need[ok]
@@ -304,7 +289,7 @@ def _near(percent: int):
         odd = Parities(g["odd"].tolist())
         once = (a == b) & (i == j)  # both sides have the same classes
         out = []
-        for x, y in _couples(g, ["a", "b", "i", "j"]):
+        for x, y in couples(*runs([a, b, i, j])):
             ok = (side[x] != side[y]) & (comp[x] != comp[y])
             x, y = x[ok], y[ok]
             x, y = np.where(side[x] == 0, x, y), np.where(side[x] == 0, y, x)

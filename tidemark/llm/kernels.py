@@ -132,3 +132,23 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     last[inner - 1] = inside[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return start, end, np.searchsorted(bounds, start, "right") - 1
+
+
+def runs(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and sizes of the runs of rows that agree in all keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for x in keys:
+        new[1:] |= x[1:] != x[:-1]
+    start = np.flatnonzero(new)
+    return start, np.diff(np.append(start, len(new)))
+
+
+def couples(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of rows of a run: those k apart, for all runs at once, for each k."""
+    for k in range(1, int(size.max(initial=0))):
+        live = size > k
+        start, size = start[live], size[live]
+        n = size - k
+        a = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield a, a + k

@@ -21,9 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kernels import U, mix
+from tidemark.llm.kernels import U, couples, mix, runs
 from tidemark.llm.tables import components, dropped, small_batches, written
-from tidemark.llm.vectors import finite
+from tidemark.llm.vectors import finite, stacked
 
 #: Numbers of vectors up to which a cell is of one, two, three eights; more beyond.
 EIGHTS = (30_000, 3_000_000, 100_000_000)
@@ -81,11 +81,13 @@ def cells(u: np.ndarray, tables: int, probes: int, width: float, eights: int = 1
         x = (u @ _gauss(seed, t, dim, 8 * eights) / width).reshape(len(u), eights, 8)
         y = e8(x.reshape(-1, 8)).reshape(x.shape)
         # all neighbours are as far from y, so those are nearest to x that lie in its direction
-        near = np.argsort(-((x - y) @ SHORTEST.T).reshape(len(u), -1), axis=1, kind="stable")[:, :probes]
+        toward = ((x - y).astype(np.float32) @ SHORTEST.T.astype(np.float32)).reshape(len(u), -1)
         points = np.repeat(y[:, None], 1 + probes, axis=1)
         rows = np.arange(len(u))
         for k in range(probes):
-            points[rows, k + 1, near[:, k] // len(SHORTEST)] += SHORTEST[near[:, k] % len(SHORTEST)]
+            near = toward.argmax(1)
+            points[rows, k + 1, near // len(SHORTEST)] += SHORTEST[near % len(SHORTEST)]
+            toward[rows, near] = -np.inf
         h = _key(points.reshape(len(u), 1 + probes, 8 * eights), t * 1_000_003 + dim) & ~U(1)
         h[:, 0] |= U(1)
         out.append(h)
@@ -182,78 +184,84 @@ def near_duplicates(
         )
 
     def in_cells(fn):
-        """Applies fn to each pair of parts of a cell."""
+        """Applies fn to whole cells (or pairs of parts of one), many at a time."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: pd.DataFrame | None = None
             for b in batches:
                 b = b if held is None else pd.concat([held, b], ignore_index=True)
-                k = b[["key", "i", "j"]].to_numpy()
-                cut = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-                out = [fn(b.iloc[s:e]) for s, e in zip([0, *cut[:-1]], cut, strict=True) if e - s > 1] if len(cut) else []
-                held = b.iloc[cut[-1] :] if len(cut) else b
-                if out := [x for x in out if x is not None]:
-                    yield pd.concat(out)
-            if held is not None and len(held) > 1 and (x := fn(held)) is not None:
-                yield x
+                start, _ = runs([b[x].to_numpy() for x in ("key", "i", "j")])
+                last = start[-1] if len(start) else 0
+                if last:
+                    yield from fn(b.iloc[:last])
+                held = b.iloc[last:].reset_index(drop=True)
+            if held is not None and len(held):
+                yield from fn(held)
 
         return run
 
-    def sides(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-        part, i, j = g["part"].to_numpy(), g["i"].iloc[0], g["j"].iloc[0]
-        left = np.flatnonzero(part == i)
-        return left, left if i == j else np.flatnonzero(part == j), i == j
-
-    def possible(g: pd.DataFrame) -> pd.DataFrame | None:
+    def found_in(g: pd.DataFrame, of_pairs, of_block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs of rows of a cell, one at home in it, that pass: of_pairs looks at many cells with few rows,
+        of_block at the rows a against the rows b of one with many."""
+        home, part, i, j = (g[x].to_numpy() for x in ("home", "part", "i", "j"))
+        start, size = runs([g["key"].to_numpy(), i, j])
+        few = size <= 64
+        out = []
+        for a, b in couples(start[few], size[few]):
+            ok = (home[a] | home[b]) & ((i[a] == j[a]) | (part[a] != part[b]))
+            a, b = a[ok], b[ok]
+            ok = of_pairs(a, b)
+            out.append((a[ok], b[ok]))
+        if out:
+            yield tuple(map(np.concatenate, zip(*out, strict=True)))
+        for s, n in zip(start[~few], size[~few], strict=True):
+            rows = np.arange(s, s + n)
+            left, right = rows[part[rows] == i[s]], rows[part[rows] == j[s]]
+            for k in range(0, len(left), 256):
+                a = left[k : k + 256]
+                ok = of_block(a, right) & (home[a][:, None] | home[right])
+                if i[s] == j[s]:
+                    ok &= a[:, None] < right
+                a, b = np.nonzero(ok)
+                yield left[k + a], right[b]
+
+    def possible(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Entries that have another one in the cell whose signs are near enough."""
-        s, home = np.frombuffer(b"".join(g["signs"]), U).reshape(len(g), -1), g["home"].to_numpy()
-        left, right, one = sides(g)
+        s = np.frombuffer(b"".join(g["signs"]), U).reshape(len(g), -1)
         has = np.zeros(len(g), bool)
-        for k in range(0, len(left), 256):
-            a = left[k : k + 256]
-            ok = np.bitwise_count(s[a][:, None] ^ s[right]).sum(2, dtype=np.int64) <= apart
-            ok &= home[a][:, None] | home[right]
-            if one:
-                ok &= a[:, None] != right
-            has[a] |= ok.any(1)
-            has[right] |= ok.any(0)
-        return g.loc[has, ["key", "home", "c"]] if has.any() else None
+        for a, b in found_in(g, lambda a, b: np.bitwise_count(s[a] ^ s[b]).sum(1, dtype=np.int64) <= apart, lambda a, b: np.bitwise_count(s[a][:, None] ^ s[b]).sum(2, dtype=np.int64) <= apart):
+            has[a] = has[b] = True
+        yield g.loc[has, ["key", "home", "c"]]
 
     entries = hashed.mapInPandas(spread, "key long, home boolean, c long, signs binary")
     near = dealt(entries).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     near = written(near.select("key", "i", "j", "part", "home", "c", "signs").mapInPandas(in_cells(possible), "key long, home boolean, c long").distinct(), "near")
 
-    def linked(g: pd.DataFrame) -> pd.DataFrame | None:
-        """Links of a cell that belong to no smaller one."""
-        left, right, one = sides(g)
+    def linked(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Links that belong to no smaller cell, and what the links of a cell connect."""
         size = g["v"].map(len).to_numpy()
-        x, home, c = np.zeros((len(g), size.max())), g["home"].to_numpy(), g["c"].to_numpy()
-        for d in np.unique(size):
-            x[size == d, :d] = np.stack(g["v"].to_numpy()[size == d]).astype(float)
+        x = stacked(g["v"], int(size.max()), float)
         x /= np.sqrt((x**2).sum(1))[:, None]
-        a, b = np.nonzero(x[left] @ x[right].T >= cosine)
-        a, b = left[a], right[b]
-        ok = ((a < b) | (not one)) & (home[a] | home[b]) & (size[a] == size[b])
-        a, b = a[ok], b[ok]
-        if not len(a):
-            return None
-        copies, key, keys = g["copies"].to_numpy(), g["key"].iloc[0], [np.frombuffer(k, np.int64) for k in g["keys"]]
-        links, low = np.zeros(len(g), np.int64), c.copy()
-        for s in range(0, len(a), 1024):
-            p, q = (np.stack([keys[i] for i in x[s : s + 1024]]) for x in (a, b))
-            same = ((p[:, :, None] & ~1) == (q[:, None, :] & ~1)) & (((p[:, :, None] | q[:, None, :]) & 1) == 1)
-            own = np.where(same.any(2), p & ~1, np.iinfo(np.int64).max).min(1) == key
-            np.add.at(links, a[s : s + 1024][own], copies[b[s : s + 1024][own]])
-            np.add.at(links, b[s : s + 1024][own], copies[a[s : s + 1024][own]])
-        while True:  # the smallest class that the links of this cell reach
-            was = low.copy()
-            np.minimum.at(low, a, low[b])
-            np.minimum.at(low, b, low[a])
-            if (was == low).all():
-                break
-        ends = np.zeros(len(g), bool)
-        ends[a] = ends[b] = True
-        return pd.DataFrame({"c": c, "links": links, "hub": low})[ends]
+        c, copies, key, keys = g["c"].to_numpy(), g["copies"].to_numpy(), g["key"].to_numpy(), [np.frombuffer(k, np.int64) for k in g["keys"]]
+        similar = lambda a, b: (np.einsum("ij,ij->i", x[a], x[b]) >= cosine) & (size[a] == size[b])
+        for a, b in found_in(g, similar, lambda a, b: (x[a] @ x[b].T >= cosine) & (size[a][:, None] == size[b])):
+            links = np.zeros(len(g), np.int64)
+            for d in np.unique(size[a]):  # vectors of one length have as many keys
+                of_size = size[a] == d
+                for s in range(0, of_size.sum(), 1024):
+                    y, z = a[of_size][s : s + 1024], b[of_size][s : s + 1024]
+                    p, q = (np.stack([keys[i] for i in rows_]) for rows_ in (y, z))
+                    same = ((p[:, :, None] & ~1) == (q[:, None, :] & ~1)) & (((p[:, :, None] | q[:, None, :]) & 1) == 1)
+                    own = np.where(same.any(2), p & ~1, np.iinfo(np.int64).max).min(1) == key[y]
+                    np.add.at(links, y[own], copies[z[own]])
+                    np.add.at(links, z[own], copies[y[own]])
+            low, was = c.copy(), None
+            while was is None or (was != low).any():  # the smallest class that these links reach
+                was = low.copy()
+                np.minimum.at(low, a, low[b])
+                np.minimum.at(low, b, low[a])
+            ends = np.unique(np.concatenate([a, b]))
+            yield pd.DataFrame({"c": c[ends], "links": links[ends], "hub": low[ends]})
 
     work = dealt(near).join(classes.select("c", "v", "copies"), "c").join(hashed.select("c", "keys"), "c").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = written(work.select("key", "i", "j", "part", "home", "c", "keys", "v", "copies").mapInPandas(in_cells(linked), "c long, links long, hub long"), "found")
