@@ -1,9 +1,9 @@
 """Near-duplicate embeddings by lattice hashing.
 
 Each table projects unit vectors with fixed Gaussian numbers to one or several times 8 dimensions and decodes each
-eight to the nearest point of the E8 lattice (Conway and Sloane, 1982); the points together are the cell. More eights make
-cells smaller, so their number follows that of the vectors, and the number of tables follows from how often two vectors at
-the threshold meet in one. A vector is entered in its own cell and in neighbouring cells, those whose points are next
+eight to the nearest point of the E8 lattice (Conway and Sloane, 1982); the points together are the cell. The more vectors,
+the smaller the cells (a narrower lattice, then two eights), and the number of tables follows from how often two vectors
+at the threshold meet in one. A vector is entered in its own cell and in neighbouring cells, those whose points are next
 nearest, and it is compared with the vectors of a cell where one of the two is at home. Entries travel with the signs of
 some projections only; vectors follow where these leave a pair possible. Cosines are computed from the whole vectors, so
 what is linked is right; what a vector's cells miss is not linked (see the measured recall in the README).
@@ -25,8 +25,8 @@ from tidemark.llm.kernels import U, couples, mix, runs
 from tidemark.llm.tables import components, dropped, small_batches, written
 from tidemark.llm.vectors import finite, stacked
 
-#: Numbers of vectors up to which a cell is of one, two, three eights; more beyond.
-EIGHTS = (30_000, 3_000_000, 100_000_000)
+#: Vectors from which on cells become smaller, and from which on they are of two eights.
+FEW, MANY = 5_000, 1_500_000
 #: Share of the pairs at the threshold that the tables are to bring together.
 RECALL = 0.985
 #: Signs that travel with an entry, and how many standard deviations from what is expected at the threshold they may be.
@@ -115,6 +115,12 @@ def at_threshold(dim: int, cosine: float, n: int = 2000) -> tuple[np.ndarray, np
     return u, cosine * u + math.sqrt(1 - cosine**2) * w
 
 
+def cell_shape(n: int) -> tuple[int, float]:
+    """Eights of a cell, and width of the lattice, for n vectors: what a vector meets by chance grows more slowly than n,
+    at the price of more tables."""
+    return (1, 2.0 * min(1.0, FEW / max(n, 1)) ** (1 / 12)) if n <= MANY else (2, 2.4 * (MANY / n) ** (1 / 20))
+
+
 def tables_for(dim: int, cosine: float, probes: int, width: float, eights: int) -> int:
     """Tables that bring together RECALL of the pairs at the threshold."""
     if dim < 2:
@@ -125,7 +131,7 @@ def tables_for(dim: int, cosine: float, probes: int, width: float, eights: int)
 
 
 def near_duplicates(
-    vectors: DataFrame, cosine: float = 0.9, probes: int = 2, width: float = 2.0, eights: int | None = None, block: int = 2048, vec_id: str = "vec_id", embedding: str = "embedding"
+    vectors: DataFrame, cosine: float = 0.9, probes: int = 2, shape: tuple[int, float] | None = None, block: int = 2048, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row for each row of vectors.
 
@@ -145,7 +151,7 @@ def near_duplicates(
     able = rows.where("v IS NOT NULL")
     classes = written(able.groupBy("k1", "k2").agg(F.any_value("v").alias("v"), F.min("id").alias("low"), F.count("*").alias("copies")).withColumn("c", F.monotonically_increasing_id()), "classes")
     n, dims = classes.agg(F.count("*"), F.slice(F.collect_set(F.size("v")), 1, 64)).first()
-    eights = eights or 1 + sum(n > x for x in EIGHTS)
+    eights, width = shape or cell_shape(n)
     known = {d: tables_for(d, cosine, probes, width, eights) for d in dims}  # other lengths get their number where they are met
     q = math.acos(min(1, max(-1, cosine))) / math.pi
     apart = math.ceil(SIGNS * q + SURE * math.sqrt(SIGNS * q * (1 - q)))
