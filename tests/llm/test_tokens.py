@@ -98,12 +98,16 @@ def test_packing(spark):
 def test_packing_sf(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = [r.text for r in docs.orderBy("doc_id").collect()]
-    rows = packing.pack_documents(docs, PATH).collect()
+    rows = packing.pack_documents(docs.repartition(7), PATH, step_ids=20_000).collect()
     assert check_pieces(rows, texts) == 0
-    steps = {}
+    steps, total = {}, {}
     for r in rows:
-        steps.setdefault(r.step_group, set()).add(r.tier)
-    assert all(len(x) == 1 for x in steps.values())
+        of = steps.setdefault(r.tier, {})
+        of[r.step_group] = of.get(r.step_group, 0) + r.length
+        total[r.tier] = total.get(r.tier, 0) + r.length
+    assert len({g for of in steps.values() for g in of}) == sum(map(len, steps.values()))  # one tier each
+    for tier, of in steps.items():
+        assert len(of) == max(1, round(total[tier] / 20_000)) and max(of.values()) - min(of.values()) <= 2 * tier, (tier, of)
 
 
 def test_registered_digests(spark):

@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str, row_group: int = 32 << 20) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, safe when executors are lost. Row groups are
     small, as a reader may hold one whole."""
     path = new_path(df.sparkSession, name)
-    df.write.option("parquet.block.size", row_group).parquet(path)
+    df.write.option("parquet.block.size", row_group).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
