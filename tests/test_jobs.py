@@ -13,26 +13,28 @@ DAY = dt.date
 
 
 def test_history_of_a_class(spark):
-    rows = [("Michael Jordan", 2001, "Good"), ("Michael Jordan", 2002, "Good"), ("Michael Jordan", 2003, "Bad"), ("Someone Else", 2003, "Bad")]
-    got = scd2.scd2_backfill(spark.createDataFrame(rows, "player_name string, current_season long, scoring_class string"), "player_name", "current_season", ["scoring_class"])
-    want = [("Michael Jordan", "Good", 2001, 2002), ("Michael Jordan", "Bad", 2003, 2003), ("Someone Else", "Bad", 2003, 2003)]
-    assertDataFrameEqual(got, spark.createDataFrame(want, "player_name string, scoring_class string, start_period long, end_period long"))
+    """Unordered input, a class that comes back, and a key of one period."""
+    rows = [("ore", 12, "grey"), ("ore", 10, "red"), ("ore", 11, "red"), ("ore", 13, "red"), ("ore", 14, "red"), ("tin", 14, None)]
+    got = scd2.scd2_backfill(spark.createDataFrame(rows, "metal string, year int, class string"), "metal", "year", ["class"])
+    want = [("ore", "red", 10, 11), ("ore", "grey", 12, 12), ("ore", "red", 13, 14), ("tin", None, 14, 14)]
+    assertDataFrameEqual(got, spark.createDataFrame(want, "metal string, class string, start_period int, end_period int"))
 
 
 def test_monthly_sums_of_first_days(spark):
-    rows = [("2023-03-01", [0, 1, 3], "2023-03-01"), ("2023-03-01", [1, 2, 3], "2023-03-01"), ("2023-04-01", [], "2023-03-01"), ("2023-04-01", [], "")]
-    df = spark.createDataFrame(rows, "month_start string, hit_array array<long>, date_partition string").where("date_partition = '2023-03-01'")
-    want = [("2023-03-01", 1, 3, 6), ("2023-04-01", 0, 0, 0)]
-    assertDataFrameEqual(arrays.first_days(df, ["month_start"]), spark.createDataFrame(want, "month_start string, num_hits_first_day long, num_hits_second_day long, num_hits_third_day long"))
-
-
-def test_team_vertex(spark):
-    rows = [(1, "GSW", "Warriors", "San Francisco", "Chase Center", 1900), (1, "GSW", "Bad Warriors", "San Francisco", "Chase Center", 1900)]
-    df = spark.createDataFrame(rows, "team_id long, abbreviation string, nickname string, city string, arena string, yearfounded long")
-    props = {c: F.col(c) for c in ("abbreviation", "nickname", "city", "arena")} | {"year_founded": F.col("yearfounded")}
-    (got,) = graph.vertices(df, "team_id", "team", props, [F.col("nickname")], descending=True).collect()
-    assert got.identifier == 1 and got.type == "team"
-    assert got.properties == {"abbreviation": "GSW", "nickname": "Warriors", "city": "San Francisco", "arena": "Chase Center", "year_founded": "1900"}
+    """Null hits, arrays shorter than three days, two keys and a month of one key."""
+    rows = [("n", "2031-07-01", [5, None, 2, 40]), ("n", "2031-07-01", [7]), ("s", "2031-07-01", [None, 9]), ("s", "2031-08-01", [])]
+    got = arrays.first_days(spark.createDataFrame(rows, "side string, month_start string, hit_array array<long>"), ["side", "month_start"])
+    assert sorted(map(tuple, got.collect())) == [("n", "2031-07-01", 12, 0, 2), ("s", "2031-07-01", 0, 9, 0), ("s", "2031-08-01", 0, 0, 0)]
+
+
+def test_vertex_of_repeated_rows(spark):
+    """The row that the order puts last describes the vertex; null properties stay null."""
+    rows = [(7, "b", None, 3), (7, "a", "x", 9), (7, "c", "y", 1), (8, None, "z", 2)]
+    df = spark.createDataFrame(rows, "id long, label string, place string, since int")
+    props = {"label": F.col("label"), "where": F.col("place"), "since": F.col("since")}
+    got = {r.identifier: r for r in graph.vertices(df, "id", "mine", props, [F.col("since")], descending=True).collect()}
+    assert {r.type for r in got.values()} == {"mine"}
+    assert got[7].properties == {"label": "a", "where": "x", "since": "9"} and got[8].properties == {"label": None, "where": "z", "since": "2"}
 
 
 def test_history_edges(spark):

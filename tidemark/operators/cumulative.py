@@ -66,3 +66,13 @@ def ratio_last_first(snapshot: DataFrame, key: str, field: str) -> DataFrame:
 def last_period(df: DataFrame, column: str) -> Column:
     """A column's maximum as a scalar subquery."""
     return df.agg(F.max(column)).scalar()
+
+
+def latest(df: DataFrame, column: str = PERIOD) -> DataFrame:
+    """The rows of the last period there is; none of an empty table."""
+    return df.where(F.col(column) == last_period(df, column))
+
+
+def ever_active(snapshots: DataFrame, key: str) -> DataFrame:
+    """Whether a key is active in any and in every of its periods; null flags don't count."""
+    return snapshots.groupBy(key).agg(F.bool_or(ACTIVE).alias("ever_active"), F.bool_and(ACTIVE).alias("always_active"))

@@ -11,11 +11,20 @@ from tidemark.functions import rank_of
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], descending: bool = False) -> DataFrame:
-    """The first row of each key by order_by (descending: the last), completed by all columns, so the survivor
-    never depends on how rows are dealt. min_by and max_by combine before the shuffle. Nulls are lowest."""
-    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order_by)], *[F.col(c).alias(f"r{i}") for i, c in enumerate(df.columns) if _sortable(df, c)])
-    pick = F.max_by if descending else F.min_by
-    return df.groupBy(*keys).agg(pick(F.struct(*df.columns), order).alias("row")).select("row.*")
+    """The first row of each key by order_by (descending: the last), completed by the columns that are not keys, so the
+    survivor never depends on how rows are dealt. Rows combine before the shuffle, and a value travels once: columns that
+    can be ordered are the order and the row in one. Nulls are lowest. Select what is needed beforehand."""
+    rest = [c for c in df.columns if c not in keys]
+    order = [c.alias(f"o{i}") for i, c in enumerate(order_by)]
+    pick = F.max if descending else F.min
+    if all(_sortable(df, c) for c in rest):
+        row = pick(F.struct(*order, *[F.col(c).alias(f"r{i}") for i, c in enumerate(rest)])).alias("x")
+        back = {c: F.col(f"x.r{i}") for i, c in enumerate(rest)}
+    else:
+        by = F.max_by if descending else F.min_by
+        row = by(F.struct(*[F.col(c).alias(f"r{i}") for i, c in enumerate(rest)]), F.struct(*order, *[F.col(c) for c in rest if _sortable(df, c)])).alias("x")
+        back = {c: F.col(f"x.r{i}") for i, c in enumerate(rest)}
+    return df.groupBy(*keys).agg(row).select(*[back[c].alias(c) if c in back else F.col(c) for c in df.columns])
 
 
 def _sortable(df: DataFrame, name: str) -> bool:

@@ -28,7 +28,9 @@ def edges(rows: DataFrame, subject: tuple[str, str], obj: tuple[str, str], edge:
 
 def co_occurrence(rows: DataFrame, event: str, who: str, side: str, points: str, together: str = "shares_team", against: str = "plays_against") -> DataFrame:
     """Pairs that met in an event, the larger id as subject: how often, on one side or against each other, and
-    both sums of points. rows has one row per event and participant; an unknown side counts as against."""
+    both sums of points. rows has one row per event and participant; an unknown side counts as against. An event of
+    n participants gives n (n - 1) / 2 pairs, which is what is asked for; they combine to one row a pair of ids before the
+    shuffle of the sums."""
     a = rows.select(event, F.col(who).alias("subject_id"), F.col(side).alias("s1"), F.col(points).alias("p1"))
     b = rows.select(event, F.col(who).alias("object_id"), F.col(side).alias("s2"), F.col(points).alias("p2"))
     kind = F.when(F.col("s1") == F.col("s2"), together).otherwise(against)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes by the optimizer's estimate up to which a dimension is broadcast; beyond that the join shuffles.
-BROADCAST_BYTES = 64 << 20
+#: Bytes in memory up to which a dimension is broadcast; beyond that the join shuffles. The optimizer's estimate comes
+#: from compressed files, whose rows take several times as much.
+BROADCAST_BYTES, EXPANDED = 64 << 20, 4
 
 
 def sized_broadcast(dim: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """dim marked for a broadcast if its estimated size is within limit, else as it is."""
+    """dim marked for a broadcast if its estimated size, EXPANDED times, is within limit, else as it is."""
     size = dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(dim) if int(str(size)) <= limit else dim
+    return F.broadcast(dim) if EXPANDED * int(str(size)) <= limit else dim
 
 
 def join_dim(fact: DataFrame, dim: DataFrame, on: Column, how: str = "inner") -> DataFrame:

@@ -71,6 +71,9 @@ ss AS (SELECT ip, host, min(ts) AS session_start, max(ts) + INTERVAL 5 MINUTE AS
 _MAPS = "mp AS (SELECT o_orderkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 
 ORACLE_SQL = {
+    "latest_snapshot": f"WITH {_snap(2001)} SELECT player, class, periods_since_active, periods_since_active = 0 AS is_active, period FROM snap WHERE period = (SELECT max(period) FROM snap)",
+    "ever_active": f"WITH {_snap(2001)} SELECT player, bool_or(periods_since_active = 0) AS ever_active, bool_and(periods_since_active = 0) AS always_active FROM snap GROUP BY player",
+    "layout_rows": "SELECT layout, count(*) AS rows FROM lineitem, (VALUES ('as_read'), ('sorted')) v(layout) GROUP BY layout",
     "activity_flags": f"WITH {_BITS} SELECT user_id, CAST(bit_count(bits) AS INT) AS l32, bits <> 0 AS monthly_active, CAST(bit_count(bits & {_WEEK}) AS INT) AS l7, (bits & {_WEEK}) <> 0 AS weekly_active, (bits & {_WEEK_BEFORE}) <> 0 AS active_week_before FROM b",
     "datelist_int_recent": f"WITH {_BITS} SELECT user_id, bits, DATE '{LAST}' AS as_of FROM b",
     "datelist_int_month": f"WITH {_DAYS} SELECT user_id, CAST(sum(CASE WHEN day >= DATE '{MONTH}' AND day < DATE '2024-02-01' THEN CAST(1 AS BIGINT) << CAST(32 - day(day) AS INT) ELSE 0 END) AS BIGINT) AS bits, DATE '2024-01-31' AS as_of FROM d WHERE day <= DATE '{LAST}' GROUP BY 1",

@@ -3,6 +3,8 @@ compared with SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +71,18 @@ def scd2_backfill(s, d):
 
 
 def scd2_incremental(s, d):
-    now = _backfill(s, d).where("period = 2001").select("player", "class", "is_active")
-    return scd2.scd2_incremental(_scd(s, d, 2000), now, "player", ["class", "is_active"], 2000, 2001)
+    """The history up to 2000 and the snapshot of 2001, both from snapshots that are written once."""
+    b = writers.staged(_backfill(s, d).select("player", "period", "class", "is_active"))
+    before = scd2.scd2_backfill(b, "player", "period", ["class", "is_active"], 2000)
+    return scd2.scd2_incremental(before, b.where("period = 2001").drop("period"), "player", ["class", "is_active"], 2000, 2001)
+
+
+def latest_snapshot(s, d):
+    return cumulative.latest(_backfill(s, d).select("player", "class", "periods_since_active", "is_active", "period"))
+
+
+def ever_active(s, d):
+    return cumulative.ever_active(_backfill(s, d), "player")
 
 
 def new_keys_anti(s, d):
@@ -83,7 +95,7 @@ def max_class(s, d):
 
 
 def fact_lineitems(s, d):
-    li = t.read(s, d, "lineitem").withColumn("played", F.concat_ws(":", F.col("l_quantity").cast("int"), "l_linenumber"))
+    li = t.read(s, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity").withColumn("played", F.concat_ws(":", F.col("l_quantity").cast("int"), "l_linenumber"))
     flags = {"is_urgent": facts.has_token(F.col("o_orderpriority"), "URGENT"), "is_low": facts.has_token(F.col("o_orderpriority"), "LOW")}
     dims = {"game_date": F.to_date("o_orderdate"), "game": F.col("l_orderkey"), "team": F.col("l_suppkey"), "player": F.col("l_partkey"), "is_home": F.pmod("o_custkey", F.lit(100)) == F.col("l_suppkey"), **flags}
     measures = {"minutes": F.round(facts.minutes(F.col("played")), 4), "points": F.col("l_quantity").cast("long")}
@@ -268,8 +280,8 @@ def longest_streak(s, d):
     return analysis.longest_streak(t.read(s, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], F.col("o_totalprice") > 200_000)
 
 
-def _players(s, d):
-    rows = t.game_rows(s, d).groupBy("player").agg(F.sum("points").alias("points"), F.count("*").alias("games"))
+def _players(rows):
+    rows = rows.groupBy("player").agg(F.sum("points").alias("points"), F.count("*").alias("games"))
     return graph.vertices(rows, "player", "player", {"points": F.col("points"), "games": F.col("games")}, [F.col("player")])
 
 
@@ -278,12 +290,12 @@ def vertices_suppliers(s, d):
     return v.select("identifier", "type", F.col("properties")["name"].alias("name"), F.col("properties")["nation"].alias("nation"))
 
 
-def _plays_in(s, d):
-    return graph.edges(t.game_rows(s, d), ("player", "player"), ("game", "game"), "plays_in", {"team": F.col("team"), "points": F.col("points")}, [F.col("points")], descending=True)
+def _plays_in(rows):
+    return graph.edges(rows.select("player", "game", "team", "points"), ("player", "player"), ("game", "game"), "plays_in", {"team": F.col("team"), "points": F.col("points")}, [F.col("points")], descending=True)
 
 
 def edges_plays_in(s, d):
-    return _plays_in(s, d).withColumns({"team": F.col("properties")["team"], "points": F.col("properties")["points"]}).drop("properties")
+    return _plays_in(t.game_rows(s, d)).withColumns({"team": F.col("properties")["team"], "points": F.col("properties")["points"]}).drop("properties")
 
 
 def edges_pairs(s, d):
@@ -291,7 +303,8 @@ def edges_pairs(s, d):
 
 
 def graph_points_per_game(s, d):
-    got = graph.property_ratio(_plays_in(s, d), _players(s, d), "player", "points", "games")
+    rows = writers.staged(t.game_rows(s, d))
+    got = graph.property_ratio(_plays_in(rows), _players(rows), "player", "points", "games")
     return got.select("subject_id", "object_id", F.round("ratio", 4).alias("ratio"))
 
 
@@ -338,8 +351,8 @@ def upsert_latest(s, d):
 
 def bucketed_join(s, d):
     """Two tables bucketed by the order key, joined without an exchange."""
-    folder = writers.work_folder(s)
-    a, b = (f"t{abs(hash(folder)):x}_{x}" for x in ("details", "games"))
+    folder, run = writers.work_folder(s), uuid.uuid4().hex
+    a, b = (f"t{run}_{x}" for x in ("details", "games"))
     layout.write_bucketed(t.read(s, d, "lineitem").select("l_orderkey", "l_quantity"), a, "l_orderkey", 16, f"{folder}/details")
     layout.write_bucketed(t.read(s, d, "orders").select("o_orderkey", "o_orderpriority"), b, "o_orderkey", 16, f"{folder}/games")
     return s.table(a).join(s.table(b), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("rows"), F.sum("l_quantity").cast("long").alias("quantity"))
@@ -382,6 +395,11 @@ def layout_report(s, d):
     return layout.layout_report(s, {"as_read": li, "sorted": layout.sorted_for_files(li, ["l_shipdate", "l_suppkey"])}, writers.work_folder(s))
 
 
+def layout_rows(s, d):
+    """What each layout of the report holds; files and bytes are the report's own."""
+    return layout_report(s, d).select("layout", "rows")
+
+
 def stream_parse(s, d):
     e = t.events(s, d)
     raw = e.select(F.to_json(F.struct(F.col("host").alias("url"), "host", F.col("user_id").cast("string").alias("ip"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("event_time"))).alias("value"))
@@ -412,11 +430,11 @@ def session_avg_by_host(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        activity_flags, cumulate_seasons_step, cumulate_seasons_backfill, unnest_history, ratio_last_first, scd2_backfill, scd2_incremental, new_keys_anti, max_class, fact_lineitems, fact_join_dim, daily_activity,
+        activity_flags, cumulate_seasons_step, cumulate_seasons_backfill, unnest_history, ratio_last_first, scd2_backfill, scd2_incremental, latest_snapshot, ever_active, new_keys_anti, max_class, fact_lineitems, fact_join_dim, daily_activity,
         profile_events, contract_violations, datelist_users_step, datelist_devices_step, datelist_hosts_step, datelist_users_snapshot, datelist_device_map, datelist_int_recent, datelist_int_month, date_spine,
         monthly_hits_step, monthly_hits_array, monthly_hits_agg, array_metrics_step, array_metrics_daily, array_length_hist, host_activity_reduced, growth_accounting_step, growth_accounting, retention_curve, state_changes,
         funnel_conversion, device_cube, traffic_windows, game_cube, game_leaders, best_stretch, longest_streak, vertices_suppliers, edges_plays_in, edges_pairs, graph_points_per_game, avg_per_player, top_playlist, top_map,
-        top_map_for_medal, user_device_rollup, device_users, events_with_device, upsert_latest, bucketed_join, broadcast_join, classify_referrer, geo_enrich, dedupe_events, dedupe_first, top_n, layout_sorted, layout_report,
+        top_map_for_medal, user_device_rollup, device_users, events_with_device, upsert_latest, bucketed_join, broadcast_join, classify_referrer, geo_enrich, dedupe_events, dedupe_first, top_n, layout_sorted, layout_report, layout_rows,
         stream_parse, tumbling_host, tumbling_host_referrer, sessions, session_avg_by_host,
     )
 }

@@ -22,6 +22,9 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
+# The option names, the driver's class and the login module below are fixed values of Spark, the driver and the client.
+
+
 def jdbc_options(url: str, table: str, user_env: str = "JDBC_USER", password_env: str = "JDBC_PASSWORD", driver: str = "org.postgresql.Driver") -> dict[str, str]:
     """Options of a JDBC table; user and password come from the environment."""
     out = {"url": url, "dbtable": table, "driver": driver}

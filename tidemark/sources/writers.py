@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,14 +33,27 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def upsert_periods(df: DataFrame, path: str, keys: Sequence[str], period: str) -> None:
-    """Upserts df into a partitioned table on disk, rewriting only the periods that df touches."""
+    """Upserts df into a partitioned table on disk, rewriting only the periods that df touches. A run that breaks off
+    can be run again: the table is as before, or its periods are as after, until all are."""
     spark = df.sparkSession
     old = spark.read.schema(df.schema).parquet(path)
-    touched = old.join(F.broadcast(df.select(period).distinct()), period, "left_semi")  # one row per period of a load
+    touched = old.join(df.select(period).distinct(), period, "left_semi")
     merged = upsert(touched.select(df.columns), df, keys)
-    staged = f"{path.rstrip('/')}__staged"
-    merged.write.mode("overwrite").parquet(staged)  # what is read can't be overwritten in place
-    write_period(spark.read.schema(df.schema).parquet(staged), path, period)
+    folder = f"{path.rstrip('/')}__staged-{uuid.uuid4().hex}"
+    write_period(staged(merged, folder), path, period)  # what is read can't be overwritten in place
+    remove(spark, folder)
+
+
+def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df written once, to be read by several branches of a job without being computed for each."""
+    folder = folder or f"{work_folder(df.sparkSession)}/staged"
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def jdbc_batch(options: Mapping[str, str], keep_batch_id: bool = True):
@@ -65,11 +80,12 @@ def kafka_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def work_folder(spark) -> str:
+def work_folder(spark: SparkSession) -> str:
     """A new folder for a query's own tables: below spark.checkpoint.dir, or a temporary one where that is
     unset (one machine)."""
-    import tempfile
-    import uuid
-
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    if base:
+        return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
