@@ -6,6 +6,8 @@ import corpus_pipeline as cp
 from pyspark.sql import functions as F
 from test_jaccard import brute as brute_components
 
+from tidemark.llm.sampling import held_out
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -52,10 +54,47 @@ def test_stages(spark, monkeypatch):
     assert five.agg(F.sum("length")).first()[0] == sum(r.doc_tokens for r in five.select("doc_id", "doc_tokens").distinct().collect())
 
 
+def test_stages_over_nothing_and_nulls(spark):
+    """Every stage over an empty table, and the first two and the last over null and empty texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in cp.STAGES:
+        got = stage(spark, docs.limit(0), SF)
+        assert got.count() == 0, name
+        assert name == "packing" or got.columns == docs.columns
+    odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "s", 0), (-2, None, "en", "s", None)], docs.schema)
+    both = docs.unionByName(odd)
+    one = cp.language_id(spark, both, SF)
+    assert one.where("doc_id < 0 OR doc_id IS NULL").count() == 0 and one.count() > 0.95 * docs.count()
+    two = cp.quality_classifier(spark, both, SF)
+    assert two.where("doc_id < 0 OR doc_id IS NULL").count() == 3
+    five = cp.pack(spark, odd, SF).collect()
+    assert sorted((str(r.doc_id), r.start, r.length, r.doc_tokens) for r in five) == [("-1", 0, 1, 1), ("-2", 0, 1, 1), ("None", 0, 1, 1)]
+
+
+def test_what_the_cut_offs_drop(spark):
+    """Held-out documents of sf0.1: nearly all bad ones go, nearly all good ones stay."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(held_out("doc_id")).join(docs.select("doc_id"), "doc_id")
+    left = cp.quality_classifier(spark, docs, sf).select("doc_id")
+    n = {r.quality: r.n for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    kept = {r.quality: r.n for r in labels.join(left, "doc_id").groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    assert n[0] > 100 and kept.get(0, 0) < 0.12 * n[0] and kept[1] > 0.98 * n[1], (n, kept)
+    junk = spark.createDataFrame([(-i, "0123 456 !! " * i, "en", "s", 0) for i in range(1, 9)], docs.schema)
+    left = cp.language_id(spark, docs.unionByName(junk), sf)
+    assert left.where("doc_id < 0").count() == 0 and left.count() >= 0.995 * docs.count()
+
+
 def test_repeated_rows_and_nulls(spark):
     rows = [(1, "a b c d e f g", "en", "s", 3)] * 2 + [(2, "a b c d e f g", "en", "s", 3), (None, "only here is this", "en", "s", 3), (3, None, "en", "s", None), (4, "", "en", "s", 0), (4, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(cp.near_duplicates(spark, docs, SF).collect(), key=repr)
     assert sorted(str(r.doc_id) for r in got) == ["1", "3", "4", "4", "None"]
+    more = [(None, None, "en", "s", None), (None, "a b c d e f g", "en", "s", 3), (9, "h i j k l m", "en", "s", 3), (9, "n o p q r s", "en", "s", 3), (5, "n o p q r s", "en", "s", 3)]
+    got = cp.near_duplicates(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), SF).collect()
+    # no null id brings a copy back, and of two texts of id 9 the one that is a copy of 5's goes
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted([("1", "a b c d e f g"), ("None", "only here is this"), ("None", "None"), ("3", "None"), ("4", ""), ("4", ""), ("9", "h i j k l m"), ("5", "n o p q r s")])
+    four = cp.repeated_passages(spark, docs, SF).collect()
+    assert sorted(str(r.text) for r in four) == sorted(str(r[1]) for r in rows) and [r.n_chars for r in four if r.doc_id == 3] == [None]
     assert cp.repeated_passages(spark, docs, SF).count() == len(rows)
     assert re.match("doc_id", cp.repeated_passages(spark, docs.limit(0), SF).columns[0])

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import U, couples, hasher, mix, pieces, runs, text_bytes, words
@@ -337,7 +337,13 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(verify, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def row_keys(doc_id: str, text: str) -> dict[str, Column]:
+    """Two hashes that name a row by its id and text; rows that repeat both share them."""
+    own, t = F.col(doc_id).cast("long"), F.col(text).cast("string")
+    return {"row_key_1": F.xxhash64(own, t), "row_key_2": F.xxhash64(F.lit(7), t, own)}
+
+
+def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_id: str = "doc_id", text: str = "text", keys: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of docs, for links where the Jaccard similarity of
     the sets of width-word shingles is at least percent in a hundred.
 
@@ -346,12 +352,13 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     linked; a null doc_id takes part, but is no component_id unless it is alone (then null). A very long text is one set
     like any other; a task holds the shingles of one such text at a time. Other columns are ignored, whatever their
     names; an empty table gives an empty result. Sets are told apart by their size and two 64-bit sums, shingles are
-    compared as 64-bit hashes.
+    compared as 64-bit hashes. With keys also row_keys() and kept: true for the rows of one text of each component (that
+    of its smallest id; where this id has several, that of the smallest key) and for rows without shingles.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    rows = rows.select("id", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64(F.lit(7), "text", "id").alias("k2"))
+    named = [c.alias(n) for n, c in zip(("k1", "k2"), row_keys(doc_id, text).values(), strict=True)]
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *named)
     common = spark.sparkContext.broadcast(_sketch(rows, width))
     signed = written(_signatures(rows, common, width, percent), "signatures")
     # equal sets are a class, known by the text of its smallest id
@@ -359,7 +366,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     classes = signed.where("n > 0").groupBy("n", "s1", "s2").agg(known_by, F.any_value("odd").alias("odd"), F.any_value("prefix").alias("prefix"))
     classes = classes.select("n", "s1", "s2", F.col("x.id").alias("low"), "x.k1", "x.k2", "odd", "prefix", F.xxhash64("n", "prefix").alias("p1"), F.xxhash64("prefix", F.lit(7), "n").alias("p2"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    narrow = written(signed.select("id", "n", "s1", "s2"), "narrow")
+    narrow = written(signed.select("id", "n", "s1", "s2", *(["k1", "k2"] if keys else [])), "narrow")
     dropped(spark, signed)
 
     # classes of one size and prefix are a group, known by its smallest class; different sets of one size can be similar
@@ -441,11 +448,12 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     used += [left, rest]
 
     final = written(components(found.select(F.col("c").alias("a"), F.col("component").alias("b")).unionByName(linked(rest))), "components")
-    named = classes.select("c", "n", "s1", "s2", "low").join(final.withColumnRenamed("node", "c"), "c", "left").select("n", "s1", "s2", "low", F.coalesce("component", "c").alias("k"))
-    lowest = named.groupBy("k").agg(F.min("low").alias("component_id"))
-    by_class = written(named.join(lowest, "k").select("n", "s1", "s2", "component_id"), "classes")
+    named = classes.select("c", "n", "s1", "s2", F.struct(F.col("low").isNull().alias("no"), "low", "k1", "k2").alias("first")).join(final.withColumnRenamed("node", "c"), "c", "left").select("n", "s1", "s2", "first", F.coalesce("component", "c").alias("k"))
+    lowest = named.groupBy("k").agg(F.min("first").alias("x")).select("k", F.col("x.low").alias("component_id"), F.col("x.k1").alias("r1"), F.col("x.k2").alias("r2"))
+    by_class = written(named.join(lowest, "k").select("n", "s1", "s2", "component_id", "r1", "r2"), "classes")
     # what the result doesn't read goes now
     for x in (*used, final):
         dropped(spark, x)
     got = narrow.join(by_class, ["n", "s1", "s2"], "left")
-    return got.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    more = [F.col("k1").alias("row_key_1"), F.col("k2").alias("row_key_2"), F.expr("n = 0 OR (k1 = r1 AND k2 = r2)").alias("kept")] if keys else []
+    return got.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *more)
