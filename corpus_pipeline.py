@@ -13,50 +13,56 @@ from pyspark.sql import functions as F
 from tidemark.llm import jaccard, langid, packing, quality, suffixes
 from tidemark.llm.tables import written
 
-#: A language is rejected below this posterior, a text below this quality. Both are far below what
-#: clean documents get, so that short ones stay.
-LANGUAGE, QUALITY = 0.4, 0.3
+#: A language is rejected below this posterior, a text where a bad label is likelier than a good one. README gives what
+#: these cut-offs drop of good and of bad held-out documents.
+LANGUAGE, QUALITY = 0.5, 0.5
 #: Near copies: shingles of five words, a Jaccard similarity of 0.8. Repeats: bytes that a passage of fifty short words has.
 WORDS, PERCENT, REPEAT = 5, 80, 200
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or of no clear language."""
+    """Drops documents without letters (null and empty ones, too) or of no clear language. Repeated rows are judged each;
+    from an empty table nothing is learnt and nothing is left."""
     got = langid.identify(docs, langid.learn(docs, public_tokenizers.path("piece_bpe_32k.model")))
     return got.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE)).select(docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that look like those labelled bad."""
+    """Drops documents that look like those labelled bad. A null or empty text gets the score of one that tells nothing,
+    which stays where most labels are good; without labels of both kinds all have one score. Null ids have no label."""
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.assess(docs, model).where(F.col("score") >= QUALITY).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays; of rows that repeat an id and
-    its text, one. Documents without words all stay."""
-    got = jaccard.jaccard_components(docs, percent=PERCENT, width=WORDS)
-    keep = got.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("words"))
-    keep = keep.select(F.col("doc_id").alias("kept_id"), "rows", "words")
-    wide = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]))
-    same = Window.partitionBy("doc_id", F.when((F.col("rows") > 1) & (F.col("words") > 0), F.xxhash64("text"))).orderBy(F.lit(0))
-    once = wide.where("rows > 1 AND words > 0").withColumn("nth", F.row_number().over(same)).where("nth = 1")
-    return wide.where("rows = 1 OR words = 0").select(docs.columns).unionByName(once.select(docs.columns))
+    """Of each group of near copies one row stays: that of the smallest id (where this has several texts, of one of
+    them). Rows are known by id and text, so null and repeated ids don't keep others. Documents without words (null,
+    empty) all stay. An empty table stays empty."""
+    got = jaccard.jaccard_components(docs, percent=PERCENT, width=WORDS, keys=True)
+    key = ["row_key_1", "row_key_2"]
+    keep = got.where("kept").groupBy(*key).agg(F.count("*").alias("rows_of_key"), F.max("n_shingles").alias("words_of_key"))
+    wide = docs.withColumns(jaccard.row_keys("doc_id", "text")).join(keep, key)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    once = wide.where("rows_of_key > 1 AND words_of_key > 0").withColumn("nth_of_key", nth).where("nth_of_key = 1")
+    return wide.where("rows_of_key = 1 OR words_of_key = 0").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out strings that occur more than once; what is left of a character that was cut goes too.
-    Every document stays, if only with what is left of it."""
+    Every document stays, if only with what is left of it; a null text stays null. n_chars follows the text."""
     others = [c for c in docs.columns if c != "text"]
-    kept = suffixes.remove_repeats(docs.select(F.struct(*others).alias("row"), "text"), length=REPEAT, doc_id="row", keep_text=True)
-    bytes_ = F.col("kept").cast("string")
-    now = F.when(F.is_valid_utf8(bytes_), bytes_).otherwise(F.replace(F.make_valid_utf8(bytes_), F.lit("\ufffd"), F.lit("")))
-    out = {c: F.col(f"doc_id.{c}") for c in others} | {"text": F.when((F.col("n_removed") > 0) | (F.col("n_bytes") > 0), now)}
+    row = F.struct(*others, F.col("text").isNull().alias("no_text"))
+    kept = suffixes.remove_repeats(docs.select(row.alias("row"), "text"), length=REPEAT, doc_id="row", keep_text=True)
+    whole = F.col("kept").cast("string")
+    now = F.when(F.is_valid_utf8(whole), whole).otherwise(F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit("")))
+    now = F.when(~F.col("doc_id.no_text"), now)
+    size = F.when(F.col("n_removed") > 0, F.char_length(now).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc_id.n_chars"))
+    out = {c: F.col(f"doc_id.{c}") for c in others} | {"text": now, "n_chars": size}
     return kept.select([out[c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 ids."""
+    """Pieces of sequences of at most 4096 ids. Every document has its pieces, a null or empty one that of its end id."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
