@@ -1,11 +1,13 @@
 """Chunked BPE against the tokenizers library on whole texts."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe
@@ -61,6 +63,19 @@ def test_memory_of_chunks_is_bounded():
     assert held["x" * (bpe.LONG + 1)] and "x" * (bpe.LONG + 1) not in held
 
 
+def test_copies_meet(spark, monkeypatch, tmp_path):
+    """Texts that share most chunks are encoded next to each other, from however many partitions they come."""
+    words = [f"w{i}" for i in range(3000)]
+    rnd = random.Random(4)
+    bodies = [" ".join(rnd.choices(words, k=400)) for _ in range(30)]
+    docs = [(100 * i + k, f"{b} and {k}") for k in range(8) for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8, F.col("doc_id") % 100)
+    out = bpe.encode_decode(df, PATH, digests=True)
+    assert "REBALANCE_PARTITIONS_BY_COL" in out._jdf.queryExecution().executedPlan().toString()
+    order = [r.doc_id // 100 for r in out.select("doc_id").collect()]
+    assert sum(a == b for a, b in zip(order, order[1:])) > 0.7 * len(order)
+
+
 def test_query_and_operator(spark):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(ODD)] + [(None, "a", "")], "doc_id long, text string, ids string")
     got = {r.doc_id: r for r in bpe.encode_decode(df, PATH, mean=16).collect()}

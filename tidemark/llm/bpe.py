@@ -1,7 +1,9 @@
 """Byte-level BPE with content-defined chunks.
 
 A text is cut where a rolling hash of the last 16 bytes has zeros in given places, so texts that share a
-passage share its chunks, and a worker encodes a chunk that it knows only once. A cut may fall within
+passage share its chunks. Texts are dealt and sorted by the smallest hash of their chunks: those that agree in most
+chunks, as copies and near copies do, mostly agree in the smallest and meet in one task, one after the other, where a chunk
+that is remembered is not encoded again. Where very many agree Spark may split them over tasks. A cut may fall within
 a word, so the joins are repaired: the pre-tokens of a chunk that its end can have touched are set
 aside, and scanned again with the beginning of the next chunk until a pre-token begins where one
 begins in that chunk's own scan. A scan depends only on what follows its position, so from
@@ -214,6 +216,24 @@ def encode_decode(docs: DataFrame, tokenizer: str, mean: int = 256, digests: boo
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, bounds = text_bytes(b.column(1))
+            for i, j in pieces(bounds):
+                own, places = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+                at = cuts(own, places, mean)
+                start, end = np.concatenate([x[:-1] for x in at]), np.concatenate([x[1:] for x in at])
+                some = np.flatnonzero(end > start)  # an empty text has no chunk
+                first, key = np.searchsorted(start[some], places[:-1]), np.zeros(j - i, np.uint64)
+                full = np.flatnonzero(np.diff(places) > 0)
+                if len(full):
+                    key[full] = np.minimum.reduceat(hasher(6).of_ranges(own, start[some], end[some]), first[full])
+                cut = pa.array([(x - x[0]).astype(np.int32).tobytes() for x in at], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), pa.array(key.view(np.int64)), cut], ["doc_id", "text", "chunk", "cuts"])
+
+    rows = rows.mapInArrow(routed, "doc_id long, text string, chunk long, cuts binary")
+    rows = rows.hint("rebalance", F.col("chunk")).sortWithinPartitions("chunk")
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +241,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, mean: int = 256, digests: boo
         for b in batches:
             data, bounds = text_bytes(b.column(1))
             for i, j in pieces(bounds):
-                own = data[bounds[i] : bounds[j]]
-                raw = own.tobytes()
                 n, ids, texts = [], [], []
-                for at in cuts(own, bounds[i : j + 1] - bounds[i], mean):
+                for k in range(i, j):
+                    raw, at = data[bounds[k] : bounds[k + 1]].tobytes(), np.frombuffer(b.column(3)[k].as_buffer(), np.int32).tolist()
                     s = c.text_ids([raw[x:y].decode() for x, y in zip(at, at[1:]) if y > x])
                     t = c.decode(s)
                     n.append(s.count(",") + 1 if s else 0)
