@@ -30,7 +30,8 @@ SEGMENT = 32
 TOGETHER, BLOCK, STEPS = 512, 1 << 16, 256
 #: Probability of a character that is no piece, and what every piece is counted besides its sightings.
 STRAY, BESIDES = 1e-7, 0.02
-REMEMBERED = 800_000
+#: Words whose scores a worker remembers; then those stay that have come again.
+REMEMBERED = 300_000
 
 
 def vocabulary(path: str) -> list[str]:
@@ -220,7 +221,7 @@ class Model:
     def ready(self) -> None:
         if self.lattice is None:
             self.lattice, self.p = Lattice(self.pieces), _weights(self.prob)
-            self.known, self.scores = np.zeros(0, U), np.zeros((0, len(self.languages)), np.float32)
+            self.known, self.scores, self.again = np.zeros(0, U), np.zeros((0, len(self.languages)), np.float32), np.zeros(0, bool)
 
     def word_scores(self, texts: list[str]) -> np.ndarray:
         """Log-likelihood of words by language."""
@@ -256,14 +257,15 @@ class Model:
         there = self.known[place] == distinct if len(self.known) else np.zeros(len(distinct), bool)
         scores = np.zeros((len(distinct), len(self.languages)), np.float32)
         scores[there] = self.scores[place[there]]
+        self.again[place[there]] = True
         if not there.all():
             whole, new = data.tobytes(), np.flatnonzero(~there)
             scores[new] = self.word_scores([whole[s:e].decode("utf-8", "replace") for s, e in zip(start[some[new]], end[some[new]], strict=True)])
             if len(self.known) + len(new) > REMEMBERED:
-                self.known, self.scores = distinct, scores
-            else:
-                at = np.searchsorted(self.known, distinct[new])
-                self.known, self.scores = np.insert(self.known, at, distinct[new]), np.insert(self.scores, at, scores[new], axis=0)
+                keep = self.again & (self.again.sum() <= REMEMBERED // 2)
+                self.known, self.scores, self.again = self.known[keep], self.scores[keep], np.zeros(keep.sum(), bool)
+            at = np.searchsorted(self.known, distinct[new])
+            self.known, self.scores, self.again = np.insert(self.known, at, distinct[new]), np.insert(self.scores, at, scores[new], axis=0), np.insert(self.again, at, False)
         sums = [np.bincount(text, scores[which, k], minlength=n) for k in range(len(self.languages))]
         return np.stack(sums, axis=1), np.bincount(text, end - start, minlength=n)
 

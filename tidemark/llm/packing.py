@@ -138,7 +138,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
         yield from flush()
         yield from out(closed(rests, tiers))
 
-    got = written(rows.mapInArrow(packed, PIECES), "packed", row_group=8 << 20)
+    got = written(rows.mapInArrow(packed, PIECES), "packed", row_group=8 << 20, codec="zstd")
     # ids of a tier in the parts before, and in all: a row for each part and tier, however large the parts are
     own = got.groupBy("part", "tier").agg(F.sum("length").alias("ids"))
     of_tier = Window.partitionBy("tier")

@@ -298,7 +298,7 @@ def _spans(long: DataFrame, length: int) -> DataFrame:
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Bytes around each anchor; equal ones of a batch go once, and are known to repeat."""
         schema = pa.schema([("k", pa.int64()), ("c", pa.binary()), ("lo", pa.int32()), ("at", pa.int32()), ("known", pa.bool_()), ("len", pa.int32()), ("ctx", pa.binary())])
-        for b in batches:
+        for b in (x.slice(k, 256) for x in batches for k in range(0, x.num_rows, 256)):
             first: dict[tuple[int, bytes], list] = {}
             out: list[list] = []
             for c, t, found_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):

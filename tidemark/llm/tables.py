@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Only where that is unset (tests on one
-    machine) a temporary folder is made and set for the session."""
+    machine) a temporary folder is made and set for the session; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """Bounds what a Python worker gets at once by bytes, as rows may hold very long texts: lowers the
     session's spark.sql.execution.arrow.maxBytesPerBatch where it is larger, and never raises it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -32,11 +34,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, row_group: int = 32 << 20) -> DataFrame:
+def written(df: DataFrame, name: str, row_group: int = 32 << 20, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, safe when executors are lost. Row groups are
     small, as a reader may hold one whole."""
     path = new_path(df.sparkSession, name)
-    df.write.option("parquet.block.size", row_group).option("compression", "zstd").parquet(path)
+    df.write.option("parquet.block.size", row_group).option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -76,7 +76,7 @@ def write_token_ids(
                 nth += j - i
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[:2]), at, pa.array(np.full(j - i, width, np.int8)), own.cast(pa.binary())], ["doc_id", "h", "at", "width", "ids"])
 
-    known = written(rows.mapInArrow(coded, "doc_id long, h long, at long, width byte, ids binary"), "coded", row_group=ROW_GROUP)
+    known = written(rows.mapInArrow(coded, "doc_id long, h long, at long, width byte, ids binary"), "coded", row_group=ROW_GROUP, codec="zstd")
     ordered = known.repartitionByRange("doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at").select("doc_id", "width", "ids")
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
