@@ -17,6 +17,31 @@ from tidemark.llm.kernels import U, hasher, pieces, text_bytes, words
 REMEMBERED = 300_000
 #: Words that the pre-tokenizer leaves whole.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: ASCII letters, and ASCII marks between which and letters the pre-tokenizer always cuts: not the apostrophe of
+#: contractions, nor the marks of special tokens.
+LETTERS, MARKS = (bytes(range(65, 91)) + bytes(range(97, 123))), b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
+
+def _kinds() -> np.ndarray:
+    out = np.zeros(256, np.uint8)
+    out[list(LETTERS)], out[list(MARKS)] = 1, 2
+    return out
+
+
+KINDS = _kinds()
+
+
+def units(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of letters and marks only are cut between these, so that a word is the same with a comma or without."""
+    kind = KINDS[data]
+    other = np.append(0, np.cumsum(kind == 0, dtype=np.int32))
+    inside = np.zeros(len(data) + 1, np.int8)
+    some = other[end] == other[start]
+    np.add.at(inside, start[some], 1)
+    np.add.at(inside, end[some], -1)
+    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    cut = np.setdiff1d(np.flatnonzero((kind[1:] != kind[:-1]) & inside[1:] & inside[:-1]) + 1, start)
+    return np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
 
 
 class WordIds:
@@ -92,9 +117,11 @@ class WordIds:
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
-        start, end, text = words(data, bounds)
+        start, end, _ = words(data, bounds)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
+        start, end = units(data, start, end)
+        text = np.searchsorted(bounds, start, "right") - 1
         h = hasher(1)
         distinct, some, which = np.unique(h.of_ranges(data, start, end), return_index=True, return_inverse=True)
         place, there = self._place(distinct)
