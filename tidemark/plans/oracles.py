@@ -71,6 +71,8 @@ ss AS (SELECT ip, host, min(ts) AS session_start, max(ts) + INTERVAL 5 MINUTE AS
 _MAPS = "mp AS (SELECT o_orderkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 
 ORACLE_SQL = {
+    "ip_numbers": """SELECT event_id, '10.' || (event_id % 256) || '.' || coalesce(CAST(user_id % 300 AS VARCHAR) || '.7', '7') AS ip,
+  CASE WHEN user_id % 300 <= 255 THEN CAST(10 * 16777216 + (event_id % 256) * 65536 + (user_id % 300) * 256 + 7 AS BIGINT) END AS number FROM events""",
     "latest_snapshot": f"WITH {_snap(2001)} SELECT player, class, periods_since_active, periods_since_active = 0 AS is_active, period FROM snap WHERE period = (SELECT max(period) FROM snap)",
     "ever_active": f"WITH {_snap(2001)} SELECT player, bool_or(periods_since_active = 0) AS ever_active, bool_and(periods_since_active = 0) AS always_active FROM snap GROUP BY player",
     "layout_rows": "SELECT layout, count(*) AS rows FROM lineitem, (VALUES ('as_read'), ('sorted')) v(layout) GROUP BY layout",
@@ -163,3 +165,5 @@ SELECT * FROM n UNION ALL SELECT * FROM o WHERE o_custkey NOT IN (SELECT o_custk
     "sessions": f"WITH {_SESSIONS} SELECT * FROM ss",
     "session_avg_by_host": f"WITH {_SESSIONS} SELECT host, round(avg(event_count), 6) AS average_events FROM ss GROUP BY 1",
 }
+
+ORACLE_SQL["datelist_map_merged"] = ORACLE_SQL["datelist_device_map"]

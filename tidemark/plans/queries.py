@@ -150,6 +150,23 @@ def datelist_device_map(s, d):
     return m.select("user_id", F.array_join(each, ";").alias("dates_by"))
 
 
+def datelist_map_merged(s, d):
+    """The same maps from two loads: the days before MONTH's ninth and the others."""
+    daily = _daily(s, d, "user_id", "browser_type")
+    early = datelist.datelist_map(daily.where("day < DATE '2024-01-09'"), "user_id", "browser_type", D)
+    late = datelist.datelist_map(daily.where("day >= DATE '2024-01-09'"), "user_id", "browser_type", D)
+    entries = F.sort_array(F.map_entries("dates_by"))
+    each = F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), _joined(e["value"])))
+    return datelist.merged_maps(early, late, "user_id").select("user_id", F.array_join(each, ";").alias("dates_by"))
+
+
+def ip_numbers(s, d):
+    """Addresses made of the ids of events, as numbers; those with a part above 255 are none."""
+    e = t.events(s, d).select("event_id", "user_id")
+    ip = F.concat_ws(".", F.lit("10"), F.pmod("event_id", F.lit(256)).cast("string"), F.pmod("user_id", F.lit(300)).cast("string"), F.lit("7"))
+    return e.select("event_id", ip.alias("ip")).withColumn("number", enrich.ip_number(F.col("ip")))
+
+
 def _lists(s, d):
     return datelist.datelist_snapshot(_daily(s, d, "user_id"), ["user_id"], LAST)
 
@@ -431,10 +448,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         activity_flags, cumulate_seasons_step, cumulate_seasons_backfill, unnest_history, ratio_last_first, scd2_backfill, scd2_incremental, latest_snapshot, ever_active, new_keys_anti, max_class, fact_lineitems, fact_join_dim, daily_activity,
-        profile_events, contract_violations, datelist_users_step, datelist_devices_step, datelist_hosts_step, datelist_users_snapshot, datelist_device_map, datelist_int_recent, datelist_int_month, date_spine,
+        profile_events, contract_violations, datelist_users_step, datelist_devices_step, datelist_hosts_step, datelist_users_snapshot, datelist_device_map, datelist_map_merged, datelist_int_recent, datelist_int_month, date_spine,
         monthly_hits_step, monthly_hits_array, monthly_hits_agg, array_metrics_step, array_metrics_daily, array_length_hist, host_activity_reduced, growth_accounting_step, growth_accounting, retention_curve, state_changes,
         funnel_conversion, device_cube, traffic_windows, game_cube, game_leaders, best_stretch, longest_streak, vertices_suppliers, edges_plays_in, edges_pairs, graph_points_per_game, avg_per_player, top_playlist, top_map,
-        top_map_for_medal, user_device_rollup, device_users, events_with_device, upsert_latest, bucketed_join, broadcast_join, classify_referrer, geo_enrich, dedupe_events, dedupe_first, top_n, layout_sorted, layout_report, layout_rows,
+        top_map_for_medal, user_device_rollup, device_users, events_with_device, upsert_latest, bucketed_join, broadcast_join, classify_referrer, geo_enrich, ip_numbers, dedupe_events, dedupe_first, top_n, layout_sorted, layout_report, layout_rows,
         stream_parse, tumbling_host, tumbling_host_referrer, sessions, session_avg_by_host,
     )
 }
