@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kernels import U, hasher, mix, pieces, text_bytes, words
+from tidemark.llm.kernels import PIECE, U, hasher, mix, pieces, text_bytes, words
 from tidemark.llm.sampling import bounded, held_out
 from tidemark.llm.tables import small_batches, written
 
@@ -31,7 +31,7 @@ TOGETHER, BLOCK, STEPS = 512, 1 << 16, 256
 #: Probability of a character that is no piece, and what every piece is counted besides its sightings.
 STRAY, BESIDES = 1e-7, 0.02
 #: Words whose scores a worker remembers; then those stay that have come again.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 
 def vocabulary(path: str) -> list[str]:
@@ -341,7 +341,7 @@ def identify(docs: DataFrame, model: Model, sure: int = 48, doc_id: str = "doc_i
             data, bounds = text_bytes(b.column(at))
             pred, score = np.full(b.num_rows, len(m.languages)), np.zeros(b.num_rows)
             if m.languages:
-                for i, j in pieces(bounds):
+                for i, j in pieces(bounds, 4 * PIECE):  # many new words at a time
                     s, n = m.text_scores(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                     z = s * (np.minimum(n, sure) / np.maximum(n, 1))[:, None]
                     z = np.exp(z - z.max(1, keepdims=True))
