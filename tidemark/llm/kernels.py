@@ -120,9 +120,10 @@ def _apart() -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start, end and text number of every word; bounds of texts part words as well."""
-    inside = ~_apart()[data]
+def words(data: np.ndarray, bounds: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, end and text number of every word; bounds of texts part words as well. apart: for each byte
+    whether it parts words, by default SPACES."""
+    inside = ~(_apart() if apart is None else apart)[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, jaccard, langid, neardup, packing, quality, suffixes, tokenfile, topk
+from tidemark.llm import bpe, chat, divergence, filter_audit, jaccard, langid, neardup, packing, quality, suffixes, tokenfile, topk
 from tidemark.llm.sampling import held_out
 from tidemark.llm.tables import new_path
 
@@ -78,6 +78,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, for each language."""
+    return filter_audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ from each other, and in which terms from the language."""
+    return divergence.audit_sources(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_jaccard_join": op2_jaccard_join,
@@ -89,6 +99,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -129,4 +141,42 @@ c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
 d AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN c ON c.a = vec_id LEFT JOIN d ON d.a = vec_id""",
+    "op11_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT doc_id, part, CAST(len(ws) < 200 AS INT) AS a, CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) AS b,
+  CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT) AS c, CAST(regexp_matches(t, '[#$%&*|]') AS INT) AS d,
+  CAST(coalesce(doc_id > least, false) AS INT) AS e FROM w),
+lab AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+x AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN lab USING (doc_id) GROUP BY ALL),
+l(i, name) AS (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D'), (4, 'E')),
+o AS (SELECT concat(p.name, q.name, r.name, s.name, t.name) AS filter_order, [p.i, q.i, r.i, s.i, t.i] AS axes FROM l p, l q, l r, l s, l t
+  WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+k AS (SELECT filter_order, CAST(step AS INT) AS step, axes[step] AS axis, 1 << axes[step] AS now, CAST(coalesce(list_sum(list_transform(axes[1:step - 1], lambda i: 1 << i)), 0) AS INT) AS before FROM o, range(1, 6) r(step)),
+g AS (SELECT part, filter_order, step, axis,
+  sum(CASE WHEN fails & (before | now) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails & before = 0 AND fails & now > 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN fails & before > 0 AND fails & now > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = now THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN fails & before = 0 AND fails & now > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails & before = 0 AND fails & now > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM x, k GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, axis) AS BIGINT) AS shapley FROM g""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+kl AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+grp AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN kept k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL),
+gn AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+  CAST(1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (coalesce(gn.n, 0) + kl.v) AS BIGINT) AS p, CAST(1 + (1000000000 * (k.n + 1)) // (kl.n + kl.v) AS BIGINT) AS q
+  FROM grp g JOIN kept k ON k.lang = g.lang JOIN kl ON kl.lang = g.lang LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER w AS INT) AS rank FROM (FROM pairs UNION ALL FROM terms)
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= 200""",
 }
