@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, divergence, filter_audit, jaccard, langid, neardup, packing, quality, suffixes, tokenfile, topk
+from tidemark.llm import bpe, chat, divergence, filter_audit, jaccard, langid, neardup, packing, quality, sentencepieces, suffixes, tokenfile, topk
 from tidemark.llm.sampling import held_out
 from tidemark.llm.tables import new_path
 
@@ -83,6 +83,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in pieces with their source bytes, and back, as digests."""
+    return sentencepieces.encode_pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the sources of each language differ from each other, and in which terms from the language."""
     return divergence.audit_sources(_read(spark, sf_dir, "documents"))
@@ -100,6 +105,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
     "op11_filter_audit": op11_filter_audit,
+    "op12_sentencepiece": op12_sentencepiece,
     "op13_source_divergence": op13_source_divergence,
 }
 

@@ -44,23 +44,21 @@ def units(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
 
 
-class WordIds:
-    """Ids of texts for a tokenizer that never joins across white space: its normalizer makes
-    white space single and its pre-tokenizer drops it, so the ids of a text are those of its words.
-    Words are known by a 64-bit hash; unseen ones go to the tokenizer together."""
+class Remembered:
+    """Ids of texts that fall into units, each of which has its ids whatever stands beside it. Units are known by a
+    64-bit hash; unseen ones are encoded together. A subclass says how texts are split and what ids units have."""
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    def __init__(self):
         self.forget()
 
+    def split(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """start and end of every unit, in order."""
+        raise NotImplementedError
+
+    def ids_of(self, own: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of units, their ids in that order, and how many each has."""
+        raise NotImplementedError
+
     def forget(self) -> None:
         self.known, self.at = np.zeros(0, U), np.zeros(0, np.int64)  # sorted hashes, and their place in first
         self.first, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -78,38 +76,17 @@ class WordIds:
         self.known, self.at, self.first, self.count, self.again = self.known[keep], np.arange(len(n)), ends - n, n, np.zeros(len(n), bool)
 
     def learn(self, hashes: np.ndarray, texts: list[bytes]) -> None:
-        """New words, sorted by hash."""
+        """New units, sorted by hash."""
         if len(self.known) + len(hashes) > REMEMBERED:
             self.shrink()
-        own = [x.decode("utf-8", "replace") for x in texts]
-        plain = np.array([PLAIN.fullmatch(x) is not None for x in own], bool)
-        ids, counts, order = [], [], [np.flatnonzero(plain), np.flatnonzero(~plain)]
-        for some, of in zip(order, (self._plain, self._any), strict=True):
-            for k in range(0, len(some), 4096):
-                got, n = of([own[i] for i in some[k : k + 4096]])
-                ids.append(got)
-                counts.append(n)
-        order, count = np.concatenate(order), np.concatenate([np.zeros(0, np.int64), *counts])
+        order, ids, count = self.ids_of([x.decode("utf-8", "replace") for x in texts])
         first = np.zeros(len(order), np.int64)
         first[order] = len(self.pool) + np.cumsum(count) - count
         place = np.searchsorted(self.known, hashes)
         self.at = np.insert(self.at, place, np.arange(len(self.first), len(self.first) + len(hashes)))
         self.known = np.insert(self.known, place, hashes)
         self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count[np.argsort(order)]])
-        self.pool, self.again = np.concatenate([self.pool, *ids]), np.append(self.again, np.zeros(len(own), bool))
-
-    def _plain(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of letters only: each has one id that ends a word, its last."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(own) and ends[-1] == len(ids) else self._any(own)
-
-    def _any(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of any words; offsets tell whose ids are whose."""
-        starts = np.cumsum([0, *(len(x) + 1 for x in own[:-1])])
-        e = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
-        whose = np.searchsorted(starts, np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
-        return np.array(e.ids, np.uint32), np.bincount(whose, minlength=len(own))
+        self.pool, self.again = np.concatenate([self.pool, ids]), np.append(self.again, np.zeros(len(texts), bool))
 
     def _place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
@@ -117,10 +94,9 @@ class WordIds:
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
-        start, end, _ = words(data, bounds)
+        start, end = self.split(data, bounds)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
-        start, end = units(data, start, end)
         text = np.searchsorted(bounds, start, "right") - 1
         h = hasher(1)
         distinct, some, which = np.unique(h.of_ranges(data, start, end), return_index=True, return_inverse=True)
@@ -140,6 +116,50 @@ class WordIds:
         return ids, np.bincount(text, n, minlength=len(bounds) - 1).astype(np.int64)
 
 
+class WordIds(Remembered):
+    """For a tokenizer that never joins across white space: its normalizer makes white space single and its
+    pre-tokenizer drops it, so the ids of a text are those of its words."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        super().__init__()
+
+    def split(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, end, _ = words(data, bounds)
+        return units(data, start, end) if len(start) else (start, end)
+
+    def ids_of(self, own: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        plain = np.array([PLAIN.fullmatch(x) is not None for x in own], bool)
+        ids, counts, order = [], [np.zeros(0, np.int64)], [np.flatnonzero(plain), np.flatnonzero(~plain)]
+        for some, of in zip(order, (self._plain, self._any), strict=True):
+            for k in range(0, len(some), 4096):
+                got, n = of([own[i] for i in some[k : k + 4096]])
+                ids.append(got)
+                counts.append(n)
+        return np.concatenate(order), np.concatenate(ids), np.concatenate(counts)
+
+    def _plain(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters only: each has one id that ends a word, its last."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(own) and ends[-1] == len(ids) else self._any(own)
+
+    def _any(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any words; offsets tell whose ids are whose."""
+        starts = np.cumsum([0, *(len(x) + 1 for x in own[:-1])])
+        e = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
+        whose = np.searchsorted(starts, np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
+        return np.array(e.ids, np.uint32), np.bincount(whose, minlength=len(own))
+
+
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
