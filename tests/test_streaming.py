@@ -97,3 +97,20 @@ def test_options(monkeypatch, spark, tmp_path):
     assert readers.jdbc_options("jdbc:x", "t")["user"] == "u"
     (tmp_path / "x.csv").write_text("a,b\n1,y\n")
     assert readers.read_csv(spark, str(tmp_path / "x.csv"), "a string, b string").first() == ("1", "y")
+
+
+def test_sessions_with_state_in_rocksdb(spark, tmp_path):
+    """A session that a restart falls into, a late row, changes written as they come; the same from the store in memory."""
+    loads = [[event(0), event(200), event(400, host="b")], [event(450), event(1000), event(10_000)], [event(10), event(100_000, host="end")]]
+    got = {}
+    for name, state in (("rocksdb", jobs.STATE), ("memory", {})):
+        here = tmp_path / name
+        arrivals = [jobs.parse_events(spark.createDataFrame([(json.dumps(e),) for e in load], "value string")) for load in loads]
+        make = lambda e: jobs.sessions(e, ["ip", "host"], "event_timestamp")
+        runs = jobs.replay(arrivals, str(here / "in"), {"s": (make, str(here / "out"))}, str(here / "check"), state)
+        got[name] = sorted((r.host, r.event_count, r.session_duration) for r in spark.read.parquet(str(here / "out")).collect())
+        assert [r["rows"] for r in runs] == [3, 3, 2] and [r["dropped"] for r in runs] == [0, 0, 1] and runs[-1]["state_rows"] == 1
+        own = "RocksDBStateStoreProvider" in (here / "check" / "s" / "offsets" / "0").read_text()
+        assert own == (name == "rocksdb") == bool(list((here / "check").rglob("*.changelog"))) == any(k.startswith("rocksdb") for k in runs[-1]["store"])
+    assert got["rocksdb"] == got["memory"] == [("a", 1, 300), ("a", 1, 300), ("a", 3, 750), ("b", 1, 300)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")

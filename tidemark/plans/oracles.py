@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans.queries import LAST, MONTH, D
+from tidemark.plans.queries import CUTS, LAST, MONTH, D
 
 _DAYS = "d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE user_id IS NOT NULL)"
 _E = "e AS (SELECT event_id, user_id, event_type AS host, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS device_id FROM events)"
@@ -65,9 +65,24 @@ cu AS (SELECT CASE WHEN grouping(player) = 0 AND grouping(team) = 0 THEN 'player
   FROM gs GROUP BY GROUPING SETS ((player, team), (player), (team), (player, season)))"""
 _TEAMS = _GAMES + ", tg AS (SELECT team, game, sum(plus_minus) > 0 AS win FROM gr GROUP BY ALL)"
 _EDGES = _GAMES + """, ed AS (SELECT game, player, team, points FROM gr)"""
-_SESSIONS = f"""{_E}, q AS (SELECT user_id % 8 AS ip, host, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id % 8, host ORDER BY ts)),
+
+
+def _sessions(of: str) -> str:
+    return f"""q AS (SELECT user_id % 8 AS ip, host, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS new FROM {of} WINDOW w AS (PARTITION BY user_id % 8, host ORDER BY ts)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY ip, host ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM q),
 ss AS (SELECT ip, host, min(ts) AS session_start, max(ts) + INTERVAL 5 MINUTE AS session_end, count(*) AS event_count FROM i GROUP BY ip, host, n)"""
+
+
+_SESSIONS = f"{_E}, {_sessions('e')}"
+_IN_TIME = f"it AS (SELECT user_id, event_type AS host, ts, 'r' || (user_id % 3) AS referrer FROM events WHERE NOT (event_id % 50 = 7 AND ts < TIMESTAMP '{CUTS[0]}'))"
+_CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL"
+
+
+def _windows(*keys: str) -> str:
+    counts = f"SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS event_hour, {', '.join(keys)}, count(*) AS num_hits FROM it GROUP BY ALL"
+    return f"SELECT * FROM ({counts}) WHERE event_hour + INTERVAL 5 MINUTE <= {_CLOSED} 15 SECOND"
+
+
 _MAPS = "mp AS (SELECT o_orderkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 
 ORACLE_SQL = {
@@ -159,6 +174,10 @@ SELECT * FROM n UNION ALL SELECT * FROM o WHERE o_custkey NOT IN (SELECT o_custk
     "dedupe_first": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1",
     "top_n": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "layout_sorted": "SELECT CAST(l_shipdate AS DATE) AS l_shipdate, l_orderkey, l_linenumber, l_partkey FROM lineitem",
+    "stream_tumbling_host": f"WITH {_IN_TIME} {_windows('host')}",
+    "stream_two_sinks": f"WITH {_IN_TIME} {_windows('host', 'NULL AS referrer')} UNION ALL {_windows('host', 'referrer')}",
+    "stream_sessions": f"""WITH {_IN_TIME}, {_sessions("it")}
+SELECT * FROM ss WHERE session_end <= {_CLOSED} 5 SECOND""",
     "stream_parse": "SELECT event_type AS host, CAST(user_id AS VARCHAR) AS ip, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS event_time, true AS parsed FROM events",
     "tumbling_host": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS event_hour, event_type AS host, count(*) AS num_hits FROM events GROUP BY ALL",
     "tumbling_host_referrer": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS event_hour, event_type AS host, 'r' || (user_id % 3) AS referrer, count(*) AS num_hits FROM events GROUP BY ALL",

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 #: Web events as JSON text.
 WEB_EVENT = "url string, referrer string, user_agent string, host string, ip string, headers string, event_time string"
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSX"
+#: State of windows and sessions lies in RocksDB, off the heap and on disk beyond its memory; a checkpoint writes what has
+#: changed, not the whole state.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def parse_events(raw: DataFrame, value: str = "value", schema: str = WEB_EVENT) -> DataFrame:
@@ -46,8 +53,53 @@ def average_session(sessions_: DataFrame, by: str, pattern: str | None = None, n
     return rows.groupBy(by).agg(F.avg("event_count").alias("average_events"))
 
 
-def start(df: DataFrame, sink, checkpoint: str, once: bool = True, interval: str = "10 seconds", mode: str = "append") -> StreamingQuery:
-    """Starts a query with its own checkpoint. sink: a folder for Parquet, or a function for foreachBatch."""
+@contextmanager
+def configured(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    """The session with these settings, and then as it was. A streaming query keeps those it was started with."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def start(df: DataFrame, sink, checkpoint: str, once: bool = True, interval: str = "10 seconds", mode: str = "append", state: Mapping[str, str] = STATE) -> StreamingQuery:
+    """Starts a query with its own checkpoint. sink: a folder for Parquet, or a function for foreachBatch. A
+    checkpoint goes on with the state store that it was begun with."""
     out = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     out = out.trigger(availableNow=True) if once else out.trigger(processingTime=interval)
-    return out.foreachBatch(sink).start() if callable(sink) else out.format("parquet").option("path", sink).start()
+    with configured(df.sparkSession, state):
+        return out.foreachBatch(sink).start() if callable(sink) else out.format("parquet").option("path", sink).start()
+
+
+def replay(arrivals: Iterable[DataFrame], source: str, queries: Mapping[str, tuple[Callable[[DataFrame], DataFrame], object]], checkpoints: str, state: Mapping[str, str] = STATE) -> list[dict]:
+    """Lands batches of rows in the folder source, one after the other, and after each starts every query
+    anew from its own checkpoint below the folder checkpoints, until it has read all there is. queries: by name, what to make of the stream and the sink.
+    The metrics of each run are returned: see progress()."""
+    out = []
+    for rows in arrivals:
+        rows.write.mode("append").parquet(source)
+        read = rows.sparkSession.readStream.schema(rows.schema)
+        running = {name: start(make(read.parquet(source)), sink, f"{checkpoints}/{name}", state=state) for name, (make, sink) in queries.items()}
+        for name, query in running.items():
+            query.awaitTermination()
+            out.append({"query": name} | progress(query))
+    return out
+
+
+def progress(query: StreamingQuery) -> dict:
+    """Rows read, rows behind the watermark that were dropped, rows and bytes of state, and the store's own metrics,
+    of the batches that the query remembers."""
+    batches = query.recentProgress
+    last = [o for p in batches[-1:] for o in p.stateOperators]
+    return {
+        "batches": len(batches),
+        "rows": sum(p.numInputRows for p in batches),
+        "dropped": sum(o.numRowsDroppedByWatermark for p in batches for o in p.stateOperators),
+        "state_rows": sum(o.numRowsTotal for o in last),
+        "state_bytes": sum(o.memoryUsedBytes for o in last),
+        "store": {k: v for o in last for k, v in dict(o.customMetrics).items()},
+    }
