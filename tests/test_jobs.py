@@ -1,6 +1,8 @@
 """Hand-made cases of the jobs, and edge rows."""
 
 import datetime as dt
+import json
+import random
 
 from pyspark.sql import functions as F
 from pyspark.testing import assertDataFrameEqual
@@ -161,3 +163,27 @@ def test_empty_tables(spark):
     assert growth.growth_backfill(e, "u", "2024-01-01", "2024-01-05").count() == 0
     assert analysis.funnel_conversion(e, "u", "ts", "h", "signup").count() == 0
     assert facts.profile(e, "u", "ts").first()["rows"] == 0
+
+
+def test_lookups_of_ranges(spark, monkeypatch):
+    """Overlaps, equal ranges, ranges of one number and of all, empty and null ones, numbers below zero and null: joins and
+    index against a look at every range."""
+    rnd = random.Random(2)
+    places = [(a, a + rnd.choice([0, 1, 15, 16, 300, 70_000, 2**40]), f"c{i % 7}", None if i % 5 == 0 else str(i)) for i, a in enumerate(rnd.randrange(-1000, 5000) for _ in range(200))]
+    places += [(7, 7, "x", "a"), (7, 7, "b", "a"), (9, 8, "empty", ""), (None, 5, "null", ""), (3000, 2**62, "long", "")]
+    numbers = [None] * 50 + [rnd.randrange(-1200, 6000) for _ in range(400)] + [-(2**62), 2**62, 2**40 + 100, 0, 7]
+    ranges = spark.createDataFrame(places, "lo long, hi long, country string, state string")
+    df = spark.createDataFrame(list(enumerate(numbers)), "i long, number long")
+
+    def best(n):
+        fit = sorted(((a, z, c, "" if s is None else "1" + s), c, s) for a, z, c, s in places if n is not None and a is not None and a <= n <= z)
+        return json.dumps({"country": fit[0][1], "state": fit[0][2]}, separators=(",", ":")) if fit else "{}"
+
+    want = {i: best(n) for i, n in enumerate(numbers)}
+    for rows in (1 << 20, 3):
+        monkeypatch.setattr(enrich, "INDEX_ROWS", rows)
+        got = enrich.index_lookup(df, ranges, "number", "lo", "hi", ["country", "state"])
+        assert {r.i: r.geodata for r in got.collect()} == want and ("Join" in got._jdf.queryExecution().executedPlan().toString()) == (rows == 3)
+    for find in (enrich.index_lookup, enrich.range_lookup):
+        assert {r.geodata for r in find(df, ranges.limit(0), "number", "lo", "hi", ["country", "state"]).collect()} == {"{}"}
+        assert find(df.limit(0), ranges, "number", "lo", "hi", ["country", "state"]).count() == 0

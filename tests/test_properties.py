@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tidemark.functions import banded
-from tidemark.operators import cumulative, datelist, growth, scd2
+from tidemark.operators import arrays, cumulative, datelist, growth, scd2
 
 SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 ROWS = st.lists(st.tuples(st.integers(0, 3), st.integers(1, 5), st.sampled_from([5.0, 15.0, 25.0])), min_size=1, max_size=14)
@@ -30,6 +30,8 @@ def test_cumulative(spark, rows):
     for p in (3, 4):
         now = cumulative.cumulate_step(now, c, "k", p, band)
     assert rows_of(now) == rows_of(cumulative.cumulate_backfill(c, "k", 4, band).where("period = 4"))
+    alone = cumulative.snapshot_as_of(c, "k", 4, band)
+    assert rows_of(now) == rows_of(alone) and "Window" not in alone._jdf.queryExecution().executedPlan().toString()
 
 
 @SETTINGS
@@ -63,6 +65,21 @@ def test_dates_and_growth(spark, days):
     assert rows_of(now.drop("dates_active")) == rows_of(whole)
 
 
+@SETTINGS
+@given(DAYS)
+def test_host_months(spark, days):
+    """Day by day over the end of a month, with days without a load and a day loaded twice."""
+    e = spark.createDataFrame([(f"h{k % 2}" if k else None, k, dt.datetime(2024, 1, 24 + d) if d < 8 else dt.datetime(2024, 2, d - 7)) for k, d in days], "host string, visitor int, ts timestamp")
+    now = arrays.host_month(e, "host", "visitor", "ts", "2024-01-01", "2024-01-29")
+    for d in ("2024-01-31", "2024-01-31"):
+        now = arrays.host_month_step(now, e, "host", "visitor", "ts", d)
+    whole = arrays.host_month(e.where("ts <> TIMESTAMP'2024-01-30'"), "host", "visitor", "ts", "2024-01-01", "2024-01-31")
+    assert rows_of(now) == rows_of(whole)
+    for d in ("2024-02-01", "2024-02-02"):
+        now = arrays.host_month_step(now, e, "host", "visitor", "ts", d)
+    assert rows_of(now) == rows_of(arrays.host_month(e, "host", "visitor", "ts", "2024-02-01", "2024-02-02"))
+
+
 @SETTINGS
 @given(DAYS, DAYS)
 def test_maps(spark, x, y):

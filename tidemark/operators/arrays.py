@@ -68,3 +68,33 @@ def host_month(events: DataFrame, host: str, visitor: str, time: str, month_star
     a = daily.groupBy(host).agg(F.map_from_entries(F.collect_list(F.struct("day", F.struct("hits", "visitors")))).alias("by_day"))
     place = lambda f: F.transform(F.sequence(m, d), lambda x: F.coalesce(F.col("by_day")[x][f], F.lit(0)))
     return a.select(host, m.alias("month_start"), place("hits").alias("hit_array"), place("visitors").alias("unique_visitors"))
+
+
+def host_month_step(prev: DataFrame, events: DataFrame, host: str, visitor: str, time: str, day: str) -> DataFrame:
+    """host_month() up to the day before and one day's events make it up to day: both arrays get the day's place, which
+    comes from the date. Days without a load are zeros, a day that is loaded again replaces its place, and what prev has of
+    other months is left out."""
+    d = F.lit(day).cast("date")
+    n, month = F.dayofmonth(d), F.trunc(d, "month")
+    today = events.where(F.to_date(time) == d).groupBy(F.col(host).alias("today")).agg(F.count("*").alias("hits"), F.count_distinct(visitor).alias("visitors"))
+    p = prev.where(F.col("month_start") == month).select(host, F.col("hit_array").alias("old_hits"), F.col("unique_visitors").alias("old_visitors"))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+    place = lambda old, new: F.concat(_padded(F.coalesce(old, none), n - 1, zero), F.array(F.coalesce(new, zero)))
+    wide = p.join(today, F.col(host).eqNullSafe(F.col("today")), "full_outer")
+    return wide.select(F.coalesce(host, "today").alias(host), month.alias("month_start"), place("old_hits", "hits").alias("hit_array"), place("old_visitors", "visitors").alias("unique_visitors"))
+
+
+#: Logarithm of the number of registers of a sketch: its standard error is 0.8 %, its size 16 KB at most.
+REGISTERS = 14
+
+
+def daily_sketches(events: DataFrame, keys: Sequence[str], visitor: str, time: str) -> DataFrame:
+    """Hits of each key and day and a sketch of its visitors. Sketches of days merge to those of any longer time without
+    the events, which distinct counts don't."""
+    rows = events.select(*keys, F.to_date(time).alias("day"), F.col(visitor).alias("visitor"))
+    return rows.groupBy(*keys, "day").agg(F.count("*").alias("hits"), F.hll_sketch_agg("visitor", F.lit(REGISTERS)).alias("sketch"))
+
+
+def merged_sketches(daily: DataFrame, by: Sequence[Column | str]) -> DataFrame:
+    """Hits and estimated distinct visitors by coarser keys, from daily_sketches()."""
+    return daily.groupBy(*by).agg(F.sum("hits").alias("hits"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("visitors"))

@@ -41,7 +41,7 @@ def cumulate_backfill(collapsed: DataFrame, key: str, last: int, banding) -> Dat
     up_to = collapsed.where(F.col(PERIOD) <= last).withColumn(CLASS, banding(F.col("mean_value")))
     spine = up_to.groupBy(key).agg(F.min(PERIOD).alias("first")).select(key, F.explode(F.sequence("first", F.lit(last))).alias(PERIOD))
     w = Window.partitionBy(key).orderBy(PERIOD).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.when(F.col("mean_value").isNotNull(), F.col(PERIOD))
+    seen = F.when(F.col("items").isNotNull(), F.col(PERIOD))
     return spine.join(up_to, [key, PERIOD], "left").select(
         key,
         F.flatten(F.collect_list("items").over(w)).alias(HISTORY),
@@ -52,6 +52,21 @@ def cumulate_backfill(collapsed: DataFrame, key: str, last: int, banding) -> Dat
     )
 
 
+def snapshot_as_of(collapsed: DataFrame, key: str, as_of: int, banding) -> DataFrame:
+    """The snapshot of one period, as the steps up to it would give it, in one aggregation of the keys' periods: no
+    other period's histories are made."""
+    periods = F.sort_array(F.collect_list(F.struct(PERIOD, "items")))
+    got = collapsed.where(F.col(PERIOD) <= as_of).groupBy(key).agg(periods.alias("periods"), F.max_by("mean_value", PERIOD).alias("mean_value"), F.max(PERIOD).alias("last"))
+    return got.select(
+        key,
+        F.flatten(F.transform("periods", lambda x: x["items"])).alias(HISTORY),
+        banding(F.col("mean_value")).alias(CLASS),
+        (F.lit(as_of) - F.col("last")).cast("int").alias(SINCE),
+        (F.col("last") == as_of).alias(ACTIVE),
+        F.lit(as_of).alias(PERIOD),
+    )
+
+
 def unnest_history(snapshot: DataFrame, key: str) -> DataFrame:
     """One row for each item of the history."""
     return snapshot.select(key, F.inline(HISTORY))

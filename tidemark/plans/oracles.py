@@ -48,6 +48,12 @@ SELECT s.user_id, {extra} DATE '{MONTH}' AS month_start, string_agg(coalesce(CAS
 FROM s LEFT JOIN a ON a.user_id = s.user_id AND a.day = s.day GROUP BY s.user_id, first_found"""
 
 
+def _hosts(last: str) -> str:
+    return f"""WITH a AS (SELECT event_type AS host, CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT user_id) AS v FROM events GROUP BY ALL),
+s AS (SELECT DISTINCT host, CAST(unnest(generate_series(DATE '{MONTH}', DATE '{last}', INTERVAL 1 DAY)) AS DATE) AS day FROM a WHERE day <= DATE '{last}')
+SELECT s.host, DATE '{MONTH}' AS month_start, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY s.day) AS hit_array, string_agg(CAST(coalesce(v, 0) AS VARCHAR), ',' ORDER BY s.day) AS unique_visitors FROM s LEFT JOIN a ON a.host = s.host AND a.day = s.day GROUP BY 1"""
+
+
 _STATES = f"""{_DAYS}, f AS (SELECT user_id, min(day) AS first_active FROM d GROUP BY 1),
 s AS (SELECT user_id, first_active, CAST(unnest(generate_series(first_active, DATE '{LAST}', INTERVAL 1 DAY)) AS DATE) AS as_of FROM f),
 m AS (SELECT s.*, EXISTS (SELECT 1 FROM d WHERE d.user_id = s.user_id AND day = as_of) AS a, (SELECT max(day) FROM d WHERE d.user_id = s.user_id AND day < as_of) AS lp FROM s),
@@ -96,6 +102,7 @@ ORACLE_SQL = {
     "datelist_int_month": f"WITH {_DAYS} SELECT user_id, CAST(sum(CASE WHEN day >= DATE '{MONTH}' AND day < DATE '2024-02-01' THEN CAST(1 AS BIGINT) << CAST(32 - day(day) AS INT) ELSE 0 END) AS BIGINT) AS bits, DATE '2024-01-31' AS as_of FROM d WHERE day <= DATE '{LAST}' GROUP BY 1",
     "cumulate_seasons_step": _snapshot(2000, "period = 2000"),
     "cumulate_seasons_backfill": _snapshot(1998, "true"),
+    "cumulate_seasons_as_of": _snapshot(1999, "period = 1999"),
     "unnest_history": "SELECT o_custkey AS player, CAST(year(o_orderdate) AS INT) AS season, o_orderkey, o_totalprice AS points FROM orders WHERE year(o_orderdate) <= 2001",
     "ratio_last_first": """WITH x AS (SELECT o_custkey AS player, first(o_totalprice ORDER BY year(o_orderdate), o_orderkey) AS a, last(o_totalprice ORDER BY year(o_orderdate), o_orderkey) AS z FROM orders GROUP BY 1)
 SELECT player, round(z / CASE WHEN a = 0 THEN 1 ELSE a END, 4) AS ratio FROM x""",
@@ -124,9 +131,9 @@ z AS (SELECT user_id, browser_type, string_agg(CAST(day AS VARCHAR), ',' ORDER B
     "array_metrics_step": _month(D, "'site_hits' AS metric_name,", "0", "metric_array"),
     "array_metrics_daily": f"SELECT 'site_hits' AS metric_name, DATE '{MONTH}' AS month_start, CAST(ts AS DATE) AS day, count(*) AS value FROM events WHERE CAST(ts AS DATE) <= DATE '{D}' GROUP BY 3",
     "array_length_hist": f"SELECT CAST(15 AS INT) AS length, count(DISTINCT user_id) AS rows FROM events WHERE CAST(ts AS DATE) <= DATE '{D}'",
-    "host_activity_reduced": f"""WITH a AS (SELECT event_type AS host, CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT user_id) AS v FROM events GROUP BY ALL),
-s AS (SELECT DISTINCT host, CAST(unnest(generate_series(DATE '{MONTH}', DATE '{LAST}', INTERVAL 1 DAY)) AS DATE) AS day FROM a)
-SELECT s.host, DATE '{MONTH}' AS month_start, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY s.day) AS hit_array, string_agg(CAST(coalesce(v, 0) AS VARCHAR), ',' ORDER BY s.day) AS unique_visitors FROM s LEFT JOIN a ON a.host = s.host AND a.day = s.day GROUP BY 1""",
+    "host_activity_reduced": _hosts(LAST),
+    "host_activity_step": _hosts(D),
+    "host_visitors_sketch": "SELECT event_type AS host, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS hits, count(DISTINCT user_id) AS exact, true AS close FROM events GROUP BY ALL",
     "growth_accounting_step": f"WITH {_STATES} SELECT *, CAST((SELECT count(*) FROM d WHERE d.user_id = st.user_id AND day <= DATE '{D}') AS INT) AS active_days FROM st WHERE as_of = DATE '{D}'",
     "growth_accounting": f"WITH {_STATES} SELECT * FROM st",
     "retention_curve": f"WITH {_STATES} SELECT CAST(as_of - first_active AS INT) AS days_since_first, count(*) AS keys, count(*) FILTER (last_active = as_of) AS active, round(count(*) FILTER (last_active = as_of) / count(*), 6) AS share FROM st GROUP BY 1",
@@ -170,6 +177,11 @@ SELECT * FROM n UNION ALL SELECT * FROM o WHERE o_custkey NOT IN (SELECT o_custk
     "broadcast_join": "SELECT s_nationkey, count(*) AS rows FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1",
     "classify_referrer": "SELECT page_id, CASE WHEN url LIKE '%//blog.%' THEN 'Blog' WHEN url LIKE 'https://m.%' THEN 'Mobile' WHEN url LIKE '%.org%' THEN 'Organisation' ELSE url END AS referrer FROM pages",
     "geo_enrich": """SELECT event_id, user_id, coalesce(CASE WHEN n_name IS NOT NULL THEN '{"country":"' || n_name || '","state":"' || n_regionkey || '"}' END, '{}') AS geodata FROM events LEFT JOIN nation ON user_id BETWEEN n_nationkey * 6 AND n_nationkey * 6 + 4""",
+    "geo_wide_ranges": """WITH r AS (SELECT n_nationkey * 6 AS lo, n_nationkey * 6 + 4 AS hi, '{"country":"' || n_name || '","state":"' || n_regionkey || '"}' AS place FROM nation
+  UNION ALL SELECT r_regionkey * 40 + 3, r_regionkey * 40 + 100000000 + r_regionkey, '{"country":"' || r_name || '","state":null}' FROM region),
+n AS (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN CASE WHEN event_id % 3 = 0 THEN event_id * 40001 ELSE user_id END END AS number FROM events),
+h AS (SELECT event_id, min_by(place, (lo, hi, place)) AS place FROM n JOIN r ON number BETWEEN lo AND hi GROUP BY 1)
+SELECT event_id, number, coalesce(place, '{}') AS geodata FROM n LEFT JOIN h USING (event_id)""",
     "dedupe_events": "SELECT DISTINCT user_id, event_type AS host, CAST(ts AS DATE) AS day FROM events",
     "dedupe_first": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1",
     "top_n": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
@@ -185,4 +197,5 @@ SELECT * FROM ss WHERE session_end <= {_CLOSED} 5 SECOND""",
     "session_avg_by_host": f"WITH {_SESSIONS} SELECT host, round(avg(event_count), 6) AS average_events FROM ss GROUP BY 1",
 }
 
+ORACLE_SQL["geo_index"] = ORACLE_SQL["geo_wide_ranges"]
 ORACLE_SQL["datelist_map_merged"] = ORACLE_SQL["datelist_device_map"]

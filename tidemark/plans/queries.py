@@ -46,8 +46,17 @@ def _backfill(s, d, last=2001):
     return cumulative.cumulate_backfill(_collapsed(s, d), "player", last, _band)
 
 
+def _as_of(s, d, period=2001):
+    return cumulative.snapshot_as_of(_collapsed(s, d), "player", period, _band)
+
+
+def cumulate_seasons_as_of(s, d):
+    """One period's snapshot without those before it."""
+    return _snapshot(_as_of(s, d, 1999))
+
+
 def cumulate_seasons_step(s, d):
-    prev = _backfill(s, d, 1999).where("period = 1999")
+    prev = _as_of(s, d, 1999)
     return _snapshot(cumulative.cumulate_step(prev, _collapsed(s, d), "player", 2000, _band))
 
 
@@ -56,11 +65,11 @@ def cumulate_seasons_backfill(s, d):
 
 
 def unnest_history(s, d):
-    return cumulative.unnest_history(_backfill(s, d).where("period = 2001"), "player")
+    return cumulative.unnest_history(_as_of(s, d), "player")
 
 
 def ratio_last_first(s, d):
-    return cumulative.ratio_last_first(_backfill(s, d).where("period = 2001"), "player", "points").select("player", F.round("ratio", 4).alias("ratio"))
+    return cumulative.ratio_last_first(_as_of(s, d), "player", "points").select("player", F.round("ratio", 4).alias("ratio"))
 
 
 def _scd(s, d, upto):
@@ -79,7 +88,8 @@ def scd2_incremental(s, d):
 
 
 def latest_snapshot(s, d):
-    return cumulative.latest(_backfill(s, d).select("player", "class", "periods_since_active", "is_active", "period"))
+    """The last of two periods' snapshots in one table."""
+    return cumulative.latest(_as_of(s, d, 2000).unionByName(_as_of(s, d)).select("player", "class", "periods_since_active", "is_active", "period"))
 
 
 def ever_active(s, d):
@@ -231,6 +241,22 @@ def host_activity_reduced(s, d):
     return m.select("host", "month_start", _joined("hit_array").alias("hit_array"), _joined("unique_visitors").alias("unique_visitors"))
 
 
+def host_activity_step(s, d):
+    """The arrays up to the day before and one day's events."""
+    e = t.events(s, d)
+    m = arrays.host_month_step(arrays.host_month(e, "host", "user_id", "ts", MONTH, BEFORE), e, "host", "user_id", "ts", D)
+    return m.select("host", "month_start", _joined("hit_array").alias("hit_array"), _joined("unique_visitors").alias("unique_visitors"))
+
+
+def host_visitors_sketch(s, d):
+    """Visitors of hosts by week from daily sketches that are written once, and whether they are within 5 % of a distinct count."""
+    e = t.events(s, d)
+    week = lambda c: F.to_date(F.date_trunc("week", c)).alias("week")
+    got = arrays.merged_sketches(writers.staged(arrays.daily_sketches(e, ["host"], "user_id", "ts")), ["host", week("day")])
+    exact = e.groupBy("host", week("ts")).agg(F.count_distinct("user_id").alias("exact"))
+    return got.join(exact, ["host", "week"]).select("host", "week", "hits", "exact", (F.abs(F.col("visitors") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
 def growth_accounting_step(s, d):
     daily = _daily(s, d, "user_id")
     prev = datelist.datelist_snapshot(daily, ["user_id"], BEFORE).select("user_id", F.array_min("dates_active").alias("first_active"), F.array_max("dates_active").alias("last_active"), "dates_active")
@@ -385,11 +411,37 @@ def classify_referrer(s, d):
     return enrich.classify(t.read(s, d, "pages"), "url", REFERRERS, "referrer").select("page_id", "referrer")
 
 
-def geo_enrich(s, d):
+def _ranges(s, d):
     n = t.read(s, d, "nation")
-    ranges = n.select((F.col("n_nationkey") * 6).cast("long").alias("ip_from"), (F.col("n_nationkey") * 6 + 4).cast("long").alias("ip_to"), F.col("n_name").alias("country"), F.col("n_regionkey").cast("string").alias("state"))
-    got = enrich.range_lookup(t.events(s, d), ranges, "user_id", "ip_from", "ip_to", ["country", "state"], shift=3)
-    return got.select("event_id", "user_id", "geodata")
+    return n.select((F.col("n_nationkey") * 6).cast("long").alias("ip_from"), (F.col("n_nationkey") * 6 + 4).cast("long").alias("ip_to"), F.col("n_name").alias("country"), F.col("n_regionkey").cast("string").alias("state"))
+
+
+def _all_ranges(s, d):
+    """Nations' short ranges, and a wide one for each region that overlaps them and other regions'."""
+    r = t.read(s, d, "region")
+    wide = r.select((F.col("r_regionkey") * 40 + 3).cast("long").alias("ip_from"), (F.col("r_regionkey") * 40 + 100_000_000 + F.col("r_regionkey")).cast("long").alias("ip_to"), F.col("r_name").alias("country"), F.lit(None).cast("string").alias("state"))
+    return _ranges(s, d).unionByName(wide)
+
+
+def _numbers(s, d):
+    """Numbers near ranges' ends and far off, and none for one event in eleven."""
+    e = t.events(s, d).select("event_id", "user_id")
+    far = F.when(F.col("event_id") % 3 == 0, F.col("event_id") * 40_001).otherwise(F.col("user_id"))
+    return e.withColumn("number", F.when(F.col("event_id") % 11 > 0, far))
+
+
+def geo_enrich(s, d):
+    return enrich.range_lookup(t.events(s, d), _ranges(s, d), "user_id", "ip_from", "ip_to", ["country", "state"]).select("event_id", "user_id", "geodata")
+
+
+def geo_wide_ranges(s, d):
+    """Ranges of all lengths that overlap, by joins."""
+    return enrich.range_lookup(_numbers(s, d), _all_ranges(s, d), "number", "ip_from", "ip_to", ["country", "state"]).select("event_id", "number", "geodata")
+
+
+def geo_index(s, d):
+    """The same by an index in every task."""
+    return enrich.index_lookup(_numbers(s, d), _all_ranges(s, d), "number", "ip_from", "ip_to", ["country", "state"]).select("event_id", "number", "geodata")
 
 
 def dedupe_events(s, d):
@@ -481,11 +533,11 @@ def stream_sessions(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        activity_flags, cumulate_seasons_step, cumulate_seasons_backfill, unnest_history, ratio_last_first, scd2_backfill, scd2_incremental, latest_snapshot, ever_active, new_keys_anti, max_class, fact_lineitems, fact_join_dim, daily_activity,
+        activity_flags, cumulate_seasons_step, cumulate_seasons_backfill, cumulate_seasons_as_of, unnest_history, ratio_last_first, scd2_backfill, scd2_incremental, latest_snapshot, ever_active, new_keys_anti, max_class, fact_lineitems, fact_join_dim, daily_activity,
         profile_events, contract_violations, datelist_users_step, datelist_devices_step, datelist_hosts_step, datelist_users_snapshot, datelist_device_map, datelist_map_merged, datelist_int_recent, datelist_int_month, date_spine,
-        monthly_hits_step, monthly_hits_array, monthly_hits_agg, array_metrics_step, array_metrics_daily, array_length_hist, host_activity_reduced, growth_accounting_step, growth_accounting, retention_curve, state_changes,
+        monthly_hits_step, monthly_hits_array, monthly_hits_agg, array_metrics_step, array_metrics_daily, array_length_hist, host_activity_reduced, host_activity_step, host_visitors_sketch, growth_accounting_step, growth_accounting, retention_curve, state_changes,
         funnel_conversion, device_cube, traffic_windows, game_cube, game_leaders, best_stretch, longest_streak, vertices_suppliers, edges_plays_in, edges_pairs, graph_points_per_game, avg_per_player, top_playlist, top_map,
-        top_map_for_medal, user_device_rollup, device_users, events_with_device, upsert_latest, bucketed_join, broadcast_join, classify_referrer, geo_enrich, ip_numbers, dedupe_events, dedupe_first, top_n, layout_sorted, layout_report, layout_rows,
+        top_map_for_medal, user_device_rollup, device_users, events_with_device, upsert_latest, bucketed_join, broadcast_join, classify_referrer, geo_enrich, geo_wide_ranges, geo_index, ip_numbers, dedupe_events, dedupe_first, top_n, layout_sorted, layout_report, layout_rows,
         stream_tumbling_host, stream_two_sinks, stream_sessions,
         stream_parse, tumbling_host, tumbling_host_referrer, sessions, session_avg_by_host,
     )
