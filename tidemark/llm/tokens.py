@@ -37,11 +37,16 @@ def units(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     other = np.append(0, np.cumsum(kind == 0, dtype=np.int32))
     inside = np.zeros(len(data) + 1, np.int8)
     some = other[end] == other[start]
-    np.add.at(inside, start[some], 1)
-    np.add.at(inside, end[some], -1)
+    inside[start[some]] += 1  # no word begins where another one does
+    inside[end[some]] -= 1
     inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
-    cut = np.setdiff1d(np.flatnonzero((kind[1:] != kind[:-1]) & inside[1:] & inside[:-1]) + 1, start)
-    return np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) & inside[1:] & inside[:-1]
+    cut[start] = False
+    cut[end] = False
+    first, last = cut.copy(), cut
+    first[start], last[end] = True, True
+    return np.flatnonzero(first), np.flatnonzero(last)
 
 
 class Remembered:
