@@ -51,26 +51,83 @@ def test_staged_is_computed_once(spark, tmp_path):
     assert seen.value == 100
 
 
-def test_upsert_leaves_nothing_behind(spark, tmp_path):
+def broken(df):
+    """df, with an error once its first partition is written."""
+
+    def fail(batches):
+        yield from batches
+        raise OSError("the executor is lost")
+
+    return df.mapInPandas(fail, df.schema)
+
+
+def test_upsert_is_visible_whole_or_not_at_all(spark, tmp_path):
+    """A first load, a broken run, the run again, and a second writer who comes too late; a null period and a null key."""
     path = str(tmp_path / "t")
-    writers.write_period(spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], SCHEMA), path, "p")
-    writers.upsert_periods(spark.createDataFrame([(1, "a", 9.0), (5, "a", 5.0)], SCHEMA), path, ["k"], "p")
-    assert rows(spark.read.schema(SCHEMA).parquet(path).select("k", "p", "v")) == [(1, "a", 9.0), (2, "b", 2.0), (5, "a", 5.0)]
-    assert [x.name for x in tmp_path.iterdir()] == ["t"]
+    read = lambda: rows(writers.read_version(spark, path, SCHEMA))
+    first = [(1, "a", 1.0), (2, "b", 2.0), (3, None, 3.0), (None, "b", 4.0)]
+    assert read() == []
+    writers.upsert_periods(spark.createDataFrame(first, SCHEMA), path, ["k"], "p")
+    assert read() == rows(spark.createDataFrame(first, SCHEMA))
+    change = spark.createDataFrame([(1, "a", 9.0), (5, "a", 5.0), (3, None, 7.0), (None, "b", 8.0)], SCHEMA)
+    with pytest.raises(Exception, match="executor is lost"):
+        writers.upsert_periods(broken(change), path, ["k"], "p")
+    assert read() == rows(spark.createDataFrame(first, SCHEMA))
+    writers.upsert_periods(change, path, ["k"], "p")
+    after = sorted([(1, "a", 9.0), (5, "a", 5.0), (2, "b", 2.0), (3, None, 7.0), (None, "b", 4.0), (None, "b", 8.0)], key=repr)
+    assert read() == after
+    old = writers.manifest(spark, path)
+    held = writers.read_version(spark, path, SCHEMA)
+    writers.upsert_periods(spark.createDataFrame([(6, "c", 6.0)], SCHEMA), path, ["k"], "p")
+    assert {p: f for p, f in writers.manifest(spark, path).items() if p != "c"} == old and rows(held) == after  # other periods are not written again
+    gone = writers.vacuum(spark, path)
+    assert sum("_versions" in g for g in gone) == 2 and read() == sorted([*after, (6, "c", 6.0)], key=repr)
+    assert {x.name for x in (tmp_path / "t").iterdir()} == {"_versions", *writers.manifest(spark, path).values()}
+
+
+def test_a_slower_writer_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    writers.upsert_periods(spark.createDataFrame([(1, "a", 1.0)], SCHEMA), path, ["k"], "p")
+    numbers = writers._numbers(spark, path)
+    writers.publish(spark, path, writers.manifest(spark, path))
+    monkeypatch.setattr(writers, "_numbers", lambda *a: numbers)  # what a writer saw that began before
+    with pytest.raises(RuntimeError, match="another writer"):
+        writers.publish(spark, path, {})
+    monkeypatch.undo()
+    assert rows(writers.read_version(spark, path, SCHEMA)) == [(1, "a", 1.0)] and not [x for x in (tmp_path / "t").iterdir() if "draft" in x.name]
 
 
 def test_jdbc_there_and_back(spark, tmp_path):
-    """With the database that comes with Spark: a batch is appended, a bounded read takes it in parts."""
+    """With the database that comes with Spark: batches, one of them again with other rows, one that breaks off before and
+    one within the transaction, two streams in a table; a bounded read takes it in parts."""
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     options = readers.jdbc_options(url, "games", driver="org.apache.derby.jdbc.EmbeddedDriver")
-    sink = writers.jdbc_batch(options)
+    sink, other = writers.jdbc_batch(options), writers.jdbc_batch(options, "other")
     df = spark.createDataFrame([(i, f"g{i}", i / 2) for i in range(50)], "id int, name string, score double")
+    count = lambda: {(r.stream, r.batch_id): r.n for r in readers.read_jdbc(spark, options, "id", 0, 50, 4).groupBy("stream", "batch_id").agg(F.count("*").alias("n")).collect()}
     sink(df.where("id < 20"), 0)
     sink(df.where("id >= 20"), 1)
+    sink(df.where("id >= 20"), 1)
+    other(df.where("id < 3"), 1)
+    assert count() == {("", 0): 20, ("", 1): 30, ("other", 1): 3}
+    for rest in (broken(df), df.withColumn("more", F.lit(1))):  # staged in part only; a column that the target has not
+        with pytest.raises(Exception):  # noqa: B017
+            sink(rest, 1)
+        assert count() == {("", 0): 20, ("", 1): 30, ("other", 1): 3}
+    sink(df.where("id >= 45"), 1)
+    assert count() == {("", 0): 20, ("", 1): 5, ("other", 1): 3}
     got = readers.read_jdbc(spark, options, "id", 0, 50, 4)
-    assert got.rdd.getNumPartitions() == 4
-    assert {(r.batch_id, r.n) for r in got.groupBy("batch_id").agg(F.count("*").alias("n")).collect()} == {(0, 20), (1, 30)}
-    assert rows(got.select("id", "name", "score")) == rows(df)
+    assert got.rdd.getNumPartitions() == 4 and rows(got.where("stream = ''").select("id", "name", "score")) == rows(df.where("id < 20 OR id >= 45"))
+
+
+def test_a_stream_ends_in_a_jdbc_table_once(spark, tmp_path):
+    """The checkpoint is lost after the commit of a batch: it comes again and changes nothing."""
+    options = readers.jdbc_options(f"jdbc:derby:{tmp_path}/db;create=true", "hits", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(str(tmp_path / "in"))
+    for check in ("c1", "c2"):
+        stream = spark.readStream.schema("k int, v string").parquet(str(tmp_path / "in"))
+        jobs.start(stream, writers.jdbc_batch(options), str(tmp_path / check)).awaitTermination()
+    assert rows(readers.read_jdbc(spark, options, "k", 0, 5, 2).select("k", "v", "batch_id")) == [(1, "a", 0), (2, "b", 0)]
 
 
 def test_a_stream_is_enriched_from_a_table(spark, tmp_path):

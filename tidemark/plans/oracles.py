@@ -173,6 +173,10 @@ FROM gr a JOIN gr b ON a.game = b.game AND a.player > b.player GROUP BY ALL""",
     "events_with_device": f"WITH {_E} SELECT event_id, device_id, CASE WHEN host = 'error' THEN 'unknown' ELSE host END AS referrer, upper(p_brand) AS browser_type, p_type AS os_type FROM e JOIN part ON p_partkey = device_id",
     "upsert_latest": """WITH a AS (SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS y FROM orders), o AS (SELECT o_custkey, max(y) AS year, count(*) AS orders FROM a WHERE y < 2000 GROUP BY 1), n AS (SELECT o_custkey, max(y) AS year, count(*) AS orders FROM a WHERE y = 2000 GROUP BY 1)
 SELECT * FROM n UNION ALL SELECT * FROM o WHERE o_custkey NOT IN (SELECT o_custkey FROM n)""",
+    "upsert_on_disk": """WITH o AS (SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS year, o_orderkey, o_totalprice FROM orders),
+a AS (SELECT o_custkey, year, count(*) AS orders, max(o_orderkey) AS last_order, 1 AS load FROM o WHERE o_totalprice < 150000 GROUP BY ALL),
+b AS (SELECT o_custkey, year, count(*) AS orders, max(o_orderkey) AS last_order, 2 AS load FROM o WHERE year IN (1996, 1997) AND o_orderkey % 3 > 0 GROUP BY ALL)
+SELECT * FROM b UNION ALL SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.o_custkey = a.o_custkey AND b.year = a.year)""",
     "bucketed_join": "SELECT o_orderpriority, count(*) AS rows, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "broadcast_join": "SELECT s_nationkey, count(*) AS rows FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1",
     "classify_referrer": "SELECT page_id, CASE WHEN url LIKE '%//blog.%' THEN 'Blog' WHEN url LIKE 'https://m.%' THEN 'Mobile' WHEN url LIKE '%.org%' THEN 'Organisation' ELSE url END AS referrer FROM pages",

@@ -393,6 +393,18 @@ def upsert_latest(s, d):
     return writers.upsert(per(o.where("year < 2000")), per(o.where("year = 2000")), ["o_custkey"])
 
 
+def upsert_on_disk(s, d):
+    """Orders of customers and years as a table of versions: a first load, then all orders of two years anew, which
+    replace some keys of two periods and add others."""
+    o = t.read(s, d, "orders").select("o_custkey", F.year("o_orderdate").alias("year"), "o_orderkey", "o_totalprice")
+    path = writers.work_folder(s)
+    per = lambda rows, load: rows.groupBy("o_custkey", "year").agg(F.count("*").alias("orders"), F.max("o_orderkey").alias("last_order")).withColumn("load", F.lit(load))
+    writers.upsert_periods(per(o.where("o_totalprice < 150000"), 1), path, ["o_custkey", "year"], "year")
+    new = per(o.where("year IN (1996, 1997) AND o_orderkey % 3 > 0"), 2)
+    writers.upsert_periods(new, path, ["o_custkey", "year"], "year")
+    return writers.read_version(s, path, new.schema)
+
+
 def bucketed_join(s, d):
     """Two tables bucketed by the order key, joined without an exchange."""
     folder, run = writers.work_folder(s), uuid.uuid4().hex
@@ -537,7 +549,7 @@ QUERIES = {
         profile_events, contract_violations, datelist_users_step, datelist_devices_step, datelist_hosts_step, datelist_users_snapshot, datelist_device_map, datelist_map_merged, datelist_int_recent, datelist_int_month, date_spine,
         monthly_hits_step, monthly_hits_array, monthly_hits_agg, array_metrics_step, array_metrics_daily, array_length_hist, host_activity_reduced, host_activity_step, host_visitors_sketch, growth_accounting_step, growth_accounting, retention_curve, state_changes,
         funnel_conversion, device_cube, traffic_windows, game_cube, game_leaders, best_stretch, longest_streak, vertices_suppliers, edges_plays_in, edges_pairs, graph_points_per_game, avg_per_player, top_playlist, top_map,
-        top_map_for_medal, user_device_rollup, device_users, events_with_device, upsert_latest, bucketed_join, broadcast_join, classify_referrer, geo_enrich, geo_wide_ranges, geo_index, ip_numbers, dedupe_events, dedupe_first, top_n, layout_sorted, layout_report, layout_rows,
+        top_map_for_medal, user_device_rollup, device_users, events_with_device, upsert_latest, upsert_on_disk, bucketed_join, broadcast_join, classify_referrer, geo_enrich, geo_wide_ranges, geo_index, ip_numbers, dedupe_events, dedupe_first, top_n, layout_sorted, layout_report, layout_rows,
         stream_tumbling_host, stream_two_sinks, stream_sessions,
         stream_parse, tumbling_host, tumbling_host_referrer, sessions, session_avg_by_host,
     )
