@@ -113,6 +113,44 @@ def test_pairs_edges(spark):
     assert got == {(11, 10, "shares_team"): (1, 3, 2), (11, 10, "plays_against"): (1, 0, 1), (12, 10, "plays_against"): (1, 4, 2), (12, 11, "plays_against"): (1, 4, 3)}
 
 
+def test_pairs_of_large_events(spark):
+    """Blocks of three participants give what one block gives: an event of 40, of 3 and of 4, ids as text, a null event and
+    null ids, which pair with none. An event of 100,000 is dealt so that no place holds more than its block pair."""
+    rnd = random.Random(1)
+    rows = [(g, f"p{i:02}", rnd.choice(["a", "b", None]), rnd.randrange(9)) for g, n in ((1, 40), (2, 3), (3, 4)) for i in range(n)] + [(None, "p00", "a", 1), (None, "p01", "a", 1), (1, None, "a", 1)]
+    df = spark.createDataFrame(rows, "g int, w string, s string, p long")
+    whole, blocks = (sorted(map(tuple, graph.co_occurrence(df, "g", "w", "s", "p", block=b).collect())) for b in (1000, 3))
+    assert whole == blocks and sum(r[3] for r in blocks) == 40 * 39 // 2 + 3 + 6
+    one = spark.range(100_000).select(F.lit(1).alias("event"), F.col("id")).unionByName(spark.range(50).select((F.col("id") + 2).cast("int").alias("event"), F.col("id")))
+    first, second = graph.block_pairs(one, "event", "id", 1000)
+    for side in (first, second):
+        most, places, n = side.groupBy("event", "low", "high").count().agg(F.max("count"), F.count("*"), F.sum("count")).first()
+        assert most < 1300 and places == 100 * 101 // 2 + 50 and abs(n - 100_000 * 50.5) < 200_000
+    assert first.where("event > 1").count() == second.where("event > 1 AND low = 0 AND high = 0").count() == 50
+
+
+def test_weeks_of_the_calendar(spark):
+    rows = [("a", DAY(2024, 1, d), n) for d, n in ((1, 5), (2, 1), (8, 2), (9, 4), (20, 3))] + [("b", DAY(2024, 1, 9), 7)]
+    got = analysis.traffic_windows(spark.createDataFrame(rows, "k string, day date, hits long"), ["k"], by="days").orderBy("k", "day").collect()
+    assert [(r.rolling_7, r.rolling_7_before) for r in got] == [(5, None), (6, None), (3, 5), (6, 6), (3, 6), (7, None)]
+
+
+def test_contract_edges(spark):
+    df = spark.createDataFrame([(1, None, "x"), (None, 2.0, "y"), (3, None, None)], "a int, b double, `c d` string")
+    got = {tuple(r) for r in facts.contract(df, "a long NOT NULL, b double NOT NULL, e date", ["c d"]).collect()}
+    assert got == {("e", "missing", "date", None, None), ("c d", "extra", None, "string", None), ("a", "type", "bigint", "int", None), ("a", "null", "not null", "null", 1), ("b", "null", "not null", "null", 2)}
+    assert facts.contract(df, df.schema).count() == 0 and facts.contract(df.limit(0), df.schema, ["a"]).count() == 0
+
+
+def test_frequent_keys_beyond_the_sketch(spark):
+    """More keys than the sketch tracks: those that are frequent for certain come out with exact counts."""
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 5).when(F.col("id") % 100 > 0, F.col("id")).alias("k"))
+    got = facts.frequent_keys(df, "k", 5, candidates=50, tracked=1000).collect()
+    assert [(r.k, r.rows) for r in got] == [(1, 4001), (2, 4001), (4, 4001), (0, 4000), (3, 4000)] and all(abs(r.estimate - r.rows) <= 80 for r in got)
+    per = facts.rows_per_key(spark.createDataFrame([(1,), (1,), (None,)], "k int"), "k").first()
+    assert tuple(per) == (2, 1, 2, 1.5, 1) and facts.frequent_keys(df.limit(0), "k", 3).count() == 0
+
+
 def test_text(spark):
     df = spark.createDataFrame([("34:12",), ("34",), ("",), (None,), ("x:1",)], "m string")
     assert [None if r.x is None else round(r.x, 3) for r in df.select(minutes_played(F.col("m")).alias("x")).collect()] == [34.2, 34.0, None, None, None]

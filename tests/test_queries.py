@@ -17,10 +17,12 @@ def test_layout_report(spark):
     assert {r.layout for r in got} == {"as_read", "sorted"} and {r.rows for r in got} == {60_000} and all(r.bytes > 0 for r in got)
 
 
-def test_bucketed_join_has_no_exchange_of_tables(spark):
-    df = QUERIES["bucketed_join"](spark, "/root/testdata/sf0.01")
+@pytest.mark.parametrize("name", ["bucketed_join", "bucketed_star"])
+def test_bucketed_facts_have_no_exchange(spark, name):
+    df = QUERIES[name](spark, "/root/testdata/sf0.01")
     plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(l_orderkey" not in plan and "hashpartitioning(o_orderkey" not in plan
+    assert not any(f"hashpartitioning({k}" in plan for k in ("l_orderkey", "o_orderkey", "m_orderkey")) and "Bucketed: true" in plan
+    assert not [x.name for x in spark.catalog.listTables() if x.name.startswith("bucketed_")]
 
 
 def test_funnel_does_not_join(spark):

@@ -41,8 +41,9 @@ def leaders(cubed: DataFrame, level: str, who: Sequence[str], measure: str, n: i
     return cubed.where(F.col("level") == level).orderBy(F.col(measure).desc(), *who).limit(n).select(*who, measure)
 
 
-def traffic_windows(daily: DataFrame, keys: Sequence[str], day: str = "day", hits: str = "hits", min_total: int = 0) -> DataFrame:
-    """Trends of daily counts of keys: totals, running sum, the last 7 rows and the 7 before, shares.
+def traffic_windows(daily: DataFrame, keys: Sequence[str], day: str = "day", hits: str = "hits", min_total: int = 0, by: str = "rows") -> DataFrame:
+    """Trends of daily counts of keys: totals, running sum, the last 7 and the 7 before, shares. by: rows counts days that
+    have a row, days counts days of the calendar, so that a week is one where days are missing; a week without any row is null.
 
     daily has one row per keys and day, so a window partition is as long as there are days. All windows
     work on one shuffle by keys.
@@ -51,10 +52,12 @@ def traffic_windows(daily: DataFrame, keys: Sequence[str], day: str = "day", hit
     o = w.orderBy(day)
     month = Window.partitionBy(*keys, "month_start")
     h = F.col(hits)
+    numbered = w.orderBy(F.datediff(day, F.lit("1970-01-01").cast("date")))
+    last = {"rows": o.rowsBetween, "days": numbered.rangeBetween}[by]
     got = daily.withColumn("month_start", F.trunc(day, "month")).select(
         *keys, day, "month_start", hits,
         F.sum(h).over(month).alias("month_total"), F.sum(h).over(w).alias("total"), F.sum(h).over(o.rangeBetween(Window.unboundedPreceding, 0)).alias("running"),
-        F.sum(h).over(o.rowsBetween(-6, 0)).alias("rolling_7"), F.sum(h).over(o.rowsBetween(-13, -7)).alias("rolling_7_before"),
+        F.sum(h).over(last(-6, 0)).alias("rolling_7"), F.sum(h).over(last(-13, -7)).alias("rolling_7_before"),
     )
     return got.where(F.col("total") > min_total).withColumns({"month_share": h / F.col("month_total"), "total_share": h / F.col("total")})
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions import has_token, minutes_played
 from tidemark.operators.dedupe import keep_first
@@ -44,3 +45,37 @@ def profile(df: DataFrame, key: str, ranged: str) -> DataFrame:
 def contract_violations(df: DataFrame, not_null: Sequence[str]) -> DataFrame:
     """One row with the number of nulls in each column that may have none."""
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in not_null])
+
+
+def contract(df: DataFrame, declared: StructType | str, not_null: Sequence[str] = ()) -> DataFrame:
+    """How df departs from a declared schema, one row for each departure: column, problem (missing, extra, type, null), what is
+    declared, what is there, and how many rows it concerns (null for those that concern the table). Names differ by case; one pass counts all nulls."""
+    spark = df.sparkSession
+    want = declared if isinstance(declared, StructType) else StructType.fromDDL(declared)
+    theirs, ours = ({f.name: f.dataType.simpleString() for f in x.fields} for x in (want, df.schema))
+    found = [(n, "missing", t, None) for n, t in theirs.items() if n not in ours]
+    found += [(n, "extra", None, t) for n, t in ours.items() if n not in theirs]
+    found += [(n, "type", t, ours[n]) for n, t in theirs.items() if n in ours and ours[n] != t]
+    shown = "column string, problem string, declared string, actual string"
+    out = spark.createDataFrame(found, shown).withColumn("rows", F.lit(None).cast("long"))
+    need = [f.name for f in want.fields if f.name in ours and (f.name in not_null or not f.nullable)]
+    if not need:
+        return out
+    counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in need])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.lit("null").alias("problem"), F.lit("not null").alias("declared"), F.lit("null").alias("actual"), F.col(f"`{c}`").alias("rows")) for c in need])
+    return out.unionByName(counts.select(F.inline(each)).where("rows > 0"))
+
+
+def rows_per_key(df: DataFrame, key: str) -> DataFrame:
+    """Fewest, most and mean rows of a key, and how many keys have one row; null is a key."""
+    return df.groupBy(key).count().agg(F.count("*").alias("keys"), F.min("count").alias("fewest"), F.max("count").alias("most"), F.avg("count").alias("mean"), F.count_if(F.col("count") == 1).alias("single"))
+
+
+def frequent_keys(df: DataFrame, key: str, n: int, candidates: int = 1000, tracked: int = 10_000) -> DataFrame:
+    """The n keys with the most rows: exact counts of the candidates of a frequent-items sketch, and its estimates. No count is made
+    of the other keys, however many there are; a key with more than a 0.75 tracked-th of all rows is a candidate for certain,
+    where its place is among the first so many. Ties go by key; null is no key. The candidates, at most so many, are broadcast."""
+    sketch = F.call_function("approx_top_k", F.col(key), F.lit(candidates), F.lit(tracked))
+    found = df.where(F.col(key).isNotNull()).agg(sketch.alias("top")).select(F.inline("top")).select(F.col("item").alias(key), F.col("count").alias("estimate"))
+    exact = df.select(key).join(F.broadcast(found), key).groupBy(key, "estimate").agg(F.count("*").alias("rows"))
+    return exact.orderBy(F.col("rows").desc(), key).limit(n).select(key, "rows", "estimate")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,19 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str |
     (out.option("path", path) if path else out).saveAsTable(name)
 
 
+def bucketed(spark: SparkSession, tables: dict[str, tuple[DataFrame, str]], buckets: int, folder: str) -> dict[str, DataFrame]:
+    """Each table written in buckets of its key below folder, by name. Joined on their keys they need no exchange. The catalog
+    is left as it was: what is returned knows its buckets and files."""
+    out, run = {}, uuid.uuid4().hex
+    for name, (df, key) in tables.items():
+        table = f"bucketed_{run}_{name}"
+        write_bucketed(df, table, key, buckets, f"{folder}/{name}")
+        out[name] = spark.table(table)
+        out[name].schema  # resolved while the catalog has it
+        spark.sql(f"DROP TABLE {table}")  # files stay, as the table names its folder
+    return out
+
+
 def layout_report(spark: SparkSession, layouts: dict[str, DataFrame], folder: str) -> DataFrame:
     """Writes each layout as Parquet below folder and reports its rows, files and bytes."""
     out = None

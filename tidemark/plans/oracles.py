@@ -118,6 +118,13 @@ SELECT s_name, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS points, count(
     "daily_activity": "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS events FROM events WHERE user_id IS NOT NULL GROUP BY ALL",
     "profile_events": "SELECT count(*) AS rows, count(DISTINCT user_id) AS distinct_keys, min(ts) AS low, max(ts) AS high FROM events",
     "contract_violations": "SELECT count(*) FILTER (event_id IS NULL) AS event_id_nulls, count(*) FILTER (user_id IS NULL) AS user_id_nulls, count(*) FILTER (ts IS NULL) AS ts_nulls, count(*) FILTER (props IS NULL) AS props_nulls FROM events",
+    "contract_schema": """SELECT 'at' AS column, 'missing' AS problem, 'timestamp_ntz' AS declared, NULL AS actual, CAST(NULL AS BIGINT) AS rows
+UNION ALL (SELECT 'ts', 'extra', NULL, CASE typeof(ts) WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE typeof(ts) END, NULL FROM events LIMIT 1)
+UNION ALL (SELECT 'event_id', 'type', 'string', lower(typeof(event_id)), NULL FROM events LIMIT 1)
+UNION ALL SELECT 'value', 'null', 'not null', 'null', count(*) FILTER (event_id % 10 = 0 OR value IS NULL) FROM events
+UNION ALL SELECT * FROM (SELECT 'user_id', 'null', 'not null', 'null', count(*) FILTER (user_id IS NULL) AS n FROM events UNION ALL SELECT 'props', 'null', 'not null', 'null', count(*) FILTER (props IS NULL) FROM events) WHERE n > 0""",
+    "profile_keys": "SELECT count(*) AS keys, min(n) AS fewest, max(n) AS most, round(avg(n), 4) AS mean, count(*) FILTER (n = 1) AS single FROM (SELECT count(*) AS n FROM events GROUP BY user_id)",
+    "frequent_users": "SELECT user_id, count(*) AS rows, true AS close FROM events WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "datelist_users_step": _datelist(_E, "e", "user_id", D),
     "datelist_devices_step": _datelist(_EB, "eb", "user_id, browser_type", D),
     "datelist_hosts_step": _datelist(_E, "e", "host", D),
@@ -151,6 +158,13 @@ w AS (SELECT *, CAST(date_trunc('month', day) AS DATE) AS month_start, CAST(sum(
   CAST(sum(hits) OVER (p ORDER BY day) AS BIGINT) AS running, CAST(sum(hits) OVER (p ORDER BY day ROWS 6 PRECEDING) AS BIGINT) AS rolling_7, CAST(sum(hits) OVER (p ORDER BY day ROWS BETWEEN 13 PRECEDING AND 7 PRECEDING) AS BIGINT) AS rolling_7_before
   FROM a WINDOW p AS (PARTITION BY host, browser_type))
 SELECT *, round(hits / month_total, 6) AS month_share, round(hits / total, 6) AS total_share FROM w WHERE total > 10""",
+    "traffic_windows_by_days": f"""WITH {_EB}, a AS (SELECT host, browser_type, CAST(ts AS DATE) AS day, count(*) AS hits FROM eb GROUP BY ALL HAVING count(*) > 1)
+SELECT *, round(hits / month_total, 6) AS month_share, round(hits / total, 6) AS total_share FROM (SELECT *, CAST(date_trunc('month', day) AS DATE) AS month_start,
+  CAST((SELECT sum(hits) FROM a x WHERE x.host = a.host AND x.browser_type = a.browser_type AND date_trunc('month', x.day) = date_trunc('month', a.day)) AS BIGINT) AS month_total,
+  CAST((SELECT sum(hits) FROM a x WHERE x.host = a.host AND x.browser_type = a.browser_type) AS BIGINT) AS total,
+  CAST((SELECT sum(hits) FROM a x WHERE x.host = a.host AND x.browser_type = a.browser_type AND x.day <= a.day) AS BIGINT) AS running,
+  CAST((SELECT sum(hits) FROM a x WHERE x.host = a.host AND x.browser_type = a.browser_type AND x.day BETWEEN a.day - 6 AND a.day) AS BIGINT) AS rolling_7,
+  CAST((SELECT sum(hits) FROM a x WHERE x.host = a.host AND x.browser_type = a.browser_type AND x.day BETWEEN a.day - 13 AND a.day - 7) AS BIGINT) AS rolling_7_before FROM a)""",
     "game_cube": f"WITH {_CUBE} SELECT * FROM cu",
     "game_leaders": f"""WITH {_CUBE}, tg AS (SELECT team, game, sum(plus_minus) > 0 AS win FROM gr GROUP BY ALL)
 (SELECT 'points for one team' AS question, player || '/' || team AS who, points AS n FROM cu WHERE level = 'player__team' ORDER BY points DESC, player, team LIMIT 1)
@@ -178,6 +192,9 @@ a AS (SELECT o_custkey, year, count(*) AS orders, max(o_orderkey) AS last_order,
 b AS (SELECT o_custkey, year, count(*) AS orders, max(o_orderkey) AS last_order, 2 AS load FROM o WHERE year IN (1996, 1997) AND o_orderkey % 3 > 0 GROUP BY ALL)
 SELECT * FROM b UNION ALL SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.o_custkey = a.o_custkey AND b.year = a.year)""",
     "bucketed_join": "SELECT o_orderpriority, count(*) AS rows, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+    "bucketed_star": """WITH m AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT n_name, o_orderpriority, l.l_orderkey IN (FROM m) AS returned, count(*) AS rows, CAST(sum(l_quantity) AS BIGINT) AS quantity
+FROM lineitem l JOIN orders ON l.l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL""",
     "broadcast_join": "SELECT s_nationkey, count(*) AS rows FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1",
     "classify_referrer": "SELECT page_id, CASE WHEN url LIKE '%//blog.%' THEN 'Blog' WHEN url LIKE 'https://m.%' THEN 'Mobile' WHEN url LIKE '%.org%' THEN 'Organisation' ELSE url END AS referrer FROM pages",
     "geo_enrich": """SELECT event_id, user_id, coalesce(CASE WHEN n_name IS NOT NULL THEN '{"country":"' || n_name || '","state":"' || n_regionkey || '"}' END, '{}') AS geodata FROM events LEFT JOIN nation ON user_id BETWEEN n_nationkey * 6 AND n_nationkey * 6 + 4""",

@@ -3,8 +3,6 @@ compared with SQL."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,6 +128,20 @@ def contract_violations(s, d):
     return facts.contract_violations(t.read(s, d, "events"), ["event_id", "user_id", "ts", "props"])
 
 
+def contract_schema(s, d):
+    """Events beside a record that names a column otherwise, wants another type and lacks one."""
+    e = t.read(s, d, "events").withColumn("value", F.when(F.col("event_id") % 10 > 0, F.col("value")))
+    return facts.contract(e, "event_id string, user_id bigint, at timestamp_ntz, event_type string, props string, value double", ["user_id", "props", "value"])
+
+
+def profile_keys(s, d):
+    return facts.rows_per_key(t.events(s, d), "user_id").withColumn("mean", F.round("mean", 4))
+
+
+def frequent_users(s, d):
+    return facts.frequent_keys(t.events(s, d), "user_id", 10).select("user_id", "rows", (F.col("estimate") == F.col("rows")).alias("close"))
+
+
 def _dates(df, *keys):
     return df.select(*keys, _joined("dates_active").alias("dates_active"), "as_of")
 
@@ -292,6 +304,13 @@ def traffic_windows(s, d):
     return got.withColumns({"month_share": F.round("month_share", 6), "total_share": F.round("total_share", 6)})
 
 
+def traffic_windows_by_days(s, d):
+    """Weeks of the calendar; without the days on which a host and browser had one hit."""
+    daily = _daily(s, d, "host", "browser_type").withColumnRenamed("events", "hits").where("hits > 1")
+    got = analysis.traffic_windows(daily, ["host", "browser_type"], by="days")
+    return got.withColumns({"month_share": F.round("month_share", 6), "total_share": F.round("total_share", 6)})
+
+
 def _cube(s, d):
     o = t.read(s, d, "orders").select(F.col("o_orderkey").alias("game"), F.year("o_orderdate").alias("season"))
     rows = t.game_rows(s, d).join(o, "game")
@@ -407,11 +426,23 @@ def upsert_on_disk(s, d):
 
 def bucketed_join(s, d):
     """Two tables bucketed by the order key, joined without an exchange."""
-    folder, run = writers.work_folder(s), uuid.uuid4().hex
-    a, b = (f"t{run}_{x}" for x in ("details", "games"))
-    layout.write_bucketed(t.read(s, d, "lineitem").select("l_orderkey", "l_quantity"), a, "l_orderkey", 16, f"{folder}/details")
-    layout.write_bucketed(t.read(s, d, "orders").select("o_orderkey", "o_orderpriority"), b, "o_orderkey", 16, f"{folder}/games")
-    return s.table(a).join(s.table(b), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("rows"), F.sum("l_quantity").cast("long").alias("quantity"))
+    facts_ = {"details": (t.read(s, d, "lineitem").select("l_orderkey", "l_quantity"), "l_orderkey"), "games": (t.read(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")}
+    x = layout.bucketed(s, facts_, 16, writers.work_folder(s))
+    return x["details"].join(x["games"], F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("rows"), F.sum("l_quantity").cast("long").alias("quantity"))
+
+
+def bucketed_star(s, d):
+    """Three facts bucketed by the order key, joined in a chain without an exchange of any, then small dimensions by
+    broadcast: quantity by customers' nation and whether the order has a returned item."""
+    li = t.read(s, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag")
+    medals = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("m_orderkey")).distinct()
+    facts_ = {"details": (li.drop("l_returnflag"), "l_orderkey"), "games": (t.read(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey"), "medals": (medals, "m_orderkey")}
+    x = layout.bucketed(s, facts_, 16, writers.work_folder(s))
+    chain = x["details"].join(x["games"], F.col("l_orderkey") == F.col("o_orderkey")).join(x["medals"], F.col("l_orderkey") == F.col("m_orderkey"), "left")
+    n = t.read(s, d, "nation").select("n_nationkey", "n_name")
+    teams = starjoin.join_dim(t.read(s, d, "supplier").select("s_suppkey", "s_nationkey"), n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    wide = starjoin.join_dim(chain, teams, F.col("l_suppkey") == F.col("s_suppkey"))
+    return wide.groupBy("n_name", "o_orderpriority", F.col("m_orderkey").isNotNull().alias("returned")).agg(F.count("*").alias("rows"), F.sum("l_quantity").cast("long").alias("quantity"))
 
 
 def broadcast_join(s, d):
@@ -546,10 +577,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         activity_flags, cumulate_seasons_step, cumulate_seasons_backfill, cumulate_seasons_as_of, unnest_history, ratio_last_first, scd2_backfill, scd2_incremental, latest_snapshot, ever_active, new_keys_anti, max_class, fact_lineitems, fact_join_dim, daily_activity,
-        profile_events, contract_violations, datelist_users_step, datelist_devices_step, datelist_hosts_step, datelist_users_snapshot, datelist_device_map, datelist_map_merged, datelist_int_recent, datelist_int_month, date_spine,
+        profile_events, profile_keys, frequent_users, contract_violations, contract_schema, datelist_users_step, datelist_devices_step, datelist_hosts_step, datelist_users_snapshot, datelist_device_map, datelist_map_merged, datelist_int_recent, datelist_int_month, date_spine,
         monthly_hits_step, monthly_hits_array, monthly_hits_agg, array_metrics_step, array_metrics_daily, array_length_hist, host_activity_reduced, host_activity_step, host_visitors_sketch, growth_accounting_step, growth_accounting, retention_curve, state_changes,
-        funnel_conversion, device_cube, traffic_windows, game_cube, game_leaders, best_stretch, longest_streak, vertices_suppliers, edges_plays_in, edges_pairs, graph_points_per_game, avg_per_player, top_playlist, top_map,
-        top_map_for_medal, user_device_rollup, device_users, events_with_device, upsert_latest, upsert_on_disk, bucketed_join, broadcast_join, classify_referrer, geo_enrich, geo_wide_ranges, geo_index, ip_numbers, dedupe_events, dedupe_first, top_n, layout_sorted, layout_report, layout_rows,
+        funnel_conversion, device_cube, traffic_windows, traffic_windows_by_days, game_cube, game_leaders, best_stretch, longest_streak, vertices_suppliers, edges_plays_in, edges_pairs, graph_points_per_game, avg_per_player, top_playlist, top_map,
+        top_map_for_medal, user_device_rollup, device_users, events_with_device, upsert_latest, upsert_on_disk, bucketed_join, bucketed_star, broadcast_join, classify_referrer, geo_enrich, geo_wide_ranges, geo_index, ip_numbers, dedupe_events, dedupe_first, top_n, layout_sorted, layout_report, layout_rows,
         stream_tumbling_host, stream_two_sinks, stream_sessions,
         stream_parse, tumbling_host, tumbling_host_referrer, sessions, session_avg_by_host,
     )
