@@ -49,6 +49,35 @@ def test_topk_by_hand(spark):
     assert [tuple(r) for r in topk.exact_topk(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 64 * 128)]
 
 
+def test_topk_of_queries_that_repeat(spark):
+    """A repeated row asks once, of two vectors of an id the least does; candidates that repeat count each."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [3.0, 9.0]), (2, [4.0, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (20, [0.0, 5.0]), (20, [0.0, -5.0])]
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA)
+    got = sorted(map(tuple, topk.exact_topk(df, F.col("vec_id") % 20 == 0, k=4, block=2, queries=1, group_bytes=8).collect()))
+    assert [(q, r, i) for q, r, i, _ in got] == [(0, 1, 2), (0, 2, 1), (0, 3, 3), (0, 4, 3), (20, 1, 0), (20, 2, 0), (20, 3, 2), (20, 4, 3)]
+
+
+def test_topk_leaves_little_to_write(spark, tmp_path):
+    """Each wave has the k-th scores of those before it: a query has some k rows left of each, however many groups."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, x.tolist(), 0, 0) for i, x in enumerate(rng.normal(size=(6000, 16)).astype(np.float32))], SCHEMA)
+    sizes = []
+    whole = topk.written
+
+    def watched(frame, name):
+        out = whole(frame, name)
+        sizes.append((name, out.count()))
+        return out
+
+    topk.written = watched
+    try:
+        got = topk.exact_topk(df, F.col("vec_id") % 20 == 0, block=64, queries=32, group_bytes=64 * 16 * 2).collect()
+    finally:
+        topk.written = whole
+    found = [n for name, n in sizes if name == "found"]
+    assert len(got) == 300 * 20 and sum(found) < 300 * 20 * 2 * len(found)
+
+
 def test_topk_of_large_numbers(spark):
     big = spark.createDataFrame([(0, [3e6, 1.0], 0, 0), (1, [3e6, 1.0], 0, 0), (2, [3e6, 2.0], 0, 0)], SCHEMA)
     got = topk.exact_topk(big, F.col("vec_id") == 0, k=2).orderBy("rank").collect()

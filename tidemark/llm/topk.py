@@ -4,14 +4,16 @@ Integer vectors v get one more component, sqrt(M^2 - |v|^2) with M the largest n
 zero there; then |q - v|^2 = |q|^2 + M^2 - 2 q.v, so the highest scores are the nearest points. Each
 vector is keyed by its nearest pivot and its distance to it; sorted runs of a pivot's keys are
 the annuli, stored as blocks, and consecutive blocks are a group that a task holds. Queries, far fewer than vectors,
-travel in blocks: first to the few annuli that are nearest, which bounds the distance of their k-th best; then to every
-group with an annulus that this bound reaches. There the annuli are expanded outwards, and one is left out for a query
+travel in blocks: first to the few annuli that are nearest, which bounds the distance of their k-th best; then, in waves, to the
+groups of these annuli and to four times as many of the nearest ones each time, until the bound, which each wave tightens, reaches
+no other group. So a query gets some k rows a wave, not k rows a group. There the annuli are expanded outwards, and one is left out for a query
 whose k-th best distance so far is below |d(q, pivot) - r| for every radius r in it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -128,8 +130,8 @@ def exact_topk(
 
     Rows with a null id, and vectors that are null or hold a null or non-finite component, take no
     part; a shorter vector counts as filled with zeros, an empty one scores 0; repeated rows are
-    separate candidates, and a query row that repeats asks again, with one result for its id; other columns (texts, too)
-    are ignored, whatever their names; an empty table gives an empty result. Scores must fit in 64 bits.
+    separate candidates; of the rows of an id that ask, the least vector does, so a repeated query has one result; other
+    columns (texts, too) are ignored, whatever their names; an empty table gives an empty result. Scores must fit in 64 bits.
     Pivots are at most so many rows, the smallest by hash of id; every row is indexed and the result is exact for any
     pivots. block, queries: rows of an annulus and of a query block; group_bytes: bytes of vectors that a task holds;
     nearest: annuli of the first bound.
@@ -197,14 +199,15 @@ def exact_topk(
         ordered = keys.repartitionByRange("pivot", "r", "id").sortWithinPartitions("pivot", "r", "id")
         return written(ordered.mapInPandas(packed(size), "block long, own long, pivot int, low double, high double, ids binary, vs binary"), name)
 
-    data, asked = blocks(v, False, block, "annuli"), blocks(v.where("q"), True, queries, "queries")
+    data = blocks(v, False, block, "annuli")
+    asked = blocks(v.where("q").groupBy("id").agg(F.min("v").alias("v")), True, queries, "queries")
 
     # the annuli of its own pivot that are nearest to a query block
     mid = (F.col("low") + F.col("high")) / 2
     close = asked.select(F.col("block").alias("qblock"), "pivot", mid.alias("r")).join(data.select("block", "pivot", mid.alias("m")), "pivot")
     nth = F.row_number().over(Window.partitionBy("qblock").orderBy(F.abs(F.col("r") - F.col("m")), "block"))
-    close = close.withColumn("nth", nth).where(F.col("nth") <= nearest).select("qblock", "block")
-    close = asked.select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vs").alias("qvs")).join(close, "qblock", "left").join(data.select("block", "ids", "vs"), "block", "left")
+    near = close.withColumn("nth", nth).where(F.col("nth") <= nearest).select("qblock", "block")
+    close = asked.select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vs").alias("qvs")).join(near, "qblock", "left").join(data.select("block", "ids", "vs"), "block", "left")
 
     def bounded(g: pd.DataFrame) -> pd.DataFrame:
         """For a query block the k-th scores among its nearest annuli, and for each pivot the ring that may hold more."""
@@ -215,17 +218,59 @@ def exact_topk(
         d, far = space.distances(q, True), space.reach(q, kth)[:, None]
         return pd.DataFrame({"block": [g["qblock"].iloc[0]], "kth": [kth.tobytes()], "inner": [(d - far).min(0)], "outer": [(d + far).max(0)]})
 
-    bounds = written(close.groupBy("qblock").applyInPandas(bounded, "block long, kth binary, inner array<double>, outer array<double>"), "bounds")
-    rings = bounds.select("block", F.posexplode(F.arrays_zip("inner", "outer")).alias("pivot", "ring")).select("block", "pivot", "ring.*")
+    kind_of_bounds = "block long, kth binary, inner array<double>, outer array<double>"
+    bounds = written(close.groupBy("qblock").applyInPandas(bounded, kind_of_bounds), "bounds")
     spans = data.groupBy("own", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    pairs = rings.join(spans, "pivot").where("low <= outer AND high >= inner").select("block", "own").distinct()
-    asks = asked.select("block", "pivot", "low", "high", "ids", "vs").join(bounds.select("block", "kth"), "block").join(pairs, "block")
     names = ["own", "block", "pivot", "low", "high", "ids", "vs", "kth"]
-    work = data.withColumn("kth", F.lit(None).cast("binary")).select(names).unionByName(asks.select(names))
-    work = work.repartition("own").sortWithinPartitions("own", F.col("kth").isNotNull(), "block")
-    found = written(work.mapInPandas(_searched(space, k), "query_id long, vec_id long, score long"), "found")
-    for x in (data, asked, bounds):
+
+    def reached(b: DataFrame) -> DataFrame:
+        """Query blocks and the groups that their bounds reach."""
+        rings = b.select("block", F.posexplode(F.arrays_zip("inner", "outer")).alias("pivot", "ring")).select("block", "pivot", "ring.*")
+        middle = (F.col("inner") + F.col("outer")) / 2
+        gap = F.greatest(F.col("low") - middle, middle - F.col("high"))
+        return rings.join(spans, "pivot").where("low <= outer AND high >= inner").groupBy("block", "own").agg(F.min(gap).alias("gap"))
+
+    def searched(b: DataFrame, pairs: DataFrame) -> DataFrame:
+        """What these groups have for these blocks that the bound leaves open. Groups that no block asks are not read."""
+        asks = asked.select("block", "pivot", "low", "high", "ids", "vs").join(b.select("block", "kth"), "block").join(pairs, "block")
+        held = data.withColumn("kth", F.lit(None).cast("binary")).join(pairs.select("own").distinct(), "own", "left_semi")
+        work = held.select(names).unionByName(asks.select(names)).repartition("own").sortWithinPartitions("own", F.col("kth").isNotNull(), "block")
+        return written(work.mapInPandas(_searched(space, k), "query_id long, vec_id long, score long"), "found")
+
+    def tightened(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """A block's bounds from the k-th scores found so far, where these are better."""
+        q, ids, kth = space.vectors(left["vs"].iloc[0]), np.frombuffer(left["ids"].iloc[0], np.int64), np.frombuffer(left["kth"].iloc[0], np.int64).copy()
+        o = np.argsort(ids)
+        at = o[np.searchsorted(ids, right["query_id"].to_numpy(np.int64), sorter=o)]
+        kth[at] = np.maximum(kth[at], right["kth"].to_numpy(np.int64))
+        d, far = space.distances(q, True), space.reach(q, kth)[:, None]
+        return pd.DataFrame({"block": left["block"], "kth": [kth.tobytes()], "inner": [(d - far).min(0)], "outer": [(d + far).max(0)]})
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for block, ids in zip(b["block"], b["ids"], strict=True):
+                yield pd.DataFrame({"query_id": np.frombuffer(ids, np.int64)}).assign(block=block)
+
+    queried = written(asked.select("block", "ids").mapInPandas(members, "query_id long, block long"), "queried")
+    own = near.join(data.select("block", "own"), "block").select(F.col("qblock").alias("block"), "own").distinct()
+    wave = written(reached(bounds).join(own, ["block", "own"]).select("block", "own"), "pairs")
+    done, found, n = [wave], [], 4
+    while True:
+        found.append(searched(bounds, wave))
+        best = reduce(DataFrame.unionByName, found).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s"))
+        best = best.select("query_id", F.get("s", F.lit(k - 1)).alias("kth")).where("kth IS NOT NULL").join(queried, "query_id")
+        left = asked.select("block", "ids", "vs").join(bounds.select("block", "kth"), "block")
+        before, bounds = bounds, written(left.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(tightened, kind_of_bounds), "bounds")
+        dropped(spark, before)
+        rest = reached(bounds).join(reduce(DataFrame.unionByName, done), ["block", "own"], "left_anti")
+        nth = F.row_number().over(Window.partitionBy("block").orderBy("gap", "own"))
+        wave = written(rest.withColumn("nth", nth).where(F.col("nth") <= n).select("block", "own"), "pairs")
+        if wave.isEmpty():
+            break
+        done.append(wave)
+        n *= 4
+    for x in (data, asked, bounds, queried, wave, *done):
         dropped(spark, x)
-    # rows of one id share a result
+    found = reduce(DataFrame.unionByName, found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
