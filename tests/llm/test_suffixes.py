@@ -68,6 +68,18 @@ def test_long_texts_are_searched_in_pieces(spark, monkeypatch):
         assert (a == b).all()
 
 
+def test_fewer_buckets_than_partitions(spark):
+    """More input partitions than a table may have buckets."""
+    key = "spark.sql.sources.bucketing.maxBuckets"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        check(spark, some_texts(5, "ab"), parts=12)
+        check(spark, some_texts(6, "abc"), parts=12, shorter=80)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_very_long_texts(spark):
     """Twenty million bytes, with a passage that another document has."""
     rng = np.random.default_rng(1)

@@ -9,8 +9,8 @@ Neighbours' common extensions, verified byte by byte, then tell for each window
 right and to the left. Texts that are equal as a whole are looked at once.
 
 Groups of very many occurrences are split by the bytes that neighbouring windows share. Those that are
-as large even then are not brought together at all: their windows are counted one by one, by a 128-bit hash
-of all their bytes (texts are told apart by one of this size too).
+as large even then are not brought together at all: their windows are counted one by one, by a 256-bit digest
+of all their bytes (texts are told apart by SHA-256).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import PIECE, U, hasher, mix, pieces, text_bytes
@@ -37,6 +37,8 @@ TOGETHER = 4096
 #: Bits of the map of groups that are above HOT when split, a power of two; fixed, so at a very large size other
 #: groups are taken for such, and their windows are counted too.
 FLAGS = 1 << 20
+#: Bytes of what a text is named by.
+KEY = 32
 
 
 def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -231,8 +233,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
         parts, name = _bucketed(parts, "parts")
         names.append(name)
         used.append(_spans(parts, length))
-        at = F.conv(F.hex(F.substring("c", 17, 4)), 16, 10).cast("int")
-        moved = used[-1].select(F.substring("c", 1, 16).alias("c"), at.alias("at"), F.explode("spans").alias("x"))
+        at = F.conv(F.hex(F.substring("c", KEY + 1, 4)), 16, 10).cast("int")
+        moved = used[-1].select(F.substring("c", 1, KEY).alias("c"), at.alias("at"), F.explode("spans").alias("x"))
         spans = moved.groupBy("c").agg(F.collect_list(F.struct((F.col("x.s") + F.col("at")).alias("s"), (F.col("x.e") + F.col("at")).alias("e"))).alias("spans"))
         judged = texts.join(spans, "c", "left").join(found.withColumnRenamed("spans", "wide"), "c", "left")
     else:
@@ -335,7 +337,7 @@ def _spans(long: DataFrame, length: int) -> DataFrame:
                 keys, texts_, starts, known = [], [], [], []
                 for c, lo, ctx in zip(*(x.to_pylist() for x in b.columns), strict=True):
                     for i in range(len(ctx) - length + 1):
-                        w = hashlib.blake2b(ctx[i : i + length], digest_size=16).digest()
+                        w = hashlib.blake2b(ctx[i : i + length], digest_size=32).digest()
                         n = first.setdefault(w, len(keys))
                         again = n < len(keys)
                         known.append(again)
@@ -415,8 +417,8 @@ def _split(raw: bytes, h: int, q: int, lo: int, hi: int, length: int) -> Iterato
 
 
 def _key(t: str) -> Column:
-    """Names a text: its MD5, as bytes."""
-    return F.unhex(F.md5(F.col(t).cast("binary")))
+    """Names a text: its SHA-256, as bytes."""
+    return F.unhex(F.sha2(F.col(t).cast("binary"), 256))
 
 
 def _distinct(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -433,12 +435,18 @@ def _distinct(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
     return _bucketed(rows.select(_key("t").alias("c"), "t").mapInArrow(counted, "c binary, t string, copies long"), name)
 
 
+def _buckets(spark: SparkSession, partitions: int) -> int:
+    """As many as the input has partitions, within what Spark allows; fewer than shuffle partitions would be dealt anew by
+    every join. Where the limit is lower than the input wants, buckets are read as tasks of several files."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), partitions))
+
+
 def _bucketed(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
     """rows (c, t, ...) once per c as a table bucketed by c, so that later joins on c move no texts; and its name in
     the catalog, from which it is to be dropped."""
     spark = rows.sparkSession
-    # fewer buckets than shuffle partitions would be dealt anew by every join
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    buckets = _buckets(spark, rows.rdd.getNumPartitions())
     name = f"{name}_{uuid.uuid4().hex}"
     once = rows.repartition(buckets, "c").groupBy("c").agg(*([F.sum("copies").alias("copies")] if "copies" in rows.columns else []), F.first("t").alias("t"))
     once.write.bucketBy(buckets, "c").option("parquet.block.size", 32 << 20).option("path", new_path(spark, "texts")).saveAsTable(name)
