@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import re
+import sys
 from fractions import Fraction
 
 import numpy as np
@@ -67,6 +69,82 @@ def test_long_words_are_not_cut(parts):
                 assert np.allclose(langid.long_score(model.lattice, model.p, langid.marked(t)), in_fractions(t), rtol=1e-9)
 
 
+def cuts(word):
+    """All segmentations of a marked word, as pieces or stray characters."""
+    s = langid.marked(word)
+    for cut in itertools.product([0, 1], repeat=len(s) - 1):
+        at = [0, *(i + 1 for i, c in enumerate(cut) if c), len(s)]
+        own = [s[i:j] for i, j in zip(at, at[1:])]
+        if all(x in PIECES or len(x) == 1 for x in own):
+            yield own
+
+
+def taught(words_of, rounds):
+    """Expectation-maximisation over all segmentations of every word, by enumeration."""
+    prob = np.full((len(PIECES), len(words_of)), 1 / len(PIECES))
+    for _ in range(rounds):
+        after = np.full(prob.shape, langid.BESIDES)
+        for k, ws in enumerate(words_of):
+            for w in ws:
+                all_cuts = list(cuts(w))
+                weight = np.array([np.prod([prob[PIECES.index(x), k] if x in PIECES else langid.STRAY for x in c]) for c in all_cuts])
+                for c, p in zip(all_cuts, weight / weight.sum()):
+                    for x in c:
+                        if x in PIECES:
+                            after[PIECES.index(x), k] += p
+        prob = after / after.sum(0)
+    return prob
+
+
+def test_learning_and_prediction_by_hand(spark, monkeypatch):
+    """The whole of learn() and identify() on a small vocabulary: words parted at six ASCII bytes only, in both."""
+    monkeypatch.setattr(langid, "vocabulary", lambda path: PIECES)
+    texts = [("p", "abc ab a abc"), ("p", "bc ABC\tcab"), ("q", "éa ba\u00a0cb b"), ("q", "cc\x85b éa  éaé"), ("q", "")]
+    docs = spark.createDataFrame([(100 + i, t, l) for i, (l, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    docs = docs.unionByName(docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text", "lang"))
+    docs = docs.where(~langid.held_out("doc_id"))
+    split = lambda t: [w for w in re.split("[ \t-\r]+", t) if w]
+    rows = [(r.lang, r.text) for r in docs.collect()]
+    model = langid.learn(docs, "-")
+    want = taught([[w for l, t in rows if l == k for w in split(t)] for k in ("p", "q")], 2)
+    assert model.languages == ["p", "q"] and np.allclose(model.prob, want, rtol=1e-9)
+    monkeypatch.setattr(sys.modules[__name__], "PROB", want)
+    asked = ["abc", "éa b", "a", "c c\u00a0c", "12 !", "bca éa abc ab a b c bc " * 9]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(asked):
+        if t == "12 !":
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        s = sum(by_hand(w) for w in split(t))
+        n = sum(len(w.encode()) for w in split(t))
+        z = np.exp((s - s.max()) * min(n, 48) / n)
+        assert got[i].lang_pred == "pq"[int(s.argmax())] and abs(got[i].score - z.max() / z.sum()) < 1e-4
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.text(alphabet="abcéx", min_size=1, max_size=9), st.integers(1, 12))
+def test_sightings_in_long_words(word, times):
+    """The same sums with logarithms as with numbers, in blocks as at once, and whole words: sightings add up to the length."""
+    lattice, p = langid.Lattice(PIECES), langid._weights(PROB[:, :1])
+    t = langid.marked(word * times)
+    alpha, arcs = langid.forward(lattice, p, [t])
+    beta, sums = [np.zeros(1) for _ in alpha], np.zeros(len(PIECES) + 1)
+    beta[-1] += 1 / alpha[-1][0]
+    for (i, j), got in sorted(arcs.items(), reverse=True):
+        w = langid._arc(p, got, j - i, lattice.n)[:, 0] * beta[j]
+        np.add.at(sums, got, alpha[i][:, 0] * w)
+        beta[i] += w
+    for block in (1 << 16, 7):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(langid, "BLOCK", block)
+            own = np.zeros(len(PIECES) + 1)
+            some, n = langid.long_sightings(lattice, p, t)
+            own[some] = n
+            assert np.allclose(own[:-1], sums[:-1])
+    some, n = langid.long_sightings(lattice, p, langid.marked("abc" * 3000))
+    assert abs(sum(len(PIECES[i]) * x for i, x in zip(some, n)) - 9001) < 1e-3
+
+
 def test_vocabulary_lookup():
     pieces = langid.vocabulary(PATH)
     lattice = langid.Lattice(pieces)

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import PIECE, U, hasher, mix, pieces, text_bytes, words
-from tidemark.llm.sampling import bounded, held_out
-from tidemark.llm.tables import small_batches, written
+from tidemark.llm.sampling import MOST_LABELS, bounded, held_out
+from tidemark.llm.tables import dropped, small_batches, written
 
 UNKNOWN = "und"
 MARK = "▁"
-#: Words of up to so many characters need no rescaling; in learning, longer ones count as words of this size.
+#: Words of up to so many characters need no rescaling.
 SEGMENT = 32
 #: Longer words up to so many characters are scored together; beyond that each on its own, in blocks.
 TOGETHER, BLOCK, STEPS = 512, 1 << 16, 256
@@ -129,11 +129,6 @@ def marked(word: str) -> str:
     return MARK + word.lower()
 
 
-def segments(word: str) -> list[str]:
-    w = marked(word)
-    return [w[i : i + SEGMENT] for i in range(0, len(w), SEGMENT)]
-
-
 def padded_scores(lattice: Lattice, p: np.ndarray, texts: list[str]) -> np.ndarray:
     """Logarithms of the sums over all segmentations, for words of different lengths at a time. Only the sums that a
     piece can still reach are held, and they are rescaled on the way, so that none underflows."""
@@ -204,6 +199,42 @@ def long_score(lattice: Lattice, p: np.ndarray, text: str) -> np.ndarray:
     return np.log(v[:, len(c) % wide]) + scale
 
 
+def long_sightings(lattice: Lattice, p: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of one word of any length and how often each is expected in it, over all segmentations; p is of one language.
+    Sums are held as logarithms; pieces are looked up for many places at once, forwards and again backwards."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U)
+    n, wide = len(c), lattice.longest
+    weights = np.append(np.log(np.maximum(p[:-1, 0], 1e-300)), -np.inf)
+
+    def looked_up(a: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the places from a to z the pieces that begin there, by length, and the logarithms of their probabilities."""
+        got, h = np.full((z - a, wide), lattice.n), np.zeros(z - a, U)
+        for k in range(min(wide, n - a)):
+            here = np.arange(a, min(z, n - k)) - a
+            h[here] = lattice.step(h[here], c[a + k + here])
+            got[here, k] = lattice.find(h[here])
+        out = weights[got]
+        out[got[:, 0] == lattice.n, 0] = np.log(STRAY)
+        return got, out
+
+    ahead, back = np.full(n + wide + 1, -np.inf), np.full(n + wide + 1, -np.inf)
+    ahead[0] = back[n] = 0
+    for a in range(0, n, BLOCK):
+        _, w = looked_up(a, min(n, a + BLOCK))
+        for i in range(len(w)):
+            to = slice(a + i + 1, a + i + 1 + wide)
+            ahead[to] = np.logaddexp(ahead[to], ahead[a + i] + w[i])
+    sums = np.zeros(lattice.n + 1)
+    for a in reversed(range(0, n, BLOCK)):
+        got, w = looked_up(a, min(n, a + BLOCK))
+        for i in reversed(range(len(w))):
+            back[a + i] = np.logaddexp.reduce(w[i] + back[a + i + 1 : a + i + 1 + wide])
+        to = np.arange(a, a + len(w))[:, None] + np.arange(1, wide + 1)
+        np.add.at(sums, got, np.exp(ahead[a : a + len(w), None] + w + back[to] - ahead[n]))
+    some = np.flatnonzero(sums[:-1])
+    return some, sums[some]
+
+
 def by_length(texts: list[str]) -> Iterator[np.ndarray]:
     size = np.array(list(map(len, texts)))
     for n in np.unique(size):
@@ -270,9 +301,9 @@ class Model:
         return np.stack(sums, axis=1), np.bincount(text, end - start, minlength=n)
 
 
-def learn(docs: DataFrame, vocabulary_path: str, per_language: int = 400, rounds: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fits piece probabilities from about per_language rows of each language that are not held out (of the most
-    frequent languages, where there are more than sampling.MOST_LABELS).
+def learn(docs: DataFrame, vocabulary_path: str, per_language: int = 400, rounds: int = 2, most_languages: int = MOST_LABELS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Fits piece probabilities from about per_language rows of each language that are not held out (where there are more
+    than most_languages, of the most frequent ones: a model has a number for each language and piece).
 
     Rows with a null text, language or id are left out; empty texts teach nothing; a very long text is read in its turn and
     gives one row for each distinct word; repeated rows and ids count each; other columns are ignored. Without rows, or
@@ -281,13 +312,18 @@ def learn(docs: DataFrame, vocabulary_path: str, per_language: int = 400, rounds
     small_batches(docs.sparkSession)
     able = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for l, g in b.groupby("l"):
-                n = Counter(s for t in g["t"] for w in t.split() for s in segments(w))
-                yield pd.DataFrame({"l": l, "s": list(n), "n": list(n.values())})
-
-    found = bounded(able, "l", "d", per_language).select("l", "t").mapInPandas(counted, "l string, s string, n long")
+            data, bounds = text_bytes(b.column(1))
+            for i, j in pieces(bounds):
+                own = data[bounds[i] : bounds[j]]
+                start, end, text_no = words(own, bounds[i : j + 1] - bounds[i])
+                raw, l = own.tobytes(), b.column(0).slice(i, j - i).to_pylist()
+                n = Counter((l[k], marked(raw[x:y].decode("utf-8", "replace"))) for x, y, k in zip(start.tolist(), end.tolist(), text_no.tolist(), strict=True))
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([l for l, _ in n]), pa.array([w for _, w in n]), pa.array(list(n.values()), pa.int64())], ["l", "s", "n"])
+
+    found = bounded(able, "l", "d", per_language, most_languages).select("l", "t").mapInArrow(counted, "l string, s string, n long")
     seen = written(found.groupBy("l", "s").agg(F.sum("n").alias("n")), "words")
     languages = sorted(r[0] for r in seen.select("l").distinct().collect())
     pieces_ = vocabulary(vocabulary_path)
@@ -303,6 +339,11 @@ def learn(docs: DataFrame, vocabulary_path: str, per_language: int = 400, rounds
                     k = languages.index(l)
                     texts, n, sums = g["s"].tolist(), g["n"].to_numpy(float), np.zeros(len(pieces_) + 1)
                     for own in by_length(texts):
+                        if len(texts[own[0]]) > SEGMENT:
+                            for i in own:
+                                some, seen_ = long_sightings(lattice, p[:, k : k + 1], texts[i])
+                                sums[some] += n[i] * seen_
+                            continue
                         alpha, arcs = forward(lattice, p[:, k : k + 1], [texts[i] for i in own])
                         beta = [np.zeros(len(own)) for _ in alpha]
                         beta[-1] += n[own] / alpha[-1][:, 0]
@@ -317,6 +358,7 @@ def learn(docs: DataFrame, vocabulary_path: str, per_language: int = 400, rounds
         prob = np.full(prob.shape, BESIDES)
         np.add.at(prob, (got["piece"], got["k"]), got["n"])
         prob /= prob.sum(0)
+    dropped(docs.sparkSession, seen)
     return Model(languages, pieces_, prob)
 
 

@@ -87,13 +87,12 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 1500, dictionary:
     room = sample_bytes + F.col("size") - F.sum("size").over(Window.partitionBy("q", "curve").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     dealt = written(dealt.withColumn("room", F.least("size", room).cast("int")).where("curve OR room > 0"), "sample")
 
-    def texts_of(some: DataFrame, size: str) -> DataFrame:
-        """q, d and the first size bytes of the texts of these few rows, each once."""
-        own = texts.join(F.broadcast(some.select("q", "d", "h", F.col(size).alias("most"))), "d").where(F.xxhash64("t") == F.col("h"))
-        return own.groupBy("q", "d").agg(F.any_value(F.substring(F.col("t"), F.lit(1), F.col("most"))).alias("t"))
-
+    # the texts of these few rows, each once: whole for the curve, else what has room
+    few = dealt.select("q", "d", "h", "curve", F.when(F.col("curve"), F.col("size")).otherwise(F.col("room")).alias("most"))
+    own = texts.join(F.broadcast(few), "d").where(F.xxhash64("t") == F.col("h"))
+    own = written(own.groupBy("q", "d", "curve").agg(F.any_value(F.substring(F.col("t"), F.lit(1), F.col("most"))).alias("t")), "sample-texts")
     samples: list[list[bytes]] = [[], []]
-    for r in texts_of(dealt.where("NOT curve"), "room").orderBy("q", *order).collect():
+    for r in own.where("NOT curve").orderBy("q", *order).collect():
         samples[r["q"]] += [bytes(r["t"][i : i + CHUNK]) for i in range(0, len(r["t"]), CHUNK)]
     if not (samples[0] and samples[1]):
         n = {r["q"]: r["n"] for r in dealt.groupBy("q").agg(F.count("*").alias("n")).collect()}
@@ -105,8 +104,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 1500, dictionary:
         for b in batches:
             yield pd.DataFrame({"q": b["q"], "diff": [model.differences(x) for x in b["t"]], "size": b["t"].map(len)})
 
-    fit = texts_of(dealt.where("curve"), "size").select("q", "t").mapInPandas(sizes, "q int, diff long, size long").toPandas()
+    fit = own.where("curve").select("q", "t").mapInPandas(sizes, "q int, diff long, size long").toPandas()
     dropped(docs.sparkSession, dealt)
+    dropped(docs.sparkSession, own)
     if fit["q"].nunique() < 2:  # one row of a label: the dictionaries' own text tells what there is to tell
         fit = pd.DataFrame({"q": [q for q in (0, 1) for _ in samples[q]], "diff": [model.differences(x) for q in (0, 1) for x in samples[q]], "size": [len(x) for q in (0, 1) for x in samples[q]]})
     good = fit[(fit["q"] == 1) & (fit["size"] > 0)]
