@@ -103,6 +103,27 @@ def test_no_list_is_gathered_in_a_task(spark, monkeypatch):
     check(spark, list(enumerate(["r1 r2 r3 " + x for x in bodies] + [x for x in bodies for _ in range(50)])))
 
 
+def test_one_shingle_in_very_many_sets(spark, monkeypatch):
+    """Sets that share nothing but a shingle of their prefixes: no window over shingles gathers them, none are linked but the
+    two that are alike, and the sketch has more cells for more text."""
+    df = spark.range(20_000).selectExpr("id AS doc_id", "concat('one shared shingle w', if(id = 19999, 7, id)) AS text")
+    plans, plain = [], jaccard.written
+
+    def watched(frame, name):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return plain(frame, name)
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    got = jaccard.jaccard_components(df, percent=50)
+    assert not any("Window" in x for x in plans) and len(plans) > 10
+    assert {r.doc_id: r.component_id for r in got.where("component_id <> doc_id").collect()} == {19_999: 7}
+    monkeypatch.undo()
+    rows = df.select("text")
+    for bytes_, cells in ((jaccard.CELL_BYTES, 1 << 22), (1 << 30, 1 << 22), (0.1, 1 << 23)):
+        monkeypatch.setattr(jaccard, "CELL_BYTES", bytes_)
+        assert len(jaccard._sketch(rows, 3)) == cells
+
+
 def test_only_near_classes_become_pairs(spark, monkeypatch):
     """Classes of one prefix and size, and of two groups that meet, that agree in nothing but the prefix."""
     monkeypatch.setattr(jaccard, "PART", 8)

@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard links between whole texts by a grouped prefix join.
 
 A document is the set of its word shingles. All shingles have one total order: rarest first, by a
-counting sketch of fixed size, then by hash. Two sets that are similar enough share a shingle among the
+counting sketch that grows with the corpus within bounds, then by hash. Two sets that are similar enough share a shingle among the
 first |set| - ceil(t |set|) + 1 of each, the prefix (Chaudhuri et al., 2006), at places that still allow
 the overlap (Xiao et al., 2008). Equal sets are one class; classes of one size and prefix are one group
 (Bouros et al., 2012). Groups meet in the lists of the shingles of their prefixes; a pair of groups that
@@ -22,19 +22,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import U, couples, hasher, mix, pieces, runs, text_bytes, words
 from tidemark.llm.tables import components, dropped, small_batches, written
 
-#: Cells of the counting sketch, a power of two: its size, and so that of the broadcast, is fixed.
-CELLS = 1 << 22
+#: Cells of the counting sketch at least and at most, powers of two, and bytes of text for each cell in between. A cell is a
+#: byte of a broadcast, and four of a task that counts.
+CELLS, MOST_CELLS, CELL_BYTES = 1 << 22, 1 << 25, 100
 BLOCK = 1 << 16
-#: Bits of the map that keeps texts nobody asks for out of a shuffle, a power of two; fixed like CELLS.
+#: Bits of the map that keeps texts nobody asks for out of a shuffle, a power of two; fixed.
 BITS = 1 << 26
 #: Rows of a list that are compared in a task with rows of the same or of another part of the list.
 PART = 512
+#: Rows that a task remembers to have sent.
+HAD = 1 << 18
 #: Parities have so many cells at least, and as many times what two sets of one size may differ in.
 FOLD, SPARE = 64, 2.5
 
@@ -70,8 +73,8 @@ def shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarr
     return whole, np.searchsorted(own, np.arange(n + 1))
 
 
-def _cell(x: np.ndarray) -> np.ndarray:
-    return (x >> U(64 - CELLS.bit_length() + 1)).astype(np.int64)
+def _cell(x: np.ndarray, cells: int) -> np.ndarray:
+    return (x >> U(64 - cells.bit_length() + 1)).astype(np.int64)
 
 
 def least(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -81,18 +84,20 @@ def least(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 def _sketch(rows: DataFrame, width: int) -> np.ndarray:
     """How common the shingles of each cell are: twice the binary logarithm of their sightings."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = min(MOST_CELLS, max(CELLS, 1 << int(size / CELL_BYTES).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.uint32)
+        total = np.zeros(cells, np.uint32)
         for b in batches:
             data, bounds = text_bytes(b.column(0))
             for i, j in pieces(bounds):
                 x, _ = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], width)
-                np.add.at(total, _cell(x), 1)
+                np.add.at(total, _cell(x, cells), 1)
         if not total.any():
             return
         press = zstandard.ZstdCompressor(level=1)
-        for k in range(0, CELLS, BLOCK):
+        for k in range(0, cells, BLOCK):
             # bytes of one place together: high ones are mostly zero
             part = total[k : k + BLOCK].view(np.uint8).reshape(-1, 4).T.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([press.compress(part)], pa.binary())], ["block", "counts"])
@@ -107,13 +112,13 @@ def _sketch(rows: DataFrame, width: int) -> np.ndarray:
             yield pd.DataFrame({"block": [k], "common": [np.floor(2 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes()]})
 
     got = rows.select("text").mapInArrow(count, "block int, counts binary").repartition("block").mapInPandas(summed, "block int, common binary")
-    out = np.zeros(CELLS, np.uint8)
+    out = np.zeros(cells, np.uint8)
     for r in got.toLocalIterator():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["common"], np.uint8)
     return out
 
 
-def _asked_for(rows: DataFrame, keys: DataFrame) -> DataFrame:
+def _asked_for(rows: DataFrame, keys: DataFrame, shares: list) -> DataFrame:
     """Rows (k1, k2, text) without most of those whose key is not in keys, by a bit for each hash of a key, and without those
     that a task has had already. The map has a fixed size, so at a very large size it lets more through; the join that
     follows decides."""
@@ -133,6 +138,7 @@ def _asked_for(rows: DataFrame, keys: DataFrame) -> DataFrame:
     for r in blocks.toLocalIterator():
         bits[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(bits)
+    shares.append(shared)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had: set[tuple[int, int]] = set()
@@ -140,6 +146,8 @@ def _asked_for(rows: DataFrame, keys: DataFrame) -> DataFrame:
             at = b.column(3).to_numpy()
             keep = np.flatnonzero((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             each = [(i, x) for i, x in zip(keep.tolist(), zip(*(b.column(k).take(pa.array(keep)).to_pylist() for k in (0, 1)), strict=True), strict=True)]
+            if len(had) > HAD:  # a row that is sent again does no harm
+                had.clear()
             new = pa.array([i for i, x in each if x not in had and not had.add(x)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(k).take(new) for k in range(3)], ["k1", "k2", "text"])
 
@@ -212,7 +220,7 @@ def _signatures(rows: DataFrame, common, width: int, percent: int) -> DataFrame:
                 x, at = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], width)
                 n = np.diff(at)
                 own = np.repeat(np.arange(len(n)), n)
-                o = np.lexsort((x, rank[_cell(x)], own))
+                o = np.lexsort((x, rank[_cell(x, len(rank))], own))
                 size = np.where(n > 0, n + 1 - -(-percent * n // 100), 0)
                 keep = np.arange(len(x)) - np.repeat(at[:-1], n) < np.repeat(size, n)
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -318,23 +326,36 @@ def _allowed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (x, y) of classes those whose sets are similar, as a, b."""
-    left = pairs.select("x", "y").join(sets.select(F.col("c").alias("x"), F.col("set").alias("p")), "x")
-    both = left.join(sets.select(F.col("c").alias("y"), F.col("set").alias("q")), "y").select("x", "y", "p", "q")
+    """Of pairs (x, y) of classes those whose sets are similar, as a, b. The class of a pair that is in more pairs stays at
+    home: its pairs come to it, with the other classes' sets, in parts of PART pairs or so. So its set is there once for each
+    part, and not once for each pair."""
+    often = pairs.select(F.explode(F.array("x", "y")).alias("c")).groupBy("c").agg(F.count("*").alias("k"))
+    of = lambda c, k: often.select(F.col("c").alias(c), F.col("k").alias(k))
+    home = F.expr("kx > ky OR (kx = ky AND x < y)")
+    dealt = pairs.select("x", "y").join(of("x", "kx"), "x").join(of("y", "ky"), "y")
+    dealt = dealt.select(F.when(home, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(home, F.col("y")).otherwise(F.col("x")).alias("b"))
+    size = dealt.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    guests = dealt.join(size, "a").select("a", F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part"), "b").join(sets.select(F.col("c").alias("b"), "set"), "b")
+    hosts = size.join(sets.select(F.col("c").alias("a"), "set"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "set")
+    work = hosts.unionByName(guests).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for p, q in zip(b.column(2), b.column(3), strict=True):
-                p, q = (np.frombuffer(x.as_buffer(), U) for x in (p, q))
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
-
-    return both.mapInArrow(verify, "a long, b long")
+        host, p = None, np.zeros(0, U)
+        for batch in batches:
+            out = []
+            for a, b, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                q = np.frombuffer(x.as_buffer(), U)
+                if b is None:
+                    host, p = a, q.copy()  # a batch's memory goes with it
+                elif host == a:  # a class whose text is not there has no set
+                    both = np.concatenate([p, q])
+                    both.sort(kind="stable")
+                    same = int((both[1:] == both[:-1]).sum())
+                    if 100 * same >= percent * (len(p) + len(q) - same):
+                        out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return work.mapInArrow(verify, "a long, b long")
 
 
 def row_keys(doc_id: str, text: str) -> dict[str, Column]:
@@ -360,6 +381,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     named = [c.alias(n) for n, c in zip(("k1", "k2"), row_keys(doc_id, text).values(), strict=True)]
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *named)
     common = spark.sparkContext.broadcast(_sketch(rows, width))
+    shares = [common]
     signed = written(_signatures(rows, common, width, percent), "signatures")
     # equal sets are a class, known by the text of its smallest id
     known_by = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2")).alias("x")
@@ -378,8 +400,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
 
     # the lists of shingles that two groups have in their prefixes
     spread = groups.select("g", "n", F.posexplode("prefix").alias("p", "token"))
-    of_token = Window.partitionBy("token")
-    bare = written(spread.withColumn("often", F.count("*").over(of_token)).where("often > 1").drop("often"), "lists")
+    # counted before they are dealt, so a shingle of very many groups is one row a task, and a join may split its rows
+    bare = written(spread.join(spread.groupBy("token").count().where("count > 1").select("token"), "token"), "lists")
     lists = written(bare.join(bare.groupBy("g").agg(F.count("*").alias("centre")), "g"), "lists")
     dropped(spark, bare)
     used = [classes, groups, members, lists]
@@ -398,12 +420,13 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
         """Links among pairs of classes, whose sets come from the texts that the classes are known by."""
         met = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
         lows = classes.join(met, "c", "left_semi").select("c", "k1", "k2", "n", "s1", "s2")
-        texts = _asked_for(rows, lows).groupBy("k1", "k2").agg(F.any_value("text").alias("text")).join(lows, ["k1", "k2"])
+        texts = _asked_for(rows, lows, shares).groupBy("k1", "k2").agg(F.any_value("text").alias("text")).join(lows, ["k1", "k2"])
         used.append(written(texts.select("text", "c", "n", "s1", "s2").mapInArrow(packed, "c long, set binary"), "sets"))
         return _similar(pairs, used[-1], percent)
 
     # first the first class of each group with that of the most central group of a list, and with its own group
-    star = lists.withColumn("h", F.max(F.struct("centre", "g", "n", "p")).over(of_token)).where("g <> h.g").withColumn("need", F.expr(f"cast(ceil({percent} * (n + h.n) / {100 + percent}) as int)"))
+    heads = lists.groupBy("token").agg(F.max(F.struct("centre", "g", "n", "p")).alias("h"))
+    star = lists.join(heads, "token").where("g <> h.g").withColumn("need", F.expr(f"cast(ceil({percent} * (n + h.n) / {100 + percent}) as int)"))
     star = star.where("least(n, h.n) >= need AND least(n - p, h.n - h.p) >= need").select(F.least("g", "h.g").alias("x"), F.greatest("g", "h.g").alias("y")).distinct()
     star = star.join(groups.select(F.col("g").alias("x"), "n", "odd"), "x").join(groups.select(F.col("g").alias("y"), F.col("n").alias("m"), F.col("odd").alias("even")), "y")
     own = members.where("able AND c <> g").select(F.col("c").alias("x"), F.col("g").alias("y"), "n", "odd", F.col("n").alias("m"), "even")
@@ -419,9 +442,10 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     several = known.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).select("g", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g")).alias("comp"), (F.col("low") != F.col("high")).alias("apart"), F.lit(None).cast("binary").alias("odd"))
     of_group = written(single.unionByName(several), "groups")
     used += [known, of_group]
-    marked = lists.join(of_group.drop("apart", "odd"), "g")
-    parts = F.ceil(F.count("*").over(of_token) / PART).cast("int")
-    mixed = marked.select("*", F.min("comp").over(of_token).alias("lo"), F.max("comp").over(of_token).alias("hi"), parts.alias("parts")).where("lo <> hi")
+    marked = written(lists.join(of_group.drop("apart", "odd"), "g"), "marked")
+    used.append(marked)
+    open_ = marked.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("lo <> hi")
+    mixed = marked.join(open_.select("token", "parts"), "token")
     work = (
         mixed.join(of_group.select("g", "odd"), "g")
         .withColumn("part", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"))
@@ -454,6 +478,10 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     # what the result doesn't read goes now
     for x in (*used, final):
         dropped(spark, x)
-    got = narrow.join(by_class, ["n", "s1", "s2"], "left")
+    for x in shares:
+        x.destroy()
+    got = narrow.where("n > 0").join(by_class, ["n", "s1", "s2"], "left")
+    empty = narrow.where("n = 0")  # by no key, as all of these would share one
+    got = got.unionByName(empty.select("*", *[F.lit(None).cast("long").alias(c) for c in by_class.columns if c not in narrow.columns]))
     more = [F.col("k1").alias("row_key_1"), F.col("k2").alias("row_key_2"), F.expr("n = 0 OR (k1 = r1 AND k2 = r2)").alias("kept")] if keys else []
     return got.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *more)
