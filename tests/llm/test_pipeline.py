@@ -98,3 +98,43 @@ def test_repeated_rows_and_nulls(spark):
     assert sorted(str(r.text) for r in four) == sorted(str(r[1]) for r in rows) and [r.n_chars for r in four if r.doc_id == 3] == [None]
     assert cp.repeated_passages(spark, docs, SF).count() == len(rows)
     assert re.match("doc_id", cp.repeated_passages(spark, docs.limit(0), SF).columns[0])
+
+
+CLASHING = "row struct<a:int>, row_key_1 string, row_key_2 long, rows_of_key int, words_of_key int, nth_of_key int, score string, lang_pred string, kept boolean, c int, t string, copies int, spans array<int>, no_text int, `a b.c` map<string,int>, n_removed long"
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    """Columns that are named like those the stages make, a name with a point, a map, and none called n_chars; rows equal in
+    id and text but not in others; a text of two million bytes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    long = "Quite a long text of plain words that nobody else has, number %d. " * 30_000 % tuple(range(30_000))
+    docs = docs.unionByName(spark.createDataFrame([(-1, long, "en", "s")], docs.schema))
+    row = "struct(cast(1 AS int)), 'k', 7L, 1, 2, 3, 'sc', 'lp', true, 4, 'tt', 5, array(1, 2), 6, map('m', 1), 8L"
+    own = docs.selectExpr("*", f"inline(array(struct({row})))").toDF(*docs.columns, *[f"x{i}" for i in range(16)])
+    names = [f.name for f in spark.createDataFrame([], CLASHING).schema]
+    own = own.toDF(*docs.columns, *names)
+    own = cp.written(own.unionByName(own.where("doc_id = -1").withColumn("row_key_2", F.lit(3).cast("long"))), "t")
+    shown = [f"`{c}`" for c in names]
+    want = own.where("doc_id >= 0").select(*shown).first()
+    for name, stage in cp.STAGES[:-1]:
+        got = cp.written(stage(spark, own, SF), "t")
+        assert got.columns == own.columns and got.schema == own.schema, name
+        plain = cp.written(stage(spark, own.select("doc_id", "text", "lang", "source"), SF), "t")
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in plain.collect()), name
+        assert {repr(r) for r in got.where("doc_id >= 0").select(*shown).collect()} == {repr(want)}, name
+        mine = [r.row_key_2 for r in got.where("doc_id = -1").collect()]
+        assert sorted(mine) == ([3] if name == "n-gram Jaccard join" else [3, 7]), name
+    assert cp.pack(spark, own, SF).where("doc_id = -1").count() > 2
+
+
+def test_run_leaves_one_table(spark):
+    """The tables of stages and what they make on their way go; only what the result reads stays."""
+    import os
+
+    from tidemark.llm.tables import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:").removeprefix("//")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = cp.run(spark, SF)
+    left = [x for x in set(os.listdir(folder)) - before if x.startswith(("pipeline-", "words-", "sample"))]
+    assert got.count() > 0 and len(left) == 1 and left[0].startswith("pipeline-packing")
