@@ -23,17 +23,20 @@ def expected(t):
     return ids, PLAIN.decode(ids, skip_special_tokens=False)
 
 
+SPECIAL = list(bpe.coder(PATH).special)
+
+
 def cut(texts, mean):
     data, bounds = text_bytes(pa.array(texts, pa.string()))
     raw = data.tobytes()
-    return [[raw[x:y].decode() for x, y in zip(at, at[1:]) if y > x] for at in bpe.cuts(data, bounds, mean)]
+    return [([raw[x:y].decode() for x, y in zip(at, at[1:]) if y > x], set(tokens.tolist())) for at, tokens in bpe.chunked(data, bounds, mean, SPECIAL)]
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=200), st.text(alphabet="abl'rev \n\t1.é中<|endoftext|>", max_size=300)), min_size=1, max_size=4))
+@given(st.lists(st.one_of(st.text(max_size=200), st.lists(st.sampled_from([*"abl'rev \n\t1.é中<|", "<|endoftext|>", "<|endoftext|", "|endoftext|>"]), max_size=120).map("".join)), min_size=1, max_size=4))
 def test_small_chunks_agree(texts):
-    for chunks, t in zip(cut(texts, 4), texts):
-        got = bpe.coder(PATH).text_ids(chunks)
+    for (chunks, special), t in zip(cut(texts, 4), texts, strict=True):
+        got = bpe.coder(PATH).text_ids(chunks, special)
         ids, text = expected(t)
         assert got == ",".join(map(str, ids))
         assert bpe.coder(PATH).decode(got) == text == t
@@ -50,11 +53,27 @@ def test_any_cut_is_repaired(t, data):
 def test_long_pre_tokens_and_repeats():
     """Chunks stay within their bound, and what goes on over many of them comes out as from the whole text."""
     for t in ("a" * 2_000_000, "a " * 400_000, "\n" * 300_000, "one line of words, again and again.\n" * 20_000, "é" * 200_000 + "中文" * 50_000, "x" * 70_000 + " y" * 70_000):
-        chunks = cut([t], 256)[0]
-        assert max(len(c.encode()) for c in chunks) <= 256 * bpe.MOST + 3 and "".join(chunks) == t
+        chunks, special = cut([t], 256)[0]
+        assert not special and max(len(c.encode()) for c in chunks) <= 256 * bpe.MOST + 3 and "".join(chunks) == t
         assert bpe.coder(PATH).text_ids(chunks) == ",".join(map(str, expected(t)[0]))
 
 
+def test_special_tokens_leave_chunks_shared():
+    """Texts with a special token in the middle of shared passages: their chunks are scanned once, as without it, and none
+    is longer than chunks are."""
+    rnd = random.Random(3)
+    passages = [" ".join(rnd.choices([f"word{i}" for i in range(500)], k=600)) for _ in range(2)]
+    for token in ("", "<|endoftext|>"):
+        texts = [f"{passages[0]}{token} copy {i} < {passages[1]}<" for i in range(5)]
+        coder, seen = bpe.Coder(PATH), []
+        make = coder.chunks.make
+        coder.chunks.make = lambda t, make=make, seen=seen: seen.append(t) or make(t)
+        for (chunks, special), t in zip(cut(texts, 256), texts, strict=True):
+            assert coder.text_ids(chunks, special) == ",".join(map(str, expected(t)[0])) and len(special) == bool(token)
+            assert max(len(c.encode()) for c in chunks) <= 256 * bpe.MOST + 3
+        assert sum(map(len, seen)) < 1.6 * len(texts[0]), token
+
+
 def test_memory_of_chunks_is_bounded():
     held = bpe.Generations(str.upper, 1000)
     for k in range(6000):

@@ -1,7 +1,7 @@
 """Byte-level BPE with content-defined chunks.
 
-A text is cut where a rolling hash of the last 16 bytes has zeros in given places, so texts that share a
-passage share its chunks. Texts are dealt and sorted by the smallest hash of their chunks: those that agree in most
+Special tokens part a text before anything else. Each stretch between them is cut where a rolling hash of the last 16 bytes
+has zeros in given places, so texts that share a passage share its chunks. Texts are dealt and sorted by the smallest hash of their chunks: those that agree in most
 chunks, as copies and near copies do, mostly agree in the smallest and meet in one task, one after the other, where a chunk
 that is remembered is not encoded again. Where very many agree Spark may split them over tasks. A cut may fall within
 a word, so the joins are repaired: the pre-tokens of a chunk that its end can have touched are set
@@ -86,7 +86,6 @@ class Coder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special}
-        self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.bytes_of = self._bytes()
         self.merge = self._merger(path)
         self.words = Generations(self._word, WORDS)
@@ -166,14 +165,16 @@ class Coder:
             tail = e.tail
         return out + [self.words[w] for w in self.scan(tail)]
 
-    def text_ids(self, chunks: list[str]) -> str:
-        if self.apart is None or not any("<|" in c or c.endswith("<") for c in chunks):
-            return ",".join(self.ids(chunks))
-        text, out, at = "".join(chunks), [], 0  # special tokens part the text before anything else
-        for m in self.apart.finditer(text):
-            out += [*self.ids([text[at : m.start()]] if m.start() > at else []), str(self.special[m[0]])]
-            at = m.end()
-        return ",".join([*out, *self.ids([text[at:]] if at < len(text) else [])])
+    def text_ids(self, chunks: list[str], special: set[int] = frozenset()) -> str:
+        """Ids of a text from its chunks; special: which of these are special tokens."""
+        out, part = [], []
+        for i, c in enumerate(chunks):
+            if i in special:
+                out += [*self.ids(part), str(self.special[c])]
+                part = []
+            else:
+                part.append(c)
+        return ",".join(out + self.ids(part))
 
     def decode(self, ids: str) -> str:
         return b"".join(map(self.bytes_of.__getitem__, map(int, ids.split(",")))).decode("utf-8", "replace") if ids else ""
@@ -204,6 +205,50 @@ def cuts(data: np.ndarray, bounds: np.ndarray, mean: int) -> list[np.ndarray]:
     return out
 
 
+def stretches(data: np.ndarray, bounds: np.ndarray, special: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of all texts and of the special tokens in them, and which of the stretches between them are special tokens. Of
+    tokens that overlap the first counts, of those that begin together the longest."""
+    raw, found = data.tobytes(), []
+    for t in map(str.encode, special):
+        at = raw.find(t)
+        while at >= 0:
+            found.append((at, -len(t)))
+            at = raw.find(t, at + 1)
+    kept, until = [], 0
+    for at, n in sorted(found):
+        inside = bounds[min(np.searchsorted(bounds, at, "right"), len(bounds) - 1)] >= at - n  # within one text
+        if at >= until and inside:
+            kept.append((at, at - n))
+            until = at - n
+    if not kept:
+        return bounds, np.zeros(len(bounds) - 1, bool)
+    first, last = np.array(kept, np.int64).T
+    inner = np.setdiff1d(np.concatenate([first, last]), bounds)
+    out = np.sort(np.concatenate([bounds, inner]))
+    own = np.zeros(len(out) - 1, bool)
+    own[np.searchsorted(out, first, "right") - 1] = True  # the last of equal bounds: after empty texts
+    return out, own
+
+
+def chunked(data: np.ndarray, bounds: np.ndarray, mean: int, special: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the bounds of its chunks, and which of these are special tokens."""
+    places, is_special = stretches(data, bounds, special)
+    if not is_special.any():
+        return [(x, np.zeros(0, np.int64)) for x in cuts(data, bounds, mean)]
+    parts = [np.array([x[0], x[-1]]) if own else x for x, own in zip(cuts(data, places, mean), is_special, strict=True)]
+    # a text's stretches begin in it; empty ones are empty texts
+    text = np.searchsorted(bounds[:-1], places[:-1], "right") - 1
+    empty = np.flatnonzero(np.diff(bounds) == 0)
+    out: list[tuple[np.ndarray, np.ndarray]] = [(bounds[k : k + 2], np.zeros(0, np.int64)) for k in range(len(bounds) - 1)]
+    full = np.flatnonzero(np.diff(places) > 0)
+    for k in np.setdiff1d(np.arange(len(bounds) - 1), empty):
+        own = full[np.searchsorted(text[full], k) : np.searchsorted(text[full], k, "right")]
+        at = np.concatenate([parts[own[0]][:1], *(parts[i][1:] for i in own)])
+        chunks = np.cumsum([len(parts[i]) - 1 for i in own])
+        out[k] = at, chunks[is_special[own]] - 1
+    return out
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, mean: int = 256, digests: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (decimal, joined by commas), n_tokens and decoded, one row per row of docs; with
     digests the SHA-256 of ids and of decoded instead of them.
@@ -217,12 +262,14 @@ def encode_decode(docs: DataFrame, tokenizer: str, mean: int = 256, digests: boo
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
+    special = list(coder(tokenizer).special)
+
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, bounds = text_bytes(b.column(1))
             for i, j in pieces(bounds):
                 own, places = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
-                at = cuts(own, places, mean)
+                at, tokens = zip(*chunked(own, places, mean, special), strict=True)
                 start, end = np.concatenate([x[:-1] for x in at]), np.concatenate([x[1:] for x in at])
                 some = np.flatnonzero(end > start)  # an empty text has no chunk
                 first, key = np.searchsorted(start[some], places[:-1]), np.zeros(j - i, np.uint64)
@@ -230,9 +277,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, mean: int = 256, digests: boo
                 if len(full):
                     key[full] = np.minimum.reduceat(hasher(6).of_ranges(own, start[some], end[some]), first[full])
                 cut = pa.array([(x - x[0]).astype(np.int32).tobytes() for x in at], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), pa.array(key.view(np.int64)), cut], ["doc_id", "text", "chunk", "cuts"])
+                apart = pa.array([x.astype(np.int32).tobytes() if len(x) else None for x in tokens], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), pa.array(key.view(np.int64)), cut, apart], ["doc_id", "text", "chunk", "cuts", "special"])
 
-    rows = rows.mapInArrow(routed, "doc_id long, text string, chunk long, cuts binary")
+    rows = rows.mapInArrow(routed, "doc_id long, text string, chunk long, cuts binary, special binary")
     rows = rows.hint("rebalance", F.col("chunk")).sortWithinPartitions("chunk")
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
 
@@ -244,7 +292,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, mean: int = 256, digests: boo
                 n, ids, texts = [], [], []
                 for k in range(i, j):
                     raw, at = data[bounds[k] : bounds[k + 1]].tobytes(), np.frombuffer(b.column(3)[k].as_buffer(), np.int32).tolist()
-                    s = c.text_ids([raw[x:y].decode() for x, y in zip(at, at[1:]) if y > x])
+                    tokens = b.column(4)[k]
+                    apart = set(np.frombuffer(tokens.as_buffer(), np.int32).tolist()) if tokens.is_valid else set()
+                    s = c.text_ids([raw[x:y].decode() for x, y in zip(at, at[1:]) if y > x], apart)
                     t = c.decode(s)
                     n.append(s.count(",") + 1 if s else 0)
                     ids.append(hashlib.sha256(s.encode()).hexdigest() if digests else s)
