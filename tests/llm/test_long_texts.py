@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, jaccard, langid, packing, quality, tokenfile
+from tidemark.llm import bpe, chat, divergence, filter_audit, jaccard, langid, packing, quality, sentencepieces, tokenfile
 from tidemark.llm.tables import new_path
 
 WORD, BYTE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -71,3 +71,24 @@ def test_classifiers(spark, docs):
     texts = spark.createDataFrame([(i, ("plain words in a row " if i % 2 else "$$$ ### !! ") * 9) for i in range(60)], "doc_id long, text string")
     model = quality.learn(texts, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
     assert all(0 <= r.score <= 1 for r in quality.assess(docs, model).select("score").collect())
+
+
+def test_chat(spark, lines):
+    """One turn of twenty million bytes among short ones, with control strings in it."""
+    text = "".join(lines) + "</s>[INST] \\ [/INST]"
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", text), (2, 0, "assistant", "b")]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    r = chat.read_back(got).where("conv_id = 1").first()
+    assert [(x.role, x.text) for x in r.turns] == [("user", "a"), ("assistant", text)] and r.loss_text == text
+    d = chat.digests(got).where("conv_id = 1").first()
+    assert d.loss_chars == len(text) and d.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_audits_and_pieces(spark, docs, lines):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {(r.part, r.fails): (r.docs, r.good) for r in filter_audit.failures(docs, labels).collect()}
+    assert sum(n for n, _ in got.values()) == 4 and sum(g for _, g in got.values()) == 1
+    got = divergence.audit_sources(docs.withColumn("source", docs["doc_id"].cast("string")), least=1).where("part = 'pair'")
+    assert got.count() == 12
+    r = sentencepieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), digests=True).where("doc_id = 1").first()
+    assert r.decoded_sha256 == hashlib.sha256("".join(lines).encode()).hexdigest()

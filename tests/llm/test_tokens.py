@@ -122,3 +122,12 @@ def test_registered_digests(spark):
         at += len(ids)
     for r in QUERIES["op3_packing"](spark, sf).collect():
         assert r.ids_crc32 == zlib.crc32(ids_of(texts[r.doc_id])[r.start : r.start + r.length].astype("<u4").tobytes())
+
+
+def test_every_doc_id_comes_back(spark):
+    """Null ids, the least and the greatest long, zero; several of a kind."""
+    ids = [None, None, -(2**63), -(2**63), 0, 2**63 - 1, -1]
+    path = new_path(spark, "t")
+    tokenfile.write_token_ids(spark.createDataFrame([(i, f"word {k}") for k, i in enumerate(ids)], "doc_id long, text string"), path, PATH, chunk_ids=8)
+    got = tokenfile.read_token_ids(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -(2**63), -(2**63), -1, 0, 2**63 - 1] and [r.start for r in got] == list(range(0, 21, 3))

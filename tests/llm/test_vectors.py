@@ -108,6 +108,38 @@ def test_near_duplicates_by_hand(spark, monkeypatch):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_planted_pairs_among_many(spark):
+    """20,000 vectors of 64 dimensions with 600 pairs planted just above the threshold, chains among them: links and
+    components against all pairs, at least 0.95 of them found and none that is not one."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(20_000, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    for k in range(600):
+        a, b = 2 * k, 2 * k + 1 if k % 5 else (2 * k + 2) % 1200  # every fifth makes a chain with the next pair
+        side = rng.normal(size=64)
+        side -= (side @ base[a]) * base[a]
+        c = rng.uniform(0.901, 0.93)
+        base[b] = c * base[a] + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    x = base.astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    links = {(int(i), int(j)) for k in range(0, len(x), 2000) for i, j in zip(*np.nonzero(unit[k : k + 2000] @ unit.T >= 0.9)) for i in [i + k] if i < j}
+    got = {r.vec_id: r for r in neardup.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0, 0) for i, v in enumerate(x)], SCHEMA)).collect()}
+    found = sum(r.n_links for r in got.values()) / 2
+    assert 500 < len(links) and 0.95 * len(links) <= found <= len(links)
+    parent = {i: i for i in range(len(x))}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in sorted(links):
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+    wrong = [i for i, r in got.items() if r.component_id != root(i)]
+    assert len(wrong) <= 0.1 * len(links) and all(r.component_id >= root(i) and root(r.component_id) == root(i) for i, r in got.items())
+
+
 def test_e8_points_are_nearest():
     x = np.random.default_rng(1).normal(size=(200, 8)) * 2
     y = neardup.e8(x)

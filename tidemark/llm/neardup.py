@@ -141,7 +141,8 @@ def near_duplicates(
     or zero, or hold a null or non-finite component, and rows with a null id link with nothing and are kept
     (component_id is their own id). Vectors of different lengths don't link. Repeated rows, and rows of one id, link with
     each other if their vectors do. Other columns (texts, too) are ignored, whatever their names; an empty table gives an
-    empty result. eights: eights of dimensions of a cell; by the number of vectors where it is None.
+    empty result. shape: how many eights of dimensions make a cell, and the width of the lattice; by the number of vectors
+    where it is None.
     """
     spark = vectors.sparkSession
     small_batches(spark)

@@ -5,7 +5,7 @@ document. The ids of a chunk are cut into blocks of block_ids ids (the last may
 is transposed into byte planes (byte 0 of every id, byte 1, ...) or bit planes, and every plane is
 compressed by zstandard on its own. sizes holds the planes' stored bytes, block by block: the index by which a block
 or a plane is found without reading the others. docs and counts (64-bit little-endian) say which documents
-the chunk holds and how many ids each has; part and first give the chunk's place in the whole.
+the chunk holds and how many ids each has, the first nulls of them without an id; part and first give the chunk's place in the whole.
 Spark's Parquet writer stores the rows, so a lost executor leaves no half-written part behind.
 """
 
@@ -23,13 +23,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.tables import dropped, small_batches, written
 from tidemark.llm.tokens import encoded
 
-FILE = "part int, first long, n_ids long, block_ids int, width int, planes string, docs binary, counts binary, sizes array<int>, data binary"
+FILE = "part int, first long, n_ids long, block_ids int, width int, planes string, nulls long, docs binary, counts binary, sizes array<int>, data binary"
 
-ARROW = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("block_ids", pa.int32()), ("width", pa.int32()), ("planes", pa.string()), ("docs", pa.binary()), ("counts", pa.binary()), ("sizes", pa.list_(pa.int32())), ("data", pa.binary())])
+ARROW = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("block_ids", pa.int32()), ("width", pa.int32()), ("planes", pa.string()), ("nulls", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("sizes", pa.list_(pa.int32())), ("data", pa.binary())])
 #: Bytes of a row group of the tables: what Spark reads at once.
 ROW_GROUP = 8 << 20
-#: Stands for a null doc_id.
-NO_ID = -(2**63)
 
 
 def shuffled(ids: np.ndarray, width: int, planes: str) -> list[bytes]:
@@ -81,7 +79,7 @@ def write_token_ids(
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=level)
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[int | None, np.ndarray]] = []
         n_held = 0
 
         def chunk() -> pa.RecordBatch:
@@ -91,7 +89,7 @@ def write_token_ids(
             planes_ = [press.compress(p) for k in range(0, len(ids), block_ids) for p in shuffled(ids[k : k + block_ids], width, planes)]
             row = {
                 "part": [part], "first": [first], "n_ids": [len(ids)], "block_ids": [block_ids], "width": [width], "planes": [planes],
-                "docs": [np.array([d for d, _ in held], np.int64).tobytes()], "counts": [np.array([len(x) for _, x in held], np.int64).tobytes()],
+                "nulls": [sum(d is None for d, _ in held)], "docs": [np.array([d or 0 for d, _ in held], np.int64).tobytes()], "counts": [np.array([len(x) for _, x in held], np.int64).tobytes()],
                 "sizes": [[len(x) for x in planes_]], "data": [b"".join(planes_)],
             }
             first, n_held = first + len(ids), 0
@@ -99,7 +97,7 @@ def write_token_ids(
             return pa.RecordBatch.from_pydict(row, schema=ARROW)
 
         for b in batches:
-            for d, width, raw in zip(b.column(0).fill_null(NO_ID).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for d, width, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 ids = np.frombuffer(raw.as_buffer(), f"<u{width}").astype(np.uint32)
                 if held and n_held + len(ids) > chunk_ids:
                     yield chunk()
@@ -140,7 +138,7 @@ def read_token_ids(spark, path: str) -> DataFrame:
                 raw = memoryview(ids.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.frombuffer(row["docs"], np.int64)),
+                        pa.array(np.frombuffer(row["docs"], np.int64), mask=np.arange(len(counts)) < row["nulls"]),  # null ids come first
                         pa.array(row["before"] + row["first"] + ends - counts),
                         pa.array(counts),
                         pa.array([raw[4 * (e - n) : 4 * e] for e, n in zip(ends, counts, strict=True)], pa.binary()),
@@ -148,5 +146,4 @@ def read_token_ids(spark, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    got = files.join(F.broadcast(before), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
-    return got.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return files.join(F.broadcast(before), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
