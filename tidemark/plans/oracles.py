@@ -89,6 +89,8 @@ def _windows(*keys: str) -> str:
     return f"SELECT * FROM ({counts}) WHERE event_hour + INTERVAL 5 MINUTE <= {_CLOSED} 15 SECOND"
 
 
+_PLACES = """r AS (SELECT n_nationkey * 6 AS lo, n_nationkey * 6 + 4 AS hi, '{"country":"' || n_name || '","state":"' || n_regionkey || '"}' AS place FROM nation
+  UNION ALL SELECT r_regionkey * 40 + 3, r_regionkey * 40 + 100000000 + r_regionkey, '{"country":"' || r_name || '","state":null}' FROM region)"""
 _MAPS = "mp AS (SELECT o_orderkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 
 ORACLE_SQL = {
@@ -198,11 +200,10 @@ FROM lineitem l JOIN orders ON l.l_orderkey = o_orderkey JOIN supplier ON s_supp
     "broadcast_join": "SELECT s_nationkey, count(*) AS rows FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1",
     "classify_referrer": "SELECT page_id, CASE WHEN url LIKE '%//blog.%' THEN 'Blog' WHEN url LIKE 'https://m.%' THEN 'Mobile' WHEN url LIKE '%.org%' THEN 'Organisation' ELSE url END AS referrer FROM pages",
     "geo_enrich": """SELECT event_id, user_id, coalesce(CASE WHEN n_name IS NOT NULL THEN '{"country":"' || n_name || '","state":"' || n_regionkey || '"}' END, '{}') AS geodata FROM events LEFT JOIN nation ON user_id BETWEEN n_nationkey * 6 AND n_nationkey * 6 + 4""",
-    "geo_wide_ranges": """WITH r AS (SELECT n_nationkey * 6 AS lo, n_nationkey * 6 + 4 AS hi, '{"country":"' || n_name || '","state":"' || n_regionkey || '"}' AS place FROM nation
-  UNION ALL SELECT r_regionkey * 40 + 3, r_regionkey * 40 + 100000000 + r_regionkey, '{"country":"' || r_name || '","state":null}' FROM region),
+    "geo_wide_ranges": f"""WITH {_PLACES},
 n AS (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN CASE WHEN event_id % 3 = 0 THEN event_id * 40001 ELSE user_id END END AS number FROM events),
 h AS (SELECT event_id, min_by(place, (lo, hi, place)) AS place FROM n JOIN r ON number BETWEEN lo AND hi GROUP BY 1)
-SELECT event_id, number, coalesce(place, '{}') AS geodata FROM n LEFT JOIN h USING (event_id)""",
+SELECT event_id, number, coalesce(place, '{{}}') AS geodata FROM n LEFT JOIN h USING (event_id)""",
     "dedupe_events": "SELECT DISTINCT user_id, event_type AS host, CAST(ts AS DATE) AS day FROM events",
     "dedupe_first": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1",
     "top_n": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
@@ -211,6 +212,14 @@ SELECT event_id, number, coalesce(place, '{}') AS geodata FROM n LEFT JOIN h USI
     "stream_two_sinks": f"WITH {_IN_TIME} {_windows('host', 'NULL AS referrer')} UNION ALL {_windows('host', 'referrer')}",
     "stream_sessions": f"""WITH {_IN_TIME}, {_sessions("it")}
 SELECT * FROM ss WHERE session_end <= {_CLOSED} 5 SECOND""",
+    "stream_session_avg": f"""WITH {_IN_TIME}, {_sessions("it")}
+SELECT host, round(avg(event_count), 6) AS average_events FROM ss WHERE session_end <= {_CLOSED} 5 SECOND GROUP BY 1""",
+    "stream_geo_enrich": f"""WITH {_PLACES}, n AS (SELECT event_id, event_id * 37 % 400 AS number FROM events),
+h AS (SELECT event_id, min_by(place, (lo, hi, place)) AS place FROM n JOIN r ON number BETWEEN lo AND hi GROUP BY 1)
+SELECT event_id, number, coalesce(place, '{{}}') AS geodata, coalesce(place, '{{}}') AS joined FROM n LEFT JOIN h USING (event_id)""",
+    "host_month_upserted": _hosts(D),
+    "period_overwritten": """SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS INT) AS year, CASE WHEN year(o_orderdate) IN (1996, 2001) THEN 2 ELSE 1 END AS load
+FROM orders WHERE year(o_orderdate) NOT IN (1996, 2001) OR o_orderkey % 2 = 0""",
     "stream_parse": "SELECT event_type AS host, CAST(user_id AS VARCHAR) AS ip, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS event_time, true AS parsed FROM events",
     "tumbling_host": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS event_hour, event_type AS host, count(*) AS num_hits FROM events GROUP BY ALL",
     "tumbling_host_referrer": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS event_hour, event_type AS host, 'r' || (user_id % 3) AS referrer, count(*) AS num_hits FROM events GROUP BY ALL",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import banded
 from tidemark.operators import analysis, arrays, cumulative, datelist, dedupe, enrich, facts, graph, growth, layout, scd2, starjoin
 from tidemark.plans import tables as t
-from tidemark.sources import writers
+from tidemark.sources import readers, writers
 from tidemark.streaming import jobs
 
 D, BEFORE, LAST, MONTH = "2024-01-15", "2024-01-14", "2024-01-30", "2024-01-01"
@@ -549,10 +549,11 @@ def arrivals(s, d):
     return [e.where((F.col("ts") < cut[0]) & ~late), e.where(F.col("ts").between(*cut) & (F.col("ts") < cut[1])), e.where((F.col("ts") >= cut[1]) | late)]
 
 
-def _streamed(s, d, **makes):
-    """What each query on the stream of arrivals has put out, each into its own folder."""
+def _streamed(s, d, loads=list, **makes):
+    """What each query on the stream of arrivals has put out, each into its own folder. loads: what is made of the
+    arrivals before they land."""
     folder = writers.work_folder(s)
-    jobs.replay(arrivals(s, d), f"{folder}/in", {n: (m, f"{folder}/{n}") for n, m in makes.items()}, f"{folder}/checkpoints")
+    jobs.replay(loads(arrivals(s, d)), f"{folder}/in", {n: (m, f"{folder}/{n}") for n, m in makes.items()}, f"{folder}/checkpoints")
     out = {n: s.read.parquet(f"{folder}/{n}") for n in makes}
     return [df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"}) for df in out.values()]
 
@@ -562,9 +563,16 @@ def stream_tumbling_host(s, d):
     return _streamed(s, d, hosts=lambda e: jobs.tumbling_counts(e, ["host"], "ts"))[0]
 
 
+def _messages(loads):
+    """Loads as a topic has them: JSON text in a column value."""
+    fields = F.struct("host", "referrer", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("event_time"))
+    return [x.select(F.to_json(fields).alias("value")) for x in loads]
+
+
 def stream_two_sinks(s, d):
-    """Two queries on one source with their own sinks and checkpoints."""
-    hosts, referrers = _streamed(s, d, hosts=lambda e: jobs.tumbling_counts(e, ["host"], "ts"), referrers=lambda e: jobs.tumbling_counts(e, ["host", "referrer"], "ts"))
+    """JSON messages, parsed; two queries on one source with their own sinks and checkpoints."""
+    count = lambda *keys: lambda e: jobs.tumbling_counts(jobs.parse_events(e), keys, "event_timestamp")
+    hosts, referrers = _streamed(s, d, _messages, hosts=count("host"), referrers=count("host", "referrer"))
     return hosts.withColumn("referrer", F.lit(None).cast("string")).unionByName(referrers)
 
 
@@ -573,6 +581,39 @@ def stream_sessions(s, d):
     return _streamed(s, d, sessions=lambda e: jobs.sessions(e, ["ip", "host"], "ts"))[0].drop("session_duration")
 
 
+def stream_session_avg(s, d):
+    """A batch over what the stream of sessions has stored."""
+    return jobs.average_session(stream_sessions(s, d), "host").withColumn("average_events", F.round("average_events", 6))
+
+
+def stream_geo_enrich(s, d):
+    """Every event of the stream with its place, by the index and by joins with the table; nothing waits for a watermark."""
+    spread = F.pmod(F.col("event_id") * 37, F.lit(400))
+    look = lambda find: lambda e: find(e.select("event_id", spread.alias("number")), _all_ranges(s, d), "number", "ip_from", "ip_to", ["country", "state"])
+    index, joins = _streamed(s, d, index=look(enrich.index_lookup), joins=look(enrich.range_lookup))
+    return index.join(joins.withColumnRenamed("geodata", "joined"), ["event_id", "number"], "full")
+
+
+def host_month_upserted(s, d):
+    """A month's table of hosts on disk that two days are loaded into, one after the other, and the last one again."""
+    e, path = t.events(s, d), writers.work_folder(s)
+    writers.upsert_periods(arrays.host_month(e, "host", "user_id", "ts", MONTH, "2024-01-13"), path, ["host", "month_start"], "month_start")
+    for day in (BEFORE, D, D):
+        table = writers.read_version(s, path, "host string, month_start date, hit_array array<bigint>, unique_visitors array<bigint>")
+        writers.upsert_periods(arrays.host_month_step(table, e, "host", "user_id", "ts", day), path, ["host", "month_start"], "month_start")
+    m = writers.read_version(s, path, table.schema)
+    return m.select("host", "month_start", _joined("hit_array").alias("hit_array"), _joined("unique_visitors").alias("unique_visitors"))
+
+
+def period_overwritten(s, d):
+    """Orders in partitions by year, of which two are written again with other rows."""
+    o = t.read(s, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), F.lit(1).alias("load"))
+    path = writers.work_folder(s)
+    writers.write_period(o, path, "year")
+    writers.write_period(o.where("year IN (1996, 2001) AND o_orderkey % 2 = 0").withColumn("load", F.lit(2)), path, "year")
+    return readers.read_parquet(s, path).select("o_orderkey", "o_custkey", "year", "load")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -581,7 +622,7 @@ QUERIES = {
         monthly_hits_step, monthly_hits_array, monthly_hits_agg, array_metrics_step, array_metrics_daily, array_length_hist, host_activity_reduced, host_activity_step, host_visitors_sketch, growth_accounting_step, growth_accounting, retention_curve, state_changes,
         funnel_conversion, device_cube, traffic_windows, traffic_windows_by_days, game_cube, game_leaders, best_stretch, longest_streak, vertices_suppliers, edges_plays_in, edges_pairs, graph_points_per_game, avg_per_player, top_playlist, top_map,
         top_map_for_medal, user_device_rollup, device_users, events_with_device, upsert_latest, upsert_on_disk, bucketed_join, bucketed_star, broadcast_join, classify_referrer, geo_enrich, geo_wide_ranges, geo_index, ip_numbers, dedupe_events, dedupe_first, top_n, layout_sorted, layout_report, layout_rows,
-        stream_tumbling_host, stream_two_sinks, stream_sessions,
+        stream_tumbling_host, stream_two_sinks, stream_sessions, stream_session_avg, stream_geo_enrich, host_month_upserted, period_overwritten,
         stream_parse, tumbling_host, tumbling_host_referrer, sessions, session_avg_by_host,
     )
 }
