@@ -51,6 +51,14 @@ def test_staged_is_computed_once(spark, tmp_path):
     assert seen.value == 100
 
 
+def test_upsert_leaves_nothing_behind(spark, tmp_path):
+    path = str(tmp_path / "t")
+    writers.write_period(spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], SCHEMA), path, "p")
+    writers.upsert_periods(spark.createDataFrame([(1, "a", 9.0), (5, "a", 5.0)], SCHEMA), path, ["k"], "p")
+    assert rows(spark.read.schema(SCHEMA).parquet(path).select("k", "p", "v")) == [(1, "a", 9.0), (2, "b", 2.0), (5, "a", 5.0)]
+    assert [x.name for x in tmp_path.iterdir()] == ["t"]
+
+
 def broken(df):
     """df, with an error once its first partition is written."""
 
@@ -67,18 +75,18 @@ def test_upsert_is_visible_whole_or_not_at_all(spark, tmp_path):
     read = lambda: rows(writers.read_version(spark, path, SCHEMA))
     first = [(1, "a", 1.0), (2, "b", 2.0), (3, None, 3.0), (None, "b", 4.0)]
     assert read() == []
-    writers.upsert_periods(spark.createDataFrame(first, SCHEMA), path, ["k"], "p")
+    writers.upsert_version(spark.createDataFrame(first, SCHEMA), path, ["k"], "p")
     assert read() == rows(spark.createDataFrame(first, SCHEMA))
     change = spark.createDataFrame([(1, "a", 9.0), (5, "a", 5.0), (3, None, 7.0), (None, "b", 8.0)], SCHEMA)
     with pytest.raises(Exception, match="executor is lost"):
-        writers.upsert_periods(broken(change), path, ["k"], "p")
+        writers.upsert_version(broken(change), path, ["k"], "p")
     assert read() == rows(spark.createDataFrame(first, SCHEMA))
-    writers.upsert_periods(change, path, ["k"], "p")
+    writers.upsert_version(change, path, ["k"], "p")
     after = sorted([(1, "a", 9.0), (5, "a", 5.0), (2, "b", 2.0), (3, None, 7.0), (None, "b", 4.0), (None, "b", 8.0)], key=repr)
     assert read() == after
     old = writers.manifest(spark, path)
     held = writers.read_version(spark, path, SCHEMA)
-    writers.upsert_periods(spark.createDataFrame([(6, "c", 6.0)], SCHEMA), path, ["k"], "p")
+    writers.upsert_version(spark.createDataFrame([(6, "c", 6.0)], SCHEMA), path, ["k"], "p")
     assert {p: f for p, f in writers.manifest(spark, path).items() if p != "c"} == old and rows(held) == after  # other periods are not written again
     gone = writers.vacuum(spark, path)
     assert sum("_versions" in g for g in gone) == 2 and read() == sorted([*after, (6, "c", 6.0)], key=repr)
@@ -87,7 +95,7 @@ def test_upsert_is_visible_whole_or_not_at_all(spark, tmp_path):
 
 def test_a_slower_writer_changes_nothing(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
-    writers.upsert_periods(spark.createDataFrame([(1, "a", 1.0)], SCHEMA), path, ["k"], "p")
+    writers.upsert_version(spark.createDataFrame([(1, "a", 1.0)], SCHEMA), path, ["k"], "p")
     numbers = writers._numbers(spark, path)
     writers.publish(spark, path, writers.manifest(spark, path))
     monkeypatch.setattr(writers, "_numbers", lambda *a: numbers)  # what a writer saw that began before

@@ -418,9 +418,9 @@ def upsert_on_disk(s, d):
     o = t.read(s, d, "orders").select("o_custkey", F.year("o_orderdate").alias("year"), "o_orderkey", "o_totalprice")
     path = writers.work_folder(s)
     per = lambda rows, load: rows.groupBy("o_custkey", "year").agg(F.count("*").alias("orders"), F.max("o_orderkey").alias("last_order")).withColumn("load", F.lit(load))
-    writers.upsert_periods(per(o.where("o_totalprice < 150000"), 1), path, ["o_custkey", "year"], "year")
+    writers.upsert_version(per(o.where("o_totalprice < 150000"), 1), path, ["o_custkey", "year"], "year")
     new = per(o.where("year IN (1996, 1997) AND o_orderkey % 3 > 0"), 2)
-    writers.upsert_periods(new, path, ["o_custkey", "year"], "year")
+    writers.upsert_version(new, path, ["o_custkey", "year"], "year")
     return writers.read_version(s, path, new.schema)
 
 
@@ -597,10 +597,10 @@ def stream_geo_enrich(s, d):
 def host_month_upserted(s, d):
     """A month's table of hosts on disk that two days are loaded into, one after the other, and the last one again."""
     e, path = t.events(s, d), writers.work_folder(s)
-    writers.upsert_periods(arrays.host_month(e, "host", "user_id", "ts", MONTH, "2024-01-13"), path, ["host", "month_start"], "month_start")
+    writers.upsert_version(arrays.host_month(e, "host", "user_id", "ts", MONTH, "2024-01-13"), path, ["host", "month_start"], "month_start")
     for day in (BEFORE, D, D):
         table = writers.read_version(s, path, "host string, month_start date, hit_array array<bigint>, unique_visitors array<bigint>")
-        writers.upsert_periods(arrays.host_month_step(table, e, "host", "user_id", "ts", day), path, ["host", "month_start"], "month_start")
+        writers.upsert_version(arrays.host_month_step(table, e, "host", "user_id", "ts", day), path, ["host", "month_start"], "month_start")
     m = writers.read_version(s, path, table.schema)
     return m.select("host", "month_start", _joined("hit_array").alias("hit_array"), _joined("unique_visitors").alias("unique_visitors"))
 

@@ -35,6 +35,19 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def upsert_periods(df: DataFrame, path: str, keys: Sequence[str], period: str) -> None:
+    """Upserts df into a partitioned table on disk, rewriting only the periods that df touches. A run that breaks off
+    can be run again: the table is as before, or its periods are as after, until all are. For a table that plain readers
+    read; see upsert_version() for one whose changes are visible at once."""
+    spark = df.sparkSession
+    old = spark.read.schema(df.schema).parquet(path)
+    touched = old.join(df.select(period).distinct(), period, "left_semi")
+    merged = upsert(touched.select(df.columns), df, keys)
+    folder = f"{path.rstrip('/')}__staged-{uuid.uuid4().hex}"
+    write_period(staged(merged, folder), path, period)  # what is read can't be overwritten in place
+    remove(spark, folder)
+
+
+def upsert_version(df: DataFrame, path: str, keys: Sequence[str], period: str) -> None:
     """Upserts df into a table of versions(), rewriting only the periods that df touches, and makes all of it visible at
     once. A run that breaks off leaves the table as it was; run again it gives the same. Null keys never match."""
     spark = df.sparkSession
