@@ -218,6 +218,9 @@ SELECT host, round(avg(event_count), 6) AS average_events FROM ss WHERE session_
 h AS (SELECT event_id, min_by(place, (lo, hi, place)) AS place FROM n JOIN r ON number BETWEEN lo AND hi GROUP BY 1)
 SELECT event_id, number, coalesce(place, '{{}}') AS geodata, coalesce(place, '{{}}') AS joined FROM n LEFT JOIN h USING (event_id)""",
     "host_month_upserted": _hosts(D),
+    "table_overwritten": "SELECT c_custkey, upper(c_name) AS c_name, CAST(c_nationkey AS BIGINT) AS nation FROM customer WHERE c_nationkey < 10",
+    "csv_orders": """SELECT o_orderpriority, count(*) AS orders, CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last, CAST(sum(o_custkey) AS BIGINT) AS customers, read
+FROM orders, (VALUES ('typed'), ('strings')) v(read) GROUP BY ALL""",
     "period_overwritten": """SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS INT) AS year, CASE WHEN year(o_orderdate) IN (1996, 2001) THEN 2 ELSE 1 END AS load
 FROM orders WHERE year(o_orderdate) NOT IN (1996, 2001) OR o_orderkey % 2 = 0""",
     "stream_parse": "SELECT event_type AS host, CAST(user_id AS VARCHAR) AS ip, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS event_time, true AS parsed FROM events",

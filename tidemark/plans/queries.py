@@ -3,6 +3,8 @@ compared with SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -614,6 +616,30 @@ def period_overwritten(s, d):
     return readers.read_parquet(s, path).select("o_orderkey", "o_custkey", "year", "load")
 
 
+def table_overwritten(s, d):
+    """A catalog table made from customers, overwritten by those of some nations with their columns in another order, and
+    read by name."""
+    c = t.read(s, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("long").alias("nation"))
+    name = f"customers_{uuid.uuid4().hex}"
+    writers.create_table(c, name, path=f"{writers.work_folder(s)}/t")
+    writers.insert_overwrite(c.where("nation < 10").select("nation", F.upper("c_name").alias("c_name"), "c_custkey"), name)
+    out = readers.read_table(s, name)
+    out.schema  # resolved while the catalog has it
+    s.sql(f"DROP TABLE {name}")  # its files stay
+    return out
+
+
+def csv_orders(s, d):
+    """Orders through CSV files, read with a schema that is given, and as strings that are cast."""
+    path = writers.work_folder(s)
+    t.read(s, d, "orders").select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"), F.col("o_custkey").cast("string").alias("customer")).write.option("header", True).csv(path)
+    typed = readers.read_csv(s, path, "o_orderkey long, o_orderpriority string, day date, customer long")
+    plain = readers.read_csv(s, path, "o_orderkey string, o_orderpriority string, day string, customer string")
+    plain = plain.select(F.col("o_orderkey").cast("long"), "o_orderpriority", F.col("day").cast("date"), F.col("customer").cast("long"))
+    one = lambda df, how: df.groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.min("day").alias("first"), F.max("day").alias("last"), F.sum("customer").alias("customers")).withColumn("read", F.lit(how))
+    return one(typed, "typed").unionByName(one(plain, "strings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -622,7 +648,7 @@ QUERIES = {
         monthly_hits_step, monthly_hits_array, monthly_hits_agg, array_metrics_step, array_metrics_daily, array_length_hist, host_activity_reduced, host_activity_step, host_visitors_sketch, growth_accounting_step, growth_accounting, retention_curve, state_changes,
         funnel_conversion, device_cube, traffic_windows, traffic_windows_by_days, game_cube, game_leaders, best_stretch, longest_streak, vertices_suppliers, edges_plays_in, edges_pairs, graph_points_per_game, avg_per_player, top_playlist, top_map,
         top_map_for_medal, user_device_rollup, device_users, events_with_device, upsert_latest, upsert_on_disk, bucketed_join, bucketed_star, broadcast_join, classify_referrer, geo_enrich, geo_wide_ranges, geo_index, ip_numbers, dedupe_events, dedupe_first, top_n, layout_sorted, layout_report, layout_rows,
-        stream_tumbling_host, stream_two_sinks, stream_sessions, stream_session_avg, stream_geo_enrich, host_month_upserted, period_overwritten,
+        stream_tumbling_host, stream_two_sinks, stream_sessions, stream_session_avg, stream_geo_enrich, host_month_upserted, period_overwritten, table_overwritten, csv_orders,
         stream_parse, tumbling_host, tumbling_host_referrer, sessions, session_avg_by_host,
     )
 }
