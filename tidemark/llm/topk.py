@@ -5,8 +5,8 @@ zero there; then |q - v|^2 = |q|^2 + M^2 - 2 q.v, so the highest scores are the
 vector is keyed by its nearest pivot and its distance to it; sorted runs of a pivot's keys are
 the annuli, stored as blocks, and consecutive blocks are a group that a task holds. Queries, far fewer than vectors,
 travel in blocks: first to the few annuli that are nearest, which bounds the distance of their k-th best; then, in waves, to the
-groups of these annuli and to four times as many of the nearest ones each time, until the bound, which each wave tightens, reaches
-no other group. So a query gets some k rows a wave, not k rows a group. There the annuli are expanded outwards, and one is left out for a query
+groups of these annuli and to sixteen times as many of the nearest ones each time, until the bound, which each wave tightens, reaches
+no other group. So a query gets some multiple of k rows a wave, not k rows a group. There the annuli are expanded outwards, and one is left out for a query
 whose k-th best distance so far is below |d(q, pivot) - r| for every radius r in it.
 """
 
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.tables import dropped, small_batches, written
 from tidemark.llm.vectors import finite, stacked
 
+#: Groups of the second wave, and how much larger each wave is than the one before.
+GROWTH = 16
 EXACT = 2.0**53  # doubles hold every integer up to here
 NONE = np.iinfo(np.int64).min
 
@@ -254,7 +256,7 @@ def exact_topk(
     queried = written(asked.select("block", "ids").mapInPandas(members, "query_id long, block long"), "queried")
     own = near.join(data.select("block", "own"), "block").select(F.col("qblock").alias("block"), "own").distinct()
     wave = written(reached(bounds).join(own, ["block", "own"]).select("block", "own"), "pairs")
-    done, found, n = [wave], [], 4
+    done, found, n = [wave], [], GROWTH
     while True:
         found.append(searched(bounds, wave))
         best = reduce(DataFrame.unionByName, found).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s"))
@@ -268,7 +270,7 @@ def exact_topk(
         if wave.isEmpty():
             break
         done.append(wave)
-        n *= 4
+        n *= GROWTH
     for x in (data, asked, bounds, queried, wave, *done):
         dropped(spark, x)
     found = reduce(DataFrame.unionByName, found)
