@@ -114,3 +114,22 @@ def test_sessions_with_state_in_rocksdb(spark, tmp_path):
         assert own == (name == "rocksdb") == bool(list((here / "check").rglob("*.changelog"))) == any(k.startswith("rocksdb") for k in runs[-1]["store"])
     assert got["rocksdb"] == got["memory"] == [("a", 1, 300), ("a", 1, 300), ("a", 3, 750), ("b", 1, 300)]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_a_query_that_goes_on(spark, tmp_path):
+    """With a trigger interval: rows that land while it runs, a checkpoint for each batch, the same state store after a stop."""
+    source, out, check = tmp_path / "in", str(tmp_path / "out"), tmp_path / "check"
+    put(source, "f0", ROWS)
+    make = lambda: jobs.tumbling_counts(jobs.parse_events(spark.readStream.text(str(source))), ["host"], "event_timestamp")
+    query = jobs.start(make(), out, str(check), once=False, interval="100 milliseconds")
+    try:
+        query.processAllAvailable()
+        put(source, "f1", [event(1000, host="b"), SENTINEL])
+        query.processAllAvailable()
+        seen = jobs.progress(query)
+    finally:
+        query.stop()
+    assert seen["rows"] == len(ROWS) + 2 and seen["batches"] >= 2 and len(list((check / "commits").glob("[0-9]*"))) >= 2
+    jobs.start(make(), out, str(check), state={}).awaitTermination()  # nothing new
+    got = {(r.host, int(r.event_hour.timestamp() - T0.timestamp())): r.num_hits for r in spark.read.parquet(out).where("host <> 'end'").collect()}
+    assert got == {("a", 0): 1, ("a", 300): 1, ("a", 600): 2, ("b", 300): 1, ("a", 900): 2, ("a", 1200): 1, ("b", 900): 1}

@@ -73,8 +73,8 @@ def rows_per_key(df: DataFrame, key: str) -> DataFrame:
 
 def frequent_keys(df: DataFrame, key: str, n: int, candidates: int = 1000, tracked: int = 10_000) -> DataFrame:
     """The n keys with the most rows: exact counts of the candidates of a frequent-items sketch, and its estimates. No count is made
-    of the other keys, however many there are; a key with more than a 0.75 tracked-th of all rows is a candidate for certain,
-    where its place is among the first so many. Ties go by key; null is no key. The candidates, at most so many, are broadcast."""
+    of the other keys, however many there are; a key with more than 3.5 / tracked of all rows is seen for certain, and is
+    a candidate where so many are enough. Ties go by key; null is no key. The candidates, at most so many, are broadcast."""
     sketch = F.call_function("approx_top_k", F.col(key), F.lit(candidates), F.lit(tracked))
     found = df.where(F.col(key).isNotNull()).agg(sketch.alias("top")).select(F.inline("top")).select(F.col("item").alias(key), F.col("count").alias("estimate"))
     exact = df.select(key).join(F.broadcast(found), key).groupBy(key, "estimate").agg(F.count("*").alias("rows"))

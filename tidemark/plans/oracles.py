@@ -224,6 +224,7 @@ FROM orders, (VALUES ('typed'), ('strings')) v(read) GROUP BY ALL""",
     "period_overwritten": """SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS INT) AS year, CASE WHEN year(o_orderdate) IN (1996, 2001) THEN 2 ELSE 1 END AS load
 FROM orders WHERE year(o_orderdate) NOT IN (1996, 2001) OR o_orderkey % 2 = 0""",
     "stream_parse": "SELECT event_type AS host, CAST(user_id AS VARCHAR) AS ip, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS event_time, true AS parsed FROM events",
+    "kafka_rows": """SELECT '{"host":"' || event_type || '","day":"' || strftime(ts, '%Y-%m-%d') || '","num_hits":' || count(*) || '}' AS value FROM events GROUP BY event_type, strftime(ts, '%Y-%m-%d')""",
     "tumbling_host": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS event_hour, event_type AS host, count(*) AS num_hits FROM events GROUP BY ALL",
     "tumbling_host_referrer": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS event_hour, event_type AS host, 'r' || (user_id % 3) AS referrer, count(*) AS num_hits FROM events GROUP BY ALL",
     "sessions": f"WITH {_SESSIONS} SELECT * FROM ss",

@@ -364,7 +364,8 @@ def edges_plays_in(s, d):
 
 
 def edges_pairs(s, d):
-    return graph.co_occurrence(t.game_rows(s, d), "game", "player", "team", "points")
+    """The rows of games, made once, are counted by game and read from both sides."""
+    return graph.co_occurrence(writers.staged(t.game_rows(s, d)), "game", "player", "team", "points")
 
 
 def graph_points_per_game(s, d):
@@ -521,6 +522,11 @@ def stream_parse(s, d):
     return jobs.parse_events(raw).select("host", "ip", F.col("event_time"), F.col("event_timestamp").isNotNull().alias("parsed"))
 
 
+def kafka_rows(s, d):
+    """Counts of hosts and windows as messages for a topic."""
+    return writers.kafka_rows(jobs.tumbling_counts(t.events(s, d), ["host"], "ts", "1 day").select("host", F.date_format("event_hour", "yyyy-MM-dd").alias("day"), "num_hits"))
+
+
 def tumbling_host(s, d):
     return jobs.tumbling_counts(t.events(s, d), ["host"], "ts").withColumn("event_hour", F.col("event_hour").cast("timestamp_ntz"))
 
@@ -649,6 +655,6 @@ QUERIES = {
         funnel_conversion, device_cube, traffic_windows, traffic_windows_by_days, game_cube, game_leaders, best_stretch, longest_streak, vertices_suppliers, edges_plays_in, edges_pairs, graph_points_per_game, avg_per_player, top_playlist, top_map,
         top_map_for_medal, user_device_rollup, device_users, events_with_device, upsert_latest, upsert_on_disk, bucketed_join, bucketed_star, broadcast_join, classify_referrer, geo_enrich, geo_wide_ranges, geo_index, ip_numbers, dedupe_events, dedupe_first, top_n, layout_sorted, layout_report, layout_rows,
         stream_tumbling_host, stream_two_sinks, stream_sessions, stream_session_avg, stream_geo_enrich, host_month_upserted, period_overwritten, table_overwritten, csv_orders,
-        stream_parse, tumbling_host, tumbling_host_referrer, sessions, session_avg_by_host,
+        stream_parse, kafka_rows, tumbling_host, tumbling_host_referrer, sessions, session_avg_by_host,
     )
 }
