@@ -1,5 +1,7 @@
 """Token ids, token files and packing against the tokenizers library, document by document."""
 
+import gc
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -131,3 +133,21 @@ def test_every_doc_id_comes_back(spark):
     tokenfile.write_token_ids(spark.createDataFrame([(i, f"word {k}") for k, i in enumerate(ids)], "doc_id long, text string"), path, PATH, chunk_ids=8)
     got = tokenfile.read_token_ids(spark, path).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, None, -(2**63), -(2**63), -1, 0, 2**63 - 1] and [r.start for r in got] == list(range(0, 21, 3))
+
+
+def test_reading_keeps_no_ids(spark, monkeypatch):
+    """A worker that reads many chunks, task after task, has none of them left."""
+    path = new_path(spark, "t")
+    tokenfile.write_token_ids(table(spark, ["word " * 5000, "a", "", "one two " * 5000]), path, PATH, chunk_ids=8000)
+    own: list = []
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, _: own.append(f) or self)
+        batches = tokenfile.read_token_ids(spark, path).toArrow().to_batches()
+    assert sum(x.num_rows for x in own[0](iter(batches))) == 4
+    tracemalloc.start()
+    for _ in range(50):
+        n = sum(x.column(3).nbytes for x in own[0](iter(batches)))
+    gc.collect()
+    left = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert n > 60_000 and left < 10 * n, left

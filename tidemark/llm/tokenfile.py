@@ -133,15 +133,16 @@ def read_token_ids(spark, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                ids, counts = chunk_ids_of(row), np.frombuffer(row["counts"], np.int64)
+                ids, counts = chunk_ids_of(row).astype("<u4", copy=False), np.frombuffer(row["counts"], np.int64)
                 ends = np.cumsum(counts)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                # from buffers, as pa.array never lets go of memoryviews, so a worker would keep all ids it has read
+                own = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(4 * np.append(0, ends)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.frombuffer(row["docs"], np.int64), mask=np.arange(len(counts)) < row["nulls"]),  # null ids come first
                         pa.array(row["before"] + row["first"] + ends - counts),
                         pa.array(counts),
-                        pa.array([raw[4 * (e - n) : 4 * e] for e, n in zip(ends, counts, strict=True)], pa.binary()),
+                        own.cast(pa.binary()),
                     ],
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
